@@ -15,14 +15,17 @@ SLOTS = 65536
 
 
 def value_counts(long: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value, n): one row per distinct value, NULL left out."""
-    known = long.filter(F.col(value).isNotNull())
-    return known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    """(keys, value, n): one row per distinct value; NULL values and keys are left out."""
+    for name in [*keys, value]:
+        long = long.filter(F.col(name).isNotNull())
+    return long.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _slot(value: Column, low: float, high: float) -> Column:
     raw = F.floor((value - low) / (high - low) * SLOTS)
-    return F.greatest(F.lit(0), F.least(F.lit(SLOTS), raw))
+    # never NULL: otherwise the join on the slot would push a filter below one use of the counts
+    # only, and the two uses would no longer share an exchange
+    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(SLOTS), raw)), F.lit(0))
 
 
 def describe(counts: DataFrame, keys: list[str], value: str, low: float, high: float) -> DataFrame:

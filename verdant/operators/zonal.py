@@ -14,7 +14,10 @@ PIXEL = [*KEYS, "row", "col"]
 
 
 def _unpivot(df: DataFrame, keys: list[str], names: tuple[str, ...]) -> DataFrame:
-    return df.unpivot(keys, [F.col(n) for n in names], "index_name", "value")
+    # A generator passes the keys through unchanged, unlike unpivot; that keeps two uses of the same
+    # long table identical, so that Spark can share their exchange.
+    pairs = [x for n in names for x in (F.lit(n), F.col(n))]
+    return df.select(*keys, F.stack(F.lit(len(names)), *pairs).alias("index_name", "value"))
 
 
 def core_index_pixels(pixels: DataFrame) -> DataFrame:
