@@ -78,13 +78,17 @@ def main() -> int:
             bad += not same
             print(f"{'ok   ' if same else 'DIFF '} {name:38s} {len(got):8d} rows {took:6.2f}s sql {sql_took:5.2f}s", flush=True)
             if not same:
-                print("  columns", got_cols, want_cols)
+                if got_cols != want_cols:
+                    print("  columns", sorted(set(got_cols) ^ set(want_cols)))
                 print("  rows", len(got), len(want))
-                shown = 0
-                gs, ws = set(map(repr, got)), set(map(repr, want))
-                for label, side in (("  spark only", sorted(gs - ws)), ("  sql only  ", sorted(ws - gs))):
-                    for r in side[:3]:
-                        print(label, r[:600])
+                gs, ws = sorted(set(got) - set(want), key=key), sorted(set(want) - set(got), key=key)
+                print("  only in spark:", len(gs), " only in sql:", len(ws))
+                for g, w in list(zip(gs, ws))[:3]:
+                    cells = [(c, x, y) for c, x, y in zip(got_cols, g, w) if x != y or c.endswith("_id")][:8]
+                    print("   ", str(cells)[:700])
+                if not (gs and ws):
+                    for r in (gs or ws)[:3]:
+                        print("   ", str(r)[:500])
         except Exception as exc:  # noqa: BLE001
             bad += 1
             print(f"FAIL  {name}: {str(exc)[:1500]}")

@@ -144,7 +144,7 @@ def fields(spark: SparkSession, sf: str) -> DataFrame:
             "field_id",
             F.concat(F.lit("f"), F.col("field_id").cast("string")).alias("public_id"),
             _crop(F.col("field_id")).alias("crop_name"),
-            F.when(F.col("n") < 3, "1995-03-20").otherwise("1995-04-10").cast("date").alias("planted_on"),
+            F.when(F.col("n") < 3, "1995-03-20").otherwise("1995-04-07").cast("date").alias("planted_on"),
             (F.abs("a") / 100.0 + 1.0).alias("area_hectares"),
             (F.col("n") * 0.5 + 38.0).alias("latitude"),
             (F.col("field_id") % 200 * 0.125 + 56.0).alias("longitude"),
@@ -156,7 +156,7 @@ FIELDS = f"""
 fields AS (
   SELECT s_suppkey // 5 AS field_id, 'f' || (s_suppkey // 5) AS public_id,
     [{sql_list(CROPS)}][(s_suppkey // 5) % {len(CROPS)} + 1] AS crop_name,
-    CASE WHEN min(s_nationkey) < 3 THEN DATE '1995-03-20' ELSE DATE '1995-04-10' END AS planted_on,
+    CASE WHEN min(s_nationkey) < 3 THEN DATE '1995-03-20' ELSE DATE '1995-04-07' END AS planted_on,
     abs(max(s_acctbal)) / 100.0::DOUBLE + 1.0::DOUBLE AS area_hectares,
     min(s_nationkey) * 0.5::DOUBLE + 38.0::DOUBLE AS latitude,
     (s_suppkey // 5) % 200 * 0.125::DOUBLE + 56.0::DOUBLE AS longitude
@@ -201,7 +201,7 @@ acquisitions AS (
 def index_values(spark: SparkSession, sf: str) -> DataFrame:
     """Five stored means per acquisition; an error event has no BSI row, a purchase no NDMI mean."""
     names = F.array(*[F.struct(F.lit(n).alias("index_name"), F.lit(i).alias("i")) for i, n in enumerate(K.CORE_INDICES, 1)])
-    v = F.col("value") * F.col("x.i") % 200.0 / 100.0 - 1.0
+    v = F.col("value") * F.col("x.i") % 197.0 / 101.0 - 0.96875
     mean = F.when(~((F.col("event_type") == "purchase") & (F.col("x.index_name") == "NDMI")), v)
     return (
         table(spark, sf, "events")
@@ -222,7 +222,7 @@ def index_values(spark: SparkSession, sf: str) -> DataFrame:
 INDEX_VALUES = """
 iv0 AS (
   SELECT event_id AS acquisition_id, index_name, k AS valid_pixel_count,
-    CASE WHEN NOT (event_type = 'purchase' AND index_name = 'NDMI') THEN value * i % 200.0::DOUBLE / 100.0::DOUBLE - 1.0::DOUBLE END AS mean_value
+    CASE WHEN NOT (event_type = 'purchase' AND index_name = 'NDMI') THEN value * i % 197.0::DOUBLE / 101.0::DOUBLE - 0.96875::DOUBLE END AS mean_value
   FROM ev, (VALUES ('NDVI', 1), ('NDMI', 2), ('NDRE', 3), ('EVI', 4), ('BSI', 5)) x(index_name, i)
   WHERE NOT (event_type = 'error' AND index_name = 'BSI')),
 index_values AS (
