@@ -254,3 +254,81 @@ layers AS (
   WHERE NOT (event_type = 'click' AND layer_name = 'QA'))"""
 
 STORE = f"{ACQUISITIONS}, {INDEX_VALUES}, {LAYERS}"
+
+
+# text: every document is one page; chunks, a 26-letter profile as vector, benchmark items as queries
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_profile(text: Column) -> Column:
+    """Unit vector of letter counts: a stand-in for an embedding that both engines can compute."""
+    from verdant.functions.vectors import l2_normalise
+
+    lowered = F.lower(text)
+    letters = F.array(*[F.lit(c) for c in LETTERS])
+    return l2_normalise(F.transform(letters, lambda c: (F.length(lowered) - F.length(F.replace(lowered, c, F.lit("")))).cast("double")))
+
+
+def _profile_sql(t: str) -> str:
+    counts = f"[(length(lower({t})) - length(replace(lower({t}), x, '')))::DOUBLE for x in string_split('{LETTERS}', '')]"
+    return f"(SELECT CASE WHEN n > 0 THEN [y / n for y in v] ELSE v END FROM (SELECT v, sqrt(list_sum([z * z for z in v])) AS n FROM (SELECT {counts} AS v)))"
+
+
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), "text"
+    )
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return docs.select(
+        F.col("doc_id").alias("document_id"),
+        F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("name"),
+        F.coalesce(F.col("quality") == 1, F.lit(True)).alias("is_active"),
+    )
+
+
+def chunks(spark: SparkSession, sf: str) -> DataFrame:
+    from verdant.sources.corpus import ingest_pages
+
+    return ingest_pages(pages(spark, sf)).select(
+        (F.col("document_id") * 100000 + F.col("chunk_index")).alias("chunk_id"), "document_id", "page_number", "chunk_index", "text"
+    )
+
+
+def embedded_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Active chunks with vectors, written once so that the steps of a search do not cut them again."""
+    from verdant.operators.search import active_chunks
+    from verdant.session import cut_lineage
+
+    active = active_chunks(chunks(spark, sf), documents(spark, sf))
+    return cut_lineage(active.withColumn("embedding", letter_profile(F.col("text"))))
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return items.withColumn("embedding", letter_profile(F.col("text")))
+
+
+_W = "substr(c, st + 1, 650)"
+_OFF = (
+    f"CASE WHEN strpos(reverse({_W}), ' .') > 0 AND length({_W}) - strpos(reverse({_W}), ' .') - 1 > 100 THEN length({_W}) - strpos(reverse({_W}), ' .') - 1 "
+    f"WHEN strpos(reverse({_W}), ' ') > 0 AND length({_W}) - strpos(reverse({_W}), ' ') > 0 THEN length({_W}) - strpos(reverse({_W}), ' ') ELSE 650 END"
+)
+CHUNKS = f"""
+cleaned AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM documents),
+cuts AS (SELECT doc_id, c, 0 AS st FROM cleaned WHERE length(c) > 0
+  UNION ALL SELECT doc_id, c, st + greatest({_OFF} + 1, 530) FROM cuts WHERE length(c) > st + 650 AND st + greatest({_OFF} + 1, 530) < length(c)),
+pieces AS (SELECT doc_id, st, CASE WHEN length(c) <= st + 650 THEN trim(substr(c, st + 1)) ELSE trim(substr(c, st + 1, {_OFF})) END AS text FROM cuts),
+numbered_chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY st) - 1 AS chunk_index, text FROM pieces WHERE text <> ''),
+chunks AS (SELECT doc_id * 100000 + chunk_index AS chunk_id, doc_id AS document_id, 1 AS page_number, chunk_index, text FROM numbered_chunks WHERE length(text) > 30),
+docs AS (SELECT doc_id AS document_id, source || '-' || doc_id AS name, coalesce(quality = 1, true) AS is_active FROM documents LEFT JOIN labels USING (doc_id))"""
+EMBEDDED = f"""{CHUNKS},
+embedded AS MATERIALIZED (SELECT chunks.*, name AS document_name, {_profile_sql('text')} AS embedding FROM chunks JOIN docs USING (document_id) WHERE is_active),
+questions AS MATERIALIZED (SELECT item_id AS query_id, text, {_profile_sql('text')} AS embedding FROM benchmark)"""
+
+
+def tokens_sql(t: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({t}), {sql_text(K.TOKEN_PATTERN)}), lambda t: length(t) >= 2)"
