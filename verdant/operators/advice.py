@@ -114,7 +114,7 @@ def clean_advice(raw: DataFrame, column: str = "output_text") -> DataFrame:
     df = df.withColumn("rejected", ~F.coalesce(shape, F.lit(False)))
     for name in groups:
         items = F.try_variant_get("_v", f"$.{name}", "array<string>")
-        cleaned = F.filter(F.transform(items, F.trim), lambda x: x != "")
+        cleaned = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
         df = df.withColumn(name, F.when(~F.col("rejected"), F.slice(cleaned, 1, 3)))
 
     def block(name: str) -> Column:
