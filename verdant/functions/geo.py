@@ -123,8 +123,9 @@ def area_hectares(rings: Column) -> Column:
 
 
 def _canonical_ring(ring: Column, clockwise: Column) -> Column:
-    wrong = F.when(clockwise, signed_area(ring) > 0).otherwise(signed_area(ring) < 0)
-    turned = F.when(wrong, F.reverse(ring)).otherwise(ring)
+    # the sign of the wanted direction times the area is negative for a ring that runs backwards
+    wanted = F.when(clockwise, -1.0).otherwise(1.0)
+    turned = F.when(signed_area(ring) * wanted < 0, F.reverse(ring)).otherwise(ring)
     rounded = F.transform(turned, lambda p: F.transform(p, lambda v: F.round(v, 7)))
 
     def rotate(points: Column) -> Column:
@@ -137,9 +138,11 @@ def _canonical_ring(ring: Column, clockwise: Column) -> Column:
 
 def canonical_rings(rings: Column) -> Column:
     """Exterior counter-clockwise, holes clockwise and sorted, each from its smallest point."""
-    turned = F.transform(rings, lambda r, i: _canonical_ring(r, i > 0))
-    holes = F.array_sort(F.slice(turned, F.lit(2), F.greatest(F.size(turned) - 1, F.lit(0))))
-    return F.concat(F.slice(turned, 1, 1), holes)
+    def order(turned: Column) -> Column:
+        holes = F.array_sort(F.slice(turned, F.lit(2), F.greatest(F.size(turned) - 1, F.lit(0))))
+        return F.concat(F.slice(turned, 1, 1), holes)
+
+    return bind(F.transform(rings, lambda r, i: _canonical_ring(r, i > 0)), order)
 
 
 def geometry_hash(canonical: Column) -> Column:

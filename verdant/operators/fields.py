@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verdant import constants as K
 from verdant.functions import geo, keys
 from verdant.operators.validation import check_fields
+from verdant.session import cut_lineage
 
 
 def check_geometry(requests: DataFrame, column: str = "geometry_json") -> DataFrame:
@@ -47,9 +48,10 @@ def split_duplicates(rows: DataFrame, existing: DataFrame, order: str) -> DataFr
 
 def register_fields(requests: DataFrame, existing: DataFrame, now: Column) -> dict[str, DataFrame]:
     """(request_id, geometry_json, crop_name, planted_on, growth_stage) → accepted, rejected, duplicates."""
-    checked = check_geometry(requests)
+    # the polygon expressions are long; each result is written once and then only read
+    checked = cut_lineage(check_geometry(requests))
     bad_shape = checked.filter("NOT valid").select("request_id", F.col("message").alias("reason"))
-    rows = check_fields(with_geometry(checked.filter("valid")))
+    rows = cut_lineage(check_fields(with_geometry(checked.filter("valid"))))
     bad_row = rows.filter(F.size("violations") > 0).select("request_id", F.array_join("violations", ",").alias("reason"))
     marked = split_duplicates(rows.filter(F.size("violations") == 0).drop("violations"), existing, "request_id")
     accepted = marked.filter("NOT duplicate").select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verdant import constants as K
 from verdant.functions import text as tx
 from verdant.operators.store import newest
+from verdant.session import cut_lineage
 
 Dictionary = tuple[tuple[str, str, str], ...]
 
@@ -184,7 +185,7 @@ def expand(found: DataFrame, edges: DataFrame, depth: int = K.BFS_DEPTH, cap: in
     nodes, frontier, touched = found, found, None
     for step in range(1, depth + 1):
         room = nodes.groupBy(*group).agg((F.lit(cap) - F.count(F.lit(1))).alias("room")).filter("room > 0")
-        reach = frontier.join(room, group).join(links, ["document_id", "node_id"])
+        reach = cut_lineage(frontier.join(room, group).join(links, ["document_id", "node_id"]))
         edge_rows = reach.select(*group, "source", "target", "type")
         touched = edge_rows if touched is None else touched.unionByName(edge_rows)
         near = reach.groupBy(*group, F.col("neighbour").alias("node_id")).agg(F.max("score").alias("from_score"), F.max("room").alias("room"))
@@ -192,7 +193,7 @@ def expand(found: DataFrame, edges: DataFrame, depth: int = K.BFS_DEPTH, cap: in
         w = Window.partitionBy(*group).orderBy(F.col("from_score").desc(), "node_id")
         # the constant cap lets Spark limit each group before the shuffle; the exact room follows
         first = fresh.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= cap)
-        frontier = first.filter("rn <= room").select(*group, "node_id", F.lit(0.0).alias("score"), F.lit(step).alias("depth"))
+        frontier = cut_lineage(first.filter("rn <= room")).select(*group, "node_id", F.lit(0.0).alias("score"), F.lit(step).alias("depth"))
         nodes = nodes.unionByName(frontier)
     return nodes, touched.distinct()
 
@@ -227,7 +228,9 @@ def search_graph(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> Data
     texts = nodes.select(F.explode(F.array("node_id", "description")).alias("text")).unionByName(
         edges.select(F.explode(F.array("source", "target", "type", "description")).alias("text"))
     )
-    overlaps = text_overlap(queries, texts)
-    scored_nodes, scored_edges = score_nodes(nodes, overlaps), score_edges(edges, overlaps)
-    visited, touched = expand(seeds(scored_nodes, scored_edges), edges)
+    # each of these is used several times below; written once, none is worked out again
+    overlaps = cut_lineage(text_overlap(queries, texts))
+    scored_nodes = cut_lineage(score_nodes(nodes, overlaps))
+    start = cut_lineage(seeds(scored_nodes, score_edges(edges, overlaps)))
+    visited, touched = expand(start, edges)
     return graph_context(scored_nodes, visited, touched, nodes, edges)

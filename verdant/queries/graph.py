@@ -85,7 +85,7 @@ def scored(spark, sf):
         edges.select(F.explode(F.array("source", "target", "type", "description")).alias("text"))
     )
     overlaps = cut_lineage(graph.text_overlap(st.questions(spark, sf), texts))
-    return nodes, edges, graph.score_nodes(nodes, overlaps), graph.score_edges(edges, overlaps)
+    return nodes, edges, cut_lineage(graph.score_nodes(nodes, overlaps)), cut_lineage(graph.score_edges(edges, overlaps))
 
 
 @query("graph_node_scores", f"WITH RECURSIVE {st.EMBEDDED}, {GRAPH}, {SCORES} SELECT query_id, document_id, node_id, round(score, 6) AS score FROM node_scores")
@@ -125,7 +125,7 @@ touched AS MATERIALIZED (SELECT DISTINCT query_id, document_id, source, target,
   (SELECT count(*) FROM touched t WHERE t.query_id = n.query_id) AS edges FROM nodes2 n GROUP BY 1""")
 def _(spark, sf):
     _, edges, scored_nodes, scored_edges = scored(spark, sf)
-    visited, touched = graph.expand(graph.seeds(scored_nodes, scored_edges), edges)
+    visited, touched = graph.expand(cut_lineage(graph.seeds(scored_nodes, scored_edges)), edges)
     counted = touched.groupBy("query_id").agg(F.count(F.lit(1)).alias("edges"))
     summary = visited.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("nodes"), F.sum("depth").alias("depths"), F.count_distinct("node_id").alias("names")
