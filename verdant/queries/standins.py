@@ -263,11 +263,14 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 def letter_profile(text: Column) -> Column:
     """Unit vector of letter counts: a stand-in for an embedding that both engines can compute."""
-    from verdant.functions.vectors import l2_normalise
+    from verdant.functions.vectors import bind, l2_normalise
 
-    lowered = F.lower(text)
     letters = F.array(*[F.lit(c) for c in LETTERS])
-    return l2_normalise(F.transform(letters, lambda c: (F.length(lowered) - F.length(F.replace(lowered, c, F.lit("")))).cast("double")))
+
+    def counts(lowered: Column) -> Column:
+        return F.transform(letters, lambda c: (F.length(lowered) - F.length(F.replace(lowered, c, F.lit("")))).cast("double"))
+
+    return l2_normalise(bind(F.lower(text), counts))
 
 
 def _profile_sql(t: str) -> str:
@@ -303,7 +306,8 @@ def embedded_chunks(spark: SparkSession, sf: str) -> DataFrame:
     from verdant.operators.search import active_chunks
     from verdant.session import cut_lineage
 
-    active = active_chunks(chunks(spark, sf), documents(spark, sf))
+    # the documents come as one file, that is one task; spread before the profiles are worked out
+    active = active_chunks(chunks(spark, sf), documents(spark, sf)).repartition("chunk_id")
     return cut_lineage(active.withColumn("embedding", letter_profile(F.col("text"))))
 
 
