@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from verdant import constants as K
 from verdant.functions import spectral as S
-from verdant.operators import anomaly, quantiles, zonal
+from verdant.operators import anomaly, components, quantiles, zonal
 from verdant.operators.components import label_components
 
 SCHEMA = "field_id long, acquisition_id long, row long, col long, " + ", ".join(f"{b} double" for b in K.BANDS) + ", scl int, data_mask boolean"
@@ -92,8 +92,9 @@ def brute_components(points):
     return {p: i for i, g in enumerate(groups, 1) for p in g}
 
 
-@pytest.mark.parametrize("tile", [3, 4, 128])
-def test_components_equal_brute_force(spark, tile):
+@pytest.mark.parametrize(("tile", "few"), [(3, 0), (4, 500_000), (128, 0)])
+def test_components_equal_brute_force(spark, tile, few, monkeypatch):
+    monkeypatch.setattr(components, "FEW_LINKS", few)
     rng = np.random.default_rng(tile)
     rows, want = [], {}
     for key, share in ((1, 0.35), (2, 0.55), (3, 0.2)):

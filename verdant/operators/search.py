@@ -14,6 +14,7 @@ from verdant.functions import text as tx
 from verdant.functions.vectors import dot
 from verdant.operators.store import newest
 from verdant.operators.vectors import DIGITS, keep_rule, nearest
+from verdant.session import cut_lineage
 
 
 def active_chunks(chunks: DataFrame, documents: DataFrame, selected: list[int] | None = None) -> DataFrame:
@@ -47,11 +48,15 @@ def corpus_statistics(chunks: DataFrame, text: str = "text") -> Corpus:
 
     N and the mean length are a one-row aggregate used as a scalar subquery, not a join.
     """
-    lengths = chunks.select("chunk_id", tx.tokens(F.col(text)).alias("tokens"))
-    lengths = lengths.withColumn("length", F.size("tokens"))
+    # tokens and postings are read several times by every scoring job; both are written once
+    lengths = cut_lineage(
+        chunks.select("chunk_id", tx.tokens(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens"))
+    )
     totals = lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("mean_length"))
     counts = lengths.select("chunk_id", "length", F.explode("tokens").alias("term"))
-    postings = counts.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
+    postings = cut_lineage(
+        counts.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
+    )
     n, df = totals.select("n").scalar(), F.col("df").cast("double")
     found = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     frequencies = found.withColumn("n", n).select(
