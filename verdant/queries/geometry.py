@@ -140,7 +140,7 @@ def _(spark, sf):
   CASE WHEN event_type <> 'click' THEN value END AS cloud_coverage, substr(sha256('{"created":null,"id":"id' || event_id || '","processing_baseline":"05","product_uri":' ||
   CASE WHEN event_type = 'view' THEN 'null' ELSE '"' || event_type || '"' END || ',"updated":null}'), 1, 24) AS revision_key FROM events WHERE event_type <> 'error'""")
 def _(spark, sf):
-    """Bodies per field and day; errors lack a time, views a product name, clicks a numeric cloud share."""
+    """Bodies of at most 50 features; errors lack a time, views a product name, clicks a numeric cloud share."""
     kind = F.col("event_type")
     stamp = F.when(kind != "error", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     properties = F.struct(
@@ -148,7 +148,7 @@ def _(spark, sf):
         F.when(kind != "view", kind).alias("s2:product_uri"), F.lit("05").alias("s2:processing_baseline"),
     )
     feature = F.struct(F.concat(F.lit("id"), F.col("event_id").cast("string")).alias("id"), properties.alias("properties"))
-    bodies = table(spark, sf, "events").groupBy(F.col("user_id").alias("field_id"), F.to_date("ts").alias("day")).agg(F.collect_list(feature).alias("features"))
+    bodies = table(spark, sf, "events").groupBy(F.col("user_id").alias("field_id"), F.expr("event_id div 50").alias("page")).agg(F.collect_list(feature).alias("features"))
     rows = catalogue.acquisitions(catalogue.parse_bodies(bodies.select("field_id", F.to_json(F.struct("features")).alias("body"))))
     return rows.select("field_id", F.date_format("acquired_at", "yyyy-MM-dd HH:mm:ss").alias("acquired_at"), "product_id", "cloud_coverage", "revision_key")
 
