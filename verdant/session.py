@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_FOLDERS: set[str] = set()
+
+
 def local_session(cores: int | str = "*", app: str = "verdant") -> SparkSession:
     """Session for a single machine; on a cluster the submitter's session is used as it is."""
     return (
@@ -22,18 +25,27 @@ def local_session(cores: int | str = "*", app: str = "verdant") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="verdant-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
+    """This application's folder for intermediate tables, deleted when the driver's Python ends.
+
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``. Where none is named it lies
+    in the warehouse, which driver and executors share as well.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/intermediate-{context.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, spark, folder)
     return folder
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session ended first; its folder is left to the cluster's clean-up
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a table written to the shared folder.
 
