@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from verdant.llm import decontaminate, near_dedup, packing
+from verdant.llm import decontaminate, near_dedup, packing, toxicity
 from verdant.llm.registry import query, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,3 +29,9 @@ def _(spark, sf):
 def _(spark, sf):
     found = near_dedup.classes(table(spark, sf, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", near_dedup.kept().alias("kept"))
+
+
+@query("op9_toxicity")
+def _(spark, sf):
+    found = toxicity.scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
