@@ -92,9 +92,8 @@ def brute_components(points):
     return {p: i for i, g in enumerate(groups, 1) for p in g}
 
 
-@pytest.mark.parametrize(("tile", "few"), [(3, 0), (4, 500_000), (128, 0)])
-def test_components_equal_brute_force(spark, tile, few, monkeypatch):
-    monkeypatch.setattr(components, "FEW_LINKS", few)
+@pytest.mark.parametrize("tile", [3, 4, 128])
+def test_components_equal_brute_force(spark, tile):
     rng = np.random.default_rng(tile)
     rows, want = [], {}
     for key, share in ((1, 0.35), (2, 0.55), (3, 0.2)):
@@ -160,3 +159,19 @@ def test_compass_sectors(spark):
     df = spark.createDataFrame([(float(r), float(c), want) for (r, c), want in where.items()], "r double, c double, want string")
     got = df.withColumn("got", S.compass_sector(F.col("r"), F.col("c"), F.lit(10.0), F.lit(10.0))).collect()
     assert all(row.got == row.want for row in got)
+
+
+@pytest.mark.parametrize("links", [[], [(i + 1, i) for i in range(70)], [(i, 0) for i in range(1, 90)], [(9, 4), (4, 9), (7, 4), (20, 19)]])
+def test_smallest_in_component(spark, links):
+    parent = {}
+
+    def root(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([(max(x), min(x)) for x in links], "a long, b long")
+    assert {r.a: r.b for r in components.smallest_in_component(df, []).collect()} == {i: root(i) for i in parent if root(i) != i}

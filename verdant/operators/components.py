@@ -21,7 +21,6 @@ from verdant.operators.quantiles import ordered_rank
 from verdant.session import cut_lineage
 
 TILE = 128
-FEW_LINKS = 500_000
 ROW_SHIFT = 1 << 32
 
 
@@ -102,29 +101,11 @@ def _star(links: DataFrame, keys: list[str], large: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
-def _roots_of(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """Smallest node per node for one key's links."""
-    parent: dict[int, int] = {}
-
-    def root(node: int) -> int:
-        while parent.setdefault(node, node) != node:
-            parent[node] = parent[parent[node]]
-            node = parent[node]
-        return node
-
-    for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    pairs = [(node, root(node)) for node in list(parent)]
-    out = pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["a", "b"], dtype="int64")
-    return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "a", "b"]]
-
-
 def smallest_in_component(links: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, a, b): every node of the links with the smallest node of its component, itself excepted.
+    """(keys, a, b): every node of the links (a > b) with the smallest node of its component, itself excepted.
 
-    Up to ``FEW_LINKS`` links in all – counted first, so no key can hold more – one pass per key is
-    enough. Beyond that the rounds below contract the graph without gathering a key anywhere.
+    Rounds grow with the logarithm of the longest chain. Groups are only reduced to their minimum; a node
+    with very many neighbours is one row on the other side of its join, which Spark may split.
     """
 
     def fingerprint(df: DataFrame) -> tuple:
@@ -132,8 +113,6 @@ def smallest_in_component(links: DataFrame, keys: list[str]) -> DataFrame:
 
     links = cut_lineage(links)
     seen = fingerprint(links)
-    if 0 < seen[0] <= FEW_LINKS:
-        return cut_lineage(links.groupBy(*keys).applyInPandas(lambda pdf: _roots_of(pdf, keys), links.schema))
     while seen[0]:
         links = cut_lineage(_star(_star(links, keys, large=True), keys, large=False))
         now = fingerprint(links)
@@ -144,13 +123,18 @@ def smallest_in_component(links: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def label_components(df: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
-    """(keys, row, col, cluster_id); ids count components in row-major order of their first pixel."""
+    """(keys, row, col, cluster_id); ids count components in row-major order of their first pixel.
+
+    Tile labels get their component and its id first; pixels then join on their tile label, of which a
+    tile bounds the rows.
+    """
     local = cut_lineage(_tile_labels(df, keys, tile))
     roots = smallest_in_component(_edge_links(local, keys, tile), keys)
-    rooted = local.join(
-        roots.select(*keys, F.col("a").alias("label"), F.col("b").alias("root")), [*keys, "label"], "left"
-    ).select(*keys, "row", "col", F.coalesce("root", "label").alias("root"))
+    labels = local.select(*keys, "label").distinct()
+    rooted = labels.join(roots.select(*keys, F.col("a").alias("label"), F.col("b").alias("root")), [*keys, "label"], "left")
+    rooted = rooted.select(*keys, "label", F.coalesce("root", "label").alias("root"))
     # Numbered by first pixel, block by block of one raster line: a line's width bounds a block.
     block = F.expr(f"root div {ROW_SHIFT}")
     ids = ordered_rank(rooted.select(*keys, "root").distinct(), keys, "root", "cluster_id", block)
-    return rooted.join(ids, [*keys, "root"]).select(*keys, "row", "col", "cluster_id")
+    named = rooted.join(ids, [*keys, "root"]).select(*keys, "label", "cluster_id")
+    return local.join(named, [*keys, "label"]).select(*keys, "row", "col", "cluster_id")
