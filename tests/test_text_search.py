@@ -33,19 +33,22 @@ def test_normalise_takes_every_blank(spark):
     assert one(spark, tx.normalise(F.col("t")), " A  b\tC ") == ["a b c"]
 
 
+def cut(spark, *texts, **options):
+    return one(spark, tx.chunks(F.col("t"), **options), *texts)
+
+
 def test_chunks_cut_at_sentences_and_step(spark):
-    text = "Bir ikki uch. " * 200
-    pieces = tx.split_text(text, 650, 120, False)
+    (pieces,) = cut(spark, "Bir ikki uch. " * 200)
     assert all(len(p) <= 650 for p in pieces) and pieces[0].endswith("uch")
-    short = "x" * 700
-    assert tx.split_text(short, 650, 120, False) == ["x" * 650, "x" * 49]  # a hard cut skips one character
-    assert one(spark, tx.chunks(F.col("t")), "  a  b ", "", None) == [["a b"], [], []]
+    assert cut(spark, "x" * 700) == [["x" * 650, "x" * 49]]  # a hard cut skips one character
+    assert cut(spark, "  a  b ", "", None) == [["a b"], [], []]
+    assert cut(spark, "aaa bbb ccc ddd", size=8, overlap=3) == [["aaa bbb", "ccc ddd"]]
 
 
-def test_overlap_mode_loses_nothing():
+def test_overlap_mode_loses_nothing(spark):
     words = [f"w{i}" for i in range(900)]
     text = ". ".join(" ".join(words[i : i + 7]) for i in range(0, 900, 7))
-    joined = " ".join(tx.split_text(text, 650, 120, True))
+    joined = " ".join(cut(spark, text, mode="overlap")[0])
     assert all(w in joined for w in words)
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,37 +20,44 @@ def normalise(text: Column) -> Column:
     return F.trim(collapsed)
 
 
-def split_text(text: str, size: int, overlap: int, keep_overlap: bool) -> list[str]:
-    """Cut at the last sentence end of a window, else the last blank, else the window's end."""
-    clean = re.sub(r"\s+", " ", text).strip()
-    pieces, start = [], 0
-    while start < len(clean):
-        stop = start + size
-        if len(clean) <= stop:
-            pieces.append(clean[start:].strip())
-            break
-        cut = clean.rfind(". ", start, stop)
-        if cut <= start + 100:
-            blank = clean.rfind(" ", start, stop)
-            cut = blank if blank > start else stop
-        piece = clean[start:cut].strip()
-        if piece:
-            pieces.append(piece)
-        # the fixed step can pass over text after an early cut; the other mode goes back instead
-        start = max(cut - overlap, start + 1) if keep_overlap else max(cut + 1, stop - overlap)
-    return pieces
+def chunks(text: Column, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, mode: str = "reference") -> Column:
+    """Array of chunks of at most ``size`` characters of the text with single blanks.
 
+    A window is cut behind its last sentence if that is longer than ``K.MIN_SENTENCE_CUT``, else at its last
+    blank, else at its end; the last window is taken whole. The next window begins ``overlap`` before the end of
+    the last one or behind the cut, whichever is later; with ``mode="overlap"`` it begins ``overlap`` before the
+    cut, so that no text is passed over. Positions are folded over a sequence as long as the smallest step needs.
+    """
+    least = 1 if mode == "overlap" else size - overlap
 
-def chunks(text: Column, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, mode: str = "reference") -> Column:
-    """Array of chunks. Each start depends on the cut before it, so one text is one scan; Arrow
-    batches carry the texts. ``mode="overlap"`` steps back from each cut and skips nothing."""
-    keep_overlap = mode == "overlap"
+    def taken(window: Column) -> Column:
+        sentence = F.length(window) - F.length(F.substring_index(window, ". ", -1)) - 2
+        word = F.length(window) - F.length(F.substring_index(window, " ", -1)) - 1
+        return F.when(sentence > K.MIN_SENTENCE_CUT, sentence).when(word > 0, word).otherwise(F.length(window))
+
+    def cut(known: Column) -> Column:
+        clean, whole = known["clean"], known["whole"]
+
+        def stretch(at: Column) -> Column:
+            kept = F.when(whole - at <= size, whole - at).otherwise(taken(F.substring(clean, at + 1, F.lit(size))))
+            return F.struct(at.alias("at"), kept.alias("kept"))
+
+        def onward(last: Column) -> Column:
+            behind = F.greatest(last["kept"] - overlap, F.lit(1)) if mode == "overlap" else F.greatest(last["kept"] + 1, F.lit(least))
+            return F.when(last["at"] + last["kept"] >= whole, whole).otherwise(last["at"] + behind)
+
+        def grow(found: Column, _: Column) -> Column:
+            at = onward(F.element_at(found, -1))
+            return F.when(at < whole, F.concat(found, F.array(stretch(at)))).otherwise(found)
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else split_text(t, size, overlap, keep_overlap))
+        steps = F.sequence(F.lit(1), F.ceil(whole / least).cast("int"))
+        pieces = F.transform(F.aggregate(steps, F.array(stretch(F.lit(0))), grow), lambda s: F.btrim(F.substring(clean, s["at"] + 1, s["kept"])))
+        return F.when(whole > 0, F.filter(pieces, lambda p: p != "")).otherwise(F.array().cast("array<string>"))
 
-    return cut(text)
+    # The one-entry array binds the normal form and its length, which every step of the fold looks at.
+    clean = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    known = F.transform(F.array(clean), lambda c: F.struct(c.alias("clean"), F.length(c).alias("whole")))
+    return F.get(F.transform(known, cut), 0)
 
 
 def language(text: Column) -> Column:

@@ -31,7 +31,7 @@ def _(spark, sf):
     return st.chunks(spark, sf).select("document_id", "page_number", "chunk_index", "text")
 
 
-@query("chunk_with_overlap")
+@query("chunk_with_overlap", f"WITH RECURSIVE {st.OVERLAPPING} SELECT document_id, page_number, chunk_index, text FROM chunks")
 def _(spark, sf):
     return corpus.ingest_pages(st.pages(spark, sf), mode="overlap")
 
