@@ -171,25 +171,28 @@ def rerank(
     return keep_rule(ranked, "score", threshold, cutoff).withColumn("score", F.round("score", 4))
 
 
-def ranked_lists(variants: DataFrame, chunks: DataFrame, n: int = K.RANKED_LIST) -> DataFrame:
-    """Dense and lexical lists of every variant: (query_id, variant, kind, chunk_id, score, rank)."""
+def ranked_lists(variants: DataFrame, chunks: DataFrame, n: int = K.RANKED_LIST, corpus: Corpus | None = None) -> DataFrame:
+    """Dense and lexical lists of every variant: (query_id, variant, kind, chunk_id, score, rank).
+
+    ``corpus``: the stored statistics of the chunks; without them they are worked out here.
+    """
     keys = ["query_id", "variant"]
-    coded = variants.withColumn("_code", F.col("query_id") * 4 + F.col("variant"))
+    coded = variants.withColumn("_code", F.shiftleft("query_id", 3) + F.col("variant"))
     dense = nearest(coded.select(F.col("_code").alias("query_id"), "embedding"), chunks.select("chunk_id", "embedding"), n)
     dense = dense.select(
-        F.expr("query_id div 4").alias("query_id"), (F.col("query_id") % 4).cast("int").alias("variant"),
+        F.shiftright("query_id", 3).alias("query_id"), F.col("query_id").bitwiseAND(F.lit(7)).cast("int").alias("variant"),
         F.lit("dense").alias("kind"), "chunk_id", "score", "rank",
     )
-    sparse = bm25_ranked(variants, corpus_statistics(chunks), keys, n).withColumn("kind", F.lit("sparse"))
+    sparse = bm25_ranked(variants, corpus or corpus_statistics(chunks), keys, n).withColumn("kind", F.lit("sparse"))
     return dense.unionByName(sparse.select(*dense.columns))
 
 
 def search_advanced(
     queries: DataFrame, variants: DataFrame, chunks: DataFrame, top_k: int = 4, threshold: float | None = None,
-    cutoff: float = K.SIMILARITY_CUTOFF,
+    cutoff: float = K.SIMILARITY_CUTOFF, corpus: Corpus | None = None,
 ) -> DataFrame:
     """Q9: lists → fusion → diversity → rerank for all queries at once."""
-    pool = fuse(ranked_lists(variants, chunks))
+    pool = fuse(ranked_lists(variants, chunks, corpus=corpus))
     return rerank(diversify(pool, chunks, queries), chunks, queries, top_k, threshold, cutoff)
 
 

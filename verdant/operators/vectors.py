@@ -1,13 +1,18 @@
-"""Q2: exact vector search as blocks of a matrix product.
+"""Q2: exact vector search as matrix products over the corpus where it lies.
 
-Queries and corpus are both cut into blocks of bounded size by a hash of their id. Every pair of
-blocks is one group: its product is a single array operation and only the best ``k`` rows per query
-leave it. Nothing is collected on the driver and no row pairs are materialised.
+Queries are taken in blocks of bounded size. A block travels to the corpus partitions; each partition keeps
+the best ``k`` rows per query while it reads, so the corpus is neither shuffled nor repeated and no row
+pairs are made. Only ``k`` rows per query and partition are ranked at the end.
+
+Rows whose vector is NULL, or has another length than the queries', cannot be compared and are left out;
+``unusable`` lists them.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,60 +23,71 @@ from verdant import constants as K
 from verdant.operators.store import newest
 
 QUERY_BLOCK = 2048
-CORPUS_BLOCK = 16384
+CORPUS_BLOCK = 8192
 DIGITS = 9  # scores that agree to nine digits count as equal and go by id
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score) of the ``k`` highest scores of every row, ties by id."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    else:
+        least = np.full(len(scores), -np.inf)
+    row, column = np.nonzero(scores >= least[:, None])  # more than k only where scores are equal
+    order = np.lexsort((ids[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, column = row[place < k], column[place < k]
+    return row, ids[column], scores[row, column]
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    row, ids, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((ids, -score, row))
+    row, ids, score = row[order], ids[order], score[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], ids[first], score[first]
+
 
+def _nearest_to(block: list, corpus: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of every corpus partition for a block of queries."""
+    names = np.array([r.query_id for r in block], dtype=np.int64)
+    known = corpus.sparkSession.sparkContext.broadcast(np.array([r.embedding for r in block], dtype=np.float64))
 
-def _blocks(df: DataFrame, size: int) -> int:
-    return max(1, math.ceil(df.count() / size))
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, best = known.value, None
+        for batch in rows:
+            for low in range(0, batch.num_rows, CORPUS_BLOCK):
+                part = batch.slice(low, CORPUS_BLOCK)
+                matrix = np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(part.num_rows, -1)
+                found = _best(np.round(asked @ matrix.T, DIGITS), part.column(0).to_numpy(), k)
+                best = found if best is None else _merged([best, found], k)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(names[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "chunk_id", "score"])
 
+    same = corpus.filter(F.size("embedding") == len(block[0].embedding)).select("chunk_id", "embedding")
+    return same.mapInArrow(batches, "query_id long, chunk_id long, score double")
 
-def _best_of_blocks(k: int):
-    def best(queries: pa.Table, corpus: pa.Table) -> pa.Table:
-        if not queries.num_rows or not corpus.num_rows:
-            empty = {"query_id": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
-            return pa.table(empty)
-        scores = np.round(_matrix(queries["embedding"]) @ _matrix(corpus["embedding"]).T, DIGITS)
-        chunk = corpus["chunk_id"].to_numpy()
-        order = np.argsort(chunk, kind="stable")
-        scores, chunk = scores[:, order], chunk[order]
-        keep = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(scores)), keep.shape[1])
-        return pa.table(
-            {
-                "query_id": queries["query_id"].to_numpy()[rows],
-                "chunk_id": chunk[keep.ravel()],
-                "score": scores[rows, keep.ravel()],
-            }
-        )
 
-    return best
+def unusable(corpus: DataFrame, size: int) -> DataFrame:
+    """Rows without a vector of ``size`` numbers."""
+    return corpus.filter(F.col("embedding").isNull() | (F.size("embedding") != size))
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank): the ``k`` highest dot products, ties by chunk id.
 
-    ``queries``: (query_id BIGINT, embedding); ``corpus``: (chunk_id BIGINT, embedding).
+    ``queries``: (query_id BIGINT, embedding), all vectors of one length; ``corpus``: (chunk_id BIGINT,
+    embedding). The driver holds one block of queries at a time.
     """
-    query_blocks, corpus_blocks = _blocks(queries, QUERY_BLOCK), _blocks(corpus, CORPUS_BLOCK)
-
-    def spread(df: DataFrame, key: str, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
-        every = F.sequence(F.lit(0), F.lit(other_blocks - 1))
-        return df.select(
-            key, "embedding", F.pmod(F.xxhash64(key), F.lit(own_blocks)).cast("int").alias(own), F.explode(every).alias(other)
-        )
-
-    left = spread(queries, "query_id", "qb", query_blocks, "cb", corpus_blocks)
-    right = spread(corpus, "chunk_id", "cb", corpus_blocks, "qb", query_blocks)
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(
-        _best_of_blocks(k), "query_id long, chunk_id long, score double"
-    )
-    return newest(found, ["query_id"], (F.col("score").desc(), F.col("chunk_id")), k, "rank")
+    asked = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding").toLocalIterator(prefetchPartitions=True)
+    found = []
+    while block := list(islice(asked, QUERY_BLOCK)):
+        found.append(_nearest_to(block, corpus, k))
+    if not found:
+        return queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
+    every = reduce(DataFrame.unionAll, found)
+    return newest(every, ["query_id"], (F.col("score").desc(), F.col("chunk_id")), k, "rank")
 
 
 def keep_rule(ranked: DataFrame, score: str, threshold: float | None, cutoff: float = K.SIMILARITY_CUTOFF) -> DataFrame:
