@@ -31,8 +31,8 @@ def _(spark, sf):
 SELECT field_id, acquisition_id, index_name, round(avg(value), 6) AS mean_value, round(median(value), 6) AS median_value, count(value) AS valid_pixel_count
 FROM core_long GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    # a range per acquisition keeps an acquisition's pixels in one file
-    stats = jobs.upsert_statistics(*landed(spark, st.pixels(spark, sf), "acquisition_id", 2))
+    # landed by raster line, so that every acquisition's pixels arrive in several batches
+    stats = jobs.upsert_statistics(*landed(spark, st.pixels(spark, sf), "row", 3))
     return stats.select(
         "field_id", "acquisition_id", "index_name", F.round("mean_value", 6).alias("mean_value"),
         F.round("median_value", 6).alias("median_value"), "valid_pixel_count",
@@ -45,6 +45,6 @@ def _(spark, sf):
     return jobs.mask_stream(stream, "text", out, checkpoint, ("thereti",)).select("conv_id", "turn", "text")
 
 
-@query("stream_message_counts", "SELECT conv_id, count(*) AS messages, max(conv_id * 1000 + turn) AS last_message_id FROM conversations GROUP BY 1")
+@query("stream_message_counts", f"SELECT conv_id, count(*) AS messages, max(conv_id * {st.TURNS_PER_CONVERSATION} + turn) AS last_message_id FROM conversations GROUP BY 1")
 def _(spark, sf):
     return jobs.running_counts(*landed(spark, messages(spark, sf), "message_id"))

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from verdant.functions.text import mask_secrets
 from verdant.operators.store import insert_if_new, latest_wins
@@ -26,10 +27,30 @@ def _run(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint:
     query.awaitTermination()
 
 
-def _batches(spark: SparkSession, folder: str, like, before: int | None = None) -> DataFrame:
-    """All batches written so far (only those before ``before``, when a batch may be a retry)."""
-    rows = spark.read.schema(like).option("basePath", folder).parquet(f"{folder}/batch=*") if before != 0 else spark.createDataFrame([], like)
-    return rows if before is None or before == 0 else rows.filter(F.col("batch") < before)
+BUCKETS = 64
+
+
+def _store(batch: DataFrame, folder: str, batch_id: int, key: str) -> None:
+    """The batch's rows, in folders by a bucket of ``key`` so that a later batch reads only what it touches."""
+    spread = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={batch_id}")
+
+
+def _stored(spark: SparkSession, folder: str, schema: StructType, touched: DataFrame | None = None, key: str = "", before: int | None = None) -> DataFrame:
+    """Rows of all batches so far with their ``batch``; of ``touched`` keys' buckets only, and before a batch that may be a retry.
+
+    A stream that has brought nothing yet has no rows.
+    """
+    declared = StructType([*schema.fields, StructField("batch", IntegerType()), StructField("bucket", IntegerType())])
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*")
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path):
+        return spark.createDataFrame([], declared).drop("bucket")
+    rows = spark.read.schema(declared).option("basePath", folder).parquet(f"{folder}/batch=*")
+    if touched is not None:
+        # at most BUCKETS numbers
+        buckets = [r.b for r in touched.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()]
+        rows = rows.filter(F.col("bucket").isin(buckets))
+    return (rows if before is None else rows.filter(F.col("batch") < before)).drop("bucket")
 
 
 def ingest_acquisitions(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
@@ -37,23 +58,31 @@ def ingest_acquisitions(stream: DataFrame, out: str, checkpoint: str) -> DataFra
     spark, schema = stream.sparkSession, stream.schema
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        stored = _batches(batch.sparkSession, out, schema, batch_id)
-        fresh = insert_if_new(batch, stored).filter("created").drop("created")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        stored = _stored(batch.sparkSession, out, schema, batch, "field_id", batch_id).drop("batch")
+        _store(insert_if_new(batch, stored).filter("created").drop("created"), out, batch_id, "field_id")
 
     _run(stream, work, checkpoint)
-    return _batches(spark, out, schema).select(*[f.name for f in schema])
+    return _stored(spark, out, schema).drop("batch")
 
 
 def upsert_statistics(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """ST2: zonal statistics of newly arrived pixels; a later batch wins over an earlier one."""
-    spark = stream.sparkSession
+    """ST2: zonal statistics of acquisitions whose pixels arrive in any number of batches.
+
+    A batch's pixels are stored; the acquisitions it touches are measured again from all their pixels so far,
+    and that measurement replaces the earlier one.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    measures = zonal_statistics(spark.createDataFrame([], schema)).schema
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        zonal_statistics(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        _store(batch, f"{out}/pixels", batch_id, "acquisition_id")
+        session = batch.sparkSession
+        touched = batch.select("field_id", "acquisition_id").distinct()
+        known = _stored(session, f"{out}/pixels", schema, touched, "acquisition_id", batch_id + 1).drop("batch")
+        _store(zonal_statistics(known.join(touched, ["field_id", "acquisition_id"], "left_semi")), f"{out}/statistics", batch_id, "acquisition_id")
 
     _run(stream, work, checkpoint)
-    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    rows = _stored(spark, f"{out}/statistics", measures)
     return latest_wins(rows.limit(0), rows, ["field_id", "acquisition_id", "index_name"], "batch").drop("batch")
 
 
@@ -74,11 +103,9 @@ def running_counts(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     running = stream.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.max("message_id").alias("last_message_id"))
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        _store(batch, out, batch_id, "conv_id")
 
     _run(running, work, checkpoint, "update")
-    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
-    newest = Window.partitionBy("conv_id").orderBy(F.col("batch").desc())
-    return rows.withColumn("rn", F.row_number().over(newest)).filter("rn = 1").drop("rn", "batch")
-
-
+    # counts and ids only grow, so the newest row of a conversation is its largest one
+    rows = _stored(spark, out, running.schema)
+    return rows.groupBy("conv_id").agg(F.max("messages").alias("messages"), F.max("last_message_id").alias("last_message_id"))
