@@ -61,6 +61,66 @@ def crosses_itself(ring: Column) -> Column:
     return bind(_segments(ring), check)
 
 
+def _on_ring(point: Column, segments: Column) -> Column:
+    def on(s: Column) -> Column:
+        inside = point[0].between(F.least(s.ax, s.bx), F.greatest(s.ax, s.bx)) & point[1].between(F.least(s.ay, s.by), F.greatest(s.ay, s.by))
+        return inside & (_turn(s.ax, s.ay, s.bx, s.by, point[0], point[1]) == 0)
+
+    return F.exists(segments, on)
+
+
+def _in_ring(point: Column, segments: Column) -> Column:
+    """Is a point that is not on the ring inside it? By the number of segments a ray to the right meets."""
+
+    def met(s: Column) -> Column:
+        return ((s.ay > point[1]) != (s.by > point[1])) & (point[0] < (s.bx - s.ax) * (point[1] - s.ay) / F.nullif(s.by - s.ay, F.lit(0.0)) + s.ax)
+
+    return F.size(F.filter(segments, met)) % 2 == 1
+
+
+def _cross(s: Column, t: Column) -> Column:
+    """Do two segments cross at an inner point of both?"""
+    sides = _turn(s.ax, s.ay, s.bx, s.by, t.ax, t.ay) * _turn(s.ax, s.ay, s.bx, s.by, t.bx, t.by)
+    others = _turn(t.ax, t.ay, t.bx, t.by, s.ax, s.ay) * _turn(t.ax, t.ay, t.bx, t.by, s.bx, s.by)
+    return (sides < 0) & (others < 0)
+
+
+def _part_badly(one: Column, other: Column) -> Column:
+    """Do two rings cross, or touch in more than one point? Two such points, or a common line, split the interior."""
+    segments, others = _segments(one), _segments(other)
+    crossed = F.exists(segments, lambda s: F.exists(others, lambda t: _cross(s, t)))
+    touching = F.concat(F.filter(one, lambda p: _on_ring(p, others)), F.filter(other, lambda p: _on_ring(p, segments)))
+    return crossed | (F.size(F.array_distinct(touching)) > 1)
+
+
+def _has_point(ring: Column, other: Column, inside: bool) -> Column:
+    """Has ``ring`` a point that lies inside (or outside) ``other``, not on it?"""
+    segments = _segments(other)
+    return F.exists(ring, lambda p: ~_on_ring(p, segments) & (_in_ring(p, segments) if inside else ~_in_ring(p, segments)))
+
+
+def bad_holes(rings: Column) -> Column:
+    """Is a hole outside the exterior or across it, do holes overlap, or do they cut the interior apart?
+
+    Rings that only together cut it, each touching the next in one point, are not noticed.
+    """
+    holes = F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
+
+    def outside(hole: Column) -> Column:
+        return _part_badly(rings[0], hole) | _has_point(hole, rings[0], inside=False)
+
+    def clash(first: Column, i: Column) -> Column:
+        later = F.slice(holes, i + 2, F.greatest(F.size(holes) - i - 1, F.lit(0)))
+        return F.exists(later, lambda other: _part_badly(first, other) | _has_point(first, other, True) | _has_point(other, first, True))
+
+    return F.exists(holes, outside) | F.exists(F.transform(holes, clash), lambda x: x)
+
+
+def planar_area(rings: Column) -> Column:
+    """Exterior minus holes."""
+    return F.aggregate(rings, F.lit(0.0), lambda total, r: total - F.abs(signed_area(r))) + 2 * F.abs(signed_area(rings[0]))
+
+
 def polygon_error(geometry: Column) -> Column:
     """G1: name of the first failure of a parsed geometry (text coordinates), NULL when valid."""
 
@@ -88,8 +148,9 @@ def polygon_error(geometry: Column) -> Column:
         F.when(F.coalesce(geometry["type"], F.lit("")) != "Polygon", "type")
         .when(F.coalesce(F.size(rings), F.lit(0)) <= 0, "empty")
         .when(shape.isNotNull(), shape)
-        .when(signed_area(numeric[0]) == 0, "area")
+        .when((signed_area(numeric[0]) == 0) | (planar_area(numeric) == 0), "area")
         .when(F.exists(numeric, crosses_itself), "crossing")
+        .when((F.size(numeric) > 1) & bad_holes(numeric), "hole")
     )
 
 

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant import constants as K
 from verdant.functions import geo
+from verdant.operators import advice, chat
 from verdant.operators import fields as fx
+from verdant.operators import store as operators_store
+from verdant.queries import chat as chat_queries
 from verdant.queries import standins as st
 from verdant.queries.registry import query, table
 from verdant.session import cut_lineage, shared_folder
@@ -58,6 +63,30 @@ def _(spark, sf):
     return fx.check_geometry(polygons(spark, sf)).select("request_id", "message", "valid")
 
 
+# a hole per customer, as (left, bottom, right, top) in tenths of a unit square; the key decides which
+_HOLES = {
+    0: [(2, 2, 4, 4)], 1: [(20, 20, 21, 21)], 2: [(8, 8, 12, 12)], 3: [(2, 2, 6, 6), (4, 4, 8, 8)], 4: [(2, 2, 8, 8), (3, 3, 4, 4)],
+    5: [(0, 2, 4, 4)], 6: [(2, 2, 4, 4), (4, 4, 6, 6)], 7: [(2, 2, 4, 4), (6, 6, 8, 8)], 8: [(-2, 3, 12, 6)], 9: [(0, 0, 10, 10)],
+}
+_HOLE_ERRORS = {1: "hole", 2: "hole", 3: "hole", 4: "hole", 5: "hole", 8: "hole", 9: "area"}
+
+
+@query("polygon_holes", f"""SELECT c_custkey AS request_id, CASE c_custkey % 10 {' '.join(f'WHEN {n} THEN {st.sql_text(K.POLYGON_ERRORS[e])}' for n, e in _HOLE_ERRORS.items())} END AS message,
+  c_custkey % 10 IN (0, 6, 7) AS valid FROM customer""")
+def _(spark, sf):
+    """Inside, outside, crossing, overlapping, nested, along a side, touching in one point, apart, across, all of it."""
+    at = F.col("c_custkey") % 100 + 100
+
+    def square(left, bottom, right, top):
+        points = ((left, bottom), (right, bottom), (right, top), (left, top), (left, bottom))
+        return F.array(*[F.array((at * 10 + a * 5) / 16.0 - 60.0, F.lit(b * 5) / 16.0) for a, b in points])
+
+    kinds = [F.array(square(0, 0, 10, 10), *[square(*h) for h in _HOLES[n]]) for n in range(10)]
+    rings = F.get(F.array(*kinds), (F.col("c_custkey") % 10).cast("int"))
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), F.to_json(F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates"))).alias("geometry_json"))
+    return fx.check_geometry(rows).select("request_id", "message", "valid")
+
+
 def valid_rings(spark, sf):
     return fx.check_geometry(polygons(spark, sf)).filter("valid")
 
@@ -140,6 +169,11 @@ def _(spark, sf):
   CASE WHEN event_type <> 'click' THEN value END AS cloud_coverage, substr(sha256('{"created":null,"id":"id' || event_id || '","processing_baseline":"05","product_uri":' ||
   CASE WHEN event_type = 'view' THEN 'null' ELSE '"' || event_type || '"' END || ',"updated":null}'), 1, 24) AS revision_key FROM events WHERE event_type <> 'error'""")
 def _(spark, sf):
+    rows = _catalogue(spark, sf)
+    return rows.select("field_id", F.date_format("acquired_at", "yyyy-MM-dd HH:mm:ss").alias("acquired_at"), "product_id", "cloud_coverage", "revision_key")
+
+
+def _catalogue(spark, sf):
     """Bodies of at most 50 features; errors lack a time, views a product name, clicks a numeric cloud share."""
     kind = F.col("event_type")
     stamp = F.when(kind != "error", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
@@ -149,8 +183,7 @@ def _(spark, sf):
     )
     feature = F.struct(F.concat(F.lit("id"), F.col("event_id").cast("string")).alias("id"), properties.alias("properties"))
     bodies = table(spark, sf, "events").groupBy(F.col("user_id").alias("field_id"), F.expr("event_id div 50").alias("page")).agg(F.collect_list(feature).alias("features"))
-    rows = catalogue.acquisitions(catalogue.parse_bodies(bodies.select("field_id", F.to_json(F.struct("features")).alias("body"))))
-    return rows.select("field_id", F.date_format("acquired_at", "yyyy-MM-dd HH:mm:ss").alias("acquired_at"), "product_id", "cloud_coverage", "revision_key")
+    return catalogue.acquisitions(catalogue.parse_bodies(bodies.select("field_id", F.to_json(F.struct("features")).alias("body"))))
 
 
 @query("raster_lines_to_pixels", f"""WITH {st.PIXELS}, bad AS (SELECT DISTINCT acquisition_id FROM pixels WHERE "row" = 3 AND col = 5 AND scl = 9),
@@ -162,7 +195,7 @@ def _(spark, sf):
     broken = F.max(((F.col("row") == 3) & (F.col("col") == 5) & (F.col("scl") == 9)).cast("int"))
     lines = st.pixels(spark, sf).groupBy("field_id", "acquisition_id", "row").agg(F.sort_array(F.collect_list(entry)).alias("p"), broken.alias("broken"))
     arrays = [F.col("p")[name].alias(name) for name in K.BANDS] + [F.col("p.scl").alias("scl")]
-    mask = F.when(F.col("broken") == 1, F.slice("p.data_mask", 2, 99)).otherwise(F.col("p.data_mask"))
+    mask = F.when(F.col("broken") == 1, F.slice("p.data_mask", 2, F.size("p") - 1)).otherwise(F.col("p.data_mask"))
     return raster.pixels(lines.select("field_id", "acquisition_id", "row", *arrays, mask.alias("data_mask")))
 
 
@@ -172,12 +205,69 @@ def _(spark, sf):
     return store.decode_json_columns(rows, props="struct<k: int>").select("event_id", "props.k")
 
 
-@query("table_store", f"WITH {st.STORE} SELECT acquisition_id, field_id, product_id, cloud_coverage FROM acquisitions")
+def _job_outputs(spark, sf):
+    """What the jobs hand to each of the ten tables."""
+    history = operators_store.index_history(st.acquisitions(spark, sf), st.index_values(spark, sf), None)
+    advised = advice.advice_json(advice.expert_advice(st.fields(spark, sf), advice.latest_means(history)))
+    said = chat_queries.messages(spark, sf)
+    return {
+        "fields": st.fields(spark, sf),
+        "acquisitions": _catalogue(spark, sf),
+        "index_values": st.index_values(spark, sf),
+        "artifacts": st.layers(spark, sf),
+        "recommendations": advised.withColumn("acquisition_id", F.col("field_id") * 10),
+        "chat_messages": said,
+        "chat_summaries": chat.summary_records(said, F.current_timestamp()),
+        "documents": st.documents(spark, sf),
+        "chunks": st.chunks(spark, sf),
+        "yield_predictions": table(spark, sf, "orders").select(F.col("o_orderkey").alias("prediction_id"), F.col("o_custkey").alias("field_id"), F.lit("paxta").alias("crop")),
+    }
+
+
+def _stored(name):
+    """What tells a stored row of a table."""
+    return {
+        "fields": F.concat_ws("|", "field_id", "public_id", "crop_name"),
+        "acquisitions": F.concat_ws("|", "field_id", "product_id", "revision_key", F.col("source_metadata")["product_id"], F.col("source_metadata")["processing_baseline"]),
+        "index_values": F.concat_ws("|", "acquisition_id", "index_name", "valid_pixel_count"),
+        "artifacts": F.concat_ws("|", "acquisition_id", "layer_name", "relative_path"),
+        "recommendations": F.concat_ws("|", "field_id", "acquisition_id", "content", F.array_join("advice.red", ";"), F.array_join("advice.yellow", ";"), F.array_join("advice.green", ";")),
+        "chat_messages": F.concat_ws("|", "field_id", "message_id", "role"),
+        "chat_summaries": F.concat_ws("|", "field_id", "last_message_id"),
+        "documents": F.concat_ws("|", "document_id", "name"),
+        "chunks": F.concat_ws("|", "chunk_id", "document_id", "chunk_index", F.md5("chunk_text")),
+        "yield_predictions": F.concat_ws("|", "prediction_id", "field_id", "crop"),
+    }[name]
+
+
+@query("table_store", f"""WITH RECURSIVE {st.STORE}, {st.FIELDS}, {st.CHUNKS}, {chat_queries.MESSAGES},
+history AS (SELECT a.field_id, a.acquired_at, v.* FROM acquisitions a JOIN index_values v USING (acquisition_id)), {chat_queries.LATEST}, {chat_queries.RULES},
+f AS (SELECT user_id, event_id, CASE WHEN event_type = 'view' THEN 'id' || event_id ELSE event_type END AS product, substr(sha256('{{"created":null,"id":"id' || event_id || '","processing_baseline":"05","product_uri":' ||
+  CASE WHEN event_type = 'view' THEN 'null' ELSE '"' || event_type || '"' END || ',"updated":null}}'), 1, 24) AS revision FROM events WHERE event_type <> 'error')
+SELECT 'fields' AS table_name, field_id || '|' || public_id || '|' || crop_name AS stored FROM fields
+UNION ALL SELECT 'acquisitions', user_id || '|' || product || '|' || revision || '|' || product || '|05' FROM f
+UNION ALL SELECT 'index_values', acquisition_id || '|' || index_name || '|' || valid_pixel_count FROM index_values
+UNION ALL SELECT 'artifacts', acquisition_id || '|' || layer_name || '|' || relative_path FROM layers
+UNION ALL SELECT 'recommendations', field_id || '|' || field_id * 10 || '|' || content || '|' || coalesce(red, '') || '|' || coalesce(yellow, '') || '|' || replace(green, '|', ';') FROM rule_texts
+UNION ALL SELECT 'chat_messages', conv_id || '|' || message_id || '|' || role FROM messages
+UNION ALL SELECT 'chat_summaries', concat_ws('|', conv_id, max(message_id) FILTER (role = 'user')) FROM messages GROUP BY conv_id
+UNION ALL SELECT 'documents', document_id || '|' || name FROM docs
+UNION ALL SELECT 'chunks', chunk_id || '|' || document_id || '|' || chunk_index || '|' || md5(text) FROM chunks
+UNION ALL SELECT 'yield_predictions', o_orderkey || '|' || o_custkey || '|paxta' FROM orders""")
+def _(spark, sf):
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    parts = []
+    for name, rows in _job_outputs(spark, sf).items():
+        store.write_table(rows, folder, name, buckets=8)
+        parts.append(store.read_table(spark, folder, name).select(F.lit(name).alias("table_name"), _stored(name).alias("stored")))
+    return reduce(DataFrame.unionAll, parts)
+
+
+@query("table_lookup", f"WITH {st.STORE} SELECT acquisition_id, index_name, mean_value FROM index_values WHERE acquisition_id IN (3, 14, 159)")
 def _(spark, sf):
     folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
-    rows = st.acquisitions(spark, sf).select("field_id", "acquisition_id", "acquired_at", "product_id", "revision_key", "cloud_coverage")
-    store.write_table(rows, folder, "acquisitions", buckets=8)
-    return store.read_table(spark, folder, "acquisitions").select("acquisition_id", "field_id", "product_id", "cloud_coverage")
+    store.write_table(st.index_values(spark, sf), folder, "index_values")
+    return store.read_rows(spark, folder, "index_values", [3, 14, 159]).select("acquisition_id", "index_name", "mean_value")
 
 
 @query("corpus_export_import", f"WITH RECURSIVE {st.CHUNKS} SELECT chunk_id, document_id, chunk_index, text AS chunk_text FROM chunks")
@@ -189,18 +279,30 @@ def _(spark, sf):
     return restored[1].select("chunk_id", "document_id", "chunk_index", "chunk_text")
 
 
-# The folder itself is the library here; SQL has no view of its files.
-@query("library_reconciliation")
+# The listing stands for one of a folder: two documents of three have a file, and some files no document.
+_FILES = """files AS (SELECT doc_id, source || '-' || doc_id AS name, n_chars * 1000 AS length, doc_id % 3 < 2 AS own FROM documents
+  UNION ALL SELECT page_id, 'extra (' || page_id || ')+.pdf', page_id * 1048576, true FROM pages)"""
+
+
+def listing(spark, sf):
+    docs = table(spark, sf, "documents").filter("doc_id % 3 < 2").select(F.concat_ws("-", "source", "doc_id").alias("name"), (F.col("n_chars") * 1000).alias("length"))
+    extra = table(spark, sf, "pages").select(F.format_string("extra (%d)+.pdf", "page_id").alias("name"), (F.col("page_id") * 1048576).alias("length"))
+    return docs.unionAll(extra).withColumn("path", F.concat(F.lit("file:/library (a+b)/"), "name"))
+
+
+@query("library_reconciliation", f"""WITH {_FILES}, docs AS (SELECT doc_id AS document_id, source || '-' || doc_id AS name, coalesce(quality = 1, true) AS is_active FROM documents LEFT JOIN labels USING (doc_id))
+SELECT document_id, coalesce(docs.name, f.name) AS name, coalesce(round(length / (1024 * 1024), 2), 0.0) AS size_mb, CASE WHEN document_id IS NULL THEN 0 ELSE 1 END AS chunk_count,
+  coalesce(is_active, false) AS is_active, document_id IS NOT NULL AS indexed, 'file:/library (a+b)/' || f.name AS file_path FROM docs FULL JOIN (SELECT * FROM files WHERE own) f ON docs.name = f.name""")
 def _(spark, sf):
-    files = library.list_files(spark, sf, "*.parquet")
     documents = st.documents(spark, sf).withColumns(
         {"file_path": F.lit(None).cast("string"), "chunk_count": F.lit(1), "created_at": F.current_timestamp()}
     )
-    return library.reconcile(documents, files).drop("file_path", "created_at")
+    return library.reconcile(documents, listing(spark, sf)).drop("created_at")
 
 
-@query("orphan_files")
+@query("orphan_files", f"WITH {_FILES} SELECT name AS relative_path FROM files WHERE own AND name NOT IN (SELECT source || '-' || doc_id FROM documents WHERE doc_id % 2 = 0)")
 def _(spark, sf):
-    files = library.list_files(spark, sf, "*.parquet")
-    known = table(spark, sf, "documents").select(F.concat("source", F.lit(".parquet")).alias("relative_path"), F.lit(K.RENDER_VERSION).alias("render_version"))
-    return library.orphans(files, known, sf)
+    """Layers of the current version for documents with even ids, of an old one for the others."""
+    version = F.when(F.col("doc_id") % 2 == 0, K.RENDER_VERSION).otherwise("v1")
+    known = table(spark, sf, "documents").select(F.concat_ws("-", "source", "doc_id").alias("relative_path"), version.alias("render_version"))
+    return library.orphans(listing(spark, sf), known, "file:/library (a+b)")

@@ -34,5 +34,6 @@ def orphans(files: DataFrame, layers: DataFrame, root: str) -> DataFrame:
     """Files no layer of the current version refers to, sorted by path."""
     known = layers.filter(F.col("render_version") == K.RENDER_VERSION).select("relative_path").distinct()
     base = root.rstrip("/") + "/"
-    relative = F.element_at(F.split("path", base), -1)
+    # the part behind the last place of the root, which is plain text, not a pattern
+    relative = F.substring_index("path", base, -1)
     return files.withColumn("relative_path", relative).join(known, "relative_path", "left_anti").select("relative_path").orderBy("relative_path")
