@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdant import constants as K
+from verdant.schemas import REFERENCES, UNIQUE_KEYS
 
 
 def _check(ok: Column, message: str) -> Column:
@@ -93,3 +96,23 @@ def missing_parents(child: DataFrame, column: str, parent: DataFrame) -> DataFra
     """V3: referencing values without a parent row, with the number of rows that use them."""
     used = child.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
     return used.join(parent.select(column), column, "left_anti")
+
+
+def key_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """V3 for every declared key of the given tables: (table_name, key_columns, key, copies) of repeated ones."""
+    parts = []
+    for name, keys in UNIQUE_KEYS.items():
+        for key in keys if name in tables else ():
+            found = duplicate_keys(tables[name], key)
+            parts.append(found.select(F.lit(name).alias("table_name"), F.lit(",".join(key)).alias("key_columns"), F.concat_ws("|", *key).alias("key"), "copies"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def reference_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """V3 for every declared reference between the given tables: (table_name, column_name, value, rows) without a parent."""
+    parts = []
+    for ref in REFERENCES:
+        if ref.child in tables and ref.parent in tables:
+            found = missing_parents(tables[ref.child], ref.column, tables[ref.parent])
+            parts.append(found.select(F.lit(ref.child).alias("table_name"), F.lit(ref.column).alias("column_name"), F.col(ref.column).alias("value"), "rows"))
+    return reduce(DataFrame.unionAll, parts)

@@ -36,17 +36,27 @@ wx AS (SELECT daily.*, strftime(date, '%Y-%m') AS year_month, latitude, longitud
 
 
 def optical(spark, sf):
-    """Bands per five suppliers and shipping day, returned lines only; prime divisors."""
+    """Bands per five suppliers and shipping day; prime divisors. A fifth of a field's months has no bands."""
     n, q = F.col("l_linenumber"), F.col("l_quantity")
     low, high, thin, thick = F.min(n), F.max(n), F.min(q), F.max(q)
     bands = [(low + 2) / 127.0, (high + 4) / 127.0, (high + 2) / 127.0, (high + 8) / 127.0, (thin + 16) / 251.0, (thin + 24) / 251.0,
              (thick + 32) / 251.0, (thick + 34) / 251.0, (thick + 16) / 509.0, (thick + 8) / 509.0]
     cloud = (F.max("l_partkey") % 100).cast("double")
-    return (
-        table(spark, sf, "lineitem").filter("l_returnflag = 'R'")
+    days = (
+        table(spark, sf, "lineitem")
         .groupBy(F.expr("l_suppkey div 5").alias("field_id"), F.col("l_shipdate").cast("date").alias("date"))
         .agg(*[b.alias(c) for b, c in zip(bands, K.OPTICAL_BANDS, strict=True)], cloud.alias("s2_cloud_percentage"), (cloud * 0.8).alias("s2_cloud_probability"))
     )
+    return days.withColumns({c: F.when(_measured(5), F.col(c)) for c in K.OPTICAL_BANDS})
+
+
+def _measured(every: int):
+    """False for one month of ``every`` of a field."""
+    return (F.col("field_id") * 12 + F.year("date") * 7 + F.month("date")) % every != 0
+
+
+def _measured_sql(every: int) -> str:
+    return f"(field_id * 12 + year(date) * 7 + month(date)) % {every} <> 0"
 
 
 _BANDS = ["(min(l_linenumber) + 2) / 127.0", "(max(l_linenumber) + 4) / 127.0", "(max(l_linenumber) + 2) / 127.0", "(max(l_linenumber) + 8) / 127.0",
@@ -61,29 +71,31 @@ _INDEX = {
     "s2_ndwi": "(b03 - b08) / (b03 + b08 + e)", "s2_ndmi": "(b08 - b11) / (b08 + b11 + e)",
 }
 OPTICAL = f"""
-op0 AS (SELECT l_suppkey // 5 AS field_id, CAST(l_shipdate AS DATE) AS date, {', '.join(f'{b}::DOUBLE AS {c}' for b, c in zip(_BANDS, K.OPTICAL_BANDS, strict=True))},
+op00 AS (SELECT l_suppkey // 5 AS field_id, CAST(l_shipdate AS DATE) AS date, {', '.join(f'{b}::DOUBLE AS {c}' for b, c in zip(_BANDS, K.OPTICAL_BANDS, strict=True))},
   (max(l_partkey) % 100)::DOUBLE AS s2_cloud_percentage, (max(l_partkey) % 100)::DOUBLE * 0.8::DOUBLE AS s2_cloud_probability
-  FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+  FROM lineitem GROUP BY 1, 2),
+op0 AS (SELECT field_id, date, s2_cloud_percentage, s2_cloud_probability, {', '.join(f'CASE WHEN {_measured_sql(5)} THEN {c} END AS {c}' for c in K.OPTICAL_BANDS)} FROM op00),
 op1 AS (SELECT *, strftime(date, '%Y-%m') AS year_month, s2_b02_blue AS b02, s2_b03_green AS b03, s2_b04_red AS b04, s2_b05_red_edge_1 AS b05, s2_b08_nir AS b08,
   s2_b11_swir_1 AS b11, 1e-8::DOUBLE AS e FROM op0),
 op AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _INDEX.items())} FROM op1)"""
 
 
 def radar(spark, sf):
-    """Urgent orders only, so that some months of some fields have no radar."""
+    """Backscatter per fifty customers and order day; a third of a field's months has none."""
     w = F.floor(F.max("o_totalprice")).cast("long")
-    return (
-        table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'")
+    days = (
+        table(spark, sf, "orders")
         .groupBy(F.expr("o_custkey div 50").alias("field_id"), F.col("o_orderdate").cast("date").alias("date"))
         .agg((w % 64 / 61.0 - 12.0).alias("s1_vv"), (w % 96 / 61.0 - 17.0).alias("s1_vh"))
     )
+    return days.withColumns({c: F.when(_measured(3), F.col(c)) for c in ("s1_vv", "s1_vh")})
 
 
 RADAR = """
-ra0 AS (SELECT o_custkey // 50 AS field_id, CAST(o_orderdate AS DATE) AS date, CAST(floor(max(o_totalprice)) AS BIGINT) AS w FROM orders
-  WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2),
+ra0 AS (SELECT o_custkey // 50 AS field_id, CAST(o_orderdate AS DATE) AS date, CAST(floor(max(o_totalprice)) AS BIGINT) AS w0 FROM orders GROUP BY 1, 2),
+ra1 AS (SELECT field_id, date, CASE WHEN """ + _measured_sql(3) + """ THEN w0 END AS w FROM ra0),
 ra AS (SELECT field_id, date, strftime(date, '%Y-%m') AS year_month, (w % 64) / 61.0::DOUBLE - 12 AS s1_vv, (w % 96) / 61.0::DOUBLE - 17 AS s1_vh,
-  ((w % 64) / 61.0::DOUBLE - 12) - ((w % 96) / 61.0::DOUBLE - 17) AS s1_vv_vh_ratio FROM ra0)"""
+  ((w % 64) / 61.0::DOUBLE - 12) - ((w % 96) / 61.0::DOUBLE - 17) AS s1_vv_vh_ratio FROM ra1)"""
 
 _HOW = {"mean": "avg({})", "min": "min({})", "max": "max({})", "sum": "coalesce(sum({}), 0)", "std": "stddev_samp({})"}
 
@@ -234,11 +246,12 @@ def _(spark, sf):
 
 
 @query("baseline_observation_spine", f"""WITH {st.FIELDS}, c AS (SELECT field_id, CASE WHEN lower(crop_name) LIKE '%paxta%' OR lower(crop_name) LIKE '%g''o''za%' OR crop_name = 'Kartoshka' THEN DATE '2026-04-01' ELSE DATE '2025-10-01' END AS s,
-  CASE WHEN lower(crop_name) LIKE '%paxta%' OR lower(crop_name) LIKE '%g''o''za%' OR crop_name = 'Kartoshka' THEN DATE '2026-10-31' ELSE DATE '2026-06-30' END AS e FROM fields WHERE field_id NOT IN (SELECT o_custkey // 50 FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '2001-07-25'))
+  CASE WHEN lower(crop_name) LIKE '%paxta%' OR lower(crop_name) LIKE '%g''o''za%' OR crop_name = 'Kartoshka' THEN DATE '2026-10-31' ELSE DATE '2026-06-30' END AS e FROM fields WHERE field_id NOT IN (SELECT o_custkey // 50 * 2 FROM orders))
 SELECT field_id, strftime(unnest(generate_series(s, e, INTERVAL 12 DAY)), '%Y-%m-%d') AS date, -11.5::DOUBLE AS s1_vv, -16.2::DOUBLE AS s1_vh FROM c""")
 def _(spark, sf):
     planned = fx.with_calendar(st.fields(spark, sf))
-    return fx.baseline_spine(planned, radar(spark, sf).filter("date >= date'2001-07-25'"), 12, K.RADAR_BASELINE).select("field_id", wq.day(), "s1_vv", "s1_vh")
+    # radar for fields with even ids; the others get the baseline
+    return fx.baseline_spine(planned, radar(spark, sf).withColumn("field_id", F.col("field_id") * 2), 12, K.RADAR_BASELINE).select("field_id", wq.day(), "s1_vv", "s1_vh")
 
 
 @query("feature_alignment", f"""WITH {MATRIX} SELECT field_id, year_month, coalesce(s2_ndvi_mean, 0) AS s2_ndvi_mean, 0::DOUBLE AS not_measured, coalesce(s1_vv_mean, 0) AS s1_vv_mean,

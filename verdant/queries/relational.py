@@ -238,7 +238,7 @@ def _(spark, sf):
 
 
 @query("acquisition_completion", f"""WITH {st.STORE},
-ndvi AS (SELECT acquisition_id, valid_pixel_count AS n FROM index_values WHERE index_name = 'NDVI' AND mean_value > 0)
+ndvi AS (SELECT acquisition_id * 2 AS acquisition_id, valid_pixel_count AS n FROM index_values WHERE index_name = 'NDVI')
 SELECT acquisition_id, coalesce(n, valid_pixel_count) AS valid_pixel_count, CASE WHEN n IS NULL THEN fully_cloudy ELSE n = 0 END AS fully_cloudy,
   strftime(CASE WHEN n IS NULL THEN processed_at ELSE TIMESTAMP '2024-02-01' END, '%Y-%m-%d') AS processed_on,
   CASE WHEN n IS NULL AND product_id = 'error' THEN substr(repeat('failed ', 100), 1, 500) END AS processing_error
@@ -246,7 +246,8 @@ FROM acquisitions LEFT JOIN ndvi USING (acquisition_id)""")
 def _(spark, sf):
     acq = st.acquisitions(spark, sf)
     failures = acq.filter("product_id = 'error'").select("acquisition_id", F.repeat(F.lit("failed "), F.lit(100)).alias("message"))
-    stats = st.index_values(spark, sf).filter("mean_value > 0")
+    # statistics for acquisitions with even ids; the others were not measured
+    stats = st.index_values(spark, sf).withColumn("acquisition_id", F.col("acquisition_id") * 2)
     done = store.complete_acquisitions(acq, stats, failures, F.lit("2024-02-01").cast("timestamp"))
     return done.select(
         "acquisition_id", "valid_pixel_count", "fully_cloudy", F.date_format("processed_at", "yyyy-MM-dd").alias("processed_on"), "processing_error"
@@ -326,3 +327,91 @@ def _(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.lit(True).alias("is_active"))
     asked = table(spark, sf, "labels").select(F.col("doc_id").alias("document_id"), (F.col("quality") == 1).alias("active"))
     return store.toggle_document(docs, asked).select("document_id", "is_active")
+
+
+def _listed(*checks: tuple[str, str]) -> str:
+    """Names of the failing checks, in order, as SQL."""
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN NOT coalesce({ok}, false) THEN '{name}' END" for name, ok in checks) + ")"
+
+
+@query("acquisition_validation", f"""WITH {st.ACQUISITIONS}, a AS (SELECT acquisition_id, cloud_coverage * 1.25::DOUBLE - 10 AS c, valid_pixel_count - 3 AS n, CASE WHEN acquisition_id % 7 > 0 THEN fully_cloudy END AS f FROM acquisitions)
+SELECT acquisition_id, {_listed(('cloud_coverage', 'c IS NULL OR c BETWEEN 0 AND 100'), ('valid_pixel_count', 'n IS NULL OR n >= 0'), ('fully_cloudy', 'f IS NOT NULL'))} AS violations FROM a""")
+def _(spark, sf):
+    rows = st.acquisitions(spark, sf).withColumns(
+        {
+            "cloud_coverage": F.col("cloud_coverage") * 1.25 - 10, "valid_pixel_count": F.col("valid_pixel_count") - 3,
+            "fully_cloudy": F.when(F.col("acquisition_id") % 7 > 0, F.col("fully_cloudy")),
+        }
+    )
+    return validation.check_acquisitions(rows).select("acquisition_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("layer_validation", f"""WITH {st.STORE} SELECT relative_path, {_listed(('width', 'acquisition_id % 4 > 0'), ('height', 'CASE WHEN acquisition_id % 6 > 0 THEN acquisition_id % 5 > 0 END'))} AS violations FROM layers""")
+def _(spark, sf):
+    rows = st.layers(spark, sf).withColumns({"width": F.col("acquisition_id") % 4, "height": F.when(F.col("acquisition_id") % 6 > 0, F.col("acquisition_id") % 5)})
+    return validation.check_layers(rows).select("relative_path", F.array_join("violations", ",").alias("violations"))
+
+
+@query("message_validation", f"""SELECT conv_id, turn, {_listed(('role', "role IN ('user', 'assistant')"), ('content', 'turn % 3 <> 2 AND text IS NOT NULL'))} AS violations FROM conversations""")
+def _(spark, sf):
+    rows = table(spark, sf, "conversations").withColumn("content", F.when(F.col("turn") % 3 != 2, F.col("text")))
+    return validation.check_messages(rows).select("conv_id", "turn", F.array_join("violations", ",").alias("violations"))
+
+
+# a table of the store per given table, with repeated keys and missing parents made by key arithmetic
+_KEYED = {
+    "fields": ("customer", {"field_id": "c_custkey", "public_id": "concat('p', c_custkey % 100)", "geometry_hash": "md5(c_mktsegment)"}),
+    "acquisitions": ("orders", {"acquisition_id": "o_orderkey", "field_id": "o_custkey * 2", "product_id": "o_orderpriority", "revision_key": "o_orderstatus"}),
+    "index_values": ("lineitem", {"acquisition_id": "l_orderkey + 1", "index_name": "l_returnflag", "relative_path": "concat(l_orderkey, '/', l_linenumber)"}),
+    "artifacts": ("lineitem", {"artifact_id": "l_orderkey * 8 + l_linenumber", "acquisition_id": "l_orderkey", "layer_name": "l_linestatus", "render_version": "l_returnflag", "relative_path": "concat('x', l_partkey)"}),
+    "recommendations": ("orders", {"field_id": "o_custkey", "acquisition_id": "o_orderkey * 3"}),
+    "chat_messages": ("conversations", {"message_id": "conv_id * 4 + turn", "field_id": "conv_id"}),
+    "chat_summaries": ("conversations", {"field_id": "conv_id + turn"}),
+    "documents": ("documents", {"document_id": "doc_id % 150"}),
+    "chunks": ("embeddings", {"chunk_id": "vec_id", "document_id": "vec_id - 20"}),
+    "yield_predictions": ("part", {"prediction_id": "p_partkey % 90", "field_id": "p_size * 100"}),
+}
+
+
+def _keyed(spark, sf):
+    return {name: table(spark, sf, given).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()]) for name, (given, columns) in _KEYED.items()}
+
+
+def _keyed_sql(name: str) -> str:
+    given, columns = _KEYED[name]
+    return "(SELECT " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + f" FROM {given})"
+
+
+# the declared keys and references, as literals
+_KEY_LIST = [
+    ("fields", "field_id"), ("fields", "public_id"), ("fields", "geometry_hash"), ("acquisitions", "acquisition_id"), ("acquisitions", "field_id,product_id,revision_key"),
+    ("index_values", "acquisition_id,index_name"), ("index_values", "relative_path"), ("artifacts", "artifact_id"), ("artifacts", "relative_path"),
+    ("artifacts", "acquisition_id,layer_name,render_version"), ("recommendations", "field_id"), ("chat_messages", "message_id"), ("chat_summaries", "field_id"),
+    ("documents", "document_id"), ("chunks", "chunk_id"), ("yield_predictions", "prediction_id"),
+]
+_REFERENCE_LIST = [
+    ("acquisitions", "field_id", "fields"), ("index_values", "acquisition_id", "acquisitions"), ("artifacts", "acquisition_id", "acquisitions"),
+    ("recommendations", "field_id", "fields"), ("recommendations", "acquisition_id", "acquisitions"), ("chat_messages", "field_id", "fields"),
+    ("chat_summaries", "field_id", "fields"), ("chunks", "document_id", "documents"), ("yield_predictions", "field_id", "fields"),
+]
+
+
+@query("declared_keys", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{k}' AS key_columns, concat_ws('|', {k}) AS key, count(*) AS copies FROM {_keyed_sql(t)} GROUP BY {k} HAVING count(*) > 1" for t, k in _KEY_LIST
+))
+def _(spark, sf):
+    return validation.key_report(_keyed(spark, sf))
+
+
+@query("declared_references", " UNION ALL ".join(
+    f"SELECT '{c}' AS table_name, '{k}' AS column_name, {k} AS value, count(*) AS rows FROM {_keyed_sql(c)} WHERE {k} NOT IN (SELECT {k} FROM {_keyed_sql(p)}) GROUP BY {k}" for c, k, p in _REFERENCE_LIST
+))
+def _(spark, sf):
+    return validation.reference_report(_keyed(spark, sf))
+
+
+@query("latest_layer", f"""WITH {st.STORE}, twice AS (SELECT acquisition_id // 2 AS acquisition_id, layer_name, render_version, relative_path, created_at FROM layers)
+SELECT acquisition_id, layer_name, relative_path FROM twice WHERE render_version <> 'v1' QUALIFY row_number() OVER (PARTITION BY acquisition_id, layer_name ORDER BY created_at DESC, relative_path) = 1""")
+def _(spark, sf):
+    """Two drawings per acquisition and layer, those of neighbouring events."""
+    return store.latest_layer(st.layers(spark, sf).withColumn("acquisition_id", F.expr("acquisition_id div 2"))).select("acquisition_id", "layer_name", "relative_path")

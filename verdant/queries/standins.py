@@ -293,11 +293,15 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: More than any text or conversation has.
+CHUNKS_PER_DOCUMENT = TURNS_PER_CONVERSATION = 1 << 32
+
+
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     from verdant.sources.corpus import ingest_pages
 
     return ingest_pages(pages(spark, sf)).select(
-        (F.col("document_id") * 100000 + F.col("chunk_index")).alias("chunk_id"), "document_id", "page_number", "chunk_index", "text"
+        (F.col("document_id") * CHUNKS_PER_DOCUMENT + F.col("chunk_index")).alias("chunk_id"), "document_id", "page_number", "chunk_index", "text"
     )
 
 
@@ -327,8 +331,10 @@ cuts AS (SELECT doc_id, c, 0 AS st FROM cleaned WHERE length(c) > 0
   UNION ALL SELECT doc_id, c, st + greatest({_OFF} + 1, 530) FROM cuts WHERE length(c) > st + 650 AND st + greatest({_OFF} + 1, 530) < length(c)),
 pieces AS (SELECT doc_id, st, CASE WHEN length(c) <= st + 650 THEN trim(substr(c, st + 1)) ELSE trim(substr(c, st + 1, {_OFF})) END AS text FROM cuts),
 numbered_chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY st) - 1 AS chunk_index, text FROM pieces WHERE text <> ''),
-chunks AS (SELECT doc_id * 100000 + chunk_index AS chunk_id, doc_id AS document_id, 1 AS page_number, chunk_index, text FROM numbered_chunks WHERE length(text) > 30),
+chunks AS (SELECT doc_id * {CHUNKS_PER_DOCUMENT} + chunk_index AS chunk_id, doc_id AS document_id, 1 AS page_number, chunk_index, text FROM numbered_chunks WHERE length(text) > 30),
 docs AS (SELECT doc_id AS document_id, source || '-' || doc_id AS name, coalesce(quality = 1, true) AS is_active FROM documents LEFT JOIN labels USING (doc_id))"""
+#: The same with windows that begin 120 characters before the last cut.
+OVERLAPPING = CHUNKS.replace(f"greatest({_OFF} + 1, 530)", f"greatest({_OFF} - 120, 1)")
 EMBEDDED = f"""{CHUNKS},
 embedded AS MATERIALIZED (SELECT chunks.*, name AS document_name, {_profile_sql('text')} AS embedding FROM chunks JOIN docs USING (document_id) WHERE is_active),
 questions AS MATERIALIZED (SELECT item_id AS query_id, text, {_profile_sql('text')} AS embedding FROM benchmark)"""

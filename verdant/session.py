@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 _FOLDERS: set[str] = set()
 
 
-def local_session(cores: int | str = "*", app: str = "verdant") -> SparkSession:
+def local_session(cores: int | str = "*", app: str = "verdant", checkpoints: str | None = None) -> SparkSession:
     """Session for a single machine; on a cluster the submitter's session is used as it is."""
+    builder = SparkSession.builder if checkpoints is None else SparkSession.builder.config("spark.checkpoint.dir", checkpoints)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
