@@ -2,12 +2,10 @@ import random
 
 import duckdb
 import numpy as np
-import pytest
 
 from tests.llm import brute
 from tests.llm.fixtures import DOCS, docs_of, empty_docs
 from verdant.llm import near_dedup as nd
-from verdant.llm._links import roots
 
 
 def expected(rows):
@@ -77,19 +75,3 @@ def test_repeats_and_unknown_ids(spark):
     once = nd.deduplicated(df.unionAll(df))
     assert sorted(str(r.doc_id) for r in once.collect()) == ["3", "8", "9", "None", "None"] and once.columns == df.columns
     assert nd.classes(empty_docs(spark)).count() == 0 and nd.deduplicated(empty_docs(spark)).count() == 0
-
-
-@pytest.mark.parametrize("links", [[], [(i + 1, i) for i in range(70)], [(i, 0) for i in range(1, 90)], [(9, 4), (4, 9), (7, 4), (20, 19)]])
-def test_roots(spark, links):
-    parent = {}
-
-    def root(i):
-        while parent.setdefault(i, i) != i:
-            i = parent[i]
-        return i
-
-    for a, b in links:
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    df = spark.createDataFrame([(max(x), min(x)) for x in links], "a long, b long")
-    assert {r.a: r.b for r in roots(df).collect()} == {i: root(i) for i in parent if root(i) != i}

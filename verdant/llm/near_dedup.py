@@ -10,11 +10,14 @@
 3. Pairs inside a bucket are not listed. Each node meets the bucket's most popular node only (the sum of the
    sizes of its buckets; the original that copies were made from has the most); of those, the nearest by
    Hamming distance is confirmed on full sets. That links most of every group at once.
-4. What could still link two groups is a pair of different components in one bucket, one of them outside the
-   bucket's largest component. Those pairs, and no others, are joined with the Hamming and size conditions
-   inside the join, confirmed, and added. Pairs within a component need no check: they add nothing.
+4. What could still link two groups is a pair of different components that share a bucket, and so that
+   bucket's most popular node: a cell is a popular node with all nodes of its buckets. Within each cell that
+   holds several components, every node outside the largest one is compared with all others on full sets,
+   through an inverted index of the cell, block by block of bounded size. Only links that join components
+   leave a block. Pairs within a component need no check: they add nothing.
 
-So no link between different texts within reach is lost, and a group of n copies costs about n pairs.
+So no link between different texts within reach is lost; a group of n copies moves about n rows, and no pair of
+texts is ever a row unless it is a link that is needed.
 
 Cases: texts without words have the empty set, link with nothing and are kept; NULL counts as such a text.
 Rows with the same id are documents of their own with one id. A NULL doc_id can be linked; it is smaller
@@ -32,14 +35,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdant.llm._links import roots
 from verdant.llm._words import Hashes, blank_words
+from verdant.operators.components import smallest_in_component
 from verdant.session import cut_lineage
 
 SHINGLE = 2
 PERCENT = 80
 CHUNKS, SYMBOLS = 8, 4
 REACH = 2 * CHUNKS - 1
+#: Bounds of a block of a cell; a single node may have more shingles.
+BLOCK_NODES, BLOCK_SHINGLES = 2048, 2_000_000
 SIGNS = [f"s{c}" for c in range(CHUNKS)]
 _ODD = np.random.default_rng(20).integers(0, 1 << 63, CHUNKS * SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -157,43 +162,100 @@ def _confirmed(docs: DataFrame, table: DataFrame, pairs: DataFrame, percent: int
     return both.select("a", "b", "sa", "sb").mapInArrow(batches, "a long, b long")
 
 
+def _block_links(percent: int):
+    """(a, b) of one block of a cell: links between its odd nodes and its members that join components."""
+
+    def links(block: pa.Table) -> pa.Table:
+        odd = np.array(block["odd"].to_pylist(), dtype=bool)
+        node, root = block["node"].to_numpy(), block["root"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block["shingles"]]
+        members, found = np.flatnonzero(~odd), []
+        sizes = np.array([len(sets[i]) for i in members], np.int64)
+        if len(members):
+            flat = np.concatenate([sets[i] for i in members])
+            order = np.argsort(flat, kind="stable")
+            holder = np.repeat(np.arange(len(members)), sizes)[order]
+            flat = flat[order]
+            parent: dict[int, int] = {}
+
+            def top(r: int) -> int:
+                while parent.get(r, r) != r:
+                    r = parent[r]
+                return r
+
+            for i in np.flatnonzero(odd):
+                low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+                held = [holder[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True) if x < y]
+                if not held:
+                    continue
+                shared = np.bincount(np.concatenate(held), minlength=len(members))
+                alike = np.flatnonzero(100 * shared >= percent * (sizes + len(sets[i]) - shared))
+                _, first = np.unique(root[members[alike]], return_index=True)
+                for j in members[alike[first]].tolist():
+                    one, other = top(int(root[i])), top(int(root[j]))
+                    if one != other:
+                        parent[max(one, other)] = min(one, other)
+                        found.append((max(int(node[i]), int(node[j])), min(int(node[i]), int(node[j]))))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return links
+
+
+def _cell_links(docs: DataFrame, table: DataFrame, cells: DataFrame, found: DataFrame, percent: int, size: int, doc_id: str, text: str) -> DataFrame:
+    """(a, b): links between components within cells (centre, node); ``found`` has the components' roots so far."""
+    members = cells.join(table.select("node", "n_shingles"), "node").join(found.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+    members = members.select("centre", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
+    by_root = members.groupBy("centre", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("weight"))
+    largest = F.max(F.struct("k", "weight", "root"))
+    mixed = by_root.groupBy("centre").agg(largest.alias("m"), F.sum("k").alias("k"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+
+    def blocks(k: Column, weight: Column) -> Column:
+        return F.ceil(F.greatest(k / BLOCK_NODES, weight / BLOCK_SHINGLES)).cast("int")
+
+    mixed = mixed.select(
+        "centre", F.col("m.root").alias("largest"), blocks(F.col("k"), F.col("weight")).alias("all_blocks"),
+        blocks(F.col("k") - F.col("m.k"), F.col("weight") - F.col("m.weight")).alias("odd_blocks"),
+    )
+    opened = cut_lineage(members.join(mixed, "centre"))
+
+    def own(n: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    rows = opened.select("centre", "node", "root", F.lit(False).alias("odd"), own("all_blocks").alias("block"), every("odd_blocks").alias("odd_block"))
+    odd = opened.filter("root <> largest").select("centre", "node", "root", F.lit(True).alias("odd"), own("odd_blocks").alias("odd_block"), every("all_blocks").alias("block"))
+    sets = _sets(docs, table.select("node", "first_id", "set_hash").join(opened.select("node").distinct(), "node"), size, doc_id, text)
+    held = rows.unionByName(odd).join(sets, "node")
+    return held.groupBy("centre", "block", "odd_block").applyInArrow(_block_links(percent), "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document row: rid, doc_id, n_shingles, component_id (the smallest doc_id linked with it, through any number of links) and node (its class of equal sets)."""
     signed = signatures(docs, size, doc_id, text)
     table = cut_lineage(
         signed.filter("n_shingles > 0")
         .groupBy("set_hash")
-        .agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), *[F.first(s).alias(s) for s in SIGNS])
+        .agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), *[F.max(s).alias(s) for s in SIGNS])
     )
     posted = table.select("node", F.explode(_keys()).alias("key"))
     buckets = cut_lineage(posted.join(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"))
     popular = buckets.groupBy("node").agg(F.sum("n").alias("fame"))
-    famed = buckets.join(popular, "node")
-    centres = famed.groupBy("key").agg(F.max(F.struct("fame", F.col("node").alias("centre"))).alias("c")).select("key", "c.centre")
-    stars = buckets.join(centres, "key").filter("node <> centre").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"), "node").distinct()
-    signs = F.struct("n_shingles", *SIGNS)
-    known = table.select("node", signs.alias("sign"))
+    centres = buckets.join(popular, "node").groupBy("key").agg(F.max(F.struct("fame", F.col("node").alias("centre"))).alias("c")).select("key", "c.centre")
+    cells = cut_lineage(buckets.join(centres, "key").select("centre", "node").distinct())
+    known = table.select("node", F.struct("n_shingles", *SIGNS).alias("sign"))
     near = (
-        stars.join(known.select(F.col("node").alias("a"), F.col("sign").alias("x")), "a")
-        .join(known.select(F.col("node").alias("b"), F.col("sign").alias("y")), "b")
+        cells.filter("node <> centre")
+        .join(known.select("node", F.col("sign").alias("x")), "node")
+        .join(known.select(F.col("node").alias("centre"), F.col("sign").alias("y")), "centre")
         .filter(_alike("x", "y", percent))
-        .select("a", "b", "node", _distance("x", "y").alias("d"))
+        .select("node", _distance("x", "y").alias("d"), F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
     )
-    best = cut_lineage(near.groupBy("node").agg(F.min(F.struct("d", "a", "b")).alias("first")).select("first.a", "first.b").distinct())
-    links = cut_lineage(_confirmed(docs, table, best, percent, size, doc_id, text))
-    found = roots(links)
-    # Pairs of different components that share a bucket: one of the two lies outside the bucket's largest one.
-    labelled = buckets.join(found.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    sizes = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("k", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    open_rows = cut_lineage(labelled.join(mixed.select("key", F.col("m.root").alias("largest")), "key").join(known, "node"))
-    odd = open_rows.filter("root <> largest").select("key", F.col("node").alias("o"), F.col("root").alias("o_root"), F.col("sign").alias("y"))
-    rows = open_rows.select("key", "node", "root", "largest", F.col("sign").alias("x"))
-    # Two odd nodes meet once, the smaller on the odd side.
-    other = (F.col("root") != F.col("o_root")) & ((F.col("root") == F.col("largest")) | (F.col("o") < F.col("node"))) & _alike("x", "y", percent)
-    pairs = rows.join(odd, "key").filter(other).select(F.greatest("node", "o").alias("a"), F.least("node", "o").alias("b")).distinct()
-    more = _confirmed(docs, table, cut_lineage(pairs.join(best, ["a", "b"], "left_anti")), percent, size, doc_id, text)
-    whole = roots(links.unionAll(more))
+    best = near.groupBy("node").agg(F.min(F.struct("d", "a", "b")).alias("first")).select("first.a", "first.b").distinct()
+    links = cut_lineage(_confirmed(docs, table, cut_lineage(best), percent, size, doc_id, text))
+    more = _cell_links(docs, table, cells, smallest_in_component(links, []), percent, size, doc_id, text)
+    whole = smallest_in_component(links.unionAll(more), [])
     rooted = table.join(whole.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("set_hash", "node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(smallest, "root").select("set_hash", "node", "component_id")
