@@ -40,3 +40,12 @@ def test_stages_keep_columns_and_clean_rows(spark):
         assert {r.doc_id for r in out.collect()} >= set(range(5)), name
         assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0, name
     assert Counter(n for n, _ in corpus_pipeline.STAGES) and [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
+
+
+def test_clashing_names(spark):
+    text = " ".join(f"word{k}" for k in range(80))
+    names = ["n_words", "failed", "row", "words", "text_hash", "b", "d", "node", "component_id", "found", "part", "piece", "length", "rank"]
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text), *range(len(names)))], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} long" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "/root/testdata/sf0.001").collect() == docs.collect(), name
+    assert corpus_pipeline.sequence_packing(spark, docs, "").count() == 1

@@ -258,6 +258,6 @@ def contaminated(found: DataFrame):
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     found = matches(docs, benchmark)
-    bad = found.filter(contaminated(found)).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_hash"))
-    return docs.join(bad, same, "left_anti")
+    bad = found.filter(contaminated(found)).select("doc_id", "text_hash").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("d.text") == F.col("b.text_hash"))
+    return docs.alias("d").join(bad.alias("b"), same, "left_anti")

@@ -143,7 +143,6 @@ def ablation(book: DataFrame, policy: str = "v2") -> DataFrame:
 
 
 def accepted(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """The documents the policy keeps, with all their columns."""
-    names = docs.columns
-    book = ledger(docs, "text", tuple(names))
-    return book.filter(passes(F.col("failed"), policy)).select(*names)
+    """The documents the policy keeps, with all their columns, whatever their names."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return ledger(packed, "text", ("row",)).filter(passes(F.col("failed"), policy)).select("row.*")
