@@ -51,8 +51,8 @@ def test_encoding_in_parts_equals_encoding_whole(plain):
     rng = random.Random(8)
     texts = ["", " ", "  ", "a  b", "a \nb", "a\n b", " lead", "trail ", "don't we'll", "é ñ x 　 y", "a b c", "x\x1c y \x1f", "12 34  56", "🎉 🎉\t🎉", "<|endoftexT|> a"]
     texts += ["".join(rng.choices(" \n\tab'sé1!漢 ", k=rng.randrange(40))) for _ in range(3000)]
-    got = pk.Encoder(VOCABULARY).ids(texts)
-    for t, ids in zip(texts, got):
+    encoder = pk.Encoder(VOCABULARY)
+    for t, ids in zip(texts, encoder.ids(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
