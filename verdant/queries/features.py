@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verdant import constants as K
@@ -292,27 +293,40 @@ def labels(spark, sf):
     return estimates(spark, sf).groupBy("field_id").agg(F.avg("prediction").alias("yield_t_ha"))
 
 
-# Tree models have no SQL form; the ensemble, factors and timeline around them have their own queries.
-@query("yield_model_scoring")
+# Tree models have no SQL form; compared is what must hold of them whatever the trees are.
+@query("yield_model_scoring", f"WITH {MATRIX} SELECT field_id, year_month, true AS within_labels FROM matrix")
 def _(spark, sf):
+    """A forest's estimate is a mean of labels, so it lies between the lowest and the highest it learned from."""
     months = cut_lineage(matrix(spark, sf))
-    return yx.score(yx.train(months, labels(spark, sf)), months)
+    known = labels(spark, sf).join(months.select("field_id").distinct(), "field_id")
+    low, high = (known.agg(f("yield_t_ha").alias("x")).scalar() for f in (F.min, F.max))
+    scored = yx.score(yx.train(months, labels(spark, sf)), months).withColumns({"low": low, "high": high})
+    return scored.select("field_id", "year_month", F.col("prediction").between(F.col("low") - 1e-9, F.col("high") + 1e-9).alias("within_labels"))
 
 
-@query("yield_model_factors")
+@query("yield_model_factors", """SELECT unnest(generate_series(1, 10)) AS rank, true AS a_share, true AS described, true AS at_most_one FROM (SELECT count(*) AS n FROM orders) WHERE n > 0""")
 def _(spark, sf):
     months = cut_lineage(matrix(spark, sf))
-    return yx.model_factors(yx.train(months, labels(spark, sf), "gradient_boosting"), months)
+    found = cut_lineage(yx.model_factors(yx.train(months, labels(spark, sf), "gradient_boosting"), months))
+    total = found.agg(F.sum("importance").alias("x")).scalar()
+    place = found.withColumns({"rank": F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")), "total": total})  # ten rows
+    return place.select(
+        "rank", F.col("importance").between(0.0, 1.0).alias("a_share"), (F.length("description") > 0).alias("described"), (F.col("total") <= 1.001).alias("at_most_one")
+    )
 
 
-@query("yield_job")
+@query("yield_job", f"""WITH {st.FIELDS}, n AS (SELECT field_id, lower(crop_name) AS c FROM fields)
+SELECT field_id, CASE WHEN c LIKE '%paxta%' OR c LIKE '%g''o''za%' THEN 'cotton' WHEN c LIKE '%bug''doy%' OR c LIKE '%bug‘doy%' OR c LIKE '%arpa%' THEN 'wheat' ELSE 'cotton' END AS crop,
+  true AS total_is_area_times_estimate, true AS inside_interval, 10 AS factors, true AS has_months FROM n""")
 def yield_query(spark, sf):
     points = store.series(st.acquisitions(spark, sf), st.index_values(spark, sf))
     measured = wq.daily(spark, sf).drop("w")
     planned, wx_rows, op_rows, ra_rows = yield_job.observations(st.fields(spark, sf).drop("planted_on"), [measured], points)
     model = yx.train(matrix(spark, sf), labels(spark, sf))
     records = yield_job.estimate_yields(planned, wx_rows, op_rows, ra_rows, model, "RandomForestRegressor", YEAR)
+    total = F.abs(F.col("total_expected_yield_tons") - F.col("predicted_yield_t_ha") * F.col("field_area_ha"))
     return records.select(
-        "field_id", "crop", "predicted_yield_t_ha", "yield_min_expected", "yield_max_expected", "total_expected_yield_tons",
-        F.size("top_features").alias("factors"), F.size("phenology_timeline").alias("months"),
-    )
+        "field_id", "crop", (total <= 0.0051).alias("total_is_area_times_estimate"),
+        F.col("predicted_yield_t_ha").between(F.col("yield_min_expected"), F.col("yield_max_expected")).alias("inside_interval"),
+        F.size("top_features").alias("factors"), F.size("phenology_timeline").between(1, 12).alias("has_months"),
+    )
