@@ -255,6 +255,21 @@ def _(spark, sf):
     return fx.baseline_spine(planned, radar(spark, sf).withColumn("field_id", F.col("field_id") * 2), 12, K.RADAR_BASELINE).select("field_id", wq.day(), "s1_vv", "s1_vh")
 
 
+_SEASONS = f"""{st.FIELDS}, c AS (SELECT field_id, CASE WHEN lower(crop_name) LIKE '%paxta%' OR lower(crop_name) LIKE '%g''o''za%' OR crop_name = 'Kartoshka' THEN DATE '2026-04-01' ELSE DATE '2025-10-01' END AS s,
+  CASE WHEN lower(crop_name) LIKE '%paxta%' OR lower(crop_name) LIKE '%g''o''za%' OR crop_name = 'Kartoshka' THEN DATE '2026-10-31' ELSE DATE '2026-06-30' END AS e FROM fields)"""
+
+
+@query("baseline_weather_spine", f"""WITH {_SEASONS} SELECT field_id, strftime(unnest(generate_series(s, e, INTERVAL 1 DAY)), '%Y-%m-%d') AS date, 24.0::DOUBLE AS weather_temperature_2m, 23.5::DOUBLE AS weather_apparent_temperature,
+  0.5::DOUBLE AS weather_total_precipitation, 0.5::DOUBLE AS weather_rain, 22.0::DOUBLE AS weather_shortwave_radiation, 12.0::DOUBLE AS weather_wind_speed_10m, 4.5::DOUBLE AS weather_evapotranspiration_et0,
+  22.0::DOUBLE AS weather_soil_temperature_0_7cm, 0.22::DOUBLE AS weather_soil_moisture_0_7cm, 0.25::DOUBLE AS weather_soil_moisture_7_28cm, 0.28::DOUBLE AS weather_soil_moisture_28_100cm
+FROM c WHERE field_id NOT IN (SELECT o_custkey // 50 * 2 FROM orders)""")
+def _(spark, sf):
+    # weather for fields with even ids; the others get the baseline
+    planned = fx.with_calendar(st.fields(spark, sf))
+    known = table(spark, sf, "orders").select(F.expr("o_custkey div 50 * 2").alias("field_id"))
+    return fx.baseline_spine(planned, known, 1, K.BASELINE_WEATHER).select("field_id", wq.day(), *K.BASELINE_WEATHER)
+
+
 @query("feature_alignment", f"""WITH {MATRIX} SELECT field_id, year_month, coalesce(s2_ndvi_mean, 0) AS s2_ndvi_mean, 0::DOUBLE AS not_measured, coalesce(s1_vv_mean, 0) AS s1_vv_mean,
   weather_rainy_days_count::DOUBLE AS weather_rainy_days_count FROM matrix""")
 def _(spark, sf):
