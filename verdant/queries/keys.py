@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verdant import constants as K
@@ -29,16 +30,13 @@ def _(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", key.alias("cache_key"))
 
 
-@query("public_ids", "SELECT s_suppkey, length(sha256(s_name)) // 8 AS id_length, true AS well_formed, 1 AS copies FROM supplier")
+# one id per supplier, letter by letter
+@query("public_ids", """WITH d AS (SELECT s_suppkey, sha256(s_name) AS h FROM supplier),
+i AS (SELECT s_suppkey, array_to_string(list_transform(range(0, 8), lambda i: substr('abcdefghijklmnopqrstuvwxyz0123456789', CAST(CAST('0x' || substr(h, CAST(i * 8 + 1 AS BIGINT), 8) AS UBIGINT) % 36 + 1 AS BIGINT), 1)), '') AS public_id FROM d)
+SELECT s_suppkey, public_id, count(*) OVER (PARTITION BY public_id) AS copies FROM i""")
 def _(spark, sf):
-    from verdant.operators.validation import duplicate_keys
-
     ids = table(spark, sf, "supplier").select("s_suppkey", keys.public_id(F.col("s_name")).alias("public_id"))
-    twice = duplicate_keys(ids, ["public_id"])
-    return ids.join(twice, "public_id", "left").select(
-        "s_suppkey", F.length("public_id").alias("id_length"), F.col("public_id").rlike("^[a-z0-9]{8}$").alias("well_formed"),
-        F.coalesce("copies", F.lit(1)).alias("copies"),
-    )
+    return ids.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("public_id")))
 
 
 _SEG = "substr(regexp_replace({0}, '[^A-Za-z0-9_.-]', '_', 'g'), 1, 48) || '-' || substr(sha256({0}), 1, 10)"
