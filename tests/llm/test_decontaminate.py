@@ -45,7 +45,7 @@ def test_spans_and_proximity(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
     words = item.split()
     loose = " ".join(w for pair in zip(words, ["x", ""] * 8) for w in pair)
-    texts = [f"a b {item} c", loose, "alpha x beta y", item.replace(" ", " x y z" * 4 + " ") + " far", " ".join(reversed(words))]
+    texts = [f"a b {item} c", loose, "alpha x beta y", item.replace(" ", " x y z" * 8 + " ") + " far", " ".join(reversed(words))]
     found = sorted(dc.matches(docs_of(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string")).collect(), key=lambda r: r.doc_id)
     assert [(s.start, s.end) for s in found[0].spans] == [(2, 17)] and found[0]["items"] == ["1"] and found[0].near_items == []
     assert [r.near_items for r in found[1:]] == [["1"], [], [], ["1"]] and not any(r.spans for r in found[1:])
