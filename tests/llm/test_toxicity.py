@@ -83,5 +83,5 @@ def test_cases(spark):
     assert all(0 <= s <= 1 for s in got.values()) and got[200] == got[201] == got[202]
     assert np.mean([(got[i] >= 0.5) == i % 2 for i in range(200)]) > 0.95 and got[203] > got[204]
     none = toxicity.scores(docs_of(spark, ["a", None]), labels.limit(0))
-    assert all(r.score <= 0.5 for r in none.collect())
+    assert {round(r.score, 3) for r in none.collect()} == {0.119}
     assert toxicity.scores(empty_docs(spark), labels).count() == 0

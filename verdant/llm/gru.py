@@ -29,7 +29,8 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grams, owners = [], []
     mixed = np.zeros(len(codes), np.uint64)
     for n in range(1, max(GRAMS) + 1):
-        mixed[: len(codes) - n + 1] = mixed[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :]
+        whole = max(0, len(codes) - n + 1)
+        mixed[:whole] = mixed[:whole] * np.uint64(0x100000001B3) + codes[n - 1 :]
         if n in GRAMS:
             at = np.flatnonzero(room >= n)
             hashed = (mixed[at] ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)

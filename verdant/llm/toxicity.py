@@ -11,7 +11,7 @@ are no inputs: the id only decides which rows may be learned from.
 
 Cases: a NULL, empty or wordless text has no windows and gets the score of a text whose windows all look
 harmless; labels that are NULL or have no document teach nothing, several labels of an id count as their
-largest; without labels of both kinds every score is 0.5 at most; repeated rows are scored alike; an empty
+largest; without labels of both kinds every text gets the same score, below 0.5; repeated rows are scored alike; an empty
 table gives an empty result; other columns are not read.
 """
 
@@ -130,7 +130,7 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = _scored(fitting, model, "label double, signs array<double>", 1, as_list).collect()
     one, zero = _shares(labels, doc_id, label)
     y = np.array([r.label for r in rows])
-    weights = np.array([-1.0, 0, 0, 0, 0])
+    weights = np.array([0.0, 0, 0, 0, -2])  # nothing learned: every text alike, and clean
     if 0 < y.sum() < len(y):
         share = np.where(y == 1, one / y.sum(), zero / (len(y) - y.sum()))
         weights = fit(np.array([r.signs for r in rows]), y, share * len(y) / share.sum())
