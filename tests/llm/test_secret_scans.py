@@ -80,3 +80,14 @@ def test_frame(spark):
     clean = rows_of(ss.redact(docs_of(spark, texts)))
     assert clean[2].text == "[assign]" and clean[2].n_chars == 8 and clean[0].text is None and clean[0].n_chars is None and clean[1].text == ""
     assert ss.scan(empty_docs(spark)).count() == 0 and ss.redact(empty_docs(spark)).columns == empty_docs(spark).columns
+
+
+def test_layers_of_any_characters_are_scanned():
+    for text in (f"d\u00e9j\u00e0\u00a0: {SECRET}", f"\ufeff{SECRET} x", f"\x1b[31m{SECRET}\x1b[0m \0", f"\u3000\u202f\u200b\u00ad {SECRET}"):
+        for raw in (text.encode(), text.encode("utf-16"), text.encode("utf-16-be"), b"." + text.encode("utf-16-le"), text.encode("latin-1", "replace")):
+            run = base64.b64encode(raw).decode()
+            assert any(k == "assign" and v == "base64" and t in run for k, t, v in found(f"see {run} !")), raw
+            run = base64.b64encode(gzip.compress(raw)).decode()
+            assert ("assign", run, "base64/inflate") in found(f"see {run} !"), raw
+    (span,) = {(s, e) for s, k, e, v in ss.scan_text(base64.b64encode(f"\u00e9\ud83d\ude00 {KEY} z".encode("utf-16", "surrogatepass")).decode()) if k == 1}
+    assert 0 < span[0] < span[1]

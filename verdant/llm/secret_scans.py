@@ -4,7 +4,8 @@ A layer is a text with, for each of its characters, the place in the original te
 worklist starts with the original and unwraps every layer four ways: percent escapes, Unicode escapes,
 base64 runs, and compressed data inside base64. It ends when no new layer appears; a layer is new if its
 text has not been seen for the same stretch of the original, which also ends cycles. Escapes are undone
-within the whole layer, so that a secret half of which is escaped is found too.
+within the whole layer, so that a secret half of which is escaped is found too. Decoded bytes are never
+judged by what characters they hold: they are read as UTF-8, else Latin-1, and with NULs as UTF-16 too.
 
 Compressed data may grow: what exceeds ``LAYER_LIMIT`` characters is not read further but reported as
 ``oversize`` with its span, never passed over silently.
@@ -21,7 +22,8 @@ import bz2
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -53,34 +55,43 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text and, unless it is the original, the original start and end of each of its characters."""
+    """A text with the place of each character in the original; ``flat``: one place for all, ``lists``: starts and ends."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None, via: str = ""):
-        self.text, self.starts, self.ends, self.via = text, starts, ends, via
+    def __init__(self, text: str, via: str = "", place: Callable[[int, int], tuple[int, int]] | None = None, flat: tuple[int, int] | None = None):
+        self.text, self.via, self.place, self.flat, self.lists = text, via, place, flat, None
+        self.rivals: list[tuple[int, int, int]] = []  # findings of earlier, likelier readings of the same bytes
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
-        if self.starts is None:
-            return start, end
-        return min(self.starts[start:end]), max(self.ends[start:end])
+        if self.flat is not None:
+            return self.flat
+        if self.lists is not None:
+            return min(self.lists[0][start:end]), max(self.lists[1][start:end])
+        return self.place(start, end) if self.place else (start, end)
+
+    def _places(self) -> tuple[Sequence[int], Sequence[int]]:
+        if self.place is None and self.lists is None:
+            return range(len(self.text)), range(1, len(self.text) + 1)
+        if self.lists is None:
+            places = [self.place(i, i + 1) for i in range(len(self.text))]
+            self.lists = [p[0] for p in places], [p[1] for p in places]
+        return self.lists
 
     def spliced(self, pieces: list[tuple[int, int, list[tuple[str, int, int]]]], via: str) -> Layer:
         """The layer with each stretch (start, end) replaced by characters (char, start, end) of this layer's places."""
         out, starts, ends, at = [], [], [], 0
-        own_starts = self.starts if self.starts is not None else range(len(self.text))
-        own_ends = self.ends if self.ends is not None else range(1, len(self.text) + 1)
-        for start, end, chars in pieces:
+        own_starts, own_ends = ([], []) if self.flat else self._places()
+        for start, end, chars in [*pieces, (len(self.text), len(self.text), [])]:
             out.append(self.text[at:start])
-            starts.extend(own_starts[at:start])
-            ends.extend(own_ends[at:start])
-            for char, first, last in chars:
-                out.append(char)
-                starts.append(own_starts[first])
-                ends.append(own_ends[last - 1])
+            out += [c for c, _, _ in chars]
+            if not self.flat:
+                starts.extend(own_starts[at:start])
+                ends.extend(own_ends[at:start])
+                starts += [own_starts[first] for _, first, _ in chars]
+                ends += [own_ends[last - 1] for _, _, last in chars]
             at = end
-        out.append(self.text[at:])
-        starts.extend(own_starts[at:])
-        ends.extend(own_ends[at:])
-        return Layer("".join(out), starts, ends, f"{self.via}/{via}")
+        inner = Layer("".join(out), f"{self.via}/{via}", flat=self.flat)
+        inner.lists = None if self.flat else (starts, ends)
+        return inner
 
 
 def _percent(layer: Layer) -> Iterator[Layer]:
@@ -131,12 +142,38 @@ def _inflated(data: bytes) -> bytes | None:
         return None
 
 
-def _readable(data: bytes) -> str | None:
+def _texts(data: bytes) -> Iterator[tuple[str, Callable[[int], int]]]:
+    """(text, byte at which its i-th character starts) of every way to read the bytes; NULs hint at UTF-16 of either order and parity."""
     try:
         text = data.decode()
+        yield text, (lambda i: i) if len(text) == len(data) else _offsets(text, 0, lambda c: len(c.encode()))
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        yield data.decode("latin-1"), lambda i: i
+    if b"\0" in data:
+        reads = [(f, data[f : len(data) - (len(data) - f) % 2].decode(c, "replace")) for f in (0, 1) for c in ("utf-16-le", "utf-16-be")]
+        for first, text in sorted(reads, key=lambda r: -sum(map(str.isascii, r[1]))):
+            yield text, _offsets(text, first, lambda c: 4 if c > "\uffff" else 2)
+
+
+def _offsets(text: str, first: int, width: Callable[[str], int]) -> Callable[[int], int]:
+    known: list[int] = []
+
+    def at(i: int) -> int:
+        if not known:
+            known.extend(accumulate(map(width, text), initial=first))
+        return known[i]
+
+    return at
+
+
+def _read(layer: Layer, data: bytes, place: Callable[[int, int], tuple[int, int]], via: str) -> Iterator[Layer]:
+    """The layers of decoded bytes; ``place`` tells where in the layer's text a stretch of bytes stands."""
+    rivals: list[tuple[int, int, int]] = []
+    for text, byte in _texts(data):
+        if text:
+            inner = Layer(text, f"{layer.via}/{via}", lambda start, end, byte=byte: layer.origin(*place(byte(start), byte(end))))
+            inner.rivals = rivals
+            yield inner
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
@@ -151,19 +188,11 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             if len(data) > LAYER_LIMIT:
                 break
         if len(data) > LAYER_LIMIT:
-            yield Layer("", [whole[0]], [whole[1]], "oversize")
-        elif (text := _readable(data)) is None:
-            continue
+            yield Layer("", "oversize", flat=whole)
         elif packed:
-            yield Layer(text, [whole[0]] * len(text), [whole[1]] * len(text), f"{layer.via}/base64" + "/inflate" * packed)
-        else:
-            starts, ends, at = [], [], 0
-            for c in text:  # byte i stands in the base64 digits i * 4 / 3 and the next one or two
-                first, at = at, at + len(c.encode())
-                place = layer.origin(m.start() + first * 4 // 3, min(m.end(), m.start() + -(-at * 4 // 3)))
-                starts.append(place[0])
-                ends.append(place[1])
-            yield Layer(text, starts, ends, f"{layer.via}/base64")
+            yield from (Layer(text, f"{layer.via}/base64" + "/inflate" * packed, flat=whole) for text, _ in _texts(data) if text)
+        else:  # byte i stands in the base64 digits i * 4 / 3 and the next one or two
+            yield from _read(layer, data, lambda i, j, m=m: (m.start() + i * 4 // 3, min(m.end(), m.start() - (-j * 4 // 3))), "base64")
 
 
 def scan_text(text: str) -> list[tuple[int, int, int, str]]:
@@ -178,16 +207,20 @@ def scan_text(text: str) -> list[tuple[int, int, int, str]]:
                 continue
             for inner in unwrap(layer):
                 if inner.via == "oversize":
-                    found.setdefault((inner.starts[0], 3, inner.ends[0]), "oversize")
+                    found.setdefault((inner.flat[0], 3, inner.flat[1]), "oversize")
                     continue
-                key = (inner.text, inner.starts[0], inner.ends[-1])
+                key = (inner.text, *inner.origin(0, len(inner.text)))
                 if key in seen:
                     continue
                 seen.add(key)
                 work.append(inner)
+                here: list[tuple[int, int, int]] = []
                 for start, kind, end in base_spans(inner.text):
                     first, last = inner.origin(start, end)
-                    found.setdefault((first, kind, last), inner.via[1:])
+                    if not any(k == kind and first < e and s < last for s, k, e in inner.rivals):
+                        found.setdefault((first, kind, last), inner.via[1:])
+                        here.append((first, kind, last))
+                inner.rivals += here
     return [(*span, via) for span, via in sorted(found.items())]
 
 
