@@ -1,4 +1,5 @@
 import base64
+import bz2
 import gzip
 import re
 import zlib
@@ -91,3 +92,34 @@ def test_layers_of_any_characters_are_scanned():
             assert ("assign", run, "base64/inflate") in found(f"see {run} !"), raw
     (span,) = {(s, e) for s, k, e, v in ss.scan_text(base64.b64encode(f"\u00e9\ud83d\ude00 {KEY} z".encode("utf-16", "surrogatepass")).decode()) if k == 1}
     assert 0 < span[0] < span[1]
+
+
+def test_wrapped_base64_is_joined():
+    import textwrap
+
+    text = "".join(f"word{i} \u00e9 " for i in range(40))
+    for pad in range(48, 60):
+        raw = (text[:pad] + SECRET + " " + text).encode()
+        for sep in ("\n", "\r\n", "\n    ", "\\n", "\n> "):
+            for columns in (64, 76, 10):
+                body = sep.join(textwrap.wrap(base64.b64encode(raw).decode(), columns))
+                whole = f"data: {body}\n."
+                spans = [(s, e) for s, k, e, v in ss.scan_text(whole) if k == 0 and v == "base64"]
+                at, n = len(text[:pad].encode()) * 4 // 3, -(-len((text[:pad] + SECRET).encode()) * 4 // 3)
+                digits = [i for i, c in enumerate(whole) if 6 <= i < 6 + len(body) and i - 6 not in _gaps(body, sep)]
+                assert (digits[at], digits[n - 1] + 1) in spans, (pad, sep, columns)
+    noise = "".join(chr(33 + i * i % 89) + f"{i * 7919 % 1000}" for i in range(300))
+    for pack in (gzip.compress, zlib.compress, bz2.compress):
+        body = "\n".join(textwrap.wrap(base64.b64encode(pack(f"{noise} {KEY} end".encode())).decode(), 64))
+        assert ("access", body, "base64/inflate") in found(f"({body})")
+
+
+def _gaps(body, sep):
+    return {i + d for i in range(len(body)) if body.startswith(sep, i) for d in range(len(sep))}
+
+
+def test_runs_touching_other_digits():
+    run = base64.b64encode(f"caf\u00e9 {SECRET} \u00e9t\u00e9".encode()).decode().rstrip("=")
+    for before in ("/cb/", "key_", "id-", "\\n", "x", "xy+", "/v1/", "a/b/c-d_"):
+        for after in ("", "/", "_x", "-end"):
+            assert any(k == "assign" and t in run for k, t, _ in found(f"see {before}{run}{after} ")), (before, after)

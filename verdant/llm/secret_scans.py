@@ -6,6 +6,8 @@ base64 runs, and compressed data inside base64. It ends when no new layer appear
 text has not been seen for the same stretch of the original, which also ends cycles. Escapes are undone
 within the whole layer, so that a secret half of which is escaped is found too. Decoded bytes are never
 judged by what characters they hold: they are read as UTF-8, else Latin-1, and with NULs as UTF-16 too.
+Base64 is read from each of the four digits a run may start at, line by line and joined over line breaks; where
+both readings have a finding, both are reported, as lines may be values of their own or parts of one.
 
 Compressed data may grow: what exceeds ``LAYER_LIMIT`` characters is not read further but reported as
 ``oversize`` with its span, never passed over silently.
@@ -22,7 +24,8 @@ import bz2
 import lzma
 import re
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -39,6 +42,11 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BREAK = r"[\x20\t]*+(?:[\r\n]|\\[rn])++(?:[\x20\t>#*|]|[\r\n]|\\[rn])*+"  # also written \\n, also quoted or commented
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_BREAK}[A-Za-z0-9+/_-]++)++={{0,2}}")
+_DIGITS = re.compile(r"[A-Za-z0-9+/_-]+")
+_BREAKS = re.compile(_BREAK)
+_WIDE = re.compile(rb"(?:[\x01-\x7f]\0){12}|(?:\0[\x01-\x7f]){12}")  # the shortest finding, token=abcdef, has 12 characters
 _TO_STANDARD = str.maketrans("-_", "+/")
 
 
@@ -55,43 +63,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text with the place of each character in the original; ``flat``: one place for all, ``lists``: starts and ends."""
+    """A text; ``place`` maps a stretch of it into its parent's text, ``whole`` is its stretch of the original, ``flat`` all it knows."""
 
-    def __init__(self, text: str, via: str = "", place: Callable[[int, int], tuple[int, int]] | None = None, flat: tuple[int, int] | None = None):
-        self.text, self.via, self.place, self.flat, self.lists = text, via, place, flat, None
+    def __init__(self, text: str, via: str = "", parent: Layer | None = None, place: Callable[[int, int], tuple[int, int]] | None = None, whole: tuple[int, int] | None = None):
+        self.text, self.via, self.parent, self.place = text, via, parent, place
+        self.flat = parent is None and whole is not None
+        self.whole = whole or (0, len(text))
         self.rivals: list[tuple[int, int, int]] = []  # findings of earlier, likelier readings of the same bytes
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
-        if self.flat is not None:
-            return self.flat
-        if self.lists is not None:
-            return min(self.lists[0][start:end]), max(self.lists[1][start:end])
-        return self.place(start, end) if self.place else (start, end)
-
-    def _places(self) -> tuple[Sequence[int], Sequence[int]]:
-        if self.place is None and self.lists is None:
-            return range(len(self.text)), range(1, len(self.text) + 1)
-        if self.lists is None:
-            places = [self.place(i, i + 1) for i in range(len(self.text))]
-            self.lists = [p[0] for p in places], [p[1] for p in places]
-        return self.lists
+        layer = self
+        while layer.parent is not None:
+            (start, end), layer = layer.place(start, end), layer.parent
+        return layer.whole if layer.flat else (start, end)
 
     def spliced(self, pieces: list[tuple[int, int, list[tuple[str, int, int]]]], via: str) -> Layer:
         """The layer with each stretch (start, end) replaced by characters (char, start, end) of this layer's places."""
-        out, starts, ends, at = [], [], [], 0
-        own_starts, own_ends = ([], []) if self.flat else self._places()
+        out, news, olds, at, n = [], [], [], 0, 0  # where in the new text a stretch starts; its old place or its characters
         for start, end, chars in [*pieces, (len(self.text), len(self.text), [])]:
-            out.append(self.text[at:start])
-            out += [c for c, _, _ in chars]
-            if not self.flat:
-                starts.extend(own_starts[at:start])
-                ends.extend(own_ends[at:start])
-                starts += [own_starts[first] for _, first, _ in chars]
-                ends += [own_ends[last - 1] for _, _, last in chars]
+            for stretch, old in ((self.text[at:start], at), ("".join([c for c, _, _ in chars]), chars)):
+                if stretch:
+                    out.append(stretch)
+                    news.append(n)
+                    olds.append(old)
+                    n += len(stretch)
             at = end
-        inner = Layer("".join(out), f"{self.via}/{via}", flat=self.flat)
-        inner.lists = None if self.flat else (starts, ends)
-        return inner
+
+        def char(i: int) -> tuple[int, int]:
+            k = bisect_right(news, i) - 1
+            return olds[k][i - news[k]][1:] if isinstance(olds[k], list) else (olds[k] + i - news[k], olds[k] + i - news[k] + 1)
+
+        return Layer("".join(out), f"{self.via}/{via}", self, lambda start, end: (char(start)[0], char(end - 1)[1]), self.whole)
 
 
 def _percent(layer: Layer) -> Iterator[Layer]:
@@ -143,15 +145,15 @@ def _inflated(data: bytes) -> bytes | None:
 
 
 def _texts(data: bytes) -> Iterator[tuple[str, Callable[[int], int]]]:
-    """(text, byte at which its i-th character starts) of every way to read the bytes; NULs hint at UTF-16 of either order and parity."""
+    """(text, byte at which its i-th character starts) of every way to read the bytes; UTF-16 of either order and parity where it has room for a secret."""
     try:
         text = data.decode()
         yield text, (lambda i: i) if len(text) == len(data) else _offsets(text, 0, lambda c: len(c.encode()))
     except UnicodeDecodeError:
         yield data.decode("latin-1"), lambda i: i
-    if b"\0" in data:
+    if _WIDE.search(data):
         reads = [(f, data[f : len(data) - (len(data) - f) % 2].decode(c, "replace")) for f in (0, 1) for c in ("utf-16-le", "utf-16-be")]
-        for first, text in sorted(reads, key=lambda r: -sum(map(str.isascii, r[1]))):
+        for first, text in sorted(reads, key=lambda r: -len(r[1].encode("ascii", "ignore"))):
             yield text, _offsets(text, first, lambda c: 4 if c > "\uffff" else 2)
 
 
@@ -171,28 +173,55 @@ def _read(layer: Layer, data: bytes, place: Callable[[int, int], tuple[int, int]
     rivals: list[tuple[int, int, int]] = []
     for text, byte in _texts(data):
         if text:
-            inner = Layer(text, f"{layer.via}/{via}", lambda start, end, byte=byte: layer.origin(*place(byte(start), byte(end))))
+            inner = Layer(text, f"{layer.via}/{via}", layer, lambda start, end, byte=byte: place(byte(start), byte(end)), layer.origin(*place(0, len(data))))
             inner.rivals = rivals
             yield inner
 
 
+def _runs(text: str) -> Iterator[tuple[str, Callable[[int, int], tuple[int, int]]]]:
+    """(digits, place of digits i to j in the text) of every base64 run, then of the runs joined over line breaks."""
+    for m in _BASE64.finditer(text):
+        digits = m[0].rstrip("=")
+        yield digits, lambda i, j, m=m, n=len(digits): (m.start() + i, m.end() if j >= n else m.start() + j)
+    if "\n" in text or "\r" in text or "\\" in text:
+        for m in _WRAPPED.finditer(text):
+            if m.end() - m.start() <= 16:
+                continue
+            parts, firsts, at, n = [], [], m.start(), 0  # firsts: (digit, its place) at the start of each line
+            for gap in [*_BREAKS.finditer(text, m.start(), m.end()), None]:
+                parts.append(text[at : gap.start() if gap else m.end()].rstrip("="))
+                firsts.append((n, at))
+                n, at = n + len(parts[-1]), gap.end() if gap else at
+            if n >= 16:
+                yield "".join(parts), lambda i, j, m=m, n=n, firsts=firsts: (_unwrapped(firsts, i), m.end() if j >= n else _unwrapped(firsts, j - 1) + 1)
+
+
+def _unwrapped(firsts: list[tuple[int, int]], i: int) -> int:
+    digit, at = firsts[bisect_right(firsts, i, key=lambda f: f[0]) - 1]
+    return at + i - digit
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").translate(_TO_STANDARD)
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-        whole = layer.origin(m.start(), m.end())
-        packed = 0
-        while data and (more := _inflated(data)) is not None and more != data:
-            data, packed = more, packed + 1
+    """Every run is read from its first four digits on, so that digits before the data (a path, a name) spoil none of it."""
+    for digits, place in _runs(layer.text):
+        standard = digits.translate(_TO_STANDARD)
+        for skip in range(4):
+            body = standard[skip : len(standard) - ((len(standard) - skip) % 4 == 1)]
+            data = base64.b64decode(body + "=" * (-len(body) % 4))
+            # byte i stands in the base64 digits i * 4 / 3 and the next one or two
+            where = lambda i, j, place=place, skip=skip: place(skip + i * 4 // 3, skip - (-j * 4 // 3))
+            packed, full = 0, len(data)
+            while data and (more := _inflated(data)) is not None and more != data:
+                data, packed = more, packed + 1
+                if len(data) > LAYER_LIMIT:
+                    break
             if len(data) > LAYER_LIMIT:
-                break
-        if len(data) > LAYER_LIMIT:
-            yield Layer("", "oversize", flat=whole)
-        elif packed:
-            yield from (Layer(text, f"{layer.via}/base64" + "/inflate" * packed, flat=whole) for text, _ in _texts(data) if text)
-        else:  # byte i stands in the base64 digits i * 4 / 3 and the next one or two
-            yield from _read(layer, data, lambda i, j, m=m: (m.start() + i * 4 // 3, min(m.end(), m.start() - (-j * 4 // 3))), "base64")
+                yield Layer("", "oversize", whole=layer.origin(*where(0, full)))
+            elif packed:
+                whole = layer.origin(*where(0, full))
+                yield from (Layer(text, f"{layer.via}/base64" + "/inflate" * packed, whole=whole) for text, _ in _texts(data) if text)
+            else:
+                yield from _read(layer, data, where, "base64")
 
 
 def scan_text(text: str) -> list[tuple[int, int, int, str]]:
@@ -207,9 +236,9 @@ def scan_text(text: str) -> list[tuple[int, int, int, str]]:
                 continue
             for inner in unwrap(layer):
                 if inner.via == "oversize":
-                    found.setdefault((inner.flat[0], 3, inner.flat[1]), "oversize")
+                    found.setdefault((inner.whole[0], 3, inner.whole[1]), "oversize")
                     continue
-                key = (inner.text, *inner.origin(0, len(inner.text)))
+                key = (inner.text, *inner.whole)
                 if key in seen:
                     continue
                 seen.add(key)
