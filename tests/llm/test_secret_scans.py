@@ -1,7 +1,10 @@
 import base64
 import bz2
 import gzip
+import lzma
+import random
 import re
+import urllib.parse
 import zlib
 
 import duckdb
@@ -123,3 +126,32 @@ def test_runs_touching_other_digits():
     for before in ("/cb/", "key_", "id-", "\\n", "x", "xy+", "/v1/", "a/b/c-d_"):
         for after in ("", "/", "_x", "-end"):
             assert any(k == "assign" and t in run for k, t, _ in found(f"see {before}{run}{after} ")), (before, after)
+
+
+def test_all_members_are_inflated():
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        raw = pack(b"first member ") + pack(f"second {KEY[:9]}".encode()) + pack(f"{KEY[9:]} third".encode()) + pack(f"a {SECRET}".encode())
+        run = base64.b64encode(raw).decode()
+        got = found(f"({run})")
+        assert ("access", run, "base64/inflate") in got and ("assign", run, "base64/inflate") in got
+        assert any(k == "access" for k, _, _ in found(f"(/cb/id-{base64.b64encode(b'head' + raw).decode()})"))
+    double = base64.b64encode(gzip.compress(bz2.compress(SECRET.encode()))).decode()
+    assert ("assign", double, "base64/inflate/inflate") in found(double)
+
+
+def test_oversize_layers_are_read_on(monkeypatch):
+    monkeypatch.setattr(ss, "LAYER_LIMIT", 1000)
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        run = base64.b64encode(pack(b"a " * 5000 + SECRET.encode() + b" b" * 5000 + KEY.encode())).decode()
+        got = found(f"x {run} y")
+        assert {("oversize", run, "oversize"), ("assign", run, "base64/inflate"), ("access", run, "base64/inflate")} <= set(got)
+
+
+def test_compressed_bytes_under_escapes():
+    rng = random.Random(5)
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        raw = pack(" ".join(f"w{rng.random()}" for _ in range(50)).encode() + f" {KEY} ".encode() + SECRET.encode())
+        hexed = "".join(f"\\x{b:02x}" for b in raw)
+        for body in (hexed, repr(raw)[2:-1], urllib.parse.quote(raw), urllib.parse.quote_plus(raw), "".join(f"%{b:02X}" for b in raw)):
+            via = "unicode/inflate" if "\\x" in body else "url/inflate"
+            assert {("access", body, via), ("assign", body, via)} <= set(found(f"data {body} .")), body

@@ -2,15 +2,16 @@
 
 A layer is a text with, for each of its characters, the place in the original text it came from. The
 worklist starts with the original and unwraps every layer four ways: percent escapes, Unicode escapes,
-base64 runs, and compressed data inside base64. It ends when no new layer appears; a layer is new if its
+base64 runs, and compressed data inside any of them. It ends when no new layer appears; a layer is new if its
 text has not been seen for the same stretch of the original, which also ends cycles. Escapes are undone
 within the whole layer, so that a secret half of which is escaped is found too. Decoded bytes are never
 judged by what characters they hold: they are read as UTF-8, else Latin-1, and with NULs as UTF-16 too.
 Base64 is read from each of the four digits a run may start at, line by line and joined over line breaks; where
 both readings have a finding, both are reported, as lines may be values of their own or parts of one.
 
-Compressed data may grow: what exceeds ``LAYER_LIMIT`` characters is not read further but reported as
-``oversize`` with its span, never passed over silently.
+Compressed data (gzip, zlib, bzip2, xz) is found at any place of decoded bytes, also of bytes written with
+percent or backslash escapes, and read member after member. It may grow: beyond ``LAYER_LIMIT`` bytes it is
+reported as ``oversize`` with its span and read on in stretches of that size, each overlapping half of the one before.
 
 Cases: NULL text counts as empty; repeated rows and NULL ids are scanned row by row; an empty table gives
 an empty result; only the two columns named are read. Texts are handled one by one, whole, in batches
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -47,6 +49,21 @@ _WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_BREAK}[A-Za-z
 _DIGITS = re.compile(r"[A-Za-z0-9+/_-]+")
 _BREAKS = re.compile(_BREAK)
 _WIDE = re.compile(rb"(?:[\x01-\x7f]\0){12}|(?:\0[\x01-\x7f]){12}")  # the shortest finding, token=abcdef, has 12 characters
+_PERCENT_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|\+")
+_PERCENT_BYTES = re.compile(r"[!-~]++")
+_ESCAPED_BYTE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\u\{0*([0-9A-Fa-f]{1,2})\}|\\U000000([0-9A-Fa-f]{2})|\\[0-7]{1,3}|\\[abtnvfr\\'\"]")
+_ESCAPED_BYTES = re.compile(r"[\x20-\x7e]++")
+_LETTERS = dict(zip("abtnvfr", "\a\b\t\n\v\f\r"))
+_PIECE, _PART = 1 << 10, 1 << 20
+# zlib headers: method 8, window of 2^8 to 2^15, four levels, no dictionary, divisible by 31.
+_ZLIB = [bytes([c, f]) for c in range(0x08, 0x80, 0x10) for f in range(256) if (c * 256 + f) % 31 == 0 and not f & 0x20]
+_ENGINES = (
+    (b"\x1f\x8b\x08", lambda: zlib.decompressobj(31)),
+    (b"BZh", bz2.BZ2Decompressor),
+    (b"\xfd7zXZ\x00", lzma.LZMADecompressor),
+    *((header, zlib.decompressobj) for header in _ZLIB),
+)
+_MAGIC = re.compile(b"|".join(re.escape(magic) for magic, _ in _ENGINES))
 _TO_STANDARD = str.maketrans("-_", "+/")
 
 
@@ -126,22 +143,65 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
         yield layer.spliced(pieces, "unicode")
 
 
-def _inflated(data: bytes) -> bytes | None:
-    """Decompressed data, up to one byte over the limit; None if it is not compressed."""
-    if data[:3] == b"\x1f\x8b\x08":
-        engine = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-        engine = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        engine = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        engine = lzma.LZMADecompressor()
-    else:
-        return None
+def _parts(data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """(what one more piece inflates to, place read up to) of the compressed member at ``at``; the last place is -1 unless the member is whole."""
+    make = next(m for magic, m in _ENGINES if data.startswith(magic, at))
+    engine = make()
     try:
-        return engine.decompress(data, LAYER_LIMIT + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        return None
+        while not engine.eof and at < len(data):
+            piece = data[at : at + _PIECE]
+            at += len(piece)
+            out = engine.decompress(piece, *_most(engine))
+            while not engine.eof and not getattr(engine, "needs_input", True):
+                yield out, at
+                out = engine.decompress(b"", *_most(engine))
+            yield out, at - len(engine.unused_data)
+    except (zlib.error, OSError, EOFError, ValueError, MemoryError, lzma.LZMAError):
+        pass
+    if not engine.eof:
+        yield b"", -1
+
+
+def _most(engine) -> tuple[int, ...]:
+    return (_PART,) if hasattr(engine, "needs_input") else ()  # a piece for zlib grows a thousandfold at most
+
+
+def _streams(data: bytes) -> Iterator[tuple[bytes, int, int, bool]]:
+    """(text bytes, start, end, whether there is more) of all compressed data at any place; members that follow each other are one.
+
+    More than ``LAYER_LIMIT`` bytes come in stretches that overlap by half of it."""
+    at = 0
+    while m := _MAGIC.search(data, at):
+        at, upto, held, more = m.start(), m.start(), bytearray(), False
+        while at >= 0 and _MAGIC.match(data, at):
+            for out, end in _parts(data, at):
+                held += out
+                upto = max(upto, end)
+                while len(held) > LAYER_LIMIT:
+                    more = True
+                    yield bytes(held[:LAYER_LIMIT]), m.start(), len(data), more
+                    del held[: max(1, LAYER_LIMIT // 2)]
+            if end < 0:
+                break
+            at = end
+            while data[at : at + 1] == b"\0":  # padding between members
+                at += 1
+        if held:
+            yield bytes(held), m.start(), len(data) if more else upto, more
+        at = max(m.start() + 1, at)
+
+
+def _inflated(layer: Layer, data: bytes, place: Callable[[int, int], tuple[int, int]], via: str) -> Iterator[Layer]:
+    """The layers of all compressed data in the bytes, also inside other compressed data."""
+    if not _MAGIC.search(data):
+        return
+    for inner, start, end, more in _streams(data):
+        whole = layer.origin(*place(start, end))
+        if more:
+            yield Layer("", "oversize", whole=whole)
+        for text, _ in _texts(inner):
+            yield Layer(text, f"{layer.via}/{via}/inflate", whole=whole)
+        yield from _inflated(Layer("", layer.via, whole=whole), inner, lambda i, j: (0, 0), f"{via}/inflate")
 
 
 def _texts(data: bytes) -> Iterator[tuple[str, Callable[[int], int]]]:
@@ -210,39 +270,74 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             data = base64.b64decode(body + "=" * (-len(body) % 4))
             # byte i stands in the base64 digits i * 4 / 3 and the next one or two
             where = lambda i, j, place=place, skip=skip: place(skip + i * 4 // 3, skip - (-j * 4 // 3))
-            packed, full = 0, len(data)
-            while data and (more := _inflated(data)) is not None and more != data:
-                data, packed = more, packed + 1
-                if len(data) > LAYER_LIMIT:
-                    break
-            if len(data) > LAYER_LIMIT:
-                yield Layer("", "oversize", whole=layer.origin(*where(0, full)))
-            elif packed:
-                whole = layer.origin(*where(0, full))
-                yield from (Layer(text, f"{layer.via}/base64" + "/inflate" * packed, whole=whole) for text, _ in _texts(data) if text)
-            else:
-                yield from _read(layer, data, where, "base64")
+            yield from _read(layer, data, where, "base64")
+            yield from _inflated(layer, data, where, "base64")
+
+
+def _unescaped(layer: Layer, sign: str, stretches: re.Pattern, escape: re.Pattern, value: Callable[[re.Match], bytes], via: str) -> Iterator[Layer]:
+    """What compressed bytes written with escapes inflate to; characters that need no escape stand for themselves."""
+    for m in stretches.finditer(layer.text):
+        if sign not in m[0]:
+            continue
+        out, news, olds, at, n = [], [], [], m.start(), 0
+        for e in [*escape.finditer(layer.text, m.start(), m.end()), None]:
+            end = e.start() if e else m.end()
+            for raw, start, step in ((layer.text[at:end].encode("latin-1"), at, 1), (value(e) if e else b"", end, 0)):
+                if raw:
+                    out.append(raw)
+                    news.append(n)
+                    olds.append((start, step, e.end() if e else end))
+                    n += len(raw)
+            at = e.end() if e else end
+
+        def where(i: int, j: int, news=news, olds=olds) -> tuple[int, int]:
+            a, b = bisect_right(news, i) - 1, bisect_right(news, j - 1) - 1
+            return olds[a][0] + (i - news[a]) * olds[a][1], olds[b][0] + j - news[b] if olds[b][1] else olds[b][2]
+
+        yield from _inflated(layer, b"".join(out), where, via)
+
+
+def _packed_percent(layer: Layer) -> Iterator[Layer]:
+    for plus in (b"+", b" ") if "+" in layer.text else (b"+",):
+        yield from _unescaped(layer, "%", _PERCENT_BYTES, _PERCENT_BYTE, lambda e, plus=plus: plus if e[0] == "+" else bytes.fromhex(e[0][1:]), "url")
+
+
+def _packed_escapes(layer: Layer) -> Iterator[Layer]:
+    yield from _unescaped(layer, "\\", _ESCAPED_BYTES, _ESCAPED_BYTE, _escaped_value, "unicode")
+
+
+def _escaped_value(e: re.Match) -> bytes:
+    if e[0][1] in "xuU":
+        return bytes([int(next(g for g in e.groups() if g), 16)])
+    return bytes([int(e[0][1:], 8) & 255]) if e[0][1] in "01234567" else _LETTERS.get(e[0][1], e[0][1]).encode("latin-1")
 
 
 def scan_text(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind, end, via) of all findings; ``via`` names the layers undone, empty for the plain ones."""
-    plain = base_spans(text)
-    found = {span: "" for span in plain}
-    work, seen = [Layer(text)], {(text, 0, len(text))}
+    found = {span: "" for span in base_spans(text)}
+    _explore(Layer(text), found, {_key(text, (0, len(text)))})
+    return [(*span, via) for span, via in sorted(found.items())]
+
+
+def _key(text: str, whole: tuple[int, int]) -> tuple[str | bytes, int, int]:
+    return (text if len(text) < 1024 else hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), *whole)
+
+
+def _explore(layer: Layer, found: dict[tuple[int, int, int], str], seen: set[tuple[str | bytes, int, int]]) -> None:
+    work = [layer]
     while work:
         layer = work.pop()
-        for unwrap, sign in ((_percent, "%"), (_unicode, "\\"), (_base64, "")):
+        for unwrap, sign in ((_percent, "%"), (_packed_percent, "%"), (_unicode, "\\"), (_packed_escapes, "\\"), (_base64, "")):
             if sign not in layer.text:
                 continue
             for inner in unwrap(layer):
                 if inner.via == "oversize":
                     found.setdefault((inner.whole[0], 3, inner.whole[1]), "oversize")
                     continue
-                key = (inner.text, *inner.whole)
+                key = _key(inner.text, inner.whole)
                 if key in seen:
                     continue
                 seen.add(key)
-                work.append(inner)
                 here: list[tuple[int, int, int]] = []
                 for start, kind, end in base_spans(inner.text):
                     first, last = inner.origin(start, end)
@@ -250,7 +345,10 @@ def scan_text(text: str) -> list[tuple[int, int, int, str]]:
                         found.setdefault((first, kind, last), inner.via[1:])
                         here.append((first, kind, last))
                 inner.rivals += here
-    return [(*span, via) for span, via in sorted(found.items())]
+                if inner.flat and len(inner.text) * 8 > LAYER_LIMIT:  # large layers are not kept waiting beside each other
+                    _explore(inner, found, seen)
+                else:
+                    work.append(inner)
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
