@@ -33,6 +33,13 @@ def test_broken_markup():
     assert ht.render("<div>" * 3000 + "<table><tr><td>" * 300 + "low") == "low"
 
 
+def test_head_ends_without_its_tags():
+    assert ht.render("<head><title>t</title><p>text") == "text" and ht.render("<html><head><meta charset=x>\n text") == "text"
+    assert ht.render("<head><title>t</title><style>p{}</style><script>a</script>\n<link href=x><div>a</div>b</head>c") == "a\nbc"
+    assert ht.render("<head></p><title>no</title></body>yes") == "yes" and ht.render("<head><title>no</title></br>yes") == "yes"
+    assert ht.render("<head><title>t</title></head><body>a<head>b</head>c") == "abc" and ht.render("a<head>b") == "ab"
+
+
 def test_given_pages_keep_every_visible_word():
     """Brute force: tags cut out of the visible parts of a page leave the same words."""
     for (html,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():

@@ -1,7 +1,7 @@
 """HTML to text with the layout kept: a tree with implied tags, visibility rules, blocks, lists and tables.
 
 The standard tokenizer's events build a tree: end tags that HTML lets authors leave out are implied
-(``p``, ``li``, ``dt``/``dd``, ``option``, table parts), missing table rows are added, stray end tags are
+(``head``, ``p``, ``li``, ``dt``/``dd``, ``option``, table parts), missing table rows are added, stray end tags are
 dropped. A node is invisible by its kind, by ``hidden``, by an inline style, or by a plain ``.class``,
 ``#id`` or tag rule of a style sheet in the page. The tree is then walked once, without recursion, by
 writers: one for the page and one for each open table cell.
@@ -35,6 +35,7 @@ BLOCKS = frozenset(
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 CLOSES_P = BLOCKS - {"body", "html", "option", "optgroup", "legend", "li", "dd", "dt"}
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 SCOPES = frozenset("table td th caption html template".split())
 IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -100,6 +101,10 @@ class Tree(HTMLParser):
             else:
                 target.attrs = given | target.attrs
             return
+        if tag == "head" and (len(self.open) > 1 or any(not isinstance(c, str) or c.strip() for c in self.root.children)):
+            return  # a second head, or one after content, is only its content
+        if self.open[-1].tag == "head" and tag not in IN_HEAD:
+            self.open.pop()
         if tag in CLOSES_P:
             self._cut({"p"}, SCOPES)
         if tag in IMPLIED_END:
@@ -116,6 +121,10 @@ class Tree(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        if self.open[-1].tag == "head":
+            if tag not in ("head", "br", "html", "body"):
+                return
+            self.open.pop()
         if tag == "p" and not any(n.tag == "p" for n in self.open):
             self._push("p", {})
         if tag in ("br", "html", "body"):
@@ -131,6 +140,8 @@ class Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and data.strip(" \t\n\r\f"):
+            self.open.pop()
         if self.open[-1].tag == "style":
             for selectors, body in _SHEET_RULE.findall(_COMMENT.sub("", data)):
                 if _HIDES.search("{" + body):
