@@ -40,6 +40,12 @@ def test_head_ends_without_its_tags():
     assert ht.render("<head><title>t</title></head><body>a<head>b</head>c") == "abc" and ht.render("a<head>b") == "ab"
 
 
+def test_unknown_declarations_are_comments():
+    for mark in ("<![foo]>", "<![>", "<![if !IE]>", "<![endif]>", "<![CDATA[x]]>", "<![temp[ x>", "<!>", "<!x y>"):
+        assert ht.render(f"a{mark}b<p>c{mark}d") == "ab\n\ncd", mark
+    assert ht.render("<p>a<![foo") == "a" and ht.render("x<!--[if IE]>no<![endif]-->y") == "xy"
+
+
 def test_given_pages_keep_every_visible_word():
     """Brute force: tags cut out of the visible parts of a page leave the same words."""
     for (html,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():

@@ -90,6 +90,12 @@ class Tree(HTMLParser):
         if tag not in VOID:
             self.open.append(node)
 
+    def parse_html_declaration(self, i):
+        """``<![`` starts a bogus comment, which ends at the next ``>`` or with the page; the tokenizer raises at most of them."""
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
     def handle_starttag(self, tag, attrs):
         given = {k: v or "" for k, v in attrs}
         if tag in ("html", "body"):
@@ -272,11 +278,8 @@ def _seen(node: Node, hidden: set[str], shown: bool) -> tuple[bool, bool]:
 def render(html: str) -> str:
     """The visible text of a page."""
     tree = Tree()
-    try:
-        tree.feed(html)
-        tree.close()
-    except AssertionError:  # the tokenizer's own verdict on a broken declaration; what it read so far stands
-        pass
+    tree.feed(html)
+    tree.close()
     writers, tables, lists = [Writer()], [], []
     stack: list[tuple] = [(tree.root, False, True, False)]  # node, leaving, visible, preformatted
     while stack:
