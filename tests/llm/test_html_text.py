@@ -46,6 +46,21 @@ def test_unknown_declarations_are_comments():
     assert ht.render("<p>a<![foo") == "a" and ht.render("x<!--[if IE]>no<![endif]-->y") == "xy"
 
 
+def test_text_in_table_parts_goes_before_the_table():
+    assert ht.render("<table><tr>note<td>x</table>") == "note\n\nx"
+    assert ht.render("a<table>\n<thead>b <tr>\n<th>h\n</thead><tbody>c <tr><td>x</table>d") == "a\n\nb c\n\nh\nx\n\nd"
+    assert ht.render("<table><caption>t</caption><tr><td>x</table>") == "t\nx"
+
+
+def test_svg_and_math_text():
+    assert ht.render("<div><svg/>Text</div>") == "Text" and ht.render("a <math/>b") == "a b"
+    svg = "<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><style>no</style><path d=''/><g/>no<g><text>in <tspan>side</tspan></text><text>x</text></g></svg>"
+    assert ht.render(f"<p>a {svg} b") == "a in side x b"
+    assert ht.render("<svg><desc/><text>a</text><title/><foreignObject><p>b<br/>c</p></foreignObject></svg>d") == "a\n\nb\nc\n\nd"
+    assert ht.render("<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>no</annotation></semantics></math>") == "x=1"
+    assert ht.render("<svg><defs><p>out</p>") == "out" and ht.render("<mask>seen</mask><desc>too</desc>") == "seentoo"
+
+
 def test_given_pages_keep_every_visible_word():
     """Brute force: tags cut out of the visible parts of a page leave the same words."""
     for (html,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():

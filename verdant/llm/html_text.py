@@ -10,6 +10,8 @@ writers: one for the page and one for each open table cell.
 - List items carry ``- `` or their number, two blanks deeper per nested list.
 - Cells of a table are padded to the width of their column and parted by `` | ``; ``colspan`` and
   ``rowspan`` leave empty cells, cells of several lines make several lines.
+- Text that stands in a table but in no cell goes before the table, as in browsers.
+- Text of ``svg`` and ``math`` is kept, but for definitions, descriptions and annotations; what ``use`` draws is not repeated.
 - Runs of white space are one blank, but for ``pre`` and ``textarea``.
 
 Cases: NULL html gives empty text; broken markup never raises; texts of any depth and length are walked
@@ -29,7 +31,14 @@ from pyspark.sql import types as T
 
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style template noscript datalist iframe object audio video canvas svg math".split())
+UNSEEN = frozenset("head title script style template noscript datalist iframe object audio video canvas".split())
+# Within svg and math: what is never drawn, where HTML starts again, tags that end them, and parts that stand apart from each other.
+FOREIGN_UNSEEN = frozenset("defs desc metadata symbol clippath mask marker pattern annotation annotation-xml".split())
+INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+APART = frozenset("mfrac mroot msub msup msubsup munder mover munderover mtable mtr mlabeledtr mmultiscripts svg".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split()
 )
@@ -72,6 +81,19 @@ class Tree(HTMLParser):
         self.root = Node("html", {})
         self.open = [self.root]
         self.hidden: set[str] = set()
+        self.foreign = False  # whether the page has svg or math at all
+
+    def _foreign(self) -> str:
+        """``svg`` or ``math`` where their rules hold at this place, ``text`` in text of an svg, else nothing."""
+        text = ""
+        for node in reversed(self.open) if self.foreign else ():
+            if node.tag in ("svg", "math"):
+                return text if text and node.tag == "svg" else node.tag
+            if node.tag in INTEGRATION:
+                return ""
+            if node.tag == "text":
+                text = "text"
+        return ""
 
     def _cut(self, ends: set[str], stops: frozenset | set) -> None:
         """Closes everything down to the lowest of ``ends`` that no element of ``stops`` shields."""
@@ -98,6 +120,20 @@ class Tree(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         given = {k: v or "" for k, v in attrs}
+        if self._foreign():
+            if tag not in BREAKOUT:
+                if tag in FOREIGN_UNSEEN:
+                    given["hidden"] = ""
+                if tag in ("text", "foreignobject") or self.open[-1].tag in APART:
+                    self.open[-1].children.append(" ")
+                node = Node(tag, given)
+                self.open[-1].children.append(node)
+                self.open.append(node)
+                return
+            while self._foreign():
+                self.open.pop()
+        if tag in ("svg", "math"):
+            self.foreign = True
         if tag in ("html", "body"):
             if tag == "body":
                 self._cut({"head"}, SCOPES)
@@ -125,6 +161,12 @@ class Tree(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        if (tag in ("svg", "math") or self._foreign()) and self.open[-1].tag == tag:
+            self.open.pop()
+        elif self.foreign and tag in INTEGRATION and self.open[-1].tag == tag:
+            self.open.pop()
+            if not self._foreign():  # it stood in HTML, where the slash means nothing
+                self.open.append(self.open[-1].children[-1])
 
     def handle_endtag(self, tag):
         if self.open[-1].tag == "head":
@@ -152,6 +194,8 @@ class Tree(HTMLParser):
             for selectors, body in _SHEET_RULE.findall(_COMMENT.sub("", data)):
                 if _HIDES.search("{" + body):
                     self.hidden.update(s for s in map(str.strip, selectors.split(",")) if _SIMPLE.match(s))
+        if self._foreign() == "svg" and data.strip():  # only its text elements are drawn
+            return
         self.open[-1].children.append(data)
 
 
@@ -316,10 +360,8 @@ def render(html: str) -> str:
             pre = pre or tag in ("pre", "textarea")
             stack.append((node, True, shown, pre))
             children = node.children
-            if tag == "table":  # blanks between the parts of a table are no text
-                children = [c for c in children if not isinstance(c, str) or c.strip()]
-            elif tag in ("tr", "thead", "tbody", "tfoot"):
-                children = [c for c in children if not isinstance(c, str)]
+            if tag in ("table", "tr", "thead", "tbody", "tfoot", "colgroup"):  # blanks between the parts of a table are no text, other text goes before it
+                children = [c for c in children if not isinstance(c, str) or c.strip(" \t\n\r\f")]
             elif tag in ("pre", "textarea") and children and isinstance(children[0], str):
                 children = [children[0].removeprefix("\n"), *children[1:]]
             stack += [(c, False, shown, pre) for c in reversed(children)]
@@ -334,6 +376,8 @@ def render(html: str) -> str:
                 writers[-1].raw(line)
                 writers[-1].end_line()
         elif tag == "table":
+            if out.line:
+                out.block(True)
             for line in table_lines(tables.pop()):
                 out.raw(line)
                 out.end_line()
