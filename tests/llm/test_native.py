@@ -83,6 +83,41 @@ def test_licences_equal_trying_every_place(spark):
     assert [r.n_base for r in licences.scan(twice).collect()] == [1, 1]
 
 
+NOTICES = {
+    "cc by": "This work is licensed under CC BY 4.0.",
+    "general public license": "under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "all rights reserved": "Copyright (c) 2020 A. Author. All rights reserved.",
+    "apache license version 2 0": "Licensed under the Apache License, Version 2.0 (the \"License\");",
+    "mit license": "The MIT License (MIT)",
+    "permission is hereby granted free of charge to any person obtaining a copy": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+    "bsd license": "SPDX: BSD License",
+    "redistribution and use in source and binary forms": "Redistribution and use in source and binary forms, with or without modification, are permitted",
+    "cc by nc": "CC BY-NC 4.0",
+    "cc by sa": "CC BY-SA 4.0",
+    "cc by nd": "CC BY-ND 4.0",
+    "cc0": "CC0 1.0 Universal",
+    "creative commons": "Creative Commons Attribution 4.0 International",
+    "general public license version 2": "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991",
+    "general public license version 3": "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007",
+    "affero general public license": "GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007",
+    "lesser general public license": "GNU LESSER GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007",
+    "mozilla public license": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "eclipse public license": "made available under the terms of the Eclipse Public License 2.0",
+    "isc license": "ISC License",
+    "free and unencumbered software released into the public domain": "This is free and unencumbered software released into the public domain.",
+    "public domain": "This file is in the public domain.",
+}
+
+
+def test_each_template_finds_its_notice(spark):
+    assert [t.text for t in licences.TEMPLATES] == list(NOTICES)
+    index = licences.postings(docs_of(spark, list(NOTICES.values())), licences.TEMPLATES, "doc_id", "text")
+    found = licences.matches(index, spark).join(index.select("rid", "doc_id"), "rid").filter("found").select("doc_id", "tid", "part").collect()
+    assert {i for i in range(len(NOTICES))} <= {r.tid for r in found if r.doc_id == r.tid and r.part == 1}
+    mit = rows_of(licences.scan(docs_of(spark, ["Permission is hereby granted, free of charge, to any person obtaining a copy", "permission, free of any charge, to any person obtaining"])))
+    assert mit[0].labels == "mit" and mit[0].score == 1 and mit[1].labels == ""
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 

@@ -47,7 +47,7 @@ TEMPLATES = (
     Template("reserved", "all rights reserved", "all rights reserved", base=True),
     Template("apache-2.0", "apache license version 2 0", "apache license version 2"),
     Template("mit", "mit license", "mit license"),
-    Template("mit", "permission hereby granted free charge any person obtaining copy", "any person obtaining"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy", "any person obtaining", need=80),
     Template("bsd", "bsd license", "bsd license"),
     Template("bsd", "redistribution and use in source and binary forms", "source and binary forms", need=80),
     Template("cc-by-nc", "cc by nc", "cc by nc"),
