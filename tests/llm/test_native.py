@@ -163,6 +163,17 @@ def test_templates_learn_from_labels_and_merge(spark):
     assert {got[p].template for p in paths if p.startswith("/new")} == {"/new/*"}
 
 
+def test_all_levels_of_deep_paths(spark):
+    deep = "/r/s/t/u/v/w"
+    rules = [("block", "s.org", f"{deep}/bad/x/1"), ("allow", "s.org", f"{deep}/good/x/1")]
+    paths = [f"{deep}/{kind}/x/{n}" for kind in ("bad", "good") for n in (1, *range(10, 20), *range(100, 130), 7)] + ["/a" * 40, "/"]
+    pages = spark.createDataFrame([(i, f"http://s.org{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    got = dict(zip(paths, sorted(urls.judge(pages, rules, depth=None).collect())))
+    assert got[f"{deep}/bad/x/7"].verdict == "block" and got[f"{deep}/good/x/7"].verdict == "allow"
+    assert got[f"{deep}/bad/x/7"].template == f"{deep}/bad/x/*" and got["/a" * 40].template == "/a" * 40 and got["/"].template == ""
+    assert urls.judge(pages.limit(0), rules, depth=None).count() == 0
+
+
 @pytest.mark.parametrize("blocked, merges", [((40, 40), True), ((40, 0), False)])
 def test_only_like_branches_merge(spark, blocked, merges):
     rules = [("block", "s.org", f"/{k}/x") for k, n in zip("ab", blocked) if n] + [("allow", "s.org", f"/{k}/x") for k, n in zip("ab", blocked) if not n]

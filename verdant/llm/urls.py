@@ -11,8 +11,8 @@
 4. A template is rejected where its smoothed purity (blocked + 1) / (labelled + 2) reaches ``REJECT``.
 
 Only counts per (host, template) are grouped and joined level by level; a URL is joined once, with its
-template. A host with a third of all rows is thus a few counted rows. Levels below ``DEPTH`` are taken
-together as one tail.
+template. A host with a third of all rows is thus a few counted rows. Levels below ``depth`` are taken
+together as one tail; with ``depth=None`` there is no tail and every level has its turn.
 
 Cases: a NULL URL or one without ``://`` has an empty host and path and no rule; repeated rows are
 counted and returned as often as they come; an empty table gives an empty result; other columns are not read.
@@ -53,16 +53,18 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return found
 
 
-def segments(path: Column) -> Column:
-    """Segments with runs of digits as ``*``; what lies below ``DEPTH`` is one last ``**``."""
+def segments(path: Column, depth: int | None = DEPTH) -> Column:
+    """Segments with runs of digits as ``*``; what lies below ``depth`` is one last ``**``."""
     parts = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "*"), "/"), lambda s: s != "")
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
+    return parts if depth is None else F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
 
 
-def templates(leaves: DataFrame) -> DataFrame:
+def templates(leaves: DataFrame, depth: int | None = DEPTH) -> DataFrame:
     """``leaves`` (host, lex, n, labelled, blocked) with ``template``: its path after generalising, level by level."""
     known = leaves.withColumn("parts", F.split("lex", "/")).withColumn("template", F.lit(""))
-    for level in range(DEPTH):
+    if depth is None:
+        known = cut_lineage(known)
+    for level in range(known.agg(F.max(F.size("parts"))).first()[0] or 0 if depth is None else depth):
         part = F.get("parts", F.lit(level))
         known = cut_lineage(known)
         children = known.filter(part.isNotNull() & (part != "")).groupBy("host", "template", part.alias("part")).agg(F.sum("n").alias("n"))
@@ -70,7 +72,9 @@ def templates(leaves: DataFrame) -> DataFrame:
         wide = wide.filter((F.col("kinds") >= MANY) | ((F.col("kinds") >= SOME) & (2 * F.col("kinds") > F.col("n")))).select("host", "template", F.lit("*").alias("wild"))
         step = F.concat("template", F.lit("/"), F.coalesce("wild", part))
         known = known.join(wide, ["host", "template"], "left").withColumn("template", F.when(part.isNotNull() & (part != ""), step).otherwise(F.col("template"))).drop("wild")
-    tail = F.when(F.get("parts", F.lit(DEPTH)).isNotNull(), F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
+    if depth is None:
+        return known.drop("parts")
+    tail = F.when(F.get("parts", F.lit(depth)).isNotNull(), F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
     return known.withColumn("template", tail).drop("parts")
 
 
@@ -94,14 +98,14 @@ def merged(nodes: DataFrame) -> DataFrame:
     )
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url", depth: int | None = DEPTH) -> DataFrame:
     """page_id, host, path, rule, verdict, and the template with its smoothed purity."""
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    base = base.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("lex", F.array_join(segments(F.col("path")), "/"))
+    base = base.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("lex", F.array_join(segments(F.col("path"), depth), "/"))
     leaves = base.groupBy("host", "lex").agg(
         F.count(F.lit(1)).alias("n"), F.count("r").alias("labelled"), F.count(F.when(F.col("r.decision") == "block", 1)).alias("blocked")
     )
-    nodes = cut_lineage(templates(leaves))
+    nodes = cut_lineage(templates(leaves, depth))
     branches = merged(nodes)
     purity = branches.groupBy("host", "branch").agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("purity"))
     named = branches.select("host", "template", "branch").join(purity, ["host", "branch"])
