@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verdant.llm import queries_corpus, queries_native, queries_text  # noqa: F401
+from verdant.llm import queries_corpus, queries_native, queries_statistics, queries_text  # noqa: F401
 from verdant.llm.registry import ORACLES, QUERIES
 
 
