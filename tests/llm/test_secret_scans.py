@@ -155,3 +155,57 @@ def test_compressed_bytes_under_escapes():
         for body in (hexed, repr(raw)[2:-1], urllib.parse.quote(raw), urllib.parse.quote_plus(raw), "".join(f"%{b:02X}" for b in raw)):
             via = "unicode/inflate" if "\\x" in body else "url/inflate"
             assert {("access", body, via), ("assign", body, via)} <= set(found(f"data {body} .")), body
+
+
+def nested(depth, pack=gzip.compress):
+    raw = SECRET.encode()
+    for _ in range(depth):
+        raw = pack(raw, 1)
+    return base64.b64encode(raw).decode()
+
+
+def quine():
+    """Gzip data, but for its trailer, that inflates to itself: stored blocks of n units of 5 bytes, and repeats of the last four units."""
+    store = lambda n: b"\0" + (5 * n).to_bytes(2, "little") + (65535 - 5 * n).to_bytes(2, "little")
+    head, again = b"\x1f\x8b\x08\x08" + bytes(5) + b"\x03data\0", bytes.fromhex("428821c400")
+    fourth, first, none = store(4), store(1), store(0)
+    start = head + fourth + head + fourth + again + first + again + first + first + fourth + again + first + first + fourth
+    return start + (again + fourth) * 4 + none * 4
+
+
+def test_deeply_nested_layers():
+    for depth in (1, 400, 1100):
+        run = nested(depth)
+        assert ("assign", run, "base64" + "/inflate" * depth) in found(f"x {run} y")
+
+
+def test_five_thousand_layers():
+    run = nested(5000, zlib.compress)
+    assert run in {t for k, t, _ in found(f"x {run} y") if k == "assign"}
+
+
+def test_data_that_inflate_to_themselves(spark):
+    raw = quine()
+    assert zlib.decompressobj(31).decompress(raw) == raw
+    run = base64.b64encode(raw).decode()
+    assert found(f"x {run} y") == []
+    both = base64.b64encode(gzip.compress(f"a {KEY}".encode()) + raw).decode()
+    assert ("access", both[: len(both)], "base64/inflate") in found(f"x {both} y")
+    got = rows_of(ss.scan(docs_of(spark, [run, f"x {nested(1100)} y", SECRET])))
+    assert [[f.kind for f in got[i].found] for i in range(3)] == [[], ["assign"], ["assign"]]
+
+
+def test_large_layers_wait_compressed(monkeypatch):
+    monkeypatch.setattr(ss, "LAYER_LIMIT", 4000)
+    kept = []
+    wait = ss.Layer.wait
+    monkeypatch.setattr(ss.Layer, "wait", lambda self: wait(self) or kept.append(self.stored is not None))
+    inner = gzip.compress(b"b " * 1500 + SECRET.encode())
+    run = base64.b64encode(gzip.compress(b"a " * 1500 + inner)).decode()
+    got = found(f"x {run} y")
+    assert ("assign", run, "base64/inflate/inflate") in got and any(kept)
+    layer = ss.Layer("", "/x", whole=(0, 1), data=b"z" * 4000)
+    layer.wait()
+    assert layer.data == b"" and layer.stored
+    layer.resume()
+    assert layer.data == b"z" * 4000

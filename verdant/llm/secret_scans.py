@@ -10,8 +10,10 @@ Base64 is read from each of the four digits a run may start at, line by line and
 both readings have a finding, both are reported, as lines may be values of their own or parts of one.
 
 Compressed data (gzip, zlib, bzip2, xz) is found at any place of decoded bytes, also of bytes written with
-percent or backslash escapes, and read member after member. It may grow: beyond ``LAYER_LIMIT`` bytes it is
-reported as ``oversize`` with its span and read on in stretches of that size, each overlapping half of the one before.
+percent or backslash escapes, and read member after member. What it inflates to is scanned as text and, where it
+holds compressed data again, put on the worklist as bytes, so layers may be nested to any depth and data that
+inflates to itself ends like any other cycle. It may grow: beyond ``LAYER_LIMIT`` bytes it is reported as
+``oversize`` with its span and read on in stretches of that size, each overlapping half of the one before.
 
 Cases: NULL text counts as empty; repeated rows and NULL ids are scanned row by row; an empty table gives
 an empty result; only the two columns named are read. Texts are handled one by one, whole, in batches
@@ -50,9 +52,9 @@ _DIGITS = re.compile(r"[A-Za-z0-9+/_-]+")
 _BREAKS = re.compile(_BREAK)
 _WIDE = re.compile(rb"(?:[\x01-\x7f]\0){12}|(?:\0[\x01-\x7f]){12}")  # the shortest finding, token=abcdef, has 12 characters
 _PERCENT_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|\+")
-_PERCENT_BYTES = re.compile(r"[!-~]++")
+_PERCENT_BYTES = re.compile(r"(?<![!-~])[!-$&-~]*+%[!-~]*+")  # runs that hold the sign
 _ESCAPED_BYTE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\u\{0*([0-9A-Fa-f]{1,2})\}|\\U000000([0-9A-Fa-f]{2})|\\[0-7]{1,3}|\\[abtnvfr\\'\"]")
-_ESCAPED_BYTES = re.compile(r"[\x20-\x7e]++")
+_ESCAPED_BYTES = re.compile(r"(?<![\x20-\x7e])[\x20-\x5b\x5d-\x7e]*+\\[\x20-\x7e]*+")
 _LETTERS = dict(zip("abtnvfr", "\a\b\t\n\v\f\r"))
 _PIECE, _PART = 1 << 10, 1 << 20
 # zlib headers: method 8, window of 2^8 to 2^15, four levels, no dictionary, divisible by 31.
@@ -80,13 +82,43 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text; ``place`` maps a stretch of it into its parent's text, ``whole`` is its stretch of the original, ``flat`` all it knows."""
-
-    def __init__(self, text: str, via: str = "", parent: Layer | None = None, place: Callable[[int, int], tuple[int, int]] | None = None, whole: tuple[int, int] | None = None):
-        self.text, self.via, self.parent, self.place = text, via, parent, place
+    """A text; ``place`` maps a stretch of it into its parent's text, ``whole`` is its stretch of the original, ``flat`` all it knows.
+
+    A layer with ``data`` is inflated bytes that hold compressed data again; its text is empty."""
+
+    def __init__(
+        self,
+        text: str,
+        via: str = "",
+        parent: Layer | None = None,
+        place: Callable[[int, int], tuple[int, int]] | None = None,
+        whole: tuple[int, int] | None = None,
+        data: bytes | None = None,
+    ):
+        self.text, self.via, self.parent, self.place, self.data = text, via, parent, place, data
         self.flat = parent is None and whole is not None
         self.whole = whole or (0, len(text))
         self.rivals: list[tuple[int, int, int]] = []  # findings of earlier, likelier readings of the same bytes
+        self.stored: bytes | None = None
+
+    def key(self) -> tuple[bytes | str, bool, int, int]:
+        """What tells layers apart: the text or the bytes, and the stretch of the original."""
+        if self.data is None and len(self.text) < 1024:
+            return self.text, False, *self.whole
+        raw = self.text.encode("utf-8", "surrogatepass") if self.data is None else self.data
+        return hashlib.sha256(raw).digest(), self.data is not None, *self.whole
+
+    def wait(self) -> None:
+        """While it waits, a large inflated layer is kept compressed, so that many of them need no more room than the data they came from."""
+        raw = self.text.encode("utf-8", "surrogatepass") if self.data is None else self.data
+        if self.flat and len(raw) * 8 > LAYER_LIMIT:
+            self.stored = zlib.compress(raw, 1)
+            self.text, self.data = "", None if self.data is None else b""
+
+    def resume(self) -> None:
+        if self.stored is not None:
+            raw, self.stored = zlib.decompress(self.stored), None
+            self.text, self.data = (raw.decode("utf-8", "surrogatepass"), None) if self.data is None else ("", raw)
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         layer = self
@@ -192,16 +224,21 @@ def _streams(data: bytes) -> Iterator[tuple[bytes, int, int, bool]]:
 
 
 def _inflated(layer: Layer, data: bytes, place: Callable[[int, int], tuple[int, int]], via: str) -> Iterator[Layer]:
-    """The layers of all compressed data in the bytes, also inside other compressed data."""
+    """The texts of all compressed data in the bytes, and the inflated bytes as a layer of their own where they hold compressed data again."""
     if not _MAGIC.search(data):
         return
     for inner, start, end, more in _streams(data):
         whole = layer.origin(*place(start, end))
         if more:
             yield Layer("", "oversize", whole=whole)
+        if _MAGIC.search(inner):
+            yield Layer("", f"{layer.via}/{via}", whole=whole, data=inner)
         for text, _ in _texts(inner):
-            yield Layer(text, f"{layer.via}/{via}/inflate", whole=whole)
-        yield from _inflated(Layer("", layer.via, whole=whole), inner, lambda i, j: (0, 0), f"{via}/inflate")
+            yield Layer(text, f"{layer.via}/{via}", whole=whole)
+
+
+def _packed(layer: Layer) -> Iterator[Layer]:
+    yield from _inflated(layer, layer.data, lambda start, end: (start, end), "inflate")
 
 
 def _texts(data: bytes) -> Iterator[tuple[str, Callable[[int], int]]]:
@@ -271,14 +308,12 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             # byte i stands in the base64 digits i * 4 / 3 and the next one or two
             where = lambda i, j, place=place, skip=skip: place(skip + i * 4 // 3, skip - (-j * 4 // 3))
             yield from _read(layer, data, where, "base64")
-            yield from _inflated(layer, data, where, "base64")
+            yield from _inflated(layer, data, where, "base64/inflate")
 
 
-def _unescaped(layer: Layer, sign: str, stretches: re.Pattern, escape: re.Pattern, value: Callable[[re.Match], bytes], via: str) -> Iterator[Layer]:
+def _unescaped(layer: Layer, stretches: re.Pattern, escape: re.Pattern, value: Callable[[re.Match], bytes], via: str) -> Iterator[Layer]:
     """What compressed bytes written with escapes inflate to; characters that need no escape stand for themselves."""
     for m in stretches.finditer(layer.text):
-        if sign not in m[0]:
-            continue
         out, news, olds, at, n = [], [], [], m.start(), 0
         for e in [*escape.finditer(layer.text, m.start(), m.end()), None]:
             end = e.start() if e else m.end()
@@ -294,16 +329,20 @@ def _unescaped(layer: Layer, sign: str, stretches: re.Pattern, escape: re.Patter
             a, b = bisect_right(news, i) - 1, bisect_right(news, j - 1) - 1
             return olds[a][0] + (i - news[a]) * olds[a][1], olds[b][0] + j - news[b] if olds[b][1] else olds[b][2]
 
-        yield from _inflated(layer, b"".join(out), where, via)
+        yield from _inflated(layer, b"".join(out), where, f"{via}/inflate")
 
 
 def _packed_percent(layer: Layer) -> Iterator[Layer]:
+    if not _PERCENT.search(layer.text):  # compressed bytes are never all printable
+        return
     for plus in (b"+", b" ") if "+" in layer.text else (b"+",):
-        yield from _unescaped(layer, "%", _PERCENT_BYTES, _PERCENT_BYTE, lambda e, plus=plus: plus if e[0] == "+" else bytes.fromhex(e[0][1:]), "url")
+        yield from _unescaped(layer, _PERCENT_BYTES, _PERCENT_BYTE, lambda e, plus=plus: plus if e[0] == "+" else bytes.fromhex(e[0][1:]), "url")
 
 
 def _packed_escapes(layer: Layer) -> Iterator[Layer]:
-    yield from _unescaped(layer, "\\", _ESCAPED_BYTES, _ESCAPED_BYTE, _escaped_value, "unicode")
+    if not _ESCAPED_BYTE.search(layer.text):
+        return
+    yield from _unescaped(layer, _ESCAPED_BYTES, _ESCAPED_BYTE, _escaped_value, "unicode")
 
 
 def _escaped_value(e: re.Match) -> bytes:
@@ -315,40 +354,38 @@ def _escaped_value(e: re.Match) -> bytes:
 def scan_text(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind, end, via) of all findings; ``via`` names the layers undone, empty for the plain ones."""
     found = {span: "" for span in base_spans(text)}
-    _explore(Layer(text), found, {_key(text, (0, len(text)))})
-    return [(*span, via) for span, via in sorted(found.items())]
-
-
-def _key(text: str, whole: tuple[int, int]) -> tuple[str | bytes, int, int]:
-    return (text if len(text) < 1024 else hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), *whole)
-
-
-def _explore(layer: Layer, found: dict[tuple[int, int, int], str], seen: set[tuple[str | bytes, int, int]]) -> None:
-    work = [layer]
+    work = [Layer(text)]
+    seen = {work[0].key()}
     while work:
         layer = work.pop()
-        for unwrap, sign in ((_percent, "%"), (_packed_percent, "%"), (_unicode, "\\"), (_packed_escapes, "\\"), (_base64, "")):
-            if sign not in layer.text:
+        layer.resume()
+        for inner in _unwrapped_layers(layer):
+            if inner.via == "oversize":
+                found.setdefault((inner.whole[0], 3, inner.whole[1]), "oversize")
                 continue
-            for inner in unwrap(layer):
-                if inner.via == "oversize":
-                    found.setdefault((inner.whole[0], 3, inner.whole[1]), "oversize")
-                    continue
-                key = _key(inner.text, inner.whole)
-                if key in seen:
-                    continue
-                seen.add(key)
-                here: list[tuple[int, int, int]] = []
-                for start, kind, end in base_spans(inner.text):
-                    first, last = inner.origin(start, end)
-                    if not any(k == kind and first < e and s < last for s, k, e in inner.rivals):
-                        found.setdefault((first, kind, last), inner.via[1:])
-                        here.append((first, kind, last))
-                inner.rivals += here
-                if inner.flat and len(inner.text) * 8 > LAYER_LIMIT:  # large layers are not kept waiting beside each other
-                    _explore(inner, found, seen)
-                else:
-                    work.append(inner)
+            key = inner.key()
+            if key in seen:
+                continue
+            seen.add(key)
+            here: list[tuple[int, int, int]] = []
+            for start, kind, end in base_spans(inner.text):
+                first, last = inner.origin(start, end)
+                if not any(k == kind and first < e and s < last for s, k, e in inner.rivals):
+                    found.setdefault((first, kind, last), inner.via[1:])
+                    here.append((first, kind, last))
+            inner.rivals += here
+            inner.wait()
+            work.append(inner)
+    return [(*span, via) for span, via in sorted(found.items())]
+
+
+def _unwrapped_layers(layer: Layer) -> Iterator[Layer]:
+    if layer.data is not None:
+        yield from _packed(layer)
+        return
+    for unwrap, sign in ((_percent, "%"), (_packed_percent, "%"), (_unicode, "\\"), (_packed_escapes, "\\"), (_base64, "")):
+        if sign in layer.text:
+            yield from unwrap(layer)
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
