@@ -51,13 +51,15 @@ def test_encoding_in_parts_equals_encoding_whole(plain):
     rng = random.Random(8)
     texts = ["", " ", "  ", "a  b", "a \nb", "a\n b", " lead", "trail ", "don't we'll", "é ñ x 　 y", "a b c", "x\x1c y \x1f", "12 34  56", "🎉 🎉\t🎉", "<|endoftexT|> a"]
     texts += ["".join(rng.choices(" \n\tab'sé1!漢 ", k=rng.randrange(40))) for _ in range(3000)]
+    end = "<|endoftext|>"
+    texts += [f"{end} hi", f"hi {end}", f"a b {end} c d", f"a{end}b c", end, end + end, f" {end} {end}  x", f"<|endof {end}text|> y", f"{end}\n\n{end} z", "<|endof text|>"]
     encoder = pk.Encoder(VOCABULARY)
     for t, ids in zip(texts, encoder.ids(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_cases(spark, plain):
-    texts = [None, "", "a", "a", "word " * 5000, "x" * 3000, " y" * 1023, " y" * 1024, " y" * 1022]
+    texts = [None, "", "a", "a", "word " * 5000, "x" * 3000, " y" * 1023, " y" * 1024, " y" * 1022, "<|endoftext|> hi", "a <|endoftext|> b " * 700]
     rows = pk.pack(pk.pieces(docs_of(spark, texts), VOCABULARY)).collect()
     check(rows, dict(enumerate(texts)), plain)
     assert pk.pack(pk.pieces(empty_docs(spark), VOCABULARY)).count() == 0

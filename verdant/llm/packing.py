@@ -46,7 +46,8 @@ class Encoder:
     The vocabulary's pattern never joins what stands before a blank with the blank and the word after it, so a
     text is the row of its parts cut before each such blank, and equal parts need encoding once. For the same
     reason new parts are encoded together, as one text, whose tokens are dealt out by their lengths in bytes.
-    Texts with a blank before other white space or at the end are encoded whole.
+    Texts with a blank before other white space or at the end are encoded whole, and so are those that hold the
+    string of a special token, which the tokenizer reads as that token wherever it stands.
     """
 
     _WHOLE = re.compile(r" (?=\s|\Z)")
@@ -55,7 +56,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}  # part, without its blank -> ids
         tokens = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(tokens.values()) + 1, np.int64)
@@ -80,7 +81,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        cut = [None if self._WHOLE.search(t) else t.split(" ") for t in texts]
+        cut = [None if self._WHOLE.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
         first = [t if parts is None else parts.pop(0) for t, parts in zip(texts, cut, strict=True)]
         self._learn(list(set().union(*[parts for parts in cut if parts]).difference(known)))
         return [self._encode(f).tobytes() + b"".join(map(known.__getitem__, parts or ())) for f, parts in zip(first, cut, strict=True)]
