@@ -64,27 +64,29 @@ def _url_sql() -> str:
     ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     rule = "CASE " + fits.format(*[f"'{h}{p}'" for _, h, p in ordered]) + " END"
     decision = "CASE " + fits.format(*[f"'{v}'" for v, _, _ in ordered]) + " END"
-    levels = ["k0 AS (SELECT *, string_split(lex, '/') AS parts, '' AS template FROM leaves)"]
-    for i in range(6):
-        here = f"nullif(parts[{i + 1}], '')"
-        levels.append(f"""w{i} AS (SELECT host, template FROM (SELECT host, template, {here} AS part, sum(n) AS n FROM k{i} WHERE {here} IS NOT NULL GROUP BY ALL)
-  GROUP BY ALL HAVING count(*) >= 32 OR (count(*) >= 8 AND 2 * count(*) > sum(n))),
-k{i + 1} AS (SELECT k{i}.* EXCLUDE (template), CASE WHEN {here} IS NULL THEN k{i}.template WHEN w{i}.host IS NOT NULL THEN k{i}.template || '/*' ELSE k{i}.template || '/' || {here} END AS template
-  FROM k{i} LEFT JOIN w{i} ON w{i}.host = k{i}.host AND w{i}.template = k{i}.template)""")
-    return rf"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+    return rf"""WITH RECURSIVE u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 parsed AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{upper.lower()}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
-cut AS (SELECT *, {rule} AS rule, {decision} AS decision, list_filter(string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/'), lambda s: s <> '') AS segs FROM parsed),
-base AS (SELECT * EXCLUDE (segs), array_to_string(CASE WHEN len(segs) > 6 THEN list_append(segs[1:6], '**') ELSE segs END, '/') AS lex FROM cut),
-leaves AS (SELECT host, lex, count(*) AS n, count(rule) AS labelled, count(*) FILTER (decision = 'block') AS blocked FROM base GROUP BY 1, 2),
-{", ".join(levels)},
-nodes AS (SELECT host, lex, labelled, blocked, CASE WHEN len(parts) > 6 THEN template || '/**' ELSE template END AS template FROM k6),
-stats AS (SELECT host, template, sum(labelled) AS l, sum(blocked) AS b, regexp_replace(template, '/[^/*]+((?:/[^/]*\*[^/]*)*)$', '/*\1') AS parent FROM nodes GROUP BY 1, 2),
-sib AS (SELECT host, parent, count(*) - 1 AS free, sum(l) AS l, sum(b) AS b, sum(b::DOUBLE * b / l) - sum(b)::DOUBLE * sum(b) / sum(l) AS spread FROM stats WHERE l >= 3 AND parent <> template GROUP BY 1, 2),
-joins AS (SELECT host, parent FROM sib WHERE free >= 1 AND (b = 0 OR b = l OR spread <= (free + 2 * sqrt(2 * free)) * (b::DOUBLE / l) * (1 - b::DOUBLE / l))),
-branches AS (SELECT s.host, s.template, l, b, CASE WHEN j.host IS NOT NULL AND l >= 3 AND s.parent <> s.template THEN '~' || s.parent ELSE s.template END AS branch FROM stats s LEFT JOIN joins j ON j.host = s.host AND j.parent = s.parent),
-purity AS (SELECT host, branch, (sum(b) + 1) / (sum(l) + 2) AS purity FROM branches GROUP BY 1, 2)
-SELECT page_id, base.host AS host, path, rule, coalesce(decision, CASE WHEN purity >= 0.9 THEN 'block' ELSE 'allow' END) AS verdict, branches.branch AS template, purity
-FROM base JOIN nodes ON nodes.host = base.host AND nodes.lex = base.lex JOIN branches ON branches.host = base.host AND branches.template = nodes.template JOIN purity ON purity.host = base.host AND purity.branch = branches.branch"""
+base AS (SELECT *, {rule} AS rule, {decision} AS decision, list_filter(string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/'), lambda s: s <> '') AS parts FROM parsed),
+leaves AS (SELECT host, parts, count(*) AS n, count(rule) AS labelled, count(*) FILTER (decision = 'block') AS blocked FROM base GROUP BY 1, 2),
+walk AS (SELECT host, parts, n, 0 AS level, '' AS template FROM leaves
+  UNION ALL SELECT host, parts, n, level + 1, template || '/' || CASE WHEN kinds >= 32 OR (kinds >= 8 AND 2 * kinds > total) THEN '*' ELSE parts[level + 1] END
+  FROM (SELECT *, count(DISTINCT parts[level + 1]) OVER (PARTITION BY host, template) AS kinds, sum(n) OVER (PARTITION BY host, template) AS total FROM walk WHERE len(parts) > level)),
+nodes AS (SELECT host, parts, template FROM walk WHERE level = len(parts)),
+stats AS (SELECT host, template, sum(labelled) AS l, sum(blocked) AS b, regexp_replace(template, '/[^/*]+((?:/[^/]*\*[^/]*)*)$', '/*\1') AS parent FROM nodes JOIN leaves USING (host, parts) GROUP BY 1, 2),
+sib AS (SELECT *, b / l AS share FROM stats WHERE l >= 3 AND parent <> template),
+pre AS (SELECT *, lag(l) OVER w AS m, lag(b) OVER w AS c, lag(share) OVER w AS before FROM sib WINDOW w AS (PARTITION BY host, parent ORDER BY share, template)),
+test AS (SELECT *, (b + c) / (l + m) AS p FROM pre),
+runs AS (SELECT *, sum(CASE WHEN p = 0 OR p = 1 OR (share - before) * (share - before) <= 4 * p * (1 - p) * (1 / l + 1 / m) THEN 0 ELSE 1 END) OVER (PARTITION BY host, parent ORDER BY share, template) AS run FROM test),
+named AS (SELECT host, template, CASE WHEN count(*) OVER (PARTITION BY host, parent, run) > 1 THEN '~' || parent || '#' || run ELSE template END AS name FROM runs),
+branches AS (SELECT s.host, s.template, l, b, coalesce(name, s.template) AS branch FROM stats s LEFT JOIN named n ON n.host = s.host AND n.template = s.template),
+own AS (SELECT host, branch, (sum(b) + 1) / (sum(l) + 2) AS own FROM branches GROUP BY 1, 2 HAVING sum(l) > 0),
+above AS (SELECT a.host, a.template, (sum(c.b) + 1) / (sum(c.l) + 2) AS given, length(node) AS deep
+  FROM (SELECT host, template, unnest([template] || list_transform(range(length(template)), lambda i: CASE WHEN substr(template, i + 1, 1) = '/' THEN substr(template, 1, i) END)) AS node FROM stats) a
+  JOIN stats c ON c.host = a.host AND (c.template = node OR starts_with(c.template, node || '/')) WHERE node IS NOT NULL AND c.l > 0 GROUP BY a.host, a.template, node),
+nearest AS (SELECT host, template, arg_max(given, deep) AS given FROM above GROUP BY 1, 2),
+purity AS (SELECT b.host, b.template, b.branch, coalesce(own, given, 0.5::DOUBLE) AS purity FROM branches b LEFT JOIN own o ON o.host = b.host AND o.branch = b.branch LEFT JOIN nearest n ON n.host = b.host AND n.template = b.template)
+SELECT page_id, base.host AS host, path, rule, coalesce(decision, CASE WHEN purity >= 0.9 THEN 'block' ELSE 'allow' END) AS verdict, purity.branch AS template, purity
+FROM base JOIN nodes ON nodes.host = base.host AND nodes.parts = base.parts JOIN purity ON purity.host = nodes.host AND purity.template = nodes.template"""
 
 
 @query("op10_url_filters", _url_sql())

@@ -2,17 +2,20 @@
 
 1. Explicit rules (host, path, verdict) decide first: a rule fits its host and all subdomains where the
    path starts with the rule's; the longest wins. What they decide serves as labels.
-2. The tree of a host is generalised from the root down. Runs of digits become ``*`` at once; then, level
-   by level, children of a node become one wildcard where there are too many for a fixed part of a site:
-   ``MANY`` different ones, or ``SOME`` of which most occur once or so.
-3. Branches that differ in their last fixed segment and whose labelled shares agree (chi-square of
-   homogeneity within two standard deviations of its mean) are merged. A branch joins only by labels of
-   its own: one without them is like nothing else.
-4. A template is rejected where its smoothed purity (blocked + 1) / (labelled + 2) reaches ``REJECT``.
-
-Only counts per (host, template) are grouped and joined level by level; a URL is joined once, with its
-template. A host with a third of all rows is thus a few counted rows. Levels below ``depth`` are taken
-together as one tail; with ``depth=None`` there is no tail and every level has its turn.
+2. The tree of a host is generalised from the root down. Runs of digits become ``*`` at once; then, at
+   each branching, children of a node become one wildcard where there are too many for a fixed part of a
+   site: ``MANY`` different ones, or ``SOME`` of which most occur once or so.
+3. Branches that differ in their last fixed segment are put in order of their labelled shares; neighbours
+   whose shares agree (two-sample test, ``ALIKE`` standard errors) are merged. A branch joins only by labels of its
+   own: ``LEAST_LABELS`` or more.
+4. A branch with labels has the smoothed purity (blocked + 1) / (labelled + 2). One without has that of the
+   nearest node above it with any labels below, up to the host; where the host has none, 1/2. The branch
+   is rejected where its purity reaches ``REJECT``.
+
+Only counts per (host, template) are grouped and joined; a URL is joined once, with its template. A host
+with a third of all rows is thus a few counted rows. There is no limit to the depth: each round takes all groups of
+paths to their next branching at once, and groups of fewer than ``SOME`` paths, in which nothing can become a
+wildcard any more, are done. The number of rounds is that of such branchings on one path.
 
 Cases: a NULL URL or one without ``://`` has an empty host and path and no rule; repeated rows are
 counted and returned as often as they come; an empty table gives an empty result; other columns are not read.
@@ -21,15 +24,16 @@ counted and returned as often as they come; an empty table gives an empty result
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdant.session import cut_lineage
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-DEPTH = 6
 MANY = 32
 SOME = 8
 LEAST_LABELS = 3
+ALIKE = 2
 REJECT = 0.9
 
 
@@ -53,63 +57,89 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return found
 
 
-def segments(path: Column, depth: int | None = DEPTH) -> Column:
-    """Segments with runs of digits as ``*``; what lies below ``depth`` is one last ``**``."""
-    parts = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "*"), "/"), lambda s: s != "")
-    return parts if depth is None else F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
-
-
-def templates(leaves: DataFrame, depth: int | None = DEPTH) -> DataFrame:
-    """``leaves`` (host, lex, n, labelled, blocked) with ``template``: its path after generalising, level by level."""
-    known = leaves.withColumn("parts", F.split("lex", "/")).withColumn("template", F.lit(""))
-    if depth is None:
-        known = cut_lineage(known)
-    for level in range(known.agg(F.max(F.size("parts"))).first()[0] or 0 if depth is None else depth):
-        part = F.get("parts", F.lit(level))
-        known = cut_lineage(known)
-        children = known.filter(part.isNotNull() & (part != "")).groupBy("host", "template", part.alias("part")).agg(F.sum("n").alias("n"))
-        wide = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
-        wide = wide.filter((F.col("kinds") >= MANY) | ((F.col("kinds") >= SOME) & (2 * F.col("kinds") > F.col("n")))).select("host", "template", F.lit("*").alias("wild"))
-        step = F.concat("template", F.lit("/"), F.coalesce("wild", part))
-        known = known.join(wide, ["host", "template"], "left").withColumn("template", F.when(part.isNotNull() & (part != ""), step).otherwise(F.col("template"))).drop("wild")
-    if depth is None:
-        return known.drop("parts")
-    tail = F.when(F.get("parts", F.lit(depth)).isNotNull(), F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return known.withColumn("template", tail).drop("parts")
-
-
-def merged(nodes: DataFrame) -> DataFrame:
-    """(host, template, branch): similar sibling templates share a branch, all others are their own."""
-    stats = nodes.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+def segments(path: Column) -> Column:
+    """Segments of a path with runs of digits as ``*``."""
+    return F.filter(F.split(F.regexp_replace(path, "[0-9]+", "*"), "/"), lambda s: s != "")
+
+
+def _below(template: Column, parts: Column) -> Column:
+    return F.concat(template, F.array_join(F.transform(parts, lambda p: F.concat(F.lit("/"), p)), ""))
+
+
+def templates(leaves: DataFrame) -> DataFrame:
+    """``leaves`` (host, lex, n, labelled, blocked) with ``template``: its path after generalising, from one branching to the next."""
+    node, rest = ["host", "template"], F.col("rest")
+    open_ = cut_lineage(leaves.withColumn("rest", F.filter(F.split("lex", "/"), lambda s: s != "")).withColumn("template", F.lit("")))
+    done = []
+    while True:
+        groups = open_.groupBy(node).agg(F.count(F.lit(1)).alias("leaves"), F.min("rest").alias("low"), F.max("rest").alias("high"))
+        # What the least and the greatest of some lists have in common from the start, all of them have.
+        same = F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b))
+        differ = F.array_position(same, F.lit(False)).cast("int")
+        common = F.when(F.col("leaves") < SOME, F.lit(None)).when(differ == 0, F.size(same)).otherwise(differ - 1)
+        here = open_.join(groups.select(*node, common.alias("common")), node)
+        ahead = F.coalesce("common", F.size("rest"))
+        here = here.select(*leaves.columns, _below(F.col("template"), F.slice("rest", F.lit(1), ahead)).alias("template"), F.slice(rest, ahead + 1, F.size("rest")).alias("rest"))
+        here = cut_lineage(here)
+        done.append(here.filter(F.size("rest") == 0).drop("rest"))
+        here = here.filter(F.size("rest") > 0)
+        if here.isEmpty():
+            break
+        children = here.groupBy(*node, F.get("rest", F.lit(0)).alias("part")).agg(F.sum("n").alias("n"))
+        wide = children.groupBy(node).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
+        wide = wide.filter((F.col("kinds") >= MANY) | ((F.col("kinds") >= SOME) & (2 * F.col("kinds") > F.col("n")))).select(*node, F.lit("*").alias("wild"))
+        step = F.concat("template", F.lit("/"), F.coalesce("wild", F.get("rest", F.lit(0))))
+        open_ = here.join(wide, node, "left").select(*leaves.columns, step.alias("template"), F.slice("rest", 2, F.size("rest")).alias("rest"))
+        open_ = cut_lineage(open_)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def merged(stats: DataFrame) -> DataFrame:
+    """``stats`` (host, template, labelled, blocked) with ``branch``: like siblings share one, all others are their own."""
     parent = F.regexp_replace("template", r"/[^/*]+((?:/[^/]*\*[^/]*)*)$", "/*$1")
-    stats = cut_lineage(stats.withColumn("parent", parent))
-    siblings = stats.filter((F.col("labelled") >= LEAST_LABELS) & (F.col("parent") != F.col("template")))
-    # Sum over children of (b - n p)^2 / (n p (1 - p)) = (sum(b^2 / n) - B^2 / N) / (p (1 - p))
-    total, block = F.sum("labelled"), F.sum("blocked")
-    spread = F.sum(F.col("blocked") * F.col("blocked") / F.col("labelled")) - block * block / total
-    like = siblings.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("k"), total.alias("l"), block.alias("b"), spread.alias("spread"))
-    share = F.col("b") / F.col("l")
-    free = F.col("k") - 1
-    close = (F.col("b") == 0) | (F.col("b") == F.col("l")) | (F.col("spread") <= (free + 2 * F.sqrt(2 * free)) * share * (1 - share))
-    like = like.filter((F.col("k") >= 2) & close).select("host", "parent", F.lit(True).alias("joins"))
-    joins = F.col("joins") & (F.col("labelled") >= LEAST_LABELS) & (F.col("parent") != F.col("template"))
-    return stats.join(like, ["host", "parent"], "left").select(
-        "host", "template", "labelled", "blocked", F.when(F.coalesce(joins, F.lit(False)), F.concat(F.lit("~"), "parent")).otherwise(F.col("template")).alias("branch")
-    )
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url", depth: int | None = DEPTH) -> DataFrame:
+    stats = stats.withColumn("parent", parent)
+    able = (F.col("labelled") >= LEAST_LABELS) & (F.col("parent") != F.col("template"))
+    # A node has fewer than MANY fixed children, so these windows are short.
+    along = W.partitionBy("host", "parent").orderBy("share", "template")
+    rows = stats.filter(able).withColumn("share", F.col("blocked") / F.col("labelled"))
+    n, b, m, c = F.col("labelled"), F.col("blocked"), F.lag("labelled").over(along), F.lag("blocked").over(along)
+    pooled, apart = (b + c) / (n + m), F.col("share") - F.lag("share").over(along)
+    like = (pooled == 0) | (pooled == 1) | (apart * apart <= ALIKE * ALIKE * pooled * (1 - pooled) * (1 / n + 1 / m))
+    runs = rows.withColumn("cut", F.when(like, 0).otherwise(1)).withColumn("run", F.sum("cut").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    several = F.count(F.lit(1)).over(W.partitionBy("host", "parent", "run")) > 1
+    name = F.when(several, F.concat(F.lit("~"), "parent", F.lit("#"), F.col("run").cast("string"))).otherwise(F.col("template"))
+    runs = runs.select("host", "template", name.alias("name"))
+    return stats.join(runs, ["host", "template"], "left").select("host", "template", "labelled", "blocked", F.coalesce("name", "template").alias("branch"))
+
+
+def purities(stats: DataFrame) -> DataFrame:
+    """(host, template, branch, purity): of the branch's own labels, else inherited."""
+    smooth = (F.col("blocked") + 1) / (F.col("labelled") + 2)
+    named = cut_lineage(merged(stats))
+    own = named.groupBy("host", "branch").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")).filter("labelled > 0")
+    named = cut_lineage(named.select("host", "template", "branch").join(own.select("host", "branch", smooth.alias("own")), ["host", "branch"], "left"))
+    parts = F.filter(F.split("template", "/"), lambda s: s != "")
+    nodes = F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("path"))))
+    above = stats.filter("labelled > 0").select("host", nodes.alias("node"), "labelled", "blocked").groupBy("host", "node")
+    above = above.agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")).select("host", "node", smooth.alias("purity"))
+    bare = named.filter("own IS NULL").select("host", "template", nodes.alias("node"))
+    given = bare.join(above, ["host", "node"]).groupBy("host", "template").agg(F.max_by("purity", "node.depth").alias("given"))
+    return named.join(given, ["host", "template"], "left").select("host", "template", "branch", F.coalesce("own", "given", F.lit(0.5)).alias("purity"))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, and the template with its smoothed purity."""
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    base = base.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("lex", F.array_join(segments(F.col("path"), depth), "/"))
+    base = base.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("lex", F.array_join(segments(F.col("path")), "/"))
     leaves = base.groupBy("host", "lex").agg(
         F.count(F.lit(1)).alias("n"), F.count("r").alias("labelled"), F.count(F.when(F.col("r.decision") == "block", 1)).alias("blocked")
     )
-    nodes = cut_lineage(templates(leaves, depth))
-    branches = merged(nodes)
-    purity = branches.groupBy("host", "branch").agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("purity"))
-    named = branches.select("host", "template", "branch").join(purity, ["host", "branch"])
-    lookup = nodes.select("host", "lex", "template").join(named, ["host", "template"])
+    nodes = cut_lineage(templates(leaves))
+    stats = cut_lineage(nodes.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")))
+    lookup = nodes.select("host", "lex", "template").join(purities(stats), ["host", "template"])
     return base.join(lookup, ["host", "lex"], "left").select(
         "page_id",
         "host",
