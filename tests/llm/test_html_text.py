@@ -1,5 +1,8 @@
 import re
 
+import random
+import time
+
 import duckdb
 
 from verdant.llm import html_text as ht
@@ -79,3 +82,78 @@ def test_frame(spark):
     pages = spark.createDataFrame([(1, None, "u", "t"), (2, "<p>x", "u", "t"), (2, "<p>x", "u", "t"), (None, "", "u", "t")], "page_id long, html string, url string, text string")
     assert sorted((r.page_id or 0, r.text) for r in ht.extract(pages).collect()) == [(0, ""), (1, ""), (2, "x"), (2, "x")]
     assert ht.extract(pages.limit(0)).count() == 0
+
+
+def test_style_sheets_for_screens():
+    for css in ("@media print{.x{display:none}}", ".x{display:none} .x{display:block}", "@media (max-width: 600px){.x{display:none}}", "@font-face{src:url(a)} @import 'a.css'; .y{display:none}", ".x{display:nonsense}",
+                ".x{display:block!important} .x{display:none}", "div p .x{display:none}", ".x:hover{display:none}", "@keyframes k{0%{display:none}} .x::before{display:none}", "p.x{display:none}", ".x{content:'}.x{display:none'}"):
+        assert ht.render(f"<style>{css}</style><div class=x>text") == "text", css
+        assert ht.render(f"<style media=print>.x{{display:none}}</style><style>{css}</style><div class=x>text") == "text", css
+    for css in (".x{display:none", "@media screen{.x{display:none}}", "@media print,all and (min-width:40em){@supports (a:b){div.x{display:none}}}", "body > .x, .q{visibility:hidden}", ".x{display:none;color:red} .x{color:blue}", "div[class~=x]{display:none}",
+                "#a .x{display:none} .x{display:block}", ".x{display:none!important} .x{display:block}", "html .x{display:none;;}", "/* .x{} */.x{display:/**/none}<!-- -->", '[id="b"]{display:none}'):
+        assert ht.render(f"<body id=a><style>{css}</style><div class=x id=b>text</div>seen") == "seen", css
+    assert ht.render("<p style='display:none;display:block'>yes<p style='display:block;display:none'>no<p style='display:none!important;display:block'>no") == "yes"
+    assert ht.render("<style>.x{display:block} p{display:none!important}</style><div hidden class=x>yes</div><div hidden>no</div><p style='display:block'>no") == "yes"
+
+
+def test_closed_details_show_their_summary():
+    assert ht.render("<details><p>no<summary>sum</summary>no</details>a<details open><summary>b</summary>c</details>") == "sum\na\nb\nc"
+
+
+def test_visibility_equals_brute_force():
+    """Random trees and sheets; every text's visibility is worked out by walking up from it, rule by rule."""
+    rng = random.Random(3)
+    for _ in range(300):
+        sheet = []
+        for _ in range(rng.randrange(6)):
+            parts = [rng.choice(["div", "span", "*", "i"]) * rng.randrange(2) + "".join(rng.choice([".a", ".b", "#c"]) for _ in range(rng.randrange(2))) for _ in range(rng.randrange(1, 4))]
+            sheet.append(([p or ".a" for p in parts], [rng.choice([" ", " > "]) for _ in parts[1:]], rng.choice(["display", "visibility"]), rng.choice(["none", "block", "hidden", "visible"]), rng.random() < 0.2))
+        css = " ".join("".join(p + (c[i] if i < len(c) else "") for i, p in enumerate(parts)) + "{%s:%s%s}" % (name, value, "!important" * bang) for parts, c, name, value, bang in sheet)
+        html, want, path = [f"<body><style>{css}</style>"], [], [("html", "", ""), ("body", "", "")]
+
+        def fits(part, node):
+            names = re.findall(r"[.#]?[a-z]+", part)
+            return all((n[1:] == node[1]) if n[0] == "." else (n[1:] == node[2]) if n[0] == "#" else n == node[0] for n in names)
+
+        def matches(parts, signs, at):
+            if not fits(parts[-1], path[at]):
+                return False
+            if len(parts) == 1:
+                return True
+            above = [at - 1] if signs[-1] == " > " else range(at)
+            return any(i >= 0 and matches(parts[:-1], signs[:-1], i) for i in above)
+
+        def visible():
+            shown = True
+            for at in range(len(path)):
+                won = {}
+                for order, (parts, signs, name, value, bang) in enumerate(sheet):
+                    if value in {"display": ("none", "block"), "visibility": ("hidden", "visible")}[name] and matches(parts, signs, at):
+                        whole = "".join(parts)
+                        rank = (bang, whole.count("#"), whole.count("."), sum(bool(re.match("[a-z]", p)) for p in parts), order)
+                        won[name] = max(won.get(name, ((),)), (rank, value))
+                if won.get("display", (0, ""))[1] == "none":
+                    return False
+                shown = {"hidden": False, "visible": True}.get(won.get("visibility", (0, ""))[1], shown)
+            return shown
+
+        for word in range(25):
+            if len(path) < 8 and rng.random() < 0.6:
+                path.append((rng.choice(["div", "span", "i"]), rng.choice(["", "a", "b"]), rng.choice(["", "", "c"])))
+                html.append("<%s class='%s' id='%s'>" % path[-1])
+            elif len(path) > 2:
+                html.append(f"</{path.pop()[0]}>")
+            html.append(f" w{word} ")
+            if visible():
+                want.append(f"w{word}")
+        assert ht.render("".join(html)).split() == want, html
+
+
+def test_deep_pages_take_time_in_proportion():
+    start = time.process_time()
+    for mark in ("<div>", "<b></p>", "<p><span>", "<svg></svg><i>", "<ul><li>x", "<table><tr><td>y", "<a></td>", "<details open>"):
+        assert isinstance(ht.render(mark * 200_000), str)
+    sheet = "<style>p .q .x{display:none} .x > .x > .y{display:none} div *{color:red}</style>"
+    assert ht.render(sheet + "<div class=x>" * 200_000 + "low") == "low"
+    assert time.process_time() - start < 120
+    assert ht.render("<ul><li>x" * 40 + "<table><tr><td>y" * 40).count("y") == 40

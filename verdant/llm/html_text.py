@@ -2,14 +2,16 @@
 
 The standard tokenizer's events build a tree: end tags that HTML lets authors leave out are implied
 (``head``, ``p``, ``li``, ``dt``/``dd``, ``option``, table parts), missing table rows are added, stray end tags are
-dropped. A node is invisible by its kind, by ``hidden``, by an inline style, or by a plain ``.class``,
-``#id`` or tag rule of a style sheet in the page. The tree is then walked once, without recursion, by
+dropped. A node is invisible by its kind, by ``hidden``, or where the cascade of the page's style sheets and inline
+styles (see ``_css``) ends in ``display: none`` or ``visibility: hidden``; of closed ``details`` the summary shows. The
+tree is then walked once, without recursion, by
 writers: one for the page and one for each open table cell.
 
 - Blocks start on lines of their own, paragraphs, headings, lists and tables after an empty line.
 - List items carry ``- `` or their number, two blanks deeper per nested list.
 - Cells of a table are padded to the width of their column and parted by `` | ``; ``colspan`` and
   ``rowspan`` leave empty cells, cells of several lines make several lines.
+- Lists and tables nested more than ``DEEP`` deep keep their text, without further indentation and columns.
 - Text that stands in a table but in no cell goes before the table, as in browsers.
 - Text of ``svg`` and ``math`` is kept, but for definitions, descriptions and annotations; what ``use`` draws is not repeated.
 - Runs of white space are one blank, but for ``pre`` and ``textarea``.
@@ -21,6 +23,8 @@ whole; repeated rows and NULL ids stay; an empty table gives an empty result; ot
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdant.llm._css import Cascade, applies
+
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head title script style template noscript datalist iframe object audio video canvas".split())
@@ -45,6 +51,7 @@ BLOCKS = frozenset(
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 CLOSES_P = BLOCKS - {"body", "html", "option", "optgroup", "legend", "li", "dd", "dt"}
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+PARTS = frozenset("table tr td th caption".split())
 SCOPES = frozenset("table td th caption html template".split())
 IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -58,12 +65,9 @@ IMPLIED_END = {
     **{part: ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}) for part in ("thead", "tbody", "tfoot")},
 }
 
-_HIDES = re.compile(r"(?:^|[;{\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
-_SHOWS = re.compile(r"(?:^|[;\s])visibility\s*:\s*visible", re.IGNORECASE)
-_SHEET_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
-_COMMENT = re.compile(r"/\*.*?\*/", re.DOTALL)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-_SIMPLE = re.compile(r"(?:[.#]?[\w-]+)\Z")
+#: Lists and tables nested deeper than this get no further indentation and columns.
+DEEP = 32
 
 
 class Node:
@@ -74,43 +78,53 @@ class Node:
 
 
 class Tree(HTMLParser):
-    """Builds ``root``; ``hidden`` gathers the selectors that style sheets hide."""
+    """Builds ``root``; ``sheets`` gathers the style sheets for screens.
+
+    ``at`` holds, per tag, the places of its open elements, so that no step walks the open elements.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
-        self.hidden: set[str] = set()
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.at["html"].append(0)
+        self.sheets: list[str] = []
         self.foreign = False  # whether the page has svg or math at all
 
+    def _last(self, tags: frozenset | set | tuple) -> int:
+        """Place of the innermost open element of these tags, or -1."""
+        return max((places[-1] for tag in tags if (places := self.at.get(tag))), default=-1)
+
     def _foreign(self) -> str:
         """``svg`` or ``math`` where their rules hold at this place, ``text`` in text of an svg, else nothing."""
-        text = ""
-        for node in reversed(self.open) if self.foreign else ():
-            if node.tag in ("svg", "math"):
-                return text if text and node.tag == "svg" else node.tag
-            if node.tag in INTEGRATION:
-                return ""
-            if node.tag == "text":
-                text = "text"
-        return ""
+        last = self._last(("svg", "math")) if self.foreign else -1
+        if last < 0 or self._last(INTEGRATION) > last:
+            return ""
+        tag = self.open[last].tag
+        return "text" if tag == "svg" and self._last(("text",)) > last else tag
+
+    def _open(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.open))
+        self.open.append(node)
+
+    def _close(self, low: int) -> None:
+        """Closes the element at this place and all in it."""
+        while len(self.open) > low:
+            self.at[self.open.pop().tag].pop()
 
     def _cut(self, ends: set[str], stops: frozenset | set) -> None:
         """Closes everything down to the lowest of ``ends`` that no element of ``stops`` shields."""
-        low = None
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag in stops:
-                break
-            if self.open[at].tag in ends:
-                low = at
-        if low is not None:
-            del self.open[low:]
+        stop = max(self._last(stops), 0)
+        lows = [places[i] for tag in ends if (places := self.at.get(tag)) and (i := bisect_right(places, stop)) < len(places)]
+        if lows:
+            self._close(min(lows))
 
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
         if tag not in VOID:
-            self.open.append(node)
+            self._open(node)
 
     def parse_html_declaration(self, i):
         """``<![`` starts a bogus comment, which ends at the next ``>`` or with the page; the tokenizer raises at most of them."""
@@ -128,16 +142,16 @@ class Tree(HTMLParser):
                     self.open[-1].children.append(" ")
                 node = Node(tag, given)
                 self.open[-1].children.append(node)
-                self.open.append(node)
+                self._open(node)
                 return
             while self._foreign():
-                self.open.pop()
+                self._close(len(self.open) - 1)
         if tag in ("svg", "math"):
             self.foreign = True
         if tag in ("html", "body"):
             if tag == "body":
                 self._cut({"head"}, SCOPES)
-            target = self.root if tag == "html" else next((n for n in self.open if n.tag == "body"), None)
+            target = self.root if tag == "html" else self.open[self.at["body"][0]] if self.at.get("body") else None
             if target is None:
                 self._push(tag, given)
             else:
@@ -146,7 +160,7 @@ class Tree(HTMLParser):
         if tag == "head" and (len(self.open) > 1 or any(not isinstance(c, str) or c.strip() for c in self.root.children)):
             return  # a second head, or one after content, is only its content
         if self.open[-1].tag == "head" and tag not in IN_HEAD:
-            self.open.pop()
+            self._close(len(self.open) - 1)
         if tag in CLOSES_P:
             self._cut({"p"}, SCOPES)
         if tag in IMPLIED_END:
@@ -162,38 +176,33 @@ class Tree(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if (tag in ("svg", "math") or self._foreign()) and self.open[-1].tag == tag:
-            self.open.pop()
+            self._close(len(self.open) - 1)
         elif self.foreign and tag in INTEGRATION and self.open[-1].tag == tag:
-            self.open.pop()
+            self._close(len(self.open) - 1)
             if not self._foreign():  # it stood in HTML, where the slash means nothing
-                self.open.append(self.open[-1].children[-1])
+                self._open(self.open[-1].children[-1])
 
     def handle_endtag(self, tag):
         if self.open[-1].tag == "head":
             if tag not in ("head", "br", "html", "body"):
                 return
-            self.open.pop()
-        if tag == "p" and not any(n.tag == "p" for n in self.open):
+            self._close(len(self.open) - 1)
+        if tag == "p" and not self.at.get("p"):
             self._push("p", {})
         if tag in ("br", "html", "body"):
             if tag == "br":
                 self._push("br", {})
             return
         stops = {"table"} if tag in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else set() if tag in SCOPES else SCOPES
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag == tag:
-                del self.open[at:]
-                return
-            if self.open[at].tag in stops:
-                return
+        low = self._last((tag,))
+        if low > max(self._last(stops), 0):
+            self._close(low)
 
     def handle_data(self, data):
         if self.open[-1].tag == "head" and data.strip(" \t\n\r\f"):
-            self.open.pop()
-        if self.open[-1].tag == "style":
-            for selectors, body in _SHEET_RULE.findall(_COMMENT.sub("", data)):
-                if _HIDES.search("{" + body):
-                    self.hidden.update(s for s in map(str.strip, selectors.split(",")) if _SIMPLE.match(s))
+            self._close(len(self.open) - 1)
+        if self.open[-1].tag == "style" and applies(self.open[-1].attrs.get("media", "")):
+            self.sheets.append(data)
         if self._foreign() == "svg" and data.strip():  # only its text elements are drawn
             return
         self.open[-1].children.append(data)
@@ -207,7 +216,7 @@ class Writer:
         self.line: list[str] = []
         self.blank = False  # white space stands between the line so far and what comes
         self.gap = 0  # empty lines owed before the next text
-        self.margins: list[str] = []
+        self.margins = [""]
         self.mark = ""
 
     def text(self, data: str) -> None:
@@ -229,14 +238,14 @@ class Writer:
         self.blank = False
         for line in rest:
             self.lines.append("".join(self.line).rstrip())
-            self.line = ["".join(self.margins), line]
+            self.line = [self.margins[-1], line]
 
     def _open(self) -> None:
         if not self.line:
             if self.lines:
                 self.lines += [""] * self.gap
             self.gap = 0
-            margin = "".join(self.margins)
+            margin = self.margins[-1]
             self.line = [margin[: len(margin) - len(self.mark)] + self.mark if self.mark else margin, ""]
             self.mark = ""
 
@@ -256,7 +265,7 @@ class Writer:
         self.gap = max(self.gap, int(spaced))
 
     def item(self, mark: str) -> None:
-        self.margins.append(" " * len(mark))
+        self.margins.append(self.margins[-1] + " " * len(mark) if len(self.margins) <= DEEP else self.margins[-1])
         self.mark = mark
 
     def end_item(self) -> None:
@@ -303,20 +312,19 @@ def table_lines(rows: list[list[tuple[int, int, int, list[str]]]]) -> list[str]:
     return out
 
 
-def _seen(node: Node, hidden: set[str], shown: bool) -> tuple[bool, bool]:
-    """(whether to walk the node at all, whether its own text is visible)."""
+def _seen(node: Node, found: dict[str, str], shown: bool) -> tuple[bool, bool]:
+    """(whether to walk the node at all, whether its own text is visible) by the element, its attributes and what styles say."""
     a = node.attrs
-    style = a.get("style", "")
-    if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
-        return False, False
-    if node.tag == "dialog" and "open" not in a:
+    if node.tag in UNSEEN or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
         return False, False
-    names = {node.tag, *("." + c for c in a.get("class", "").split()), "#" + a.get("id", "")}
-    if names & hidden or re.search(r"(?:^|[;\s])display\s*:\s*none", style, re.IGNORECASE):
+    plain = "none" if "hidden" in a or (node.tag == "dialog" and "open" not in a) else "block"
+    display = found.get("display", plain)
+    if display in ("none",) or (display in ("revert", "revert-layer") and plain == "none"):
         return False, False
-    if _SHOWS.search(style):
-        return True, True
-    return True, shown and not _HIDES.search(style)
+    visibility = found.get("visibility", "inherit")
+    if visibility == "initial":
+        visibility = "visible"
+    return True, visibility == "visible" or (shown and visibility not in ("hidden", "collapse"))
 
 
 def render(html: str) -> str:
@@ -324,7 +332,9 @@ def render(html: str) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    styles = Cascade(tree.sheets)
     writers, tables, lists = [Writer()], [], []
+    flat = 0  # open tables that are nested too deep for columns
     stack: list[tuple] = [(tree.root, False, True, False)]  # node, leaving, visible, preformatted
     while stack:
         node, leaving, shown, pre = stack.pop()
@@ -335,13 +345,16 @@ def render(html: str) -> str:
             continue
         tag = node.tag
         if not leaving:
-            walk, shown = _seen(node, tree.hidden, shown)
-            if not walk:
-                continue
-            if tag == "br":
-                out.line_break()
+            walk, shown = _seen(node, styles.enter(tag, node.attrs), shown)
+            if not walk or tag == "br":
+                styles.leave()
+                if walk:
+                    out.line_break()
                 continue
-            if tag == "table":
+            if (tag == "table" and len(tables) >= DEEP) or (flat and tag in PARTS):
+                flat += tag == "table"
+                out.block(tag == "table")
+            elif tag == "table":
                 out.block(True)
                 tables.append([])
             elif tag in ("td", "th", "caption") and tables:
@@ -360,13 +373,19 @@ def render(html: str) -> str:
             pre = pre or tag in ("pre", "textarea")
             stack.append((node, True, shown, pre))
             children = node.children
+            if tag == "details" and "open" not in node.attrs:  # closed: its summary is all that shows
+                children = [c for c in children if not isinstance(c, str) and c.tag == "summary"][:1]
             if tag in ("table", "tr", "thead", "tbody", "tfoot", "colgroup"):  # blanks between the parts of a table are no text, other text goes before it
                 children = [c for c in children if not isinstance(c, str) or c.strip(" \t\n\r\f")]
             elif tag in ("pre", "textarea") and children and isinstance(children[0], str):
                 children = [children[0].removeprefix("\n"), *children[1:]]
             stack += [(c, False, shown, pre) for c in reversed(children)]
             continue
-        if tag in ("td", "th") and tables:
+        styles.leave()
+        if flat and tag in PARTS:
+            flat -= tag == "table"
+            out.block(tag == "table")
+        elif tag in ("td", "th") and tables:
             lines = writers.pop().result()
             if tables[-1]:
                 tables[-1][-1].append((_number(node.attrs.get("colspan", ""), 1, 1000), _number(node.attrs.get("rowspan", ""), 1, 65534), lines))
