@@ -53,9 +53,12 @@ def test_encoding_in_parts_equals_encoding_whole(plain):
     texts += ["".join(rng.choices(" \n\tab'sé1!漢 ", k=rng.randrange(40))) for _ in range(3000)]
     end = "<|endoftext|>"
     texts += [f"{end} hi", f"hi {end}", f"a b {end} c d", f"a{end}b c", end, end + end, f" {end} {end}  x", f"<|endof {end}text|> y", f"{end}\n\n{end} z", "<|endof text|>"]
-    encoder = pk.Encoder(VOCABULARY)
-    for t, ids in zip(texts, encoder.ids(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    texts += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABC'-.,!?_0123456789<|>/ \n\n", k=rng.randrange(60))) for _ in range(5000)]
+    ranks = pk.merge_ranks(VOCABULARY)
+    assert len(ranks) == 50256
+    for encoder in (pk.Encoder(VOCABULARY), pk.Encoder(VOCABULARY, ranks)):
+        for t, ids in zip(texts, encoder.ids(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_cases(spark, plain):

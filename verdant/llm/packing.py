@@ -21,12 +21,14 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,45 +48,105 @@ class Encoder:
     The vocabulary's pattern never joins what stands before a blank with the blank and the word after it, so a
     text is the row of its parts cut before each such blank, and equal parts need encoding once. For the same
     reason new parts are encoded together, as one text, whose tokens are dealt out by their lengths in bytes.
+    Parts of printable ASCII and line feeds are encoded by token ranks where ``merge_ranks`` finds that these say the same as the merges.
     Texts with a blank before other white space or at the end are encoded whole, and so are those that hold the
     string of a special token, which the tokenizer reads as that token wherever it stands.
     """
 
     _WHOLE = re.compile(r" (?=\s|\Z)")
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, ranks: dict[bytes, int] | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}  # part, without its blank -> ids
+        self.ranked = None
+        if ranks:
+            import tiktoken
+
+            self.ranked = tiktoken.Encoding("parts", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
         tokens = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(tokens.values()) + 1, np.int64)
         for token, number in tokens.items():
             self.sizes[number] = len(token)  # one character stands for one byte
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _encode(self, *texts: str) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
-        for low in range(0, len(parts), 4000):
-            block = parts[low : low + 4000]
-            ids = self._encode("".join([" " + p for p in block]))
-            ends = np.cumsum([1 + len(p.encode()) for p in block])
-            cut = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
-            raw, first = ids.tobytes(), 0
-            for part, after in zip(block, (4 * cut).tolist(), strict=True):
-                self.known[part] = raw[first:after]
-                first = after
+        plain, other = [], []
+        for p in parts:
+            (plain if self.ranked and p.isascii() and p.replace("\n", "").isprintable() else other).append(p)
+        for kind, encode in ((plain, lambda t: np.array(self.ranked.encode_ordinary(t), dtype="<u4")), (other, lambda t: self._encode(t)[0])):
+            for low in range(0, len(kind), 4000):
+                block = kind[low : low + 4000]
+                ids = encode("".join([" " + p for p in block]))
+                ends = np.cumsum([1 + len(p.encode()) for p in block])
+                cut = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+                raw, first = ids.tobytes(), 0
+                for part, after in zip(block, (4 * cut).tolist(), strict=True):
+                    self.known[part] = raw[first:after]
+                    first = after
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        whole = [self._WHOLE.search(t) is not None or any(s in t for s in self.special) for t in texts]
+        out = [e.tobytes() for e in self._encode(*[t for t, w in zip(texts, whole, strict=True) if w])]
+        split = self._joined([t for t, w in zip(texts, whole, strict=True) if not w])
+        out.reverse()
+        split.reverse()
+        return [(out if w else split).pop() for w in whole]
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of the texts from those of their parts: different parts are looked up, their ids then gathered by number."""
+        if not texts:
+            return []
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        cut = [None if self._WHOLE.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
-        first = [t if parts is None else parts.pop(0) for t, parts in zip(texts, cut, strict=True)]
-        self._learn(list(set().union(*[parts for parts in cut if parts]).difference(known)))
-        return [self._encode(f).tobytes() + b"".join(map(known.__getitem__, parts or ())) for f, parts in zip(first, cut, strict=True)]
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        each = parts.flatten().dictionary_encode()
+        different = each.dictionary.to_pylist()
+        self._learn([p for p in different if p not in self.known])
+        ends = np.cumsum(pc.list_value_length(parts).to_numpy())
+        first = np.concatenate([[0], ends[:-1]])
+        held = [*map(self.known.__getitem__, different), *(e.tobytes() for e in self._encode(*[different[i] for i in each.indices.take(pa.array(first)).to_pylist()]))]
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        number = each.indices.to_numpy().astype(np.int64)
+        number[first] = len(different) + np.arange(len(texts))  # a first part has no blank before it, so its ids are its own
+        many = sizes[number]
+        upto = np.cumsum(many)
+        starts = (np.cumsum(sizes) - sizes)[number] - (upto - many)
+        raw = np.frombuffer(b"".join(held), "<u4")[np.repeat(starts, many) + np.arange(upto[-1])].tobytes()
+        bounds = [0, *(4 * upto[ends - 1]).tolist()]
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+#: What byte-level tokenizers of this kind cut a text into before they merge.
+_PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def merge_ranks(vocabulary: str) -> dict[bytes, int] | None:
+    """bytes -> rank of all tokens of a byte-level BPE vocabulary, or None where merging by ranks may differ from its merge list.
+
+    Merging the adjacent pair whose whole has the lowest rank is the same as following the list if the ids follow it and
+    every token, encoded alone, comes out as itself: then no two pieces that are not on the list ever meet as a token's halves.
+    """
+    from tokenizers import Tokenizer
+
+    with open(vocabulary, encoding="utf-8") as file:
+        given = json.load(file)
+    model, before = given["model"], given["pre_tokenizer"] or {}
+    options = [model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")]
+    if model["type"] != "BPE" or any(options) or given["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    tokens = model["vocab"]
+    merged = [tokens["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    alone = Tokenizer.from_file(vocabulary).model.tokenize
+    if merged != sorted(merged) or any(len(alone(t)) != 1 for t in tokens):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {bytes(byte[c] for c in t): i for t, i in tokens.items()} if all(c in byte for t in tokens for c in t) else None
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -99,11 +161,13 @@ def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     ``vocabulary`` is a file of the tokenizers library that every worker can read.
     """
 
+    ranks = docs.sparkSession.sparkContext.broadcast(merge_ranks(vocabulary))  # as many as the vocabulary has tokens
+
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(vocabulary), np.array([END], dtype="<u4").tobytes()
+        encoder, end = Encoder(vocabulary, ranks.value), np.array([END], dtype="<u4").tobytes()
         for batch in rows:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
                 index, out, ids = [], [], []
                 for i, body in enumerate(encoder.ids([x.as_py() or "" for x in part.column(1)])):
                     whole = body + end
