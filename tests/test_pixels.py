@@ -60,18 +60,37 @@ def test_absent_bands_count_as_zero(spark):
     assert row.NDVI == pytest.approx(0.3 / 0.7) and row.NDRE == 1.0 and row.MSI == 0.0
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_exact_median_with_ties_and_few_slots(spark, seed, monkeypatch):
-    monkeypatch.setattr(quantiles, "SLOTS", 4)
-    rng = np.random.default_rng(seed)
-    rows = [(k, float(v)) for k in range(3) for v in rng.choice([-2.0, -0.5, 0.0, 0.25, 0.26, 3.0], rng.integers(1, 40))]
-    df = spark.createDataFrame(rows, "k long, v double")
-    got = {r.k: r for r in quantiles.describe(quantiles.value_counts(df, ["k"], "v"), ["k"], "v", -1.0, 1.0).collect()}
-    for k in range(3):
-        values = [v for kk, v in rows if kk == k]
-        assert got[k].median == pytest.approx(np.median(values))
-        assert got[k].mean == pytest.approx(np.mean(values))
-        assert got[k].size == len(values)
+@pytest.mark.parametrize("accuracy, wrong", [(10_000, None), (5, None), (10_000, (0.9, 0.95)), (10_000, (-5.0, -4.0)), (10_000, (0.0, 0.0))])
+def test_exact_medians_with_ties_and_wrong_brackets(spark, accuracy, wrong, monkeypatch):
+    """Whatever the sketch says, the second read sets its brackets right."""
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    rng = np.random.default_rng(accuracy)
+    sizes = rng.integers(1, 300, 4)
+    rows = [(k, float(v), float(rng.normal())) for k, n in enumerate(sizes) for v in rng.choice([-2.0, -0.5, 0.0, 0.25, 0.26, 3.0], n)]
+    rows += [(9, None, 1.0), (None, 2.0, None), (None, 4.0, None)]
+    df = spark.createDataFrame(rows, "k long, v double, w double").withColumn("k", F.coalesce("k", F.lit(-1)))
+    if wrong:
+        monkeypatch.setattr(quantiles.F, "percentile_approx", lambda *a: F.when(F.count(a[0]) > 0, F.array(*map(F.lit, wrong))))
+    got = {(r.k, r.index_name): r for r in quantiles.summaries(df, ["k"], ["v", "w"]).collect()}
+    assert len(got) == 12
+    for (k, name), r in got.items():
+        values = [row[1 if name == "v" else 2] for row in rows if (-1 if row[0] is None else row[0]) == k]
+        values = [v for v in values if v is not None]
+        assert r.size == len(values)
+        if values:
+            assert [r.median, r.mean, r.minimum, r.maximum, r.std] == pytest.approx([np.median(values), np.mean(values), min(values), max(values), np.std(values)])
+        else:
+            assert r.median is None and r.mean is None
+
+
+def test_few_values_lie_inside_the_brackets(spark):
+    wide = spark.range(40_000).selectExpr("id % 2 AS k", *[f"(id * {m} % 39989) / 39989.0D AS {n}" for n, m in (("a", 7), ("b", 31), ("c", 1009))])
+    known = quantiles.proven(wide, quantiles.sketches(wide, ["k"], ["a", "b", "c"]), ["k"], ["a", "b", "c"])
+    ends = known.select("k", *[F.col(f"_{n}.bracket.{e}").alias(f"{e}_{n}") for n in "abc" for e in ("low", "high")])
+    inside = wide.join(ends, "k").agg(*[F.count_if(F.col(n).between(F.col(f"low_{n}"), F.col(f"high_{n}"))) for n in "abc"]).first()
+    assert 0 < max(inside) < 40_000 / 500
+    plan = quantiles.sketches(wide, ["k"], ["a"])._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Expand" not in plan
 
 
 def brute_components(points):

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from verdant import constants as K
 from verdant.functions import spectral as S
 from verdant.operators.components import TILE, label_components
-from verdant.operators.zonal import KEYS, anomaly_totals, flag_anomalies, index_distribution
+from verdant.operators.quantiles import medians, proven, sketches
+from verdant.operators.zonal import KEYS, biophysical_pixels, flag_anomalies, rounded, totals_of, under_mask
+from verdant.session import cut_lineage
 
 MEANS = {name: f"mean_{name.lower()}" for name in K.BIOPHYSICAL_INDICES}
 
@@ -28,9 +30,13 @@ def orientation(e: Column) -> Column:
 
 def cluster_pixels(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     """P8 + C1: anomalous pixels with their indices and cluster id."""
-    flagged = flag_anomalies(pixels).filter("anomalous")
-    labels = label_components(flagged.select(*KEYS, "row", "col"), KEYS, tile)
-    return flagged.join(labels, [*KEYS, "row", "col"])
+    return labelled(flag_anomalies(pixels).filter("anomalous"), tile)
+
+
+def labelled(anomalous: DataFrame, tile: int = TILE) -> DataFrame:
+    """Anomalous pixels with their cluster id."""
+    labels = label_components(anomalous.select(*KEYS, "row", "col"), KEYS, tile)
+    return anomalous.join(labels, [*KEYS, "row", "col"])
 
 
 def cluster_aggregates(clustered: DataFrame, pixel_size_m: float = 10.0) -> DataFrame:
@@ -171,7 +177,12 @@ def drop_order_flag(history: DataFrame) -> DataFrame:
 
 def located_clusters(pixels: DataFrame, clusters: DataFrame) -> DataFrame:
     """The compass sector of every cluster."""
-    return clusters.join(field_centres(pixels), KEYS).withColumn(
+    return located(clusters, field_centres(pixels))
+
+
+def located(clusters: DataFrame, centres: DataFrame) -> DataFrame:
+    """P11 with ``centres`` (keys, centre_row, centre_col)."""
+    return clusters.join(centres, KEYS).withColumn(
         "compass_sector",
         S.compass_sector(F.col("centroid_row"), F.col("centroid_col"), F.col("centre_row"), F.col("centre_col")),
     )
@@ -199,23 +210,35 @@ def _cluster_struct() -> Column:
 
 
 def anomaly_report(pixels: DataFrame, fields: DataFrame, xylem: DataFrame, tile: int = TILE) -> DataFrame:
-    """One row per acquisition with totals, worst clusters, index summary and verdict."""
-    ranked = rank_clusters(anomaly_clusters(pixels, fields, xylem, tile))
+    """One row per acquisition with totals, worst clusters, index summary and verdict.
+
+    The pixels are read once: mask and indices are stored, and every part reads them there. One aggregate
+    gives sums, sketches, means and centres, a second one proves the brackets and counts anomalous pixels.
+    """
+    indexed = cut_lineage(biophysical_pixels(pixels))
+    under = under_mask(indexed, "row", "col", "valid")
+    names = K.BIOPHYSICAL_INDICES
+    place = {f"centre_{c}": F.avg(F.when(F.col("valid"), F.col(c))) for c in ("row", "col")}
+    known = sketches(under, KEYS, names, valid_pixels=F.count_if("valid"), mean_ndvi=F.round(F.avg("NDVI"), 3), **place)
+    known = proven(under, known, KEYS, names, ("mean_ndvi",), anomalous_pixels=F.count_if(F.col("valid") & S.anomalous(F.col("mean_ndvi"))))
+    flagged = indexed.filter("valid").join(known.select(*KEYS, "mean_ndvi"), KEYS).filter(S.anomalous(F.col("mean_ndvi")))
+    clusters = cluster_aggregates(labelled(cut_lineage(flagged.drop("mean_ndvi")), tile))
+    ranked = rank_clusters(diagnose(located(clusters, known.select(*KEYS, "centre_row", "centre_col")), fields, xylem))
     # at most five structs per acquisition
     tops = ranked.groupBy(*KEYS).agg(
         F.max("cluster_count").alias("cluster_count"),
         F.array_sort(F.collect_list(_cluster_struct())).alias("top_clusters"),
     )
-    names = ["min", "mean", "median", "max", "std"]
-    summary = index_distribution(pixels).groupBy(*KEYS).agg(
+    parts = ["min", "mean", "median", "max", "std"]
+    summary = rounded(medians(under, known, KEYS, names)).groupBy(*KEYS).agg(
         F.map_from_entries(
             F.array_sort(
-                F.collect_list(F.struct("index_name", F.struct(*[F.col(f"{n}_value").alias(n) for n in names])))
+                F.collect_list(F.struct("index_name", F.struct(*[F.col(f"{n}_value").alias(n) for n in parts])))
             )
         ).alias("field_metrics_summary")
     )
     joined = (
-        anomaly_totals(pixels)
+        totals_of(known)
         .join(tops, KEYS, "left")
         .join(summary, KEYS, "left")
         .join(fields.select("field_id", "crop_name"), "field_id", "left")

@@ -1,9 +1,10 @@
-"""Exact medians that do not gather a group in one task.
+"""Exact medians that exchange neither values nor groups.
 
-A group (say one acquisition and one index) may hold a large share of all rows. Values are first
-counted per distinct value (combined on the map side, and spread over tasks because the value is
-part of the shuffle key), then counted per slot of a fixed grid. The grid tells which one or two
-slots hold the middle ranks; only the distinct values of those slots are ordered.
+The columns to summarise stay beside each other. A first read keeps, per group and column, the usual sums
+and a quantile sketch whose rank error is bounded, all combined on the map side; two quantiles on either side
+of the middle bracket the median. A second read counts, again in one wide aggregate, how many values lie
+below and up to the bracket, which proves it right or widens it. Only values inside the brackets, a few in ten
+thousand and counted per distinct value, are exchanged to find the middle ranks.
 """
 
 from __future__ import annotations
@@ -11,76 +12,87 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOTS = 65536
+from verdant.session import cut_lineage
 
+#: Rank error of the sketch is a group's size over this.
+ACCURACY = 10_000
+#: Groups whose brackets are sent to all tasks; beyond it the rows are joined with them by key.
+SENT = 500_000
 
-def value_counts(long: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value, n): one row per distinct value; NULL values and keys are left out."""
-    for name in [*keys, value]:
-        long = long.filter(F.col(name).isNotNull())
-    return long.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
+def _beside(wide: DataFrame, brackets: DataFrame, keys: list[str], groups: int) -> DataFrame:
+    """Every row with its group's brackets."""
+    return wide.join(F.broadcast(brackets) if groups <= SENT else brackets, keys)
 
-def _slot(value: Column, low: float, high: float) -> Column:
-    raw = F.floor((value - low) / (high - low) * SLOTS)
-    # never NULL: otherwise the join on the slot would push a filter below one use of the counts
-    # only, and the two uses would no longer share an exchange
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(SLOTS), raw)), F.lit(0))
 
+def sketches(wide: DataFrame, keys: list[str], names: list[str] | tuple[str, ...], **more: Column) -> DataFrame:
+    """First read: one row per group with the sums and the bracket of every column (struct ``_name``), and ``more`` aggregates; stored."""
+    off = 2.0 / ACCURACY
+    measured = {
+        f"_{n}": F.struct(
+            F.count(n).alias("size"),
+            F.min(n).alias("minimum"),
+            F.max(n).alias("maximum"),
+            F.avg(n).alias("mean"),
+            F.stddev_pop(n).alias("std"),
+            F.percentile_approx(n, [0.5 - off, 0.5 + off], ACCURACY).alias("about"),
+        )
+        for n in names
+    }
+    return cut_lineage(wide.groupBy(*keys).agg(*[c.alias(n) for n, c in (measured | more).items()]))
+
+
+def proven(wide: DataFrame, known: DataFrame, keys: list[str], names: list[str] | tuple[str, ...], carry: tuple[str, ...] = (), **more: Column) -> DataFrame:
+    """Second read: ``known`` with brackets that hold the middle ranks, and ``more`` aggregates over rows that have its columns ``carry``; stored."""
+    sent = known.select(*keys, *carry, *[F.col(f"_{n}.about").alias(f"_{n}") for n in names])
+    counted = {
+        f"+{n}": F.struct(
+            F.count_if(F.col(n) < F.get(f"_{n}", F.lit(0))).alias("below"),
+            F.count_if(F.col(n) <= F.get(f"_{n}", F.lit(1))).alias("upto"),
+        )
+        for n in names
+    }
+    counts = _beside(wide, sent, keys, known.count()).groupBy(*keys).agg(*[c.alias(n) for n, c in (counted | more).items()])
+
+    def bracket(n: str) -> Column:
+        size, low, high = F.col(f"_{n}.size"), F.get(f"_{n}.about", F.lit(0)), F.get(f"_{n}.about", F.lit(1))
+        below, upto = F.col(f"`+{n}`.below"), F.col(f"`+{n}`.upto")
+        early, late = below > F.floor((size - 1) / 2), upto <= F.floor(size / 2)
+        return F.struct(
+            F.when(early, F.col(f"_{n}.minimum")).otherwise(low).alias("low"),
+            F.when(late, F.col(f"_{n}.maximum")).otherwise(high).alias("high"),
+            F.when(early, F.lit(0).cast("long")).otherwise(below).alias("below"),
+        )
 
-def describe(counts: DataFrame, keys: list[str], value: str, low: float, high: float) -> DataFrame:
-    """(keys, n, minimum, maximum, mean, mean_square, median) from ``value_counts``.
+    rest = [c for c in known.columns if c not in {*keys, *(f"_{n}" for n in names)}]
+    return cut_lineage(known.join(counts, keys).select(*keys, *rest, *more, *[F.struct(f"_{n}.*", bracket(n).alias("bracket")).alias(f"_{n}") for n in names]))
 
-    ``low``/``high`` only shape the grid of slots, not the result. The counts are used twice in the
-    same form, so their exchange is reused and the source is read once.
-    """
-    v, n = F.col(value), F.col("n")
-    slotted = counts.withColumn("slot", _slot(v, low, high))
-    per_slot = slotted.groupBy(*keys, "slot").agg(
-        F.sum(n).alias("in_slot"),
-        F.min(v).alias("minimum"),
-        F.max(v).alias("maximum"),
-        F.sum(v * n).alias("total"),
-        F.sum(v * v * n).alias("total_square"),
-    )
-    by_keys = Window.partitionBy(*keys)
-    size = F.sum("in_slot").over(by_keys)
-    ranked = per_slot.select(
-        *keys,
-        "slot",
-        F.sum("in_slot").over(by_keys.orderBy("slot")).alias("upto"),
-        F.col("in_slot"),
-        size.alias("size"),
-        F.min("minimum").over(by_keys).alias("minimum"),
-        F.max("maximum").over(by_keys).alias("maximum"),
-        (F.sum("total").over(by_keys) / size).alias("mean"),
-        (F.sum("total_square").over(by_keys) / size).alias("mean_square"),
-    ).withColumns(
-        {
-            "before": F.col("upto") - F.col("in_slot"),
-            "low_rank": F.expr("(size - 1) div 2"),
-            "high_rank": F.expr("size div 2"),
-        }
-    )
 
-    def holds(rank: str) -> Column:
-        return (F.col("before") <= F.col(rank)) & (F.col(rank) < F.col("upto"))
+def medians(wide: DataFrame, known: DataFrame, keys: list[str], names: list[str] | tuple[str, ...]) -> DataFrame:
+    """Third read: (keys, index_name, size, minimum, maximum, mean, std, median) from proven brackets."""
+    ends = known.select(*keys, *[F.struct(f"_{n}.bracket.low", f"_{n}.bracket.high").alias(f"_{n}") for n in names])
+    inside = [F.when(F.col(n).between(F.col(f"_{n}.low"), F.col(f"_{n}.high")), F.col(n).cast("double")) for n in names]
+    values = F.array(*[F.struct(F.lit(n).alias("index_name"), v.alias("value")) for n, v in zip(names, inside, strict=True)])
+    near = _beside(wide, ends, keys, known.count()).select(*keys, F.explode(F.filter(values, lambda v: v["value"].isNotNull())).alias("v"))
+    near = near.groupBy(*keys, "v.index_name", "v.value").agg(F.count(F.lit(1)).alias("n"))
 
-    middle = ranked.filter(holds("low_rank") | holds("high_rank")).drop("upto", "in_slot")
-    in_slot = Window.partitionBy(*keys, "slot").orderBy(value)
-    reached = F.col("before") + F.col("running")
-    constant = ("size", "minimum", "maximum", "mean", "mean_square")
-    return (
-        slotted.join(middle, [*keys, "slot"])
-        .withColumn("running", F.sum("n").over(in_slot))
-        .groupBy(*keys)
-        .agg(
-            F.min(F.when(reached > F.col("low_rank"), v)).alias("lower"),
-            F.min(F.when(reached > F.col("high_rank"), v)).alias("upper"),
-            *[F.max(c).alias(c) for c in constant],
-        )
-        .select(*keys, *constant, ((F.col("lower") + F.col("upper")) / 2).alias("median"))
-    )
+    each = known.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("index_name"), f"_{n}.*") for n in names])).alias("s")).select(*keys, "s.*")
+    ranks = each.select(*keys, "index_name", "size", F.col("bracket.below").alias("below"))
+    upto = F.col("below") + F.sum("n").over(Window.partitionBy(*keys, "index_name").orderBy("value"))
+    reached = near.join(ranks, [*keys, "index_name"]).withColumn("upto", upto)
+    lower, upper = (F.min(F.when(F.col("upto") > F.floor(rank / 2), F.col("value"))) for rank in (F.col("size") - 1, F.col("size")))
+    middle = reached.groupBy(*keys, "index_name").agg(((lower + upper) / 2).alias("median"))
+    return each.drop("about", "bracket").join(middle, [*keys, "index_name"], "left")
+
+
+def summaries(wide: DataFrame, keys: list[str], names: list[str] | tuple[str, ...]) -> DataFrame:
+    """(keys, index_name, size, minimum, maximum, mean, std, median) per group and column of ``wide``.
+
+    NULLs do not count; a column without any value in a group has size 0 and NULL else. ``wide`` is read
+    three times, so it should be a stored table or a projection of one.
+    """
+    wide = wide.select(*keys, *[F.col(n).cast("double").alias(n) for n in names])
+    return medians(wide, proven(wide, sketches(wide, keys, names), keys, names), keys, names)
 
 
 def ordered_rank(df: DataFrame, keys: list[str], order: str, name: str, block: Column) -> DataFrame:

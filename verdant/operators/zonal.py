@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verdant import constants as K
 from verdant.functions import spectral as S
-from verdant.operators.quantiles import describe, value_counts
+from verdant.operators.quantiles import summaries
 
 KEYS = ["field_id", "acquisition_id"]
 PIXEL = [*KEYS, "row", "col"]
@@ -35,39 +35,32 @@ def biophysical_pixels(pixels: DataFrame, keep_invalid: bool = True) -> DataFram
     return masked.select(*PIXEL, "valid", *[c.alias(n) for n, c in direct.items()]).withColumns(S.derived_indices())
 
 
-def _every_index(pixels: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    labels = F.array(*[F.lit(n) for n in names])
-    return pixels.select(*KEYS).distinct().withColumn("index_name", F.explode(labels))
-
-
 def zonal_statistics(pixels: DataFrame) -> DataFrame:
     """Min, mean, median, max and count per acquisition and core index; NULLs where count is 0."""
-    keys = [*KEYS, "index_name"]
-    long = _unpivot(core_index_pixels(pixels), KEYS, K.CORE_INDICES)
-    stats = describe(value_counts(long, keys, "value"), keys, "value", -1.0, 1.0)
-    return _every_index(pixels, K.CORE_INDICES).join(stats, keys, "left").select(
-        *keys,
+    return summaries(core_index_pixels(pixels), KEYS, K.CORE_INDICES).select(
+        *KEYS,
+        "index_name",
         F.col("minimum").alias("min_value"),
         F.col("mean").alias("mean_value"),
         F.col("median").alias("median_value"),
         F.col("maximum").alias("max_value"),
-        F.coalesce("size", F.lit(0)).alias("valid_pixel_count"),
+        F.col("size").alias("valid_pixel_count"),
     )
 
 
 def index_distribution(pixels: DataFrame, digits: int = 3) -> DataFrame:
     """Distribution of the thirteen indices under the mask, rounded; zeros when empty."""
-    keys = [*KEYS, "index_name"]
-    long = _unpivot(biophysical_pixels(pixels, keep_invalid=False), KEYS, K.BIOPHYSICAL_INDICES)
-    stats = describe(value_counts(long, keys, "value"), keys, "value", -1.0, 8.0)
-    variance = F.col("mean_square") - F.col("mean") * F.col("mean")
-    out = {
-        "min": F.col("minimum"), "mean": F.col("mean"), "median": F.col("median"), "max": F.col("maximum"),
-        "std": F.sqrt(F.when(F.col("size") > 0, F.greatest(variance, F.lit(0.0)))),
-    }
-    return _every_index(pixels, K.BIOPHYSICAL_INDICES).join(stats, keys, "left").select(
-        *keys, *[F.coalesce(F.round(c, digits), F.lit(0.0)).alias(f"{n}_value") for n, c in out.items()]
-    )
+    return rounded(summaries(under_mask(biophysical_pixels(pixels)), KEYS, K.BIOPHYSICAL_INDICES), digits)
+
+
+def under_mask(indexed: DataFrame, *more: str) -> DataFrame:
+    """The thirteen indices where the pixel is valid, else NULL; and the columns ``more``."""
+    return indexed.select(*KEYS, *more, *[F.when(F.col("valid"), F.col(n)).alias(n) for n in K.BIOPHYSICAL_INDICES])
+
+
+def rounded(summary: DataFrame, digits: int = 3) -> DataFrame:
+    out = {"min": "minimum", "mean": "mean", "median": "median", "max": "maximum", "std": "std"}
+    return summary.select(*KEYS, "index_name", *[F.coalesce(F.round(c, digits), F.lit(0.0)).alias(f"{n}_value") for n, c in out.items()])
 
 
 def mean_ndvi(pixels: DataFrame) -> DataFrame:
@@ -89,21 +82,23 @@ def flag_anomalies(pixels: DataFrame) -> DataFrame:
 
 def anomaly_totals(pixels: DataFrame, pixel_size_m: float = 10.0) -> DataFrame:
     """Valid and anomalous pixels, anomalous hectares and share, one row per acquisition."""
-    hectares = pixel_size_m * pixel_size_m / 10000.0
     counted = flag_anomalies(pixels).groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("valid_pixels"),
         F.count_if("anomalous").alias("anomalous_pixels"),
     )
+    return totals_of(pixels.select(*KEYS).distinct().join(counted, KEYS, "left"), pixel_size_m)
+
+
+def totals_of(counted: DataFrame, pixel_size_m: float = 10.0) -> DataFrame:
+    """E3 of (keys, valid_pixels, anomalous_pixels); NULL counts are 0."""
+    hectares = pixel_size_m * pixel_size_m / 10000.0
     share = F.col("anomalous_pixels") / F.col("valid_pixels") * 100.0
-    return (
-        pixels.select(*KEYS).distinct().join(counted, KEYS, "left")
-        .select(
-            *KEYS,
-            F.coalesce("valid_pixels", F.lit(0)).alias("valid_pixels"),
-            F.coalesce("anomalous_pixels", F.lit(0)).alias("anomalous_pixels"),
-            F.coalesce(F.col("anomalous_pixels") * hectares, F.lit(0.0)).alias("anomalous_area_ha"),
-            F.coalesce(share, F.lit(0.0)).alias("anomaly_percentage"),
-        )
+    return counted.select(
+        *KEYS,
+        F.coalesce("valid_pixels", F.lit(0)).alias("valid_pixels"),
+        F.coalesce("anomalous_pixels", F.lit(0)).alias("anomalous_pixels"),
+        F.coalesce(F.col("anomalous_pixels") * hectares, F.lit(0.0)).alias("anomalous_area_ha"),
+        F.when(F.col("valid_pixels") > 0, share).otherwise(0.0).alias("anomaly_percentage"),
     )
 
 

@@ -145,27 +145,45 @@ _VERDICT = f"""CASE WHEN coalesce(n, 0) = 0 OR coalesce(a / v * 100, 0) < 5 THEN
   WHEN critical THEN {st.sql_text(K.VERDICTS['critical'])} ELSE {st.sql_text(K.VERDICTS['local'])} END"""
 
 
+# Every field of the report as text, numbers as whole numbers of their last digit, so that both engines write them alike.
+_MEANS_TOLD = ("mean_ndvi", "mean_savi", "mean_ndre", "mean_bri", "mean_ndwi", "mean_ndsi")
+_SCALED = {"area_m2": 10, "area_ha": 1000, "centroid_row": 10, "centroid_col": 10, "e_anisotropy": 100, **dict.fromkeys(_MEANS_TOLD, 1000), "mean_delta_t": 100}
+_TOLD = (
+    "cluster_rank", "cluster_id", "pixel_count", "area_m2", "area_ha", "risk_level", "compass_sector", "centroid_row", "centroid_col", "e_anisotropy",
+    "orientation_type", "orientation_label", "diagnosis_title", "diagnosis_code", "pathogen_name", "recommended_treatment", "agrotechnical_action", *_MEANS_TOLD, "mean_delta_t",
+)
+_CLUSTER_TEXT = "concat_ws(':', " + ", ".join(f"CAST(round(round({c}, {len(str(_SCALED[c])) - 1}) * {_SCALED[c]}) AS BIGINT)" if c in _SCALED else c for c in _TOLD) + ")"
+_SUMMARY_TEXT = "index_name || ':' || " + " || ':' || ".join(
+    f"CAST(coalesce(round(round({a}, 3) * 1000), 0) AS BIGINT)"
+    for a in ("min(value) FILTER (valid)", "avg(value) FILTER (valid)", "median(value) FILTER (valid)", "max(value) FILTER (valid)", "stddev_pop(value) FILTER (valid)")
+)
+
+
 @query("anomaly_report", f"""WITH RECURSIVE {DIAGNOSED},
-agg AS (SELECT field_id, acquisition_id, count(*) AS v, count(*) FILTER (anomalous) AS a, round(avg(NDVI), 3) AS mean_ndvi FROM flagged GROUP BY 1, 2),
-tops AS (SELECT acquisition_id, max(cluster_count) AS n, bool_or(risk_level = 'CRITICAL') AS critical,
-    string_agg(cluster_id || ':' || diagnosis_code || ':' || compass_sector, '|' ORDER BY cluster_rank) AS top_list FROM ranked WHERE cluster_rank <= 5 GROUP BY 1)
+agg AS (SELECT field_id, acquisition_id, count(*) AS v, count(*) FILTER (anomalous) AS a FROM flagged GROUP BY 1, 2),
+told AS (SELECT *, pixel_count * 100.0::DOUBLE AS area_m2, pixel_count * 0.01::DOUBLE AS area_ha,
+    CASE WHEN e_anisotropy > 3 THEN 'linear_furrow' ELSE 'concentric_radial' END AS orientation_type,
+    CASE WHEN e_anisotropy > 3 THEN {st.sql_text(K.SHAPE_LABELS['linear_furrow'])} ELSE {st.sql_text(K.SHAPE_LABELS['concentric_radial'])} END AS orientation_label FROM ranked WHERE cluster_rank <= 5),
+tops AS (SELECT acquisition_id, max(cluster_count) AS n, bool_or(risk_level = 'CRITICAL') AS critical, string_agg({_CLUSTER_TEXT}, '|' ORDER BY cluster_rank) AS top_list FROM told GROUP BY 1),
+long AS (UNPIVOT bio ON {', '.join(K.BIOPHYSICAL_INDICES)} INTO NAME index_name VALUE value),
+each AS (SELECT field_id, acquisition_id, index_name, {_SUMMARY_TEXT} AS one FROM long GROUP BY 1, 2, 3),
+summary AS (SELECT field_id, acquisition_id, string_agg(one, '|' ORDER BY index_name) AS field_metrics FROM each GROUP BY 1, 2)
 SELECT field_id, acquisition_id, coalesce(v, 0) AS valid_pixels, coalesce(a, 0) AS total_anomalous_pixels,
   coalesce(round(a * 0.01::DOUBLE, 3), 0) AS total_anomalous_area_ha, coalesce(round(a / v * 100::DOUBLE, 2), 0) AS anomaly_percentage,
-  coalesce(n, 0) AS cluster_count, coalesce(top_list, '') AS top_list, coalesce(mean_ndvi, 0) AS mean_ndvi,
+  coalesce(n, 0) AS cluster_count, coalesce(top_list, '') AS top_list, field_metrics,
   coalesce(ndre_before_ndwi, false) AS historical_ndre_before_ndwi_drop, crop_name || {_VERDICT} AS overall_health_verdict
 FROM (SELECT DISTINCT field_id, acquisition_id FROM pixels) LEFT JOIN agg USING (field_id, acquisition_id)
-LEFT JOIN tops USING (acquisition_id) LEFT JOIN fields USING (field_id) LEFT JOIN flag USING (field_id)""")
+LEFT JOIN tops USING (acquisition_id) LEFT JOIN fields USING (field_id) LEFT JOIN flag USING (field_id) LEFT JOIN summary USING (field_id, acquisition_id)""")
 def report_query(spark, sf):
     px = st.pixels(spark, sf)
     flag = anomaly.drop_order_flag(zonal_history(spark, sf))
     report = anomaly.anomaly_report(px, st.fields(spark, sf), flag, TILE)
-    entry = F.transform(
-        "top_clusters",
-        lambda c: F.concat_ws(":", c.cluster_id.cast("string"), c.diagnosis_code, c.compass_sector),
-    )
+    whole = lambda c, scale: F.round(c * scale).cast("long").cast("string")
+    entry = F.transform("top_clusters", lambda c: F.concat_ws(":", *[whole(c[n], _SCALED[n]) if n in _SCALED else c[n].cast("string") for n in _TOLD]))
+    metrics = F.transform(F.map_entries("field_metrics_summary"), lambda m: F.concat_ws(":", m.key, *[whole(m.value[n], 1000) for n in ("min", "mean", "median", "max", "std")]))
     return report.select(
         *KEYS, "valid_pixels", "total_anomalous_pixels", "total_anomalous_area_ha", "anomaly_percentage", "cluster_count",
         F.coalesce(F.array_join(entry, "|"), F.lit("")).alias("top_list"),
-        F.col("field_metrics_summary")["NDVI"]["mean"].alias("mean_ndvi"),
+        F.array_join(metrics, "|").alias("field_metrics"),
         "historical_ndre_before_ndwi_drop", "overall_health_verdict",
     )
