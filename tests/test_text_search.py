@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +159,28 @@ def test_advice_shapes(spark):
     got = advice.clean_advice(spark.createDataFrame([(r,) for r in rows], "output_text string")).collect()
     assert [r.rejected for r in got] == [False, True, True, True, True]
     assert got[0].red == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("mode", ["reference", "overlap"])
+def test_chunking_takes_time_in_proportion(spark, mode, tmp_path):
+    sentence = "Ärger und Öl, word after word. "
+    took = {}
+    for n in (800_000, 8_000_000):
+        path = f"{tmp_path}/{n}"
+        spark.createDataFrame([(sentence * (n // len(sentence)),)], "t string").write.parquet(path)
+        start = time.perf_counter()
+        rows = spark.read.parquet(path).select(F.explode(tx.chunks(F.col("t"), mode=mode)).alias("c")).agg(F.count("c"), F.max(F.length("c")), F.sum(F.length("c"))).first()
+        took[n] = time.perf_counter() - start
+        assert rows[1] <= 650 and rows[2] > 0.9 * n
+    assert took[8_000_000] < 12 * took[800_000]
+
+
+def test_overlapping_chunks_of_words_longer_than_a_window(spark):
+    text = " ".join(["x" * 700, "y" * 100, "z" * 649 + " " + "a" * 640, "b"] * 40)
+    (found,) = spark.createDataFrame([(text,)], "t string").select(tx.chunks(F.col("t"), mode="overlap").alias("c")).first()
+    at = 0
+    for c in found:  # every chunk is a stretch of the text, and none begins behind the end of those before
+        start = text.find(c, max(0, at - 1400))
+        assert 0 <= start <= at + 1
+        at = max(at, start + len(c))
+    assert at == len(text)
