@@ -184,3 +184,51 @@ def test_overlapping_chunks_of_words_longer_than_a_window(spark):
         assert 0 <= start <= at + 1
         at = max(at, start + len(c))
     assert at == len(text)
+
+
+def walked(edges, seeds, depth, cap):
+    """(nodes, touched edges) of one graph by serving a line of (name, level) one after another."""
+    line, inside, touched = [(n, 0) for _, n in sorted((-s, n) for n, s in seeds.items())], set(seeds), set()
+    for name, level in line:  # grows while it is served
+        if len(inside) >= cap:
+            break
+        if level == depth:
+            continue
+        mine = [e for e in edges if name in e[:2]]
+        touched.update(mine)
+        for other in sorted({b if a == name else a for a, b, _ in mine} - inside)[: cap - len(inside)]:
+            inside.add(other)
+            line.append((other, level + 1))
+    return inside, touched
+
+
+@pytest.mark.parametrize("cap", [1, 4, 7, 25])
+def test_expansion_serves_its_queue(spark, cap):
+    rng = np.random.default_rng(cap)
+    graphs = {d: {(f"n{a:02}", f"n{b:02}", "t") for a, b in rng.integers(0, 20, (int(rng.integers(1, 40)), 2)).tolist()} for d in range(12)}
+    found = {(q, d): {f"n{n:02}": float(rng.integers(0, 3)) for n in rng.integers(0, 22, 1 + (q + d) % 4).tolist()} for q in range(3) for d in graphs}
+    edges = spark.createDataFrame([(d, *e, "") for d, g in graphs.items() for e in g], "document_id long, source string, target string, type string, description string")
+    seeds = spark.createDataFrame([(q, d, n, s, 0) for (q, d), ns in found.items() for n, s in ns.items()], "query_id long, document_id long, node_id string, score double, depth int")
+    nodes, touched = graph.expand(seeds, edges, cap=cap)
+    got_nodes, got_edges = {}, {}
+    for r in nodes.collect():
+        got_nodes.setdefault((r.query_id, r.document_id), set()).add(r.node_id)
+    for r in touched.collect():
+        got_edges.setdefault((r.query_id, r.document_id), set()).add((r.source, r.target, r.type))
+    for key, start in found.items():
+        assert (got_nodes[key], got_edges.get(key, set())) == walked(graphs[key[1]], start, 2, cap), key
+
+
+def test_rarest_piece_finds_what_contains_the_needle(spark):
+    texts = ["Theory of theories", "the other", "Bother", "zzz", "", "t h e", "THE End", "ab", "cab", "xabx"]
+    asked = ["theory ab", "other zz", "qqqq the", "thoroughly"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    got = {(r.query_id, r.text): r.overlap for r in graph.text_overlap(queries, spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    want = {}
+    for i, q in enumerate(asked):
+        for t in texts:
+            norm = " ".join(t.lower().split())
+            points = [1.0 if w in norm else 0.5 if len(w) >= 4 and w[: len(w) * 65 // 100] in norm else 0.0 for w in q.split()]
+            if t and any(points):
+                want[i, t] = sum(points) / len(points)
+    assert got == pytest.approx(want)

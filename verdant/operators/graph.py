@@ -91,29 +91,31 @@ def _needles(queries: DataFrame) -> DataFrame:
     return tokens.select("query_id", "at", F.explode(options).alias("_o")).select("query_id", "at", "_o.*").filter("needle IS NOT NULL")
 
 
-def _gram(c: Column) -> Column:
-    return F.substring(c, 1, 3)
+def _pieces(c: Column) -> Column:
+    """The different pieces of three characters, and of two, that a text contains."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1))
+    return F.array_distinct(F.flatten(F.transform(F.array(F.lit(2), F.lit(3)), lambda n: F.transform(starts, lambda p: F.substring(c, p, n)))))
 
 
 def text_overlap(queries: DataFrame, texts: DataFrame) -> DataFrame:
     """(query_id, text, overlap): mean points of the query tokens found in each text.
 
-    "Contained in" becomes an equi-join: a needle's first three characters (all, if it has two) meet
-    the two- and three-character pieces of the text, and only those pairs are then compared. The
-    texts are distinct names and descriptions, so repeated nodes cost nothing.
+    "Contained in" becomes an equi-join on pieces of three characters (two, for a needle of two): a needle is
+    looked up by that of its pieces which the fewest texts hold, and only those texts are compared. A needle
+    with a piece that no text holds is dropped at once. Texts are distinct and numbered, so the index
+    holds numbers, and repeated nodes cost nothing.
     """
     size = queries.select("query_id", F.size(tx.tokens(F.col("text"))).alias("tokens"))
-    needles = _needles(queries).withColumn("gram", _gram(F.col("needle")))
-    distinct_needles = needles.select("needle", "gram").distinct()
-    normal = texts.select("text").distinct().withColumn("_n", tx.normalise(F.col("text")))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_n") - 1))
-
-    def cut(n: int):
-        return lambda p: F.substring(F.col("_n"), p, F.lit(n))
-
-    grams = F.array_distinct(F.concat(F.transform(starts, cut(2)), F.transform(starts, cut(3))))
-    pieces = normal.filter("_n <> ''").select("text", "_n", F.explode(grams).alias("gram"))
-    hits = distinct_needles.join(pieces, "gram").filter(F.contains("_n", "needle")).select("needle", "text")
+    needles = cut_lineage(_needles(queries))
+    normal = texts.select("text").distinct().withColumn("_n", tx.normalise(F.col("text"))).filter("_n <> ''")
+    normal = cut_lineage(normal.withColumn("tid", F.monotonically_increasing_id()))
+    index = cut_lineage(normal.select("tid", F.explode(_pieces(F.col("_n"))).alias("piece")))
+    long = F.filter(_pieces(F.col("needle")), lambda p: F.length(p) == F.least(F.lit(3), F.length("needle")))
+    wanted = needles.select("needle").distinct().select("needle", F.explode(long).alias("piece"))
+    held = index.join(wanted.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("texts"))
+    rarest = wanted.join(held, "piece", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "piece")).alias("_r"))
+    near = rarest.filter("_r.texts > 0").select("needle", "_r.piece").join(index, "piece").select("needle", "tid")
+    hits = near.join(normal, "tid").filter(F.contains("_n", "needle")).select("needle", "text")
     points = needles.join(hits, "needle").groupBy("query_id", "text", "at").agg(F.max("points").alias("points"))
     summed = points.groupBy("query_id", "text").agg(F.sum("points").alias("points"))
     return summed.join(size, "query_id").select("query_id", "text", (F.col("points") / F.col("tokens")).alias("overlap"))
@@ -125,46 +127,50 @@ def _scores(rows: DataFrame, overlaps: DataFrame, column: str, name: str) -> Dat
 
 
 def score_nodes(nodes: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """(query_id, document_id, node_id, score): 1.5 × name + description, from 0.20 on."""
+    """(query_id, document_id, node_id, type, description, score): 1.5 × name + description, from 0.20 on.
+
+    Equal nodes of many documents are scored once and stand in the smallest of these.
+    """
     keys = ["query_id", "node_id", "type", "description"]
-    kinds = nodes.select("node_id", "type", "description").distinct()
-    by_name = _scores(kinds, overlaps, "node_id", "points").select(*keys, (F.col("points") * 1.5).alias("points"))
-    by_text = _scores(kinds, overlaps, "description", "points").select(*keys, "points")
-    kept = by_name.unionByName(by_text).groupBy(*keys).agg(F.round(F.sum("points"), 9).alias("score"))
-    return nodes.join(kept.filter(F.col("score") >= K.NODE_THRESHOLD), ["node_id", "type", "description"]).select(
-        "query_id", "document_id", "node_id", "type", "description", "score"
-    )
+    kinds = nodes.groupBy("node_id", "type", "description").agg(F.min("document_id").alias("document_id"))
+    by_name = _scores(kinds, overlaps, "node_id", "points").select(*keys, "document_id", (F.col("points") * 1.5).alias("points"))
+    by_text = _scores(kinds, overlaps, "description", "points").select(*keys, "document_id", "points")
+    kept = by_name.unionByName(by_text).groupBy(*keys, "document_id").agg(F.round(F.sum("points"), 9).alias("score"))
+    return kept.filter(F.col("score") >= K.NODE_THRESHOLD).select("query_id", "document_id", "node_id", "type", "description", "score")
 
 
 def score_edges(edges: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """(query_id, document_id, source, target, type, score): better end + type + half the description."""
-    keys = ["query_id", "source", "target", "type", "description"]
-    kinds = edges.select("source", "target", "type", "description").distinct()
+    """(query_id, document_id, source, target, type, description, score): better end + type + half the description.
+
+    As with nodes, equal edges are scored once and stand in the smallest of their documents.
+    """
+    ends = ["source", "target", "type", "description"]
+    kinds = edges.groupBy(*ends).agg(F.min("document_id").alias("document_id"))
     zero = F.lit(0.0)
-    parts = [
-        _scores(kinds, overlaps, c, "points").select(*keys, *[(F.col("points") if c == n else zero).alias(f"p_{n}") for n in ("source", "target", "type", "description")])
-        for c in ("source", "target", "type", "description")
-    ]
+    keys = ["query_id", *ends, "document_id"]
+    parts = [_scores(kinds, overlaps, c, "points").select(*keys, *[(F.col("points") if c == n else zero).alias(f"p_{n}") for n in ends]) for c in ends]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    best = every.groupBy(*keys).agg(*[F.max(f"p_{n}").alias(f"p_{n}") for n in ("source", "target", "type", "description")])
+    best = every.groupBy(*keys).agg(*[F.max(f"p_{n}").alias(f"p_{n}") for n in ends])
     score = F.greatest("p_source", "p_target") + F.col("p_type") + 0.5 * F.col("p_description")
     kept = best.withColumn("score", F.round(score, 9)).filter(F.col("score") >= K.NODE_THRESHOLD)
-    return edges.join(kept.select(*keys, "score"), keys[1:]).select("query_id", "document_id", "source", "target", "type", "score")
+    return kept.select("query_id", "document_id", *ends, "score")
 
 
 # expansion -------------------------------------------------------------------------------------
 
 
-def seeds(scored_nodes: DataFrame, scored_edges: DataFrame) -> DataFrame:
+def seeds(scored_nodes: DataFrame, scored_edges: DataFrame, edges: DataFrame) -> DataFrame:
     """(query_id, document_id, node_id, score, depth = 0).
 
-    A node name counts in the document where it scores best; the ends of scored edges count in theirs.
+    A node name counts in the document where it scores best; the ends of scored edges count in every document that
+    holds the edge, as each document's graph is expanded by itself.
     """
     best = newest(scored_nodes, ["query_id", "node_id"], (F.col("score").desc(), F.col("document_id")), 1)
-    ends = scored_edges.select("query_id", "document_id", F.explode(F.array("source", "target")).alias("node_id"))
-    rows = best.select("query_id", "document_id", "node_id", "score").unionByName(ends.withColumn("score", F.lit(0.0)))
+    ends = ["source", "target", "type", "description"]
+    held = edges.join(scored_edges.select("query_id", *ends), ends).select("query_id", "document_id", F.explode(F.array("source", "target")).alias("node_id"))
+    rows = best.select("query_id", "document_id", "node_id", "score").unionByName(held.distinct().withColumn("score", F.lit(0.0)))
     return rows.groupBy("query_id", "document_id", "node_id").agg(F.max("score").alias("score")).withColumn("depth", F.lit(0))
 
 
@@ -177,24 +183,33 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def expand(found: DataFrame, edges: DataFrame, depth: int = K.BFS_DEPTH, cap: int = K.BFS_NODES) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges within ``depth`` steps, at most ``cap`` nodes per query and document.
 
-    New nodes are taken in the order depth, score, name until the cap; edges touched on the way
-    stay even when their far end does not. Where the seeds fill the cap nothing is expanded.
+    Nodes wait in a queue: seeds by score and name, then every node's new neighbours by name. A node is taken from
+    it only while there is room; then all its edges count as touched, and its new neighbours are let in as far as
+    the cap allows. A new neighbour belongs to the first node that reaches it, so a node is still taken if those of
+    the nodes before it, a prefix sum over the queue, leave room. Fewer than ``cap`` nodes of a group ever wait.
     """
     group = ["query_id", "document_id"]
     links = both_ways(edges)
-    nodes, frontier, touched = found, found, None
+    queue = Window.partitionBy(*group).orderBy(F.col("score").desc(), "node_id")
+    sized = found.join(found.groupBy(*group).agg((F.lit(cap) - F.count(F.lit(1))).alias("room")), group)
+    waiting = sized.filter("room > 0").withColumn("at", F.row_number().over(queue)).select(*group, "node_id", "at", "room")
+    nodes, touched = found, None
     for step in range(1, depth + 1):
-        room = nodes.groupBy(*group).agg((F.lit(cap) - F.count(F.lit(1))).alias("room")).filter("room > 0")
-        reach = cut_lineage(frontier.join(room, group).join(links, ["document_id", "node_id"]))
-        edge_rows = reach.select(*group, "source", "target", "type")
-        touched = edge_rows if touched is None else touched.unionByName(edge_rows)
-        near = reach.groupBy(*group, F.col("neighbour").alias("node_id")).agg(F.max("score").alias("from_score"), F.max("room").alias("room"))
+        reach = cut_lineage(waiting.join(links, ["document_id", "node_id"]).select(*group, "node_id", "at", "room", "neighbour", "source", "target", "type"))
+        near = reach.groupBy(*group, F.col("neighbour").alias("node_id")).agg(F.min("at").alias("by"), F.max("room").alias("room"))
         fresh = near.join(nodes.select(*group, "node_id"), [*group, "node_id"], "left_anti")
-        w = Window.partitionBy(*group).orderBy(F.col("from_score").desc(), "node_id")
+        order = Window.partitionBy(*group).orderBy("by", "node_id")
         # the constant cap lets Spark limit each group before the shuffle; the exact room follows
-        first = fresh.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= cap)
-        frontier = cut_lineage(first.filter("rn <= room")).select(*group, "node_id", F.lit(0.0).alias("score"), F.lit(step).alias("depth"))
-        nodes = nodes.unionByName(frontier)
+        first = cut_lineage(fresh.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= cap))
+        # Places in the queue up to which nodes are taken: that of the node whose neighbour fills the last room, if any does.
+        last = first.filter("at = room").select(*group, F.col("by").alias("last"))
+        taken = reach.join(last, group, "left").filter(F.coalesce(F.col("at") <= F.col("last"), F.lit(True)))
+        rows = taken.select(*group, "source", "target", "type")
+        touched = rows if touched is None else touched.unionByName(rows)
+        let_in = first.filter("at <= room")
+        nodes = nodes.unionByName(let_in.select(*group, "node_id", F.lit(0.0).alias("score"), F.lit(step).alias("depth")))
+        left = let_in.groupBy(*group).agg((F.max("room") - F.count(F.lit(1))).alias("left"))
+        waiting = let_in.join(left, group).filter("left > 0").select(*group, "node_id", "at", F.col("left").alias("room"))
     return nodes, touched.distinct()
 
 
@@ -231,6 +246,6 @@ def search_graph(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> Data
     # each of these is used several times below; written once, none is worked out again
     overlaps = cut_lineage(text_overlap(queries, texts))
     scored_nodes = cut_lineage(score_nodes(nodes, overlaps))
-    start = cut_lineage(seeds(scored_nodes, score_edges(edges, overlaps)))
+    start = cut_lineage(seeds(scored_nodes, score_edges(edges, overlaps), edges))
     visited, touched = expand(start, edges)
     return graph_context(scored_nodes, visited, touched, nodes, edges)

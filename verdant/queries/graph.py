@@ -71,12 +71,14 @@ texts0 AS (SELECT node_id AS text FROM nodes UNION SELECT description FROM nodes
 texts AS (SELECT text, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS norm FROM texts0),
 overlap AS MATERIALIZED (SELECT query_id, text, sum(CASE WHEN contains(norm, token) THEN 1 WHEN length(token) >= 4 AND contains(norm, substr(token, 1, floor(length(token) * 0.65)::INTEGER)) THEN 0.5 ELSE 0 END)::DOUBLE / any_value(n) AS o
   FROM qn, texts GROUP BY 1, 2 HAVING o > 0),
-node_scores AS MATERIALIZED (SELECT q.query_id, document_id, node_id, type, description, round(coalesce(a.o, 0) * 1.5 + coalesce(b.o, 0), 9) AS score FROM nodes CROSS JOIN (SELECT query_id FROM questions) q
+node_kinds AS (SELECT node_id, type, description, min(document_id) AS document_id FROM nodes GROUP BY 1, 2, 3),
+edge_kinds AS (SELECT source, target, type, description, min(document_id) AS document_id FROM edges GROUP BY 1, 2, 3, 4),
+node_scores AS MATERIALIZED (SELECT q.query_id, document_id, node_id, type, description, round(coalesce(a.o, 0) * 1.5 + coalesce(b.o, 0), 9) AS score FROM node_kinds CROSS JOIN (SELECT query_id FROM questions) q
   LEFT JOIN overlap a ON a.query_id = q.query_id AND a.text = node_id LEFT JOIN overlap b ON b.query_id = q.query_id AND b.text = description
   WHERE round(coalesce(a.o, 0) * 1.5 + coalesce(b.o, 0), 9) >= 0.2),
-edge_scores AS MATERIALIZED (SELECT * FROM (SELECT q.query_id, document_id, source, target, type, round(greatest(coalesce(s.o, 0), coalesce(t.o, 0)) + coalesce(y.o, 0) + 0.5 * coalesce(d.o, 0), 9) AS score
-  FROM edges CROSS JOIN (SELECT query_id FROM questions) q LEFT JOIN overlap s ON s.query_id = q.query_id AND s.text = source LEFT JOIN overlap t ON t.query_id = q.query_id AND t.text = target
-  LEFT JOIN overlap y ON y.query_id = q.query_id AND y.text = edges.type LEFT JOIN overlap d ON d.query_id = q.query_id AND d.text = description) WHERE score >= 0.2)"""
+edge_scores AS MATERIALIZED (SELECT * FROM (SELECT q.query_id, document_id, source, target, k.type, k.description, round(greatest(coalesce(s.o, 0), coalesce(t.o, 0)) + coalesce(y.o, 0) + 0.5 * coalesce(d.o, 0), 9) AS score
+  FROM edge_kinds k CROSS JOIN (SELECT query_id FROM questions) q LEFT JOIN overlap s ON s.query_id = q.query_id AND s.text = source LEFT JOIN overlap t ON t.query_id = q.query_id AND t.text = target
+  LEFT JOIN overlap y ON y.query_id = q.query_id AND y.text = k.type LEFT JOIN overlap d ON d.query_id = q.query_id AND d.text = k.description) WHERE score >= 0.2)"""
 
 
 def scored(spark, sf):
@@ -88,49 +90,72 @@ def scored(spark, sf):
     return nodes, edges, cut_lineage(graph.score_nodes(nodes, overlaps)), cut_lineage(graph.score_edges(edges, overlaps))
 
 
-@query("graph_node_scores", f"WITH RECURSIVE {st.EMBEDDED}, {GRAPH}, {SCORES} SELECT query_id, document_id, node_id, round(score, 6) AS score FROM node_scores")
+@query("graph_node_scores", f"WITH RECURSIVE {st.EMBEDDED}, {GRAPH}, {SCORES} SELECT query_id, document_id, node_id, type, round(score, 6) AS score FROM node_scores")
 def _(spark, sf):
-    return scored(spark, sf)[2].select("query_id", "document_id", "node_id", F.round("score", 6).alias("score"))
+    return scored(spark, sf)[2].select("query_id", "document_id", "node_id", "type", F.round("score", 6).alias("score"))
 
 
 @query("graph_edge_scores", f"""WITH RECURSIVE {st.EMBEDDED}, {GRAPH}, {SCORES}
-SELECT query_id, count(*) AS edges, round(sum(score), 4) AS total, count(DISTINCT document_id) AS documents FROM edge_scores GROUP BY 1""")
+SELECT query_id, document_id, source, target, type, description, round(score, 6) AS score FROM edge_scores""")
 def _(spark, sf):
-    rows = scored(spark, sf)[3]
-    return rows.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("edges"), F.round(F.sum("score"), 4).alias("total"), F.count_distinct("document_id").alias("documents")
-    )
+    return scored(spark, sf)[3].withColumn("score", F.round("score", 6))
 
 
-def _step(n: int, nodes: str, frontier: str) -> str:
+def _step(n: int, cap: int) -> str:
+    """One level of the queue: ``wait`` holds who waits at which place; a node is taken while fewer than ``cap`` nodes are in."""
+    wait, known = f"wait{n - 1}", f"in{n - 1}"
+    return f"""
+reach{n} AS MATERIALIZED (SELECT w.query_id, w.document_id, spot, neighbour, source, target, type FROM {wait} w JOIN links USING (document_id, node_id)),
+first{n} AS MATERIALIZED (SELECT query_id, document_id, neighbour AS node_id, min(spot) AS parent FROM reach{n} r
+  WHERE NOT EXISTS (SELECT 1 FROM {known} x WHERE x.query_id = r.query_id AND x.document_id = r.document_id AND x.node_id = r.neighbour) GROUP BY 1, 2, 3),
+size{n} AS (SELECT query_id, document_id, count(*) AS held FROM {known} GROUP BY 1, 2),
+taken{n} AS MATERIALIZED (SELECT w.query_id, w.document_id, w.spot FROM {wait} w JOIN size{n} s USING (query_id, document_id)
+  WHERE held + (SELECT count(*) FROM first{n} f WHERE f.query_id = w.query_id AND f.document_id = w.document_id AND f.parent < w.spot) < {cap}),
+touch{n} AS (SELECT DISTINCT r.query_id, r.document_id, source, target, type FROM reach{n} r JOIN taken{n} USING (query_id, document_id, spot)),
+new{n} AS MATERIALIZED (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY query_id, document_id ORDER BY parent, node_id) AS spot FROM first{n} f) JOIN size{n} USING (query_id, document_id) WHERE held + spot <= {cap}),
+wait{n} AS MATERIALIZED (SELECT query_id, document_id, node_id, spot FROM new{n}),
+in{n} AS MATERIALIZED (SELECT * FROM {known} UNION ALL SELECT query_id, document_id, node_id, 0::DOUBLE, {n} FROM new{n})"""
+
+
+def expanded_sql(cap: int = K.BFS_NODES) -> str:
     return f"""
-room{n} AS (SELECT query_id, document_id, 25 - count(*) AS room FROM {nodes} GROUP BY 1, 2 HAVING count(*) < 25),
-reach{n} AS MATERIALIZED (SELECT f.query_id, f.document_id, f.score, room, neighbour, source, target, type FROM {frontier} f JOIN room{n} USING (query_id, document_id) JOIN links USING (document_id, node_id)),
-near{n} AS (SELECT query_id, document_id, neighbour AS node_id, max(score) AS s, max(room) AS room FROM reach{n} r
-  WHERE NOT EXISTS (SELECT 1 FROM {nodes} x WHERE x.query_id = r.query_id AND x.document_id = r.document_id AND x.node_id = r.neighbour) GROUP BY 1, 2, 3),
-front{n} AS MATERIALIZED (SELECT query_id, document_id, node_id, 0::DOUBLE AS score, {n} AS depth FROM near{n} QUALIFY row_number() OVER (PARTITION BY query_id, document_id ORDER BY s DESC, node_id) <= room),
-nodes{n} AS MATERIALIZED (SELECT * FROM {nodes} UNION ALL SELECT * FROM front{n})"""
-
-
-EXPANDED = f"""
 best_nodes AS MATERIALIZED (SELECT * FROM node_scores QUALIFY row_number() OVER (PARTITION BY query_id, node_id ORDER BY score DESC, document_id) = 1),
-seeds AS MATERIALIZED (SELECT query_id, document_id, node_id, max(score) AS score, 0 AS depth FROM (SELECT query_id, document_id, node_id, score FROM best_nodes
-  UNION ALL SELECT query_id, document_id, source, 0 FROM edge_scores UNION ALL SELECT query_id, document_id, target, 0 FROM edge_scores) GROUP BY 1, 2, 3),
+hit_edges AS (SELECT s.query_id, e.document_id, e.source, e.target FROM edges e JOIN edge_scores s ON s.source = e.source AND s.target = e.target AND s.type = e.type AND s.description = e.description),
+in0 AS MATERIALIZED (SELECT query_id, document_id, node_id, max(score) AS score, 0 AS depth FROM (SELECT query_id, document_id, node_id, score FROM best_nodes
+  UNION ALL SELECT query_id, document_id, source, 0 FROM hit_edges UNION ALL SELECT query_id, document_id, target, 0 FROM hit_edges) GROUP BY 1, 2, 3),
 links AS MATERIALIZED (SELECT document_id, source AS node_id, target AS neighbour, source, target, type FROM edges UNION ALL SELECT document_id, target, source, source, target, type FROM edges),
-{_step(1, 'seeds', 'seeds')}, {_step(2, 'nodes1', 'front1')},
-touched AS MATERIALIZED (SELECT DISTINCT query_id, document_id, source, target, type FROM (SELECT * FROM reach1 UNION ALL SELECT * FROM reach2))"""
+wait0 AS MATERIALIZED (SELECT query_id, document_id, node_id, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, node_id) AS spot FROM in0),
+{_step(1, cap)}, {_step(2, cap)},
+nodes2 AS (SELECT * FROM in2),
+touched AS MATERIALIZED (SELECT * FROM touch1 UNION SELECT * FROM touch2)"""
 
 
-@query("graph_expansion", f"""WITH RECURSIVE {st.EMBEDDED}, {GRAPH}, {SCORES}, {EXPANDED} SELECT query_id, count(*) AS nodes, sum(depth)::BIGINT AS depths, count(DISTINCT node_id) AS names,
-  (SELECT count(*) FROM touched t WHERE t.query_id = n.query_id) AS edges FROM nodes2 n GROUP BY 1""")
-def _(spark, sf):
+EXPANDED = expanded_sql()
+SMALL_CAP = 4  # fills up in the middle of a level in many documents
+
+
+def _expansion_sql(cap: int) -> str:
+    return f"""WITH RECURSIVE {st.EMBEDDED}, {GRAPH}, {SCORES}, {expanded_sql(cap)}
+SELECT query_id, document_id, 'node' AS kind, node_id AS name, '' AS target, '' AS type, depth FROM nodes2
+UNION ALL SELECT query_id, document_id, 'edge', source, target, type, 0 FROM touched"""
+
+
+def _expansion(spark, sf, cap):
     _, edges, scored_nodes, scored_edges = scored(spark, sf)
-    visited, touched = graph.expand(cut_lineage(graph.seeds(scored_nodes, scored_edges)), edges)
-    counted = touched.groupBy("query_id").agg(F.count(F.lit(1)).alias("edges"))
-    summary = visited.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("nodes"), F.sum("depth").alias("depths"), F.count_distinct("node_id").alias("names")
-    )
-    return summary.join(counted, "query_id")
+    visited, touched = graph.expand(cut_lineage(graph.seeds(scored_nodes, scored_edges, edges)), edges, cap=cap)
+    none = F.lit("")
+    nodes = visited.select("query_id", "document_id", F.lit("node").alias("kind"), F.col("node_id").alias("name"), none.alias("target"), none.alias("type"), "depth")
+    return nodes.unionByName(touched.select("query_id", "document_id", F.lit("edge").alias("kind"), F.col("source").alias("name"), "target", "type", F.lit(0).alias("depth")))
+
+
+@query("graph_expansion", _expansion_sql(K.BFS_NODES))
+def _(spark, sf):
+    return _expansion(spark, sf, K.BFS_NODES)
+
+
+@query("graph_expansion_small_cap", _expansion_sql(SMALL_CAP))
+def _(spark, sf):
+    return _expansion(spark, sf, SMALL_CAP)
 
 
 _NODE = "'[Ob''ekt] ' || node_id || ' | turi: ' || type || ' | tavsif: ' || description"
