@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from verdant.functions import text as tx
 from verdant.functions import vectors as vx
-from verdant.operators import advice, graph, search, vectors
+from verdant.operators import advice, graph, lexical, search, vectors
 
 
 def one(spark, expr, *values, schema="t string"):
@@ -58,7 +58,7 @@ def test_bm25_equals_the_formula(spark):
     docs = ["paxta suv paxta", "bugdoy suv", "suv suv suv azot"]
     chunks = spark.createDataFrame(list(enumerate(docs)), "chunk_id long, text string")
     asked = spark.createDataFrame([(1, "paxta suv paxta nomalum")], "query_id long, text string")
-    got = {r.chunk_id: r.score for r in search.bm25_scores(asked, search.corpus_statistics(chunks), ["query_id"]).collect()}
+    got = {r.chunk_id: r.score for r in lexical.bm25_scores(asked, search.corpus_statistics(chunks), ["query_id"]).collect()}
     toks = [d.split() for d in docs]
     mean = sum(map(len, toks)) / 3
 
@@ -232,3 +232,39 @@ def test_rarest_piece_finds_what_contains_the_needle(spark):
             if t and any(points):
                 want[i, t] = sum(points) / len(points)
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("blocks, batches", [(8, 1), (16, 3), (1024, 2)])
+def test_ranked_lists_equal_all_scores(spark, blocks, batches, monkeypatch):
+    """Pruned lists over blocks and batches against the scores of all chunks in one batch."""
+    monkeypatch.setattr(lexical, "CHUNKS", blocks)
+    monkeypatch.setattr(lexical, "QUERIES", 3)
+    rng = np.random.default_rng(blocks)
+    words = np.array([f"w{int(i)}x" for i in rng.zipf(1.3, 400) % 60])
+    texts = [(i, " ".join(rng.choice(words, rng.integers(0, 40)))) for i in range(240)]
+    asked = spark.createDataFrame([(q, " ".join(rng.choice(words, rng.integers(1, 6)))) for q in range(10)] + [(10, "unknown"), (11, "")], "query_id long, text string")
+    whole = lexical.corpus_statistics(spark.createDataFrame(texts, "chunk_id long, text string"))
+    corpus = None
+    for k in range(batches):
+        part = spark.createDataFrame(texts[k::batches], "chunk_id long, text string")
+        corpus = lexical.corpus_statistics(part) if corpus is None else lexical.added(corpus, part)
+    assert sorted(map(tuple, corpus.frequencies.collect())) == sorted(map(tuple, whole.frequencies.collect()))
+    scores = {}
+    for r in lexical.bm25_scores(asked, whole, ["query_id"]).collect():
+        scores.setdefault(r.query_id, {})[r.chunk_id] = r.score
+    got = {}
+    for r in lexical.bm25_ranked(asked, corpus, ["query_id"], 5).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    for q in range(12):
+        every = {i: scores.get(q, {}).get(i, 0.0) for i in range(240)}
+        want = sorted(every.items(), key=lambda s: (-s[1], s[0]))[:5]
+        assert [i for i, _ in got[q]] == [i for i, _ in want] and [s for _, s in got[q]] == pytest.approx([s for _, s in want])
+
+
+def test_blocks_below_the_bar_are_not_read():
+    block = {"ids": np.arange(4), "lengths": np.array([2, 2, 2, 2]), "terms": lexical.pa.array(["a", "b"]), "starts": np.array([0, 4, 6]), "members": np.array([0, 1, 2, 3, 0, 1]),
+             "counts": np.array([1, 1, 1, 2, 1, 1]), "most": np.array([2, 1]), "shortest": np.array([2, 2])}
+    query = {"terms": lexical.pa.array(["a", "b", "zz"]), "owners": np.array([0, 0, 1]), "weights": np.array([1.0, 2.0, 5.0])}
+    numbers, ids, score = lexical._scored(block, query, np.full(2, -np.inf), 2.0, 2)
+    assert numbers.tolist() == [0, 0] and ids.tolist() == [0, 1] and score.tolist() == pytest.approx([3.0, 3.0])
+    assert lexical._scored(block, query, np.array([10.0, 0.0]), 2.0, 2) is None

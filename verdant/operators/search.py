@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,9 +10,9 @@ from pyspark.sql import functions as F
 from verdant import constants as K
 from verdant.functions import text as tx
 from verdant.functions.vectors import dot
+from verdant.operators.lexical import Corpus, bm25_ranked, corpus_statistics
 from verdant.operators.store import newest
 from verdant.operators.vectors import DIGITS, keep_rule, nearest
-from verdant.session import cut_lineage
 
 
 def active_chunks(chunks: DataFrame, documents: DataFrame, selected: list[int] | None = None) -> DataFrame:
@@ -35,65 +33,6 @@ def corpus_counts(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-class Corpus(NamedTuple):
-    """Term counts of the chunks and what scoring needs to know about the whole."""
-
-    postings: DataFrame  # chunk_id, term, tf, length
-    frequencies: DataFrame  # term, idf
-    chunks: DataFrame  # chunk_id
-
-
-def corpus_statistics(chunks: DataFrame, text: str = "text") -> Corpus:
-    """Postings with lengths and the idf of every term.
-
-    N and the mean length are a one-row aggregate used as a scalar subquery, not a join.
-    """
-    # tokens and postings are read several times by every scoring job; both are written once
-    lengths = cut_lineage(
-        chunks.select("chunk_id", tx.tokens(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens"))
-    )
-    totals = lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("mean_length"))
-    counts = lengths.select("chunk_id", "length", F.explode("tokens").alias("term"))
-    postings = cut_lineage(
-        counts.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
-    )
-    n, df = totals.select("n").scalar(), F.col("df").cast("double")
-    found = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    frequencies = found.withColumn("n", n).select(
-        "term", "df", F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1.0).alias("idf")
-    )
-    postings = postings.withColumn("mean_length", totals.select("mean_length").scalar())
-    return Corpus(postings, frequencies, chunks.select("chunk_id"))
-
-
-def bm25_scores(queries: DataFrame, corpus: Corpus, keys: list[str]) -> DataFrame:
-    """Q4: (keys, chunk_id, score) of chunks that share a token; repeated query tokens count again."""
-    asked = queries.select(*keys, F.explode(tx.tokens(F.col("text"))).alias("term"))
-    asked = asked.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("times"))
-    weighted = asked.join(corpus.frequencies.select("term", "idf"), "term")
-    tf = F.col("tf").cast("double")
-    norm = 1.0 - K.BM25_B + K.BM25_B * (F.col("length") / F.col("mean_length"))
-    part = F.col("times") * F.col("idf") * (tf * (K.BM25_K1 + 1.0) / (tf + K.BM25_K1 * norm))
-    # frequent terms make hot join keys; the sum per query and chunk is combined before it is shuffled
-    scored = weighted.join(corpus.postings, "term").groupBy(*keys, "chunk_id").agg(F.sum(part).alias("score"))
-    return scored.withColumn("score", F.round("score", DIGITS))
-
-
-def bm25_ranked(queries: DataFrame, corpus: Corpus, keys: list[str], n: int = K.RANKED_LIST) -> DataFrame:
-    """Q4: the first ``n`` chunks per query; chunks without a match follow with score 0 in id order.
-
-    At most ``n`` of the ``n`` lowest ids can be needed as padding, so only those are added: every
-    query is paired with the numbers 1..n and these with the lowest ids, by an ordinary join.
-    """
-    scored = bm25_scores(queries, corpus, keys)
-    lowest = corpus.chunks.orderBy("chunk_id").limit(n).agg(F.sort_array(F.collect_list("chunk_id")).alias("ids"))
-    lowest = lowest.select(F.posexplode("ids").alias("at", "chunk_id"))
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    padding = queries.select(*keys, numbers.alias("at")).join(lowest, "at").select(*keys, "chunk_id", F.lit(0.0).alias("score"))
-    every = scored.unionByName(padding).groupBy(*keys, "chunk_id").agg(F.max("score").alias("score"))
-    return newest(every, keys, (F.col("score").desc(), F.col("chunk_id")), n, "rank")
-
-
 def query_variants(queries: DataFrame) -> DataFrame:
     """Q5: the query, and from three tokens on its first four and its last four tokens.
 
