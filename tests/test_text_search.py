@@ -113,7 +113,6 @@ def test_mmr_equals_plain_greedy_choice(spark):
 
 def test_nearest_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(vectors, "CORPUS_BLOCK", 7)
     rng = np.random.default_rng(1)
     q, c = rng.normal(size=(8, 5)), rng.normal(size=(50, 5))
     frame = lambda m, key: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{key} long, embedding array<double>")
@@ -268,3 +267,37 @@ def test_blocks_below_the_bar_are_not_read():
     numbers, ids, score = lexical._scored(block, query, np.full(2, -np.inf), 2.0, 2)
     assert numbers.tolist() == [0, 0] and ids.tolist() == [0, 1] and score.tolist() == pytest.approx([3.0, 3.0])
     assert lexical._scored(block, query, np.array([10.0, 0.0]), 2.0, 2) is None
+
+
+def test_nearest_equals_brute_force(spark, monkeypatch):
+    """Clusters far apart, so that blocks are skipped; vectors of two lengths, ties, NULLs and many blocks of queries."""
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(vectors, "HELD", 2)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 8)) * 4
+    rows = [(i, (centres[i % 6] + rng.normal(size=8) * 0.1).tolist()) for i in range(400)] + [(400 + i, rng.normal(size=3).tolist()) for i in range(20)]
+    rows += [(500, rows[7][1]), (501, rows[7][1]), (600, None), (601, []), (602, [1.0, None, 2.0]), (603, [1.0] * 5)]
+    asked = [(q, rows[7 * q][1]) for q in range(20)] + [(20, rows[405][1]), (21, None), (22, [0.0] * 8), (23, [1.0, 2.0])]
+    corpus = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    got = {}
+    for r in vectors.nearest(spark.createDataFrame(asked, "query_id long, embedding array<double>"), corpus, 4).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    usable = [(i, v) for i, v in rows if v and None not in v]
+    for q, v in asked:
+        want = sorted([(-round(float(np.dot(v, w)), 9), i) for i, w in usable if len(w) == len(v)])[:4] if v else []
+        assert [i for i, _ in got.get(q, [])] == [i for _, i in want], q
+        assert [s for _, s in got.get(q, [])] == pytest.approx([-s for s, _ in want])
+    assert sorted(r.chunk_id for r in vectors.unusable(corpus, 8).collect() if r.chunk_id >= 500) == [600, 601, 602, 603]
+
+
+def test_reach_is_never_exceeded():
+    rng = np.random.default_rng(3)
+    for scale in (1e-3, 1.0, 1e4):
+        centre = rng.normal(size=16) * scale
+        rows, asked = centre + rng.normal(size=(50, 16)) * 0.05 * scale, rng.normal(size=(30, 16)) * scale
+        apart = np.linalg.norm(rows - rows[0], axis=1)
+        norms = np.linalg.norm(rows, axis=1)
+        bound = vectors._reach(asked, rows[0], float(apart.min()), float(apart.max()), float(norms.max()))
+        exact = asked @ rows.T
+        assert (bound[:, None] >= exact).all()
+        assert (bound < exact.max() * 50 + 1).any()

@@ -9,6 +9,7 @@ from verdant.functions import spectral as S
 from verdant.operators import zonal
 from verdant.queries import standins as st
 from verdant.queries.registry import query
+from verdant.session import cut_lineage
 
 
 def r6(*names):
@@ -67,7 +68,7 @@ SELECT field_id, acquisition_id, index_name, round(min(value), 6) AS min_value,
   round(median(value), 6) AS median_value, round(max(value), 6) AS max_value, count(value) AS valid_pixel_count
 FROM core_long GROUP BY 1, 2, 3""")
 def zonal_query(spark, sf):
-    return zonal.zonal_statistics(st.pixels(spark, sf)).select(
+    return zonal.zonal_statistics(cut_lineage(st.pixels(spark, sf))).select(
         *KEYS, "index_name", *r6(*STATS), "valid_pixel_count"
     )
 
@@ -80,7 +81,7 @@ SELECT field_id, acquisition_id, index_name,
   coalesce(round(stddev_pop(value) FILTER (valid), 3), 0) AS std_value
 FROM long GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    return zonal.index_distribution(st.pixels(spark, sf))
+    return zonal.index_distribution(cut_lineage(st.pixels(spark, sf)))
 
 
 @query("anomalous_pixels", f"""WITH {st.PIXELS}, {st.BIO}, {st.FLAGGED}
