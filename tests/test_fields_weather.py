@@ -165,3 +165,31 @@ def test_streamed_ingest_equals_batch(spark, tmp_path):
     stream = jobs.read_files(spark, str(tmp_path / "in"), twice.schema)
     out = jobs.ingest_acquisitions(stream, str(tmp_path / "out"), str(tmp_path / "check"))
     assert sorted(r.revision_key for r in out.collect()) == ["0", "1", "2", "3"]
+
+
+def test_choice_of_models(spark):
+    made = lambda crop, name, version: yx.Fitted(crop, name, version, None)
+    registry = [made("cotton", "forest", 1), made("cotton", "boosting", 3), made("cotton", "forest", 12), made("wheat", "boosting", 1)]
+    rows = [("cotton", "forest"), ("cotton", " for "), ("cotton", "boosting"), ("cotton", "other"), ("cotton", None), ("wheat", "forest"), ("barley", "forest"), (None, "forest")]
+    df = spark.createDataFrame(rows, "crop string, asked string")
+    got = [r.m for r in df.select(yx.chosen_model(registry, F.col("crop"), F.col("asked")).alias("m")).collect()]
+    assert got == ["cotton_forest_0012"] * 2 + ["cotton_boosting_0003"] + ["cotton_forest_0012"] * 2 + ["wheat_boosting_0001", None, None]
+
+
+def test_fields_are_scored_by_their_crop(spark):
+    matrix = spark.createDataFrame([(f, f"2026-{m:02}", float(f % 3), float(m)) for f in range(12) for m in (5, 6, 7)], "field_id long, year_month string, a double, b double")
+    crops = spark.createDataFrame([(f, "wheat" if f % 2 else "cotton") for f in range(12)], "field_id long, crop string")
+    labels = crops.selectExpr("field_id", "IF(crop = 'wheat', 100D, 0D) + field_id / 10 AS yield_t_ha").filter("field_id < 10")
+    whole = yx.train
+    yx.train = lambda m, lab, kind, features=("a", "b"), seed=7: whole(m, lab, kind, list(features), seed)
+    try:
+        registry = yx.train_models(matrix, labels, crops, ("random_forest", "gradient_boosting"))
+    finally:
+        yx.train = whole
+    assert [m.label for m in registry] == [f"{c}_{n}_0001" for c in ("cotton", "wheat") for n in ("random_forest", "gradient_boosting")]
+    choice = crops.select("field_id", yx.chosen_model(registry, F.col("crop"), F.when(F.col("field_id") > 5, "grad")).alias("model")).union(spark.createDataFrame([(99, None)], "field_id long, model string"))
+    rows = yx.score_each(registry, matrix, choice, ["a", "b"]).collect()
+    assert len(rows) == 36
+    for r in rows:
+        assert r.model.startswith("wheat" if r.field_id % 2 else "cotton") and (r.prediction > 50) == bool(r.field_id % 2)
+        assert ("gradient" in r.model) == (r.field_id > 5)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -47,6 +49,49 @@ def score(model: PipelineModel, matrix: DataFrame, features: list[str] = FEATURE
     return model.transform(align_features(matrix, features)).select("field_id", "year_month", "prediction")
 
 
+class Fitted(NamedTuple):
+    """A model in the registry; of a crop's models the last by name and version is the latest."""
+
+    crop: str
+    name: str
+    version: int
+    model: PipelineModel
+
+    @property
+    def label(self) -> str:
+        return f"{self.crop}_{self.name}_{self.version:04d}"
+
+
+def train_models(matrix: DataFrame, labels: DataFrame, crops: DataFrame, names: tuple[str, ...] = ("random_forest",), version: int = 1) -> list[Fitted]:
+    """M2: a model per crop of the calendar and name, learned from that crop's fields; ``crops``: (field_id, crop)."""
+    rows = cut_lineage(matrix.join(crops.select("field_id", "crop"), "field_id"), "crop")
+    found = []
+    for crop in sorted({row[0] for row in K.CROP_CALENDAR}):
+        own = rows.filter(F.col("crop") == crop).join(labels.select("field_id"), "field_id", "left_semi")
+        if not own.isEmpty():
+            found += [Fitted(crop, name, version, train(own, labels, name)) for name in names]
+    return found
+
+
+def chosen_model(registry: list[Fitted], crop: Column, name: Column) -> Column:
+    """M2: label of the crop's last model whose name starts with the one asked for, else of its last model, else NULL."""
+    ordered = sorted(registry, key=lambda m: m.label, reverse=True)
+    asked = [F.when((crop == m.crop) & F.lit(m.name).startswith(F.trim(name)), F.lit(m.label)) for m in ordered]
+    latest = [F.when(crop == m.crop, F.lit(m.label)) for m in ordered]
+    return F.coalesce(*asked, *latest, F.lit(None).cast("string"))
+
+
+def score_each(registry: list[Fitted], matrix: DataFrame, choice: DataFrame, features: list[str] = FEATURES) -> DataFrame:
+    """M2: (field_id, year_month, prediction, model): every field by the model that ``choice`` (field_id, model) names.
+
+    The rows are written once, in a folder per model, and each model reads its own; fields without a model have no row.
+    """
+    rows = align_features(matrix, features).join(choice.select("field_id", "model"), "field_id")
+    rows = cut_lineage(rows, "model")
+    parts = [m.model.transform(rows.filter(F.col("model") == m.label)).select("field_id", "year_month", "prediction", "model") for m in registry]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def ensemble(predictions: DataFrame, fields: DataFrame) -> DataFrame:
     """One estimate per field from its monthly predictions, with interval and totals."""
     grouped = predictions.groupBy("field_id").agg(
@@ -85,6 +130,16 @@ def model_factors(model: PipelineModel, like: DataFrame, features: list[str] = F
     return _described(best.withColumn("importance", F.round("importance", 4)))
 
 
+def factors_of_models(registry: list[Fitted], like: DataFrame, features: list[str] = FEATURES) -> DataFrame:
+    """M3: (model, rank, feature, importance, description): the ten most important features of every model, by weight and name."""
+    rows = []
+    for m in registry:
+        weights = [float(x) for x in m.model.stages[-1].featureImportances.toArray()]
+        best = sorted(zip(weights, features, strict=True), key=lambda w: (-w[0], w[1]))[:10]
+        rows += [(m.label, k, name, round(weight, 4)) for k, (weight, name) in enumerate(best, 1)]
+    return _described(like.sparkSession.createDataFrame(rows, "model string, rank int, feature string, importance double"))
+
+
 def spread_factors(matrix: DataFrame, features: list[str] = FEATURES) -> DataFrame:
     """M3 without importances: the ten columns that vary most per field, as shares of their sum."""
     spreads = align_features(matrix, features).groupBy("field_id").agg(*[F.stddev_samp(c).alias(c) for c in features])
@@ -99,16 +154,15 @@ def spread_factors(matrix: DataFrame, features: list[str] = FEATURES) -> DataFra
     return _described(top.select("field_id", "rank", "feature", F.round(share, 4).alias("importance")))
 
 
-def yield_records(estimates: DataFrame, factors: DataFrame, timeline: DataFrame, crops: DataFrame, model_name: str) -> DataFrame:
-    """M4: one nested record per field; ten factors and at most twelve months per list."""
+def yield_records(estimates: DataFrame, factors: DataFrame, timeline: DataFrame, crops: DataFrame) -> DataFrame:
+    """M4: one nested record per field with the model that made it; ten factors and at most twelve months per list."""
     listed = factors.groupBy("field_id").agg(F.sort_array(F.collect_list(F.struct("rank", "feature", "importance", "description"))).alias("_f"))
     listed = listed.select("field_id", F.transform("_f", lambda f: f.dropFields("rank")).alias("top_features"))
     months = timeline.groupBy("field_id").agg(
         F.sort_array(F.collect_list(F.struct("month", *K.PHENOLOGY_DEFAULTS))).alias("phenology_timeline")
     )
-    named = crops.select("field_id", "crop", "crop_display_name")
+    named = crops.select("field_id", "crop", "crop_display_name", F.col("model").alias("model_name"))
     return (
         estimates.join(named, "field_id").join(listed, "field_id", "left").join(months, "field_id", "left")
-        .withColumn("model_name", F.lit(model_name))
         .withColumn("created_at", F.current_timestamp())
     )

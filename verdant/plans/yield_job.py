@@ -30,9 +30,16 @@ def observations(fields: DataFrame, weather_sources: list[DataFrame], points: Da
     return planned, weather, optical, echoes
 
 
-def estimate_yields(planned: DataFrame, weather: DataFrame, optical: DataFrame, radar: DataFrame, model, model_name: str, target_year: int = 2026):
-    """Records per field: estimate, interval, totals, factors and phenology."""
+def estimate_yields(planned: DataFrame, weather: DataFrame, optical: DataFrame, radar: DataFrame, registry: list[yx.Fitted], target_year: int = 2026):
+    """Records per field: estimate, interval, totals, factors and phenology.
+
+    A field is scored by the model of its crop that ``planned.model_name`` asks for, else by the crop's latest; fields
+    of a crop without any model have no record.
+    """
     matrix = cut_lineage(fx.monthly_features(weather, optical, radar, target_year))
-    estimates = yx.ensemble(yx.score(model, matrix), planned)
+    asked = F.col("model_name") if "model_name" in planned.columns else F.lit(None).cast("string")
+    named = cut_lineage(planned.withColumn("model", yx.chosen_model(registry, F.col("crop"), asked)).filter("model IS NOT NULL"))
+    estimates = yx.ensemble(yx.score_each(registry, matrix, named), named)
+    factors = named.select("field_id", "model").join(yx.factors_of_models(registry, matrix), "model")
     timeline = fx.phenology(fx.with_optical_indices(optical), fx.with_radar_ratio(radar), weather, planned)
-    return yx.yield_records(estimates, yx.spread_factors(matrix), timeline, planned, model_name)
+    return yx.yield_records(estimates, factors, timeline, named)
