@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdant import constants as K
+from verdant.operators.ranks import numbered
 from verdant.schemas import REFERENCES
 
 
@@ -107,6 +108,20 @@ def processed_acquisitions(acquisitions: DataFrame, index_values: DataFrame, lay
     )
 
 
+def listed(rows: DataFrame, key: str, when: str = "created_at", within: str | None = None, page: int = 50) -> DataFrame:
+    """Rows with ``place`` (from 1) and ``page``, newest first, ties by ``key``; NULL times come last.
+
+    Over the whole table (fields, documents) places are given range by range, so a listing of any length is
+    sorted in parallel; ``within`` a column (the acquisitions of a field) they are counted per group.
+    """
+    order = (F.col(when).desc_nulls_last(), F.col(key).asc())
+    if within is None:
+        placed = numbered(rows, *order, name="place").withColumn("place", F.col("place") + 1)
+    else:
+        placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(within).orderBy(*order)).cast("long"))
+    return placed.withColumn("page", F.ceil(F.col("place") / page).cast("long"))
+
+
 def completeness(acquisitions: DataFrame, index_values: DataFrame, layers: DataFrame) -> DataFrame:
     """Does an acquisition have all five index rows and all seven layers of the current version?"""
     rows = index_values.groupBy("acquisition_id").agg(F.count(F.lit(1)).alias("index_rows"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant import constants as K
@@ -84,6 +87,40 @@ def _(spark, sf):
     return df.select("field_id", "acquisition_id", at())
 
 
+# Creation times derive from the ids, with ties; every seventh is not known.
+_MADE = "CASE WHEN {0} % 7 <> 3 THEN TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * ({0} * 37 % 101) END"
+
+
+def _made(key: str):
+    hours = F.make_interval(hours=(F.col(key) * 37 % 101).cast("int"))
+    return F.when(F.col(key) % 7 != 3, F.to_timestamp(F.lit("2024-01-01 00:00:00")) + hours).alias("created_at")
+
+
+def _listing_sql(key: str, columns: str, source: str) -> str:
+    return f"""l AS (SELECT {columns}, row_number() OVER (ORDER BY {_MADE.format(key)} DESC NULLS LAST, {key}) AS place FROM {source})
+SELECT *, CAST((place + 49) // 50 AS BIGINT) AS page FROM l"""
+
+
+@query("field_listing", f"WITH {st.FIELDS}, {_listing_sql('field_id', 'field_id, public_id, crop_name', 'fields')}")
+def _(spark, sf):
+    return store.listed(st.fields(spark, sf).select("field_id", "public_id", "crop_name", _made("field_id")), "field_id").drop("created_at")
+
+
+@query("document_listing", f"""WITH docs AS (SELECT doc_id AS document_id, source || '-' || doc_id AS name FROM documents),
+{_listing_sql('document_id', 'document_id, name', 'docs')}""")
+def _(spark, sf):
+    return store.listed(st.documents(spark, sf).select("document_id", "name", _made("document_id")), "document_id").drop("created_at")
+
+
+@query("acquisition_listing", f"""WITH {st.STORE}, done AS (SELECT field_id, acquisition_id, product_id, acquired_at FROM acquisitions WHERE processed_at IS NOT NULL
+  AND acquisition_id IN (SELECT acquisition_id FROM index_values) AND acquisition_id IN (SELECT acquisition_id FROM layers WHERE render_version = '{K.RENDER_VERSION}')),
+l AS (SELECT field_id, acquisition_id, product_id, row_number() OVER (PARTITION BY field_id ORDER BY acquired_at DESC, acquisition_id) AS place FROM done)
+SELECT *, CAST((place + 49) // 50 AS BIGINT) AS page FROM l""")
+def _(spark, sf):
+    done = store.processed_acquisitions(st.acquisitions(spark, sf), st.index_values(spark, sf), st.layers(spark, sf))
+    return store.listed(done, "acquisition_id", "acquired_at", "field_id").select("field_id", "acquisition_id", "product_id", "place", "page")
+
+
 COMPLETE = f"""
 iv AS (SELECT acquisition_id, count(*) AS n FROM index_values GROUP BY 1),
 ly AS (SELECT acquisition_id, count(DISTINCT layer_name) AS n FROM layers WHERE render_version = '{K.RENDER_VERSION}' GROUP BY 1)"""
@@ -264,22 +301,23 @@ def _(spark, sf):
 
 @query("cascade_delete", f"""WITH {st.STORE}, {st.FIELDS}, gone AS (SELECT field_id FROM fields WHERE crop_name = 'Paxta'),
 a AS (SELECT * FROM acquisitions WHERE field_id NOT IN (SELECT field_id FROM gone))
-SELECT 'fields' AS table_name, count(*) AS rows_left FROM fields WHERE field_id NOT IN (SELECT field_id FROM gone)
-UNION ALL SELECT 'acquisitions', count(*) FROM a
-UNION ALL SELECT 'index_values', count(*) FROM index_values WHERE acquisition_id IN (SELECT acquisition_id FROM a)
-UNION ALL SELECT 'artifacts', count(*) FROM layers WHERE acquisition_id IN (SELECT acquisition_id FROM a)""")
+SELECT 'fields' AS table_name, concat_ws('|', field_id) AS key FROM fields WHERE field_id NOT IN (SELECT field_id FROM gone)
+UNION ALL SELECT 'acquisitions', concat_ws('|', acquisition_id, field_id, product_id, revision_key) FROM a
+UNION ALL SELECT 'index_values', concat_ws('|', acquisition_id, index_name, valid_pixel_count) FROM index_values WHERE acquisition_id IN (SELECT acquisition_id FROM a)
+UNION ALL SELECT 'artifacts', concat_ws('|', acquisition_id, layer_name, render_version) FROM layers WHERE acquisition_id IN (SELECT acquisition_id FROM a)""")
 def _(spark, sf):
     fields = st.fields(spark, sf)
     tables = {
         "fields": fields, "acquisitions": st.acquisitions(spark, sf),
         "index_values": st.index_values(spark, sf), "artifacts": st.layers(spark, sf),
     }
+    keys = {
+        "fields": ["field_id"], "acquisitions": ["acquisition_id", "field_id", "product_id", "revision_key"],
+        "index_values": ["acquisition_id", "index_name", "valid_pixel_count"], "artifacts": ["acquisition_id", "layer_name", "render_version"],
+    }
     left = store.cascade_delete(tables, "fields", "field_id", fields.filter("crop_name = 'Paxta'"))
-    counts = [df.agg(F.count(F.lit(1)).alias("rows_left")).select(F.lit(n).alias("table_name"), "rows_left") for n, df in left.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    parts = [df.select(F.lit(n).alias("table_name"), F.concat_ws("|", *[F.col(c).cast("string") for c in keys[n]]).alias("key")) for n, df in left.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("duplicate_keys", f"""WITH {st.ACQUISITIONS} SELECT field_id, product_id, revision_key, count(*) AS copies
@@ -309,13 +347,20 @@ def _(spark, sf):
     return checked.select("c_custkey", F.array_join("violations", ",").alias("violations"))
 
 
-@query("request_validation", """WITH n AS (SELECT conv_id, count(*) AS messages FROM conversations GROUP BY 1)
-SELECT conv_id, turn, concat_ws(',', CASE WHEN messages > 10 THEN 'messages' END, CASE WHEN role NOT IN ('user', 'assistant') THEN 'role' END,
-  CASE WHEN length(text) NOT BETWEEN 1 AND 3000 THEN 'content' END) AS violations FROM conversations JOIN n USING (conv_id)""")
+# Dates before today, far ahead and missing; languages and modes that are allowed, missing and not allowed.
+_FROM = "CASE conv_id % 5 WHEN 0 THEN DATE '2999-12-31' WHEN 1 THEN DATE '2020-02-29' WHEN 2 THEN DATE '1970-01-01' END"
+_TONGUE = "CASE turn % 6 WHEN 0 THEN 'en' WHEN 1 THEN 'ru' WHEN 2 THEN 'fr' WHEN 3 THEN 'uz-latn' WHEN 4 THEN 'EN' END"
+_MODE = "CASE (conv_id + turn) % 8 WHEN 0 THEN 'advanced' WHEN 1 THEN 'graph' WHEN 2 THEN 'fast' WHEN 3 THEN 'naive' WHEN 4 THEN 'auto' WHEN 5 THEN 'direct_llm' WHEN 6 THEN 'all_in_one' END"
+
+
+@query("request_validation", f"""WITH n AS (SELECT conv_id, count(*) AS messages FROM conversations GROUP BY 1), r AS (SELECT *, {_FROM} AS from_date, {_TONGUE} AS language, {_MODE} AS mode FROM conversations)
+SELECT conv_id, turn, concat_ws(',', CASE WHEN from_date > current_date THEN 'from_date' END, CASE WHEN messages > 10 THEN 'messages' END, CASE WHEN role NOT IN ('user', 'assistant') THEN 'role' END,
+  CASE WHEN length(text) NOT BETWEEN 1 AND 3000 THEN 'content' END, CASE WHEN language NOT IN ('uz-latn', 'uz-cyrl', 'ru', 'en') THEN 'language' END,
+  CASE WHEN mode IS NULL OR mode NOT IN ('advanced', 'all_in_one', 'graph', 'naive', 'direct_llm', 'auto') THEN 'mode' END) AS violations FROM r JOIN n USING (conv_id)""")
 def _(spark, sf):
     rows = table(spark, sf, "conversations").select(
         F.col("conv_id").alias("request_id"), "turn", "role", F.col("text").alias("content"),
-        F.lit(None).cast("date").alias("from_date"), F.lit("en").alias("language"), F.lit("advanced").alias("mode"),
+        F.expr(_FROM).alias("from_date"), F.expr(_TONGUE).alias("language"), F.expr(_MODE).alias("mode"),
     )
     checked = validation.check_requests(rows, F.current_date())
     return checked.select(F.col("request_id").alias("conv_id"), "turn", F.array_join("violations", ",").alias("violations"))
