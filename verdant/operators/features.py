@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdant import constants as K
 from verdant.functions.spectral import monthly_indices
+from verdant.session import cut_lineage
 
 MONTH = ["field_id", "year_month"]
 
@@ -201,32 +202,26 @@ def merge_months(weather: DataFrame, optical: DataFrame, radar: DataFrame) -> Da
 def fill_gaps(merged: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Linear by position between known months, flat beyond them, 0 where a field has none.
 
-    A field has at most one row per calendar month, so a window per field stays small.
+    All columns go through one window per (field, column), as rows of their own; a field has at most one row per
+    calendar month, so a window stays small. The values then return to their months side by side.
     """
     columns = SATELLITE_COLUMNS if columns is None else columns
-    months = Window.partitionBy("field_id").orderBy("year_month")
-    back = months.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = months.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    position = F.row_number().over(months)
+    merged = cut_lineage(merged)
+    long = merged.select(*MONTH, F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("k", "v"))
+    months = Window.partitionBy("field_id", "k").orderBy("year_month")
+    known = F.when(F.col("v").isNotNull(), F.struct("v", "i"))
+    around = long.withColumn("i", F.row_number().over(months)).withColumns(
+        {
+            "before": F.last(known, ignorenulls=True).over(months.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "after": F.first(known, ignorenulls=True).over(months.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+        }
+    )
+    before, after = F.col("before"), F.col("after")
+    between = before["v"] + (after["v"] - before["v"]) / (after["i"] - before["i"]) * (F.col("i") - before["i"])
+    filled = around.select(*MONTH, F.struct("k", F.coalesce("v", between, before["v"], after["v"], F.lit(0.0)).alias("x")).alias("one"))
+    beside = filled.groupBy(*MONTH).agg(F.sort_array(F.collect_list("one")).alias("_x"))  # one value per column
     rest = [c for c in merged.columns if c not in columns]
-    numbered = merged.withColumn("_i", position)
-
-    def known(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("_i").alias("i")))
-
-    # the two neighbours are computed once per column, then only referred to
-    around = [x for c in columns for x in (
-        F.last(known(c), ignorenulls=True).over(back).alias(f"{c}__before"),
-        F.first(known(c), ignorenulls=True).over(ahead).alias(f"{c}__after"),
-    )]
-
-    def filled(c: str) -> Column:
-        before, after = F.col(f"{c}__before"), F.col(f"{c}__after")
-        gap = after["i"] - before["i"]
-        between = before["v"] + (after["v"] - before["v"]) / gap * (F.col("_i") - before["i"])
-        return F.coalesce(F.col(c), between, before["v"], after["v"], F.lit(0.0)).alias(c)
-
-    return numbered.select("*", *around).select(*rest, *[filled(c) for c in columns])
+    return merged.select(*rest).join(beside, MONTH).select(*rest, *[F.get("_x", F.lit(k))["x"].alias(c) for k, c in enumerate(columns)])
 
 
 def finish_features(filled: DataFrame, target_year: int) -> DataFrame:
