@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,8 @@ from verdant import constants as K
 from verdant.operators import store, validation
 from verdant.queries import standins as st
 from verdant.queries.registry import query, table
+from verdant.session import shared_folder
+from verdant.sources import versions
 
 
 def at(c="acquired_at"):
@@ -320,6 +323,28 @@ def _(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+_VALUES = "acquisition_id long, index_name string, valid_pixel_count long, mean_value double, version int"
+
+
+@query("stored_upserts", f"""WITH {st.STORE} SELECT acquisition_id, index_name, valid_pixel_count,
+  mean_value + CASE WHEN acquisition_id % 50 = 7 THEN 4 WHEN acquisition_id % 30 = 0 THEN 2 ELSE 0 END AS mean_value,
+  CASE WHEN acquisition_id % 50 = 7 THEN 3 WHEN acquisition_id % 30 = 0 THEN 2 ELSE 1 END AS version FROM index_values WHERE acquisition_id % 4 <> 1 OR acquisition_id % 50 = 7 OR acquisition_id % 30 = 0""")
+def _(spark, sf):
+    """Stored in three batches; the second and the first are tried again after the third and add nothing."""
+    values = st.index_values(spark, sf).select("acquisition_id", "index_name", F.col("valid_pixel_count").cast("long"), "mean_value")
+    folder = f"{shared_folder(spark)}/values-{uuid.uuid4().hex}"
+    merge = lambda stored, new: store.latest_wins(stored, new, ["acquisition_id", "index_name"], "version")
+
+    def batch(name: str, rows: str, more: float, version: int) -> None:
+        changed = values.filter(rows).withColumn("mean_value", F.col("mean_value") + more).withColumn("version", F.lit(version))
+        versions.change(changed, folder, _VALUES, "acquisition_id", name, merge)
+
+    for name in ("first", "second", "third", "second", "first"):
+        rows, more, version = {"first": ("acquisition_id % 4 <> 1", 0.0, 1), "second": ("acquisition_id % 30 = 0", 2.0, 2), "third": ("acquisition_id % 50 = 7", 4.0, 3)}[name]
+        batch(name, rows, more, version)
+    return versions.read(spark, folder, _VALUES)
+
+
 @query("duplicate_keys", f"""WITH {st.ACQUISITIONS} SELECT field_id, product_id, revision_key, count(*) AS copies
 FROM acquisitions GROUP BY 1, 2, 3 HAVING count(*) > 1""")
 def _(spark, sf):
