@@ -67,3 +67,14 @@ def test_intersection_equals_trying_all_pairs():
 
 def test_empty_table(spark):
     assert cf.digests(cf.format_conversations(spark.createDataFrame([], SCHEMA), VOCABULARY)).count() == 0
+
+
+def test_columns_left_out_change_nothing_else(spark):
+    rows = spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t} é") for c in range(5) for t in range(4)], "conv_id long, turn int, role string, text string")
+    whole = cf.format_conversations(rows, VOCABULARY)
+    part = cf.format_conversations(rows, VOCABULARY, without=cf.TOKENS)
+    assert set(whole.columns) - set(part.columns) == set(cf.TOKENS)
+    key = lambda r: (r.conv_id, r.part, r.seg)
+    assert sorted(whole.select(part.columns).collect(), key=key) == sorted(part.collect(), key=key)
+    for r in whole.collect():
+        assert len(r.token_ids) == len(r.token_starts) == len(r.token_ends) == len(r.loss_mask) > 0

@@ -89,12 +89,15 @@ def loader(vocabulary: str):
     return encoder
 
 
-def format_conversations(rows: DataFrame, vocabulary: str, segment: int = SEGMENT) -> DataFrame:
+TOKENS = ("token_ids", "token_starts", "token_ends", "loss_mask")
+
+
+def format_conversations(rows: DataFrame, vocabulary: str, segment: int = SEGMENT, without: tuple[str, ...] = ()) -> DataFrame:
     """Per segment: conv_id, part, seg, n_turns, char_start, formatted, token_ids, token_starts, token_ends, loss_mask, loss_spans.
 
     ``vocabulary`` is a file of the tokenizers library that every worker can read. ``part`` and ``seg`` order a
     conversation's segments. Offsets and spans count code points of the segment; ``char_start`` is where it
-    begins in the conversation.
+    begins in the conversation. Columns named in ``without`` (of ``TOKENS``) are not handed on.
     """
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType(
@@ -107,6 +110,7 @@ def format_conversations(rows: DataFrame, vocabulary: str, segment: int = SEGMEN
             T.StructField("loss_spans", span),
         ]
     )
+    schema = T.StructType([f for f in schema if f.name not in without])
     named = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = ["conv_id", "turn", "role", "tie"]
     dealt = named.withColumn("tie", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
@@ -119,6 +123,10 @@ def format_conversations(rows: DataFrame, vocabulary: str, segment: int = SEGMEN
             + [(n, pa.list_(pa.int32())) for n in ("token_ids", "token_starts", "token_ends")]
             + [("loss_mask", pa.list_(pa.bool_())), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
         )
+        kinds = pa.schema([f for f in kinds if f.name not in without])
+
+        def together(segments):
+            return pa.RecordBatch.from_arrays([pa.array([s[f.name] for s in segments], f.type) for f in kinds], schema=kinds)
 
         def encoded(conv, part, seg, turns):
             formatted, spans = render(turns)
@@ -127,8 +135,8 @@ def format_conversations(rows: DataFrame, vocabulary: str, segment: int = SEGMEN
             mask, covered = intersect(tokens, spans)
             return {
                 "conv_id": conv, "part": part, "seg": seg, "n_turns": len(turns), "n_chars": len(formatted), "formatted": formatted,
-                "token_ids": encoding.ids, "token_starts": tokens[:, 0].tolist(), "token_ends": tokens[:, 1].tolist(),
-                "loss_mask": mask.tolist(), "loss_spans": [{"start": a, "end": b} for a, b in covered],
+                "token_ids": () if "token_ids" in without else np.array(encoding.ids, np.int32), "token_starts": tokens[:, 0].astype(np.int32), "token_ends": tokens[:, 1].astype(np.int32),
+                "loss_mask": mask, "loss_spans": [{"start": a, "end": b} for a, b in covered],
             }
 
         turns, size, seg, current = [], 0, 0, None
@@ -140,15 +148,15 @@ def format_conversations(rows: DataFrame, vocabulary: str, segment: int = SEGMEN
                     weight += size
                     seg, turns, size = (seg + 1 if conv == current[0] else 0), [], 0
                     if weight > segment:
-                        yield pa.RecordBatch.from_pylist(done, kinds)
+                        yield together(done)
                         done, weight = [], 0
                 current = (conv, part)
                 turns.append((role, text))
                 size += len(role) + len(text)
             if done:
-                yield pa.RecordBatch.from_pylist(done, kinds)
+                yield together(done)
         if turns:
-            yield pa.RecordBatch.from_pylist([encoded(*current, seg, turns)], kinds)
+            yield together([encoded(*current, seg, turns)])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
