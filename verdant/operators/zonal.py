@@ -37,7 +37,12 @@ def biophysical_pixels(pixels: DataFrame, keep_invalid: bool = True) -> DataFram
 
 def zonal_statistics(pixels: DataFrame) -> DataFrame:
     """Min, mean, median, max and count per acquisition and core index; NULLs where count is 0."""
-    return summaries(core_index_pixels(pixels), KEYS, K.CORE_INDICES).select(
+    return statistics_columns(summaries(core_index_pixels(pixels), KEYS, K.CORE_INDICES))
+
+
+def statistics_columns(summary: DataFrame) -> DataFrame:
+    """A summary per index under the names of the statistics table."""
+    return summary.select(
         *KEYS,
         "index_name",
         F.col("minimum").alias("min_value"),

@@ -14,6 +14,11 @@ from verdant.session import shared_folder
 from verdant.streaming import jobs
 
 
+def repeated(df, *order: str):
+    """Every row twice, the copies mixed: repeats come in the same file and in later ones, old rows after newer ones."""
+    return df.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("mixed", F.xxhash64(*order, "again")).drop("again")
+
+
 def landed(spark, df, order: str, files: int = 4):
     """The rows as files in order, a fresh folder for the result and one for the checkpoint."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -24,7 +29,8 @@ def landed(spark, df, order: str, files: int = 4):
 
 @query("stream_catalogue_ingest", f"WITH {st.ACQUISITIONS} SELECT DISTINCT field_id, product_id, revision_key FROM acquisitions")
 def _(spark, sf):
-    return jobs.ingest_acquisitions(*landed(spark, st.acquisitions(spark, sf), "acquired_at")).select("field_id", "product_id", "revision_key")
+    arriving = repeated(st.acquisitions(spark, sf), "acquisition_id")
+    return jobs.ingest_acquisitions(*landed(spark, arriving, "mixed")).select("field_id", "product_id", "revision_key")
 
 
 @query("stream_zonal_statistics", f"""WITH {st.PIXELS}, {st.CORE}
@@ -47,4 +53,4 @@ def _(spark, sf):
 
 @query("stream_message_counts", f"SELECT conv_id, count(*) AS messages, max(conv_id * {st.TURNS_PER_CONVERSATION} + turn) AS last_message_id FROM conversations GROUP BY 1")
 def _(spark, sf):
-    return jobs.running_counts(*landed(spark, messages(spark, sf), "message_id"))
+    return jobs.running_counts(*landed(spark, repeated(messages(spark, sf), "message_id"), "mixed"))

@@ -72,3 +72,31 @@ def change(
     table = spark.createDataFrame(rows, "kind string, place int, name string").coalesce(1)
     table.write.mode("overwrite").json(f"{folder}/manifest/{number + 1:08d}")
     return touched
+
+
+def tidy(spark: SparkSession, folder: str, states: int = 2) -> int:
+    """Deletes what only older states than the last ``states`` need; the number of bucket folders that stay.
+
+    A reader that began more than ``states`` changes ago may miss its files. To be called by the one writer.
+    """
+    done = _complete(spark, folder)
+    kept = done[max(len(done) - states, 0) :]
+    needed: set[tuple[str, str]] = set()
+    for number in kept:
+        rows = spark.read.schema("kind string, place int, name string").json(f"{folder}/manifest/{number:08d}").filter("kind = 'bucket'")
+        needed |= {(r.name, f"bucket={r.place}") for r in rows.collect()}  # one row per bucket
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    data = place(f"{folder}/data")
+    files = data.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = {name for name, _ in needed}
+    for batch in files.listStatus(data) if files.exists(data) else []:
+        name = batch.getPath().getName()
+        if name not in names:
+            files.delete(batch.getPath(), True)
+            continue
+        for bucket in files.listStatus(batch.getPath()):
+            if bucket.isDirectory() and (name, bucket.getPath().getName()) not in needed:
+                files.delete(bucket.getPath(), True)
+    for number in done[: len(done) - len(kept)]:
+        files.delete(place(f"{folder}/manifest/{number:08d}"), True)
+    return len(needed)

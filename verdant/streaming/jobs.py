@@ -1,89 +1,154 @@
 """Structured Streaming forms of the incremental jobs. All of them stop when the input is used up.
 
-Every micro-batch writes its own folder, named by the batch id and overwritten on a retry, so a
-restarted batch does not add rows twice. Checkpoints and results live in the folders the caller
-names, which on a cluster are shared ones.
+Results are versioned tables (``sources.versions``): a micro-batch rewrites the buckets of the keys it brings
+and is known by its stream and number, so that a restarted batch changes nothing twice, readers see one state,
+and folders of earlier states are deleted. Checkpoints and results live in the folders the caller names, which
+on a cluster are shared ones. A checkpoint folder is what names a stream.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
 
+from verdant import constants as K
 from verdant.functions.text import mask_secrets
-from verdant.operators.store import insert_if_new, latest_wins
-from verdant.operators.zonal import zonal_statistics
+from verdant.operators.quantiles import medians
+from verdant.operators.store import ACQUISITION_KEY, insert_if_new
+from verdant.operators.zonal import KEYS, core_index_pixels, statistics_columns
+from verdant.session import cut_lineage
+from verdant.sources import versions
+
+#: How long keys stay in a stream's state after they arrived.
+HORIZON = "30 days"
+#: Slots of equal width in which index values are counted.
+SLOTS_PER_UNIT = 256
 
 
 def read_files(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def _run(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    query = stream.writeStream.foreachBatch(work).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _run(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    query = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-BUCKETS = 64
+def _once(stream: DataFrame, keys: list[str], horizon: str) -> DataFrame:
+    """Rows whose keys did not arrive within the ``horizon`` before.
+
+    The watermark follows the time of arrival, which only grows: no row is ever too late, however old the event
+    it tells of, and the state holds the keys of one horizon, not of all time.
+    """
+    arrived = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", horizon)
+    return arrived.dropDuplicatesWithinWatermark(keys).drop("_arrived")
+
+
+def _name(checkpoint: str, batch_id: int) -> str:
+    return f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}-{batch_id:08d}"
+
 
+def _apply(batch: DataFrame, folder: str, schema: str, key: str, name: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    # stored first: a batch is looked at more than once, the stream's state only once
+    if versions.change(cut_lineage(batch), folder, schema, key, name, merge):
+        versions.tidy(batch.sparkSession, folder)
 
-def _store(batch: DataFrame, folder: str, batch_id: int, key: str) -> None:
-    """The batch's rows, in folders by a bucket of ``key`` so that a later batch reads only what it touches."""
-    spread = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-    spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={batch_id}")
 
+def _declared(schema: StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
-def _stored(spark: SparkSession, folder: str, schema: StructType, touched: DataFrame | None = None, key: str = "", before: int | None = None) -> DataFrame:
-    """Rows of all batches so far with their ``batch``; of ``touched`` keys' buckets only, and before a batch that may be a retry.
 
-    A stream that has brought nothing yet has no rows.
+def ingest_acquisitions(stream: DataFrame, out: str, checkpoint: str, horizon: str = HORIZON) -> DataFrame:
+    """ST1: each (field, product, revision) is stored once, the earliest of the batch that brings it.
+
+    Repeats within the horizon end in the stream's state; those of later ones are found in the table, of which
+    the buckets of the fields are read that still bring something. Late acquisitions are stored like others.
     """
-    declared = StructType([*schema.fields, StructField("batch", IntegerType()), StructField("bucket", IntegerType())])
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*")
-    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path):
-        return spark.createDataFrame([], declared).drop("bucket")
-    rows = spark.read.schema(declared).option("basePath", folder).parquet(f"{folder}/batch=*")
-    if touched is not None:
-        # at most BUCKETS numbers
-        buckets = [r.b for r in touched.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()]
-        rows = rows.filter(F.col("bucket").isin(buckets))
-    return (rows if before is None else rows.filter(F.col("batch") < before)).drop("bucket")
-
-
-def ingest_acquisitions(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """ST1: each (field, product, revision) is stored once, the earliest of the batch that brings it."""
-    spark, schema = stream.sparkSession, stream.schema
+    schema = _declared(stream.schema)
+
+    def merge(stored: DataFrame, new: DataFrame) -> DataFrame:
+        return stored.unionByName(insert_if_new(new, stored).filter("created").drop("created"))
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        stored = _stored(batch.sparkSession, out, schema, batch, "field_id", batch_id).drop("batch")
-        _store(insert_if_new(batch, stored).filter("created").drop("created"), out, batch_id, "field_id")
+        _apply(batch, out, schema, "field_id", _name(checkpoint, batch_id), merge)
+
+    # the state keeps any one row of a key and batch; which of a batch's repeats is stored is decided before it
+    _run(_once(stream, [*ACQUISITION_KEY, "acquired_at", "acquisition_id"], horizon), work, checkpoint)
+    return versions.read(stream.sparkSession, out, schema)
+
+
+SLOTS = "field_id long, acquisition_id long, index_name string, slot int, n long, total double, minimum double, maximum double"
 
-    _run(stream, work, checkpoint)
-    return _stored(spark, out, schema).drop("batch")
+
+def _slots(values: DataFrame) -> DataFrame:
+    """Per acquisition, index and slot the number, sum and ends of its values; slot NULL for pixels without one."""
+    long = values.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(n).alias("index_name"), F.col(n).alias("value")) for n in K.CORE_INDICES])).alias("v")).select(*KEYS, "v.*")
+    slot = F.floor(F.greatest(F.least(F.col("value"), F.lit(8.0)), F.lit(-8.0)) * SLOTS_PER_UNIT).cast("int")
+    return long.groupBy(*KEYS, "index_name", slot.alias("slot")).agg(
+        F.count("value").alias("n"), F.sum("value").alias("total"), F.min("value").alias("minimum"), F.max("value").alias("maximum")
+    )
+
+
+def _added(stored: DataFrame, new: DataFrame) -> DataFrame:
+    both = stored.unionByName(new.select(*stored.columns))
+    return both.groupBy(*KEYS, "index_name", "slot").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("minimum").alias("minimum"), F.max("maximum").alias("maximum")
+    )
+
+
+def _summed(slots: DataFrame) -> DataFrame:
+    """Per acquisition one struct per index, with the ends of the slots that hold the middle ranks."""
+    order = F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("slot", "n", "minimum", "maximum"))))
+    each = slots.groupBy(*KEYS, "index_name").agg(
+        F.sum("n").alias("size"), F.min("minimum").alias("minimum"), F.max("maximum").alias("maximum"), F.sum("total").alias("total"), order.alias("slots")
+    )
+    # running numbers over at most 16 * SLOTS_PER_UNIT + 1 slots
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(0).cast("long").alias("below"))
+    first, last = F.floor((F.col("size") - 1) / 2), F.floor(F.col("size") / 2)
+
+    def step(t, s):
+        upto = t["upto"] + s["n"]
+        starts, ends = t["low"].isNull() & (upto > first), t["high"].isNull() & (upto > last)
+        return F.struct(
+            upto.alias("upto"),
+            F.when(starts, s["minimum"]).otherwise(t["low"]).alias("low"),
+            F.when(ends, s["maximum"]).otherwise(t["high"]).alias("high"),
+            F.when(starts, t["upto"]).otherwise(t["below"]).alias("below"),
+        )
+
+    found = each.withColumn("b", F.aggregate("slots", start, step))
+    measured = F.struct(
+        "size", "minimum", "maximum", F.when(F.col("size") > 0, F.col("total") / F.col("size")).alias("mean"), F.lit(None).cast("double").alias("std"),
+        F.lit(None).cast("array<double>").alias("about"), F.struct("b.low", "b.high", "b.below").alias("bracket"),
+    )
+    return found.groupBy(*KEYS).agg(*[F.max(F.when(F.col("index_name") == n, measured)).alias(f"_{n}") for n in K.CORE_INDICES])
 
 
 def upsert_statistics(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """ST2: zonal statistics of acquisitions whose pixels arrive in any number of batches.
 
-    A batch's pixels are stored; the acquisitions it touches are measured again from all their pixels so far,
-    and that measurement replaces the earlier one.
+    A batch adds its counts, sums and ends per slot to those of the acquisitions it touches and reads no earlier
+    pixel. Its index values are stored; the statistics, when asked for, read of them what lies in the middle slots.
     """
-    spark, schema = stream.sparkSession, stream.schema
-    measures = zonal_statistics(spark.createDataFrame([], schema)).schema
+    spark = stream.sparkSession
+    values = "field_id long, acquisition_id long, " + ", ".join(f"{n} double" for n in K.CORE_INDICES)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        _store(batch, f"{out}/pixels", batch_id, "acquisition_id")
-        session = batch.sparkSession
-        touched = batch.select("field_id", "acquisition_id").distinct()
-        known = _stored(session, f"{out}/pixels", schema, touched, "acquisition_id", batch_id + 1).drop("batch")
-        _store(zonal_statistics(known.join(touched, ["field_id", "acquisition_id"], "left_semi")), f"{out}/statistics", batch_id, "acquisition_id")
+        name = _name(checkpoint, batch_id)
+        indexed = core_index_pixels(batch).select(*KEYS, *[F.col(n).cast("double").alias(n) for n in K.CORE_INDICES])
+        indexed.write.mode("overwrite").parquet(f"{out}/values/{name}")
+        measured = batch.sparkSession.read.schema(values).parquet(f"{out}/values/{name}")
+        _apply(_slots(measured), f"{out}/slots", SLOTS, "acquisition_id", name, _added)
 
     _run(stream, work, checkpoint)
-    rows = _stored(spark, f"{out}/statistics", measures)
-    return latest_wins(rows.limit(0), rows, ["field_id", "acquisition_id", "index_name"], "batch").drop("batch")
+    known = _summed(versions.read(spark, f"{out}/slots", SLOTS))
+    if versions.manifest(spark, f"{out}/slots")[0] < 0:  # a stream that has brought nothing yet has no rows
+        return statistics_columns(medians(spark.createDataFrame([], values), known, KEYS, K.CORE_INDICES))
+    return statistics_columns(medians(spark.read.schema(values).parquet(f"{out}/values/*"), known, KEYS, K.CORE_INDICES))
 
 
 def mask_stream(stream: DataFrame, column: str, out: str, checkpoint: str, literals: tuple[str, ...] = ()) -> DataFrame:
@@ -94,18 +159,22 @@ def mask_stream(stream: DataFrame, column: str, out: str, checkpoint: str, liter
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def running_counts(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+COUNTS = "conv_id long, messages long, last_message_id long"
+
+
+def running_counts(stream: DataFrame, out: str, checkpoint: str, horizon: str = HORIZON) -> DataFrame:
     """ST4: message count and last message id per conversation, updated with every batch.
 
-    State: one row per conversation (count and highest id), kept without expiry.
+    State: the message ids that arrived within the horizon; a message that is delivered again later than that is
+    counted again. Counts are added to the table, one row per conversation.
     """
-    spark = stream.sparkSession
-    running = stream.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.max("message_id").alias("last_message_id"))
+
+    def merge(stored: DataFrame, new: DataFrame) -> DataFrame:
+        return stored.unionByName(new).groupBy("conv_id").agg(F.sum("messages").alias("messages"), F.max("last_message_id").alias("last_message_id"))
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        _store(batch, out, batch_id, "conv_id")
+        counted = batch.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.max("message_id").alias("last_message_id"))
+        _apply(counted, out, COUNTS, "conv_id", _name(checkpoint, batch_id), merge)
 
-    _run(running, work, checkpoint, "update")
-    # counts and ids only grow, so the newest row of a conversation is its largest one
-    rows = _stored(spark, out, running.schema)
-    return rows.groupBy("conv_id").agg(F.max("messages").alias("messages"), F.max("last_message_id").alias("last_message_id"))
+    _run(_once(stream, ["conv_id", "message_id"], horizon), work, checkpoint)
+    return versions.read(stream.sparkSession, out, COUNTS)
