@@ -49,6 +49,19 @@ def test_holes_are_subtracted(spark):
     assert holed == pytest.approx(whole * 0.64, rel=1e-3)
 
 
+def test_holes_that_cut_the_interior_together(spark):
+    outside = [[0, 0], [12, 0], [12, 12], [0, 12], [0, 0]]
+    box = lambda a, b, c, d: [[a, b], [c, b], [c, d], [a, d], [a, b]]
+    left, right = [[0, 6], [4, 5], [4, 7], [0, 6]], [[12, 6], [8, 7], [8, 5], [12, 6]]
+    chain = [box(4, 4, 5, 5), box(5, 5, 6, 6), box(6, 6, 7, 7)]
+    fan = [[[6, 6], [9, 5], [9, 7], [6, 6]], [[6, 6], [3, 5], [3, 7], [6, 6]], [[6, 6], [5, 9], [7, 9], [6, 6]]]
+    bridge = [[4, 5], [8, 5], [6, 4], [4, 5]]  # from the left hole's corner to the right hole's
+    cases = [[left], [left, right], chain, fan, [left, right, bridge], [*fan, [[9, 7], [7, 9], [8, 10], [9, 7]]], [box(1, 1, 2, 2), *chain, [[7, 7], [11, 7], [11, 1], [5, 1], [5, 4], [10, 4], [10, 6], [7, 7]]]]
+    want = [None, None, None, None, "hole", "hole", "hole"]
+    got = [r.error for r in checked(spark, *[geojson(outside, *c) for c in cases]).orderBy("request_id").collect()]
+    assert got == want
+
+
 def test_hash_ignores_start_and_direction(spark):
     turned = SQUARE[2:4] + SQUARE[:2] + [SQUARE[2]]
     rows = fields.with_geometry(checked(spark, geojson(SQUARE), geojson(turned), geojson(SQUARE[::-1]))).collect()

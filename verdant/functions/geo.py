@@ -99,11 +99,35 @@ def _has_point(ring: Column, other: Column, inside: bool) -> Column:
     return F.exists(ring, lambda p: ~_on_ring(p, segments) & (_in_ring(p, segments) if inside else ~_in_ring(p, segments)))
 
 
-def bad_holes(rings: Column) -> Column:
-    """Is a hole outside the exterior or across it, do holes overlap, or do they cut the interior apart?
+def _closes_a_loop(rings: Column) -> Column:
+    """Do rings that touch each other in single points only together cut the interior apart?
 
-    Rings that only together cut it, each touching the next in one point, are not noticed.
+    They do where the graph of rings and touching points has a cycle: ends of its paths are taken off
+    until nothing changes, at most once per ring; what is left lies on cycles or between them.
     """
+
+    def rounds(edges: Column) -> Column:
+        def inner(kept: Column, _: Column) -> Column:
+            often = lambda name: (lambda e: F.size(F.filter(kept, lambda o: o[name] == e[name])) > 1)
+            return F.filter(kept, lambda e: often("ring")(e) & often("point")(e))
+
+        left = F.aggregate(F.sequence(F.lit(0), F.size(rings)), edges, inner)
+        return F.size(left) > 0
+
+    numbered = F.transform(rings, lambda r, i: F.struct(i.alias("i"), _segments(r).alias("segments")))
+    corners = F.array_distinct(F.flatten(rings))
+
+    def meeting(all_: Column) -> Column:
+        def at(p: Column, k: Column) -> Column:
+            return F.transform(F.filter(all_, lambda r: _on_ring(p, r["segments"])), lambda r: F.struct(r["i"].alias("ring"), k.alias("point")))
+
+        return F.flatten(F.filter(F.transform(corners, at), lambda on: F.size(on) > 1))
+
+    return bind(numbered, lambda all_: bind(meeting(all_), rounds))
+
+
+def bad_holes(rings: Column) -> Column:
+    """Is a hole outside the exterior or across it, do holes overlap, or do they cut the interior apart, alone or together?"""
     holes = F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
 
     def outside(hole: Column) -> Column:
@@ -113,7 +137,7 @@ def bad_holes(rings: Column) -> Column:
         later = F.slice(holes, i + 2, F.greatest(F.size(holes) - i - 1, F.lit(0)))
         return F.exists(later, lambda other: _part_badly(first, other) | _has_point(first, other, True) | _has_point(other, first, True))
 
-    return F.exists(holes, outside) | F.exists(F.transform(holes, clash), lambda x: x)
+    return F.exists(holes, outside) | F.exists(F.transform(holes, clash), lambda x: x) | ((F.size(holes) > 1) & _closes_a_loop(rings))
 
 
 def planar_area(rings: Column) -> Column:

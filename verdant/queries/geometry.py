@@ -63,26 +63,28 @@ def _(spark, sf):
     return fx.check_geometry(polygons(spark, sf)).select("request_id", "message", "valid")
 
 
-# a hole per customer, as (left, bottom, right, top) in tenths of a unit square; the key decides which
+# holes per customer, as (left, bottom, right, top) in tenths of a unit square; the key decides which
 _HOLES = {
     0: [(2, 2, 4, 4)], 1: [(20, 20, 21, 21)], 2: [(8, 8, 12, 12)], 3: [(2, 2, 6, 6), (4, 4, 8, 8)], 4: [(2, 2, 8, 8), (3, 3, 4, 4)],
     5: [(0, 2, 4, 4)], 6: [(2, 2, 4, 4), (4, 4, 6, 6)], 7: [(2, 2, 4, 4), (6, 6, 8, 8)], 8: [(-2, 3, 12, 6)], 9: [(0, 0, 10, 10)],
+    10: [(4, 2, 6, 4), (6, 4, 8, 6), (4, 6, 6, 8), (2, 4, 4, 6)], 11: [(4, 2, 6, 4), (6, 4, 8, 6), (4, 6, 6, 8)],
 }
-_HOLE_ERRORS = {1: "hole", 2: "hole", 3: "hole", 4: "hole", 5: "hole", 8: "hole", 9: "area"}
+_HOLE_ERRORS = {1: "hole", 2: "hole", 3: "hole", 4: "hole", 5: "hole", 8: "hole", 9: "area", 10: "hole"}
 
 
-@query("polygon_holes", f"""SELECT c_custkey AS request_id, CASE c_custkey % 10 {' '.join(f'WHEN {n} THEN {st.sql_text(K.POLYGON_ERRORS[e])}' for n, e in _HOLE_ERRORS.items())} END AS message,
-  c_custkey % 10 IN (0, 6, 7) AS valid FROM customer""")
+@query("polygon_holes", f"""SELECT c_custkey AS request_id, CASE c_custkey % 12 {' '.join(f'WHEN {n} THEN {st.sql_text(K.POLYGON_ERRORS[e])}' for n, e in _HOLE_ERRORS.items())} END AS message,
+  c_custkey % 12 IN (0, 6, 7, 11) AS valid FROM customer""")
 def _(spark, sf):
-    """Inside, outside, crossing, overlapping, nested, along a side, touching in one point, apart, across, all of it."""
+    """Inside, outside, crossing, overlapping, nested, along a side, touching in one point, apart, across, all of it, four around
+    a middle that they cut off, three that leave it open."""
     at = F.col("c_custkey") % 100 + 100
 
     def square(left, bottom, right, top):
         points = ((left, bottom), (right, bottom), (right, top), (left, top), (left, bottom))
         return F.array(*[F.array((at * 10 + a * 5) / 16.0 - 60.0, F.lit(b * 5) / 16.0) for a, b in points])
 
-    kinds = [F.array(square(0, 0, 10, 10), *[square(*h) for h in _HOLES[n]]) for n in range(10)]
-    rings = F.get(F.array(*kinds), (F.col("c_custkey") % 10).cast("int"))
+    kinds = [F.array(square(0, 0, 10, 10), *[square(*h) for h in _HOLES[n]]) for n in range(len(_HOLES))]
+    rings = F.get(F.array(*kinds), (F.col("c_custkey") % len(_HOLES)).cast("int"))
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), F.to_json(F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates"))).alias("geometry_json"))
     return fx.check_geometry(rows).select("request_id", "message", "valid")
 
