@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,13 +71,11 @@ def intersect(tokens: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndar
     token = np.repeat(np.arange(len(tokens)), many)
     span = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     low, high = np.maximum(tokens[token, 0], starts[span]), np.minimum(tokens[token, 1], ends[span])
-    covered: list[tuple[int, int]] = []
-    for a, b in zip(low.tolist(), high.tolist(), strict=True):
-        if covered and a <= covered[-1][1]:
-            covered[-1] = (covered[-1][0], max(b, covered[-1][1]))
-        else:
-            covered.append((a, b))
-    return mask, covered
+    if not len(low):
+        return mask, []
+    reached = np.maximum.accumulate(high)
+    apart = np.flatnonzero(low[1:] > reached[:-1]) + 1  # a stretch begins beyond all before it
+    return mask, list(zip(low[np.r_[0, apart]].tolist(), reached[np.r_[apart - 1, len(low) - 1]].tolist(), strict=True))
 
 
 def loader(vocabulary: str):
@@ -131,7 +130,8 @@ def format_conversations(rows: DataFrame, vocabulary: str, segment: int = SEGMEN
         def encoded(conv, part, seg, turns):
             formatted, spans = render(turns)
             encoding = encoder.encode(formatted, add_special_tokens=False)
-            tokens = np.array(encoding.offsets, dtype=np.int64).reshape(-1, 2)
+            offsets = encoding.offsets
+            tokens = np.fromiter(chain.from_iterable(offsets), np.int64, 2 * len(offsets)).reshape(-1, 2)
             mask, covered = intersect(tokens, spans)
             return {
                 "conv_id": conv, "part": part, "seg": seg, "n_turns": len(turns), "n_chars": len(formatted), "formatted": formatted,
