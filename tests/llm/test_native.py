@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import docs_of, empty_docs, rows_of
 from verdant.llm import licences, quality, urls
@@ -31,6 +32,17 @@ def test_measurements_equal_counting(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == measured(t), t
 
 
+@pytest.mark.parametrize("spare", [58, 60, 62])
+def test_measurements_with_few_hash_bits(spark, monkeypatch, spare):
+    """Unlike windows that share their hash and stand between equal ones."""
+    rng = random.Random(spare)
+    texts = [None, "a", "a b c", " ".join(f"w{i}" for i in range(200)), " ".join(f"w{i % 90}" for i in range(200))]
+    texts += [" ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(80))) for _ in range(60)]
+    monkeypatch.setattr(quality, "_position_bits", lambda words: F.lit(spare))
+    got = rows_of(quality.measure(docs_of(spark, texts)))
+    assert [got[i].n_repeat_words for i in range(len(texts))] == [measured(t)[4] for t in texts]
+
+
 def test_ledger_policies_and_ablation(spark):
     texts = [None, "word " * 60, " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}#" for i in range(60)), "a #"]
     book = quality.ledger(docs_of(spark, texts)).cache()

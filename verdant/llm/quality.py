@@ -6,7 +6,8 @@ needs no second look at the texts.
 
 Repeated windows are found inside one row: each 3-word window becomes one long, its hash in the high
 bits and its position in the low bits. Sorting the longs puts equal windows beside each other, where
-neighbours are compared word by word. That is n log n for a text of n words and moves no data.
+neighbours are compared word by word. That is n log n for a text of n words and moves no data. Where two
+unlike windows share their hash bits, that text's windows are sorted by their words themselves.
 
 Cases: a NULL text counts as empty and fails ``few_words``; repeated rows and NULL ids are kept as
 they are; ids and other columns of the input are passed on under the names asked for; an empty table
@@ -51,10 +52,14 @@ def mask_of(names: tuple[str, ...]) -> int:
     return sum(1 << bits[n] for n in names)
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words that stand in a window whose words occur at two or more places of the text."""
-    n = F.size(words)
-    low = F.ceil(F.log2(n + F.lit(1))).cast("int")  # bits that hold a position; the rest are the hash's
+def _position_bits(words: Column) -> Column:
+    """Bits that hold a position; the rest of a long are the hash's."""
+    return F.ceil(F.log2(F.size(words) + F.lit(1))).cast("int")
+
+
+def _window_keys(words: Column) -> Column:
+    """Every window as a long, equal hashes beside each other and in order of their places."""
+    n, low = F.size(words), _position_bits(words)
 
     def window(i: Column) -> Column:
         return F.xxhash64(*[F.get(words, i + d) for d in range(WINDOW)])
@@ -63,6 +68,17 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n >= WINDOW, F.sort_array(keys)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _starts_by_words(words: Column) -> Column:
+    """Starts of the windows that occur twice or more, by sorting the windows' words; for the few texts whose hashes collide."""
+    windows = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.struct(F.slice(words, i + 1, WINDOW).alias("w"), i.cast("long").alias("i")))
+
+    def repeated(ordered: Column) -> Column:
+        near = lambda x, j: F.coalesce(F.get(ordered, j)["w"] == x["w"], F.lit(False))
+        return F.transform(F.filter(ordered, lambda x, j: near(x, j - 1) | near(x, j + 1)), lambda x: x["i"])
+
+    return F.get(F.transform(F.array(F.array_sort(windows)), repeated), 0)
+
+
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words per row."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -84,22 +100,29 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "words",
-        F.ceil(F.log2(F.size("words") + F.lit(1))).cast("int").alias("low"),
-        _repeat_words(F.col("words")).alias("windows"),
+        _position_bits(F.col("words")).alias("low"),
+        _window_keys(F.col("words")).alias("windows"),
     )
     low, words, windows = F.col("low"), F.col("words"), F.col("windows")
     place = F.call_function("shiftleft", F.lit(1).cast("long"), low) - 1
 
-    def same(x: Column, y: Column) -> Column:
-        """Equal hashes, then equal words at both places; NULL, beyond either end, is not equal."""
+    def alike(x: Column, y: Column) -> Column:
+        """Equal hashes; NULL, beyond either end, is not equal."""
+        return F.coalesce(F.call_function("shiftright", x, low) == F.call_function("shiftright", y, low), F.lit(False))
+
+    def unlike(x: Column, y: Column) -> Column:
+        """Are the words at the two places different?"""
         here, there = x.bitwiseAND(place).cast("int"), y.bitwiseAND(place).cast("int")
-        equal = F.call_function("shiftright", x, low) == F.call_function("shiftright", y, low)
+        different = F.lit(False)
         for d in range(WINDOW):
-            equal = equal & (F.get(words, here + d) == F.get(words, there + d))
-        return F.coalesce(equal, F.lit(False))
-
-    repeated = F.filter(windows, lambda x, i: same(x, F.get(windows, i - 1)) | same(x, F.get(windows, i + 1)))
-    starts = sorted_windows.withColumn("starts", F.sort_array(F.transform(repeated, lambda x: x.bitwiseAND(place))))
+            different = different | (F.get(words, here + d) != F.get(words, there + d))
+        return different
+
+    repeated = F.filter(windows, lambda x, i: alike(x, F.get(windows, i - 1)) | alike(x, F.get(windows, i + 1)))
+    paired = sorted_windows.withColumn("windows", repeated)
+    collided = F.exists(F.transform(windows, lambda x, i: alike(x, F.get(windows, i - 1)) & unlike(x, F.get(windows, i - 1))), lambda c: c)
+    by_hash = F.transform(windows, lambda x: x.bitwiseAND(place))
+    starts = paired.withColumn("starts", F.sort_array(F.when(collided, _starts_by_words(words)).otherwise(by_hash)))
     at = F.col("starts")
     covered = F.transform(at, lambda x, i: F.least(F.lit(WINDOW).cast("long"), F.coalesce(F.get(at, i + 1) - x, F.lit(WINDOW).cast("long"))))
     return starts.select(

@@ -17,7 +17,9 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_repl
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM l LEFT JOIN n USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 10 * n_symbols <= n_words
-  AND NOT (n_lines >= 4 AND 100 * n_dup_lines > 60 * n_lines) AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words AS kept FROM f"""
+  AND NOT (n_lines >= 4 AND 100 * n_dup_lines > 60 * n_lines) AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words AS kept,
+  CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS BIGINT) + 4 * CAST(10 * n_symbols > n_words AS BIGINT)
+  + 8 * CAST(n_lines >= 4 AND 100 * n_dup_lines > 60 * n_lines AS BIGINT) + 16 * CAST(word_chars < 2 * n_words OR word_chars > 15 * n_words AS BIGINT) AS failed FROM f"""
 
 
 @query("op6_quality_rules", _QUALITY_SQL)
@@ -25,10 +27,17 @@ def _(spark, sf):
     book = quality.ledger(table(spark, sf, "documents"))
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~quality.passes(F.col("failed"), "v1")).alias("base_failed"), quality.passes(F.col("failed"), "v2").alias("kept"),
+        (~quality.passes(F.col("failed"), "v1")).alias("base_failed"), quality.passes(F.col("failed"), "v2").alias("kept"), "failed",
     )
 
 
+@query("quality_ablation", f"""WITH q AS ({_QUALITY_SQL}), n AS (SELECT rule, bit FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16)) AS v(rule, bit))
+SELECT rule, CAST(count(*) FILTER (failed & bit <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (failed = bit) AS BIGINT) AS n_only, CAST(count(*) FILTER (failed IN (0, bit)) AS BIGINT) AS n_kept_without
+FROM q, n GROUP BY rule""")
+def _(spark, sf):
+    return quality.ablation(quality.ledger(table(spark, sf, "documents")))
+
+
 def _text(value) -> str:
     return "'" + value + "'" if isinstance(value, str) else str(value)
 
