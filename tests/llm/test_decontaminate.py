@@ -51,6 +51,15 @@ def test_spans_and_proximity(spark):
     assert [r.near_items for r in found[1:]] == [["1"], [], [], ["1"]] and not any(r.spans for r in found[1:])
 
 
+def test_items_of_the_same_words_are_matched_once(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    rows = [(i, item if i % 2 else item.upper() + " !") for i in range(50)] + [(7, item), (99, "other words")]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    assert sorted(len(r.item_ids) for r in dc._item_rows(items, "item_id", "text").collect()) == [1, 50]
+    (found,) = dc.matches(docs_of(spark, [f"{item} and {item}"]), items).collect()
+    assert found["items"] == sorted(str(i) for i in range(50)) and found.n_hit == 26
+
+
 def test_empty_tables_and_filter(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = docs_of(spark, ["a b", None, "one two three", "one two three"])

@@ -10,7 +10,7 @@
    hits. An item whose index words stand close together without such a run is a proximity match.
 
 Texts are read once and not shuffled; what moves are postings of rare words and the stored positions.
-Frequent words become index words only of items that have no others, so a common passage makes as many
+Items of the same words are one item until their ids are named in the result. Frequent words become index words only of items that have no others, so a common passage makes as many
 candidates as documents that hold it. Nothing of unbounded size is broadcast or collected.
 
 Cases: NULL or wordless texts have no words and no hits, NULL or wordless items match nothing; a NULL
@@ -39,7 +39,7 @@ NEAR_SHARE, NEAR_SLACK = 0.7, 2.0
 
 
 def _item_rows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
-    """(iid, item_id, hashes): one row per item that has words; 64-bit hashes as bytes."""
+    """(iid, item_ids, hashes): one row per different sequence of words, with the ids of its items; 64-bit hashes as bytes."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -48,7 +48,8 @@ def _item_rows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary())], ["iid", "item_id", "hashes"])
 
     named = benchmark.select(F.monotonically_increasing_id().alias("iid"), F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), F.col(text).alias("text"))
-    return cut_lineage(named.mapInArrow(batches, "iid long, item_id string, hashes binary").filter(F.length("hashes") > 0))
+    each = named.mapInArrow(batches, "iid long, item_id string, hashes binary").filter(F.length("hashes") > 0)
+    return cut_lineage(each.groupBy("hashes").agg(F.min("iid").alias("iid"), F.array_sort(F.collect_set("item_id")).alias("item_ids")).select("iid", "item_ids", "hashes"))
 
 
 def _low(column: str = "word"):
@@ -113,7 +114,7 @@ def frequencies(forward: DataFrame) -> DataFrame:
 
 
 def index_items(items: DataFrame, df: DataFrame) -> DataFrame:
-    """(iid, item_id, hashes, at): ``at`` are the positions that are among the rarest of some window."""
+    """(iid, item_ids, hashes, at): ``at`` are the positions that are among the rarest of some window."""
 
     def rarest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -123,12 +124,12 @@ def index_items(items: DataFrame, df: DataFrame) -> DataFrame:
                 for start in range(max(1, n - WINDOW + 1)):
                     found.update(sorted(range(start, min(n, start + WINDOW)), key=lambda i: (counts[i], i))[:RAREST])  # noqa: B023
                 chosen.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(chosen, pa.list_(pa.int32()))], ["iid", "item_id", "hashes", "at"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(chosen, pa.list_(pa.int32()))], ["iid", "item_ids", "hashes", "at"])
 
     each = _item_words(items).join(df, "word", "left")
     rows = each.groupBy("iid").agg(F.array_sort(F.collect_list(F.struct("ipos", F.coalesce("df", F.lit(0)).alias("df")))).alias("w"))
-    counted = items.join(rows, "iid").select("iid", "item_id", "hashes", F.transform("w", lambda w: w["df"]).alias("dfs"))
-    return cut_lineage(counted.mapInArrow(rarest, "iid long, item_id string, hashes binary, at array<int>"))
+    counted = items.join(rows, "iid").select("iid", "item_ids", "hashes", F.transform("w", lambda w: w["df"]).alias("dfs"))
+    return cut_lineage(counted.mapInArrow(rarest, "iid long, item_ids array<string>, hashes binary, at array<int>"))
 
 
 def _index_words(items: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
         .agg(F.collect_list(F.struct("place", "ipos")).alias("met"), F.size(F.collect_set("ipos")).alias("kinds"), F.max("least").alias("least"))
         .filter("kinds >= least")
     )
-    cases = lists.join(indexed, "iid").groupBy("rid").agg(F.collect_list(F.struct("item_id", "hashes", F.size("at").alias("n_index"), "met")).alias("cases"))
+    cases = lists.join(indexed, "iid").groupBy("rid").agg(F.collect_list(F.struct("item_ids", "hashes", F.size("at").alias("n_index"), "met")).alias("cases"))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()), pa.list_(pa.string())]
@@ -217,14 +218,16 @@ def verify(n_words: int, hashes: bytes, places: bytes, cases: list[dict]) -> tup
         place = np.array([m["place"] for m in case["met"]], dtype=np.int64)
         ipos = np.array([m["ipos"] for m in case["met"]], dtype=np.int64)
         offsets, met = np.unique(place - ipos, return_counts=True)
+        found = False
         for d in offsets[met >= min(RAREST, len(item))].tolist():
             low, high = max(0, -d), min(len(item), n_words - d)
             equal = (words[d + low : d + high] == item[low:high]) & stored[d + low : d + high]
             for a, b in _runs(equal, window):
-                hit[d + low + a : d + low + b] = True
-                exact.add(case["item_id"])
-        if case["item_id"] not in exact and _near(place, ipos, case["n_index"], len(item)):
-            near.add(case["item_id"])
+                hit[d + low + a : d + low + b] = found = True
+        if found:
+            exact.update(case["item_ids"])
+        elif not exact.issuperset(case["item_ids"]) and _near(place, ipos, case["n_index"], len(item)):
+            near.update(case["item_ids"])
     spans = [{"start": a, "end": b} for a, b in _runs(hit, 1)]
     return int(hit.sum()), spans, sorted(exact), sorted(near - exact)
 
