@@ -74,6 +74,14 @@ def test_held_out_accuracy(spark):
     assert above > 0.88 and np.mean([s >= 0.5 for s in zero]) < 0.05 and np.mean([s >= 0.5 for s in one]) > 0.55
 
 
+def test_an_id_of_many_rows_teaches_once(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "x"), (2, "x"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, toxic int")
+    taught = toxicity.learned_from(docs, labels).collect()
+    learnable = [i for i in (1, 2, 4) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted((r.doc_id, r.text) for r in taught) == [(i, {1: "a", 2: "x", 4: None}[i]) for i in learnable] != []
+
+
 def test_cases(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choices(["good", "fine", "day", "tree", "vile"] if i % 2 else ["good", "fine", "day", "tree"], k=60)) for i in range(200)]

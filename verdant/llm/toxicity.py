@@ -11,7 +11,7 @@ are no inputs: the id only decides which rows may be learned from.
 
 Cases: a NULL, empty or wordless text has no windows and gets the score of a text whose windows all look
 harmless; labels that are NULL or have no document teach nothing, several labels of an id count as their
-largest; without labels of both kinds every text gets the same score, below 0.5; repeated rows are scored alike; an empty
+largest; of an id's several rows the smallest text teaches; without labels of both kinds every text gets the same score, below 0.5; repeated rows are scored alike; an empty
 table gives an empty result; other columns are not read.
 """
 
@@ -118,16 +118,22 @@ def _scored(docs: DataFrame, model, columns: str, width: int, finish) -> DataFra
     return docs.mapInArrow(batches, columns)
 
 
+def learned_from(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """(doc_id, label, fits, text): the sample, one row per id however often the id stands in the table."""
+    chosen = F.broadcast(_sample(labels, doc_id, label))  # MARKED + CLEAN rows at most
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return named.join(chosen, "doc_id").groupBy("doc_id", "label", "fits").agg(F.min("text").alias("text"))
+
+
 def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(doc_id, score): per document row a score from 0 to 1; learned from ``labels`` (doc_id, label)."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    chosen = F.broadcast(_sample(labels, doc_id, label))  # MARKED + CLEAN rows at most
-    sample = named.join(chosen, "doc_id").select("doc_id", "label", "fits", "text")
+    sample = learned_from(docs, labels, doc_id, text, label)
     context = docs.sparkSession.sparkContext
     model = context.broadcast(_model(sample))
     as_list = lambda signs: pa.array(signs.tolist(), pa.list_(pa.float64()))
     fitting = sample.filter("fits").select(F.col("label").cast("double").alias("label"), "text")
-    rows = _scored(fitting, model, "label double, signs array<double>", 1, as_list).collect()
+    rows = sorted(_scored(fitting, model, "label double, signs array<double>", 1, as_list).collect())  # MARKED + CLEAN at most
     one, zero = _shares(labels, doc_id, label)
     y = np.array([r.label for r in rows])
     weights = np.array([0.0, 0, 0, 0, -2])  # nothing learned: every text alike, and clean
