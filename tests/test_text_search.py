@@ -301,3 +301,26 @@ def test_reach_is_never_exceeded():
         exact = asked @ rows.T
         assert (bound[:, None] >= exact).all()
         assert (bound < exact.max() * 50 + 1).any()
+
+
+def test_scores_reach_every_document(spark):
+    """Nodes and edges score in all documents that hold them; queries meet texts by classes of the same needles."""
+    words = ("azot", "paxta", "vilt", "suv")
+    nodes = [(d, w, "t", f"tavsif {w}") for d in range(6) for w in words[: 1 + d % 4]] + [(d, f"book-{d}", "b", "kitob") for d in range(6)]
+    edges = [(d, f"book-{d}", w, "bor", "ichida") for d in range(6) for w in words[: 1 + d % 4]] + [(d, "azot", "paxta", "aloqa", "azot va paxta") for d in (1, 2, 5)]
+    asked = {1: "azot paxtalik book", 2: "vilt ichidagi 5", 3: "yoq", 4: "azot paxta aloqa tavsif"}
+    node_rows = spark.createDataFrame(nodes, "document_id long, node_id string, type string, description string")
+    edge_rows = spark.createDataFrame(edges, "document_id long, source string, target string, type string, description string")
+    texts = sorted({t for n in nodes for t in (n[1], n[3])} | {t for e in edges for t in e[1:]})
+    classes = graph.text_classes(spark.createDataFrame(list(asked.items()), "query_id long, text string"), spark.createDataFrame([(t,) for t in texts], "text string"))
+
+    def overlap(q, t):
+        tokens = [w for w in asked[q].split() if len(w) >= 2]
+        return sum(1.0 if w in t else 0.5 if len(w) >= 4 and w[: len(w) * 65 // 100] in t else 0.0 for w in tokens) / len(tokens)
+
+    want = {(q, *n): overlap(q, n[1]) * 1.5 + overlap(q, n[3]) for q in asked for n in nodes}
+    got = {tuple(r)[:-1]: r.score for r in graph.score_nodes(node_rows, *classes).collect()}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.2})
+    want = {(q, *e): max(overlap(q, e[1]), overlap(q, e[2])) + overlap(q, e[3]) + 0.5 * overlap(q, e[4]) for q in asked for e in edges}
+    got = {tuple(r)[:-1]: r.score for r in graph.score_edges(edge_rows, *classes).collect()}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.2})
