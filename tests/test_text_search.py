@@ -324,3 +324,22 @@ def test_scores_reach_every_document(spark):
     want = {(q, *e): max(overlap(q, e[1]), overlap(q, e[2])) + overlap(q, e[3]) + 0.5 * overlap(q, e[4]) for q in asked for e in edges}
     got = {tuple(r)[:-1]: r.score for r in graph.score_edges(edge_rows, *classes).collect()}
     assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.2})
+
+
+def test_shared_seeds_expand_as_those_of_every_query(spark):
+    """One expansion for all queries with the same seeds in a document; none is made per query and document."""
+    words = ("azot", "paxta", "vilt", "suv")
+    nodes = [(d, w, "t", f"tavsif {w}") for d in range(6) for w in words[: 1 + d % 4]] + [(d, f"book-{d}", "b", "kitob") for d in range(6)]
+    edges = [(d, f"book-{d}", w, "bor", "ichida") for d in range(6) for w in words[: 1 + d % 4]] + [(d, "azot", "paxta", "aloqa", "azot va paxta") for d in (1, 2, 5)]
+    asked = ["azot paxtalik", "paxta azotli", "vilt suv", "yoq", "book 5", "azot paxtalik", "tavsif", "kitob suv"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    node_rows = spark.createDataFrame(nodes, "document_id long, node_id string, type string, description string")
+    edge_rows = spark.createDataFrame(edges, "document_id long, source string, target string, type string, description string")
+    texts = sorted({t for n in nodes for t in (n[1], n[3])} | {t for e in edges for t in e[1:]})
+    members, overlaps = graph.text_classes(queries, spark.createDataFrame([(t,) for t in texts], "text string"))
+    plain = graph.seeds(graph.score_nodes(node_rows, members, overlaps), graph.score_edges(edge_rows, members, overlaps))
+    rows = graph.classed(edge_rows, members, graph.LINKED)
+    scored = graph.score_nodes(graph.first_nodes(node_rows), members, overlaps)
+    found, starts, pairs = graph.shared_seeds(scored, rows, graph.score_edge_classes(rows, overlaps))
+    want, got = sorted(map(tuple, plain.collect())), sorted(map(tuple, graph.for_queries(found, starts, pairs).collect()))
+    assert got == want and len({r[:2] for r in want}) > found.select("query_id").distinct().count()
