@@ -38,6 +38,13 @@ def test_polygon_errors(spark):
     assert got == want
 
 
+def test_a_geometry_is_read_and_checked_once(spark):
+    rows = checked(spark, geojson(SQUARE), geojson(SQUARE[:-1])).filter("valid")
+    used = rows.select(geo.area_hectares(F.col("rings")).alias("a"), geo.bounding_box(F.col("rings")).alias("b"))
+    assert used._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [r.b for r in used.collect()] == [[69.2, 41.2, 69.21, 41.21]]
+
+
 def test_area_of_the_known_square(spark):
     row = checked(spark, geojson(SQUARE)).select(geo.area_hectares(F.col("rings")).alias("a")).first()
     assert row.a == pytest.approx(93.149, abs=0.01)

@@ -56,7 +56,8 @@ def crosses_itself(ring: Column) -> Column:
             )
             return (apart & _meet(p.s, q.s)) | back
 
-        return bind(numbered, lambda all_: F.exists(all_, lambda p: F.exists(all_, lambda q: clash(p, q))))
+        later = lambda all_, p: F.slice(all_, p.i + 2, F.greatest(last - p.i, F.lit(0)))
+        return bind(numbered, lambda all_: F.exists(all_, lambda p: F.exists(later(all_, p), lambda q: clash(p, q))))
 
     return bind(_segments(ring), check)
 
@@ -145,8 +146,13 @@ def planar_area(rings: Column) -> Column:
     return F.aggregate(rings, F.lit(0.0), lambda total, r: total - F.abs(signed_area(r))) + 2 * F.abs(signed_area(rings[0]))
 
 
-def polygon_error(geometry: Column) -> Column:
-    """G1: name of the first failure of a parsed geometry (text coordinates), NULL when valid."""
+def numbers(geometry: Column) -> Column:
+    """The rings of a parsed geometry, NULL where a coordinate is no number."""
+    return geometry["coordinates"].try_cast("array<array<array<double>>>")
+
+
+def polygon_error(geometry: Column, numeric: Column) -> Column:
+    """G1: name of the first failure of a parsed geometry (text coordinates) with its ``numbers``, NULL when valid."""
 
     def point_error(p: Column) -> Column:
         lon, lat = p[0].try_cast("double"), p[1].try_cast("double")
@@ -159,23 +165,22 @@ def polygon_error(geometry: Column) -> Column:
 
     def ring_error(ring: Column) -> Column:
         first_bad = F.get(F.array_compact(F.transform(ring, point_error)), F.lit(0))
-        return (
+        return bind(first_bad, lambda bad: (
             F.when(F.size(ring) < 4, "ring")
-            .when(first_bad.isNotNull(), first_bad)
+            .when(bad.isNotNull(), bad)
             .when(F.element_at(ring, 1) != F.element_at(ring, -1), "closed")
-        )
+        ))
 
     rings = geometry["coordinates"]
     shape = F.get(F.array_compact(F.transform(rings, ring_error)), F.lit(0))
-    numeric = rings.try_cast("array<array<array<double>>>")
-    return (
+    return bind(shape, lambda bad: (
         F.when(F.coalesce(geometry["type"], F.lit("")) != "Polygon", "type")
         .when(F.coalesce(F.size(rings), F.lit(0)) <= 0, "empty")
-        .when(shape.isNotNull(), shape)
+        .when(bad.isNotNull(), bad)
         .when((signed_area(numeric[0]) == 0) | (planar_area(numeric) == 0), "area")
         .when(F.exists(numeric, crosses_itself), "crossing")
         .when((F.size(numeric) > 1) & bad_holes(numeric), "hole")
-    )
+    ))
 
 
 def _sin_authalic(latitude: Column) -> Column:

@@ -7,20 +7,31 @@ from pyspark.sql import functions as F
 
 from verdant import constants as K
 from verdant.functions import geo, keys
+from verdant.functions.vectors import bind
 from verdant.operators.validation import check_fields
 from verdant.session import cut_lineage
 
 
 def check_geometry(requests: DataFrame, column: str = "geometry_json") -> DataFrame:
-    """G1: adds rings, error name, message and valid flag. Unreadable JSON counts as a wrong type."""
-    parsed = requests.withColumn("_g", F.from_json(column, geo.GEOJSON))
+    """G1: adds rings, error name, message and valid flag. Unreadable JSON counts as a wrong type.
+
+    A geometry is read and checked once: what an explode gives is neither copied into the expressions that
+    use it nor into a filter on it.
+    """
     texts = F.create_map(*[F.lit(x) for pair in K.POLYGON_ERRORS.items() for x in pair])
-    checked = parsed.withColumn("error", F.coalesce(geo.polygon_error(F.col("_g")), F.when(F.col("_g").isNull(), "type")))
+
+    def checked(g: Column, numeric: Column) -> Column:
+        error = F.when(g.isNull(), "type").otherwise(geo.polygon_error(g, numeric))
+        return bind(error, lambda e: F.struct(e.alias("error"), F.when(e.isNull(), numeric).alias("rings")))
+
+    once = bind(F.from_json(column, geo.GEOJSON), lambda g: bind(geo.numbers(g), lambda numeric: checked(g, numeric)))
     return (
-        checked.withColumn("message", F.try_element_at(texts, F.col("error")))
+        requests.withColumn("_c", F.explode(F.array(once)))
+        .withColumn("error", F.col("_c.error"))
+        .withColumn("message", F.try_element_at(texts, F.col("error")))
         .withColumn("valid", F.col("error").isNull())
-        .withColumn("rings", F.when(F.col("valid"), F.col("_g.coordinates").try_cast("array<array<array<double>>>")))
-        .drop("_g")
+        .withColumn("rings", F.col("_c.rings"))
+        .drop("_c")
     )
 
 

@@ -20,9 +20,14 @@ from verdant.session import cut_lineage, shared_folder
 from verdant.sources import catalogue, corpus, library, raster, store
 
 
+def customers(spark, sf):
+    """The customers over all tasks: a file of few bytes and many rows would be one, and work on a polygon is long."""
+    return table(spark, sf, "customer").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
+
+
 def polygons(spark, sf):
     """One square per customer, as GeoJSON text; the key decides which of ten forms it has."""
-    c = table(spark, sf, "customer")
+    c = customers(spark, sf)
     x = (F.expr("c_custkey div 10") % 1000 + 560.0) / 10.0
     y = (F.col("c_nationkey") + 380.0) / 10.0
     side = (F.expr("c_custkey div 10") % 5 + 10.0) / 1000.0
@@ -85,7 +90,7 @@ def _(spark, sf):
 
     kinds = [F.array(square(0, 0, 10, 10), *[square(*h) for h in _HOLES[n]]) for n in range(len(_HOLES))]
     rings = F.get(F.array(*kinds), (F.col("c_custkey") % len(_HOLES)).cast("int"))
-    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), F.to_json(F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates"))).alias("geometry_json"))
+    rows = customers(spark, sf).select(F.col("c_custkey").alias("request_id"), F.to_json(F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates"))).alias("geometry_json"))
     return fx.check_geometry(rows).select("request_id", "message", "valid")
 
 
