@@ -111,6 +111,25 @@ def brute_components(points):
     return {p: i for i, g in enumerate(groups, 1) for p in g}
 
 
+def test_tiles_are_labelled_many_at_once(spark):
+    """One call of Python per batch of rows, not per tile; a tile may lie in two batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng = np.random.default_rng(5)
+        points = {k: [(int(r), int(c)) for r, c in np.argwhere(rng.random((13, 17)) < 0.45)] for k in range(3)}
+        df = spark.createDataFrame([(k, *p) for k, own in points.items() for p in own], "k long, row long, col long")
+        local = components._tile_labels(df, ["k"], 4)
+        assert "FlatMapGroupsInPandas" not in local._jdf.queryExecution().toString()
+        got = {(r.k, r.row, r.col): r.cluster_id for r in label_components(df, ["k"], 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == {(k, *p) for k, own in points.items() for p in own}
+    for k, own in points.items():
+        want = brute_components(own)
+        pairs = {(got[k, *p], want[p]) for p in own}
+        assert len(pairs) == len({a for a, _ in pairs}) == len(set(want.values()))
+
+
 @pytest.mark.parametrize("tile", [3, 4, 128])
 def test_components_equal_brute_force(spark, tile):
     rng = np.random.default_rng(tile)

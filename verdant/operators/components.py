@@ -1,7 +1,7 @@
 """8-connected components of pixels, distributed.
 
 1. Pixels are grouped into tiles of fixed size; a tile holds at most tile x tile pixels whatever the
-   size of the acquisition, and is labelled inside one task with array operations.
+   size of the acquisition. Tiles are labelled inside one task, many at once, with array operations.
 2. Only pixels on tile edges are joined with their neighbours across the edge; that gives a small
    graph of tile labels.
 3. The graph is contracted by alternating large-star / small-star steps (Kiveris et al. 2014),
@@ -24,32 +24,57 @@ TILE = 128
 ROW_SHIFT = 1 << 32
 
 
-def _label_grid(present: np.ndarray) -> np.ndarray:
-    """Smallest cell number of each 8-connected component, -1 where nothing is present."""
-    height, width = present.shape
-    none = height * width
-    label = np.where(present, np.arange(none).reshape(height, width), none)
+def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number reachable from each of 0 … n - 1 over the links (a, b)."""
+    label = np.arange(n)
     while True:
-        padded = np.pad(label, 1, constant_values=none)
-        across = np.minimum(np.minimum(padded[:, :-2], padded[:, 1:-1]), padded[:, 2:])
-        lowest = np.minimum(np.minimum(across[:-2], across[1:-1]), across[2:])
-        lowest = np.where(present, lowest, none)
-        jumped = np.append(lowest.ravel(), none)[lowest]
-        if np.array_equal(jumped, label):
-            return np.where(present, label, -1)
-        label = jumped
+        one, other = label[a], label[b]
+        if np.array_equal(one, other):
+            return label
+        lowest = np.minimum(one, other)
+        np.minimum.at(label, one, lowest)
+        np.minimum.at(label, other, lowest)
+        while not np.array_equal(jumped := label[label], label):
+            label = jumped
+
+
+def _label_tiles(number: np.ndarray, row: np.ndarray, col: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, col) of the first pixel of each pixel's 8-connected component inside its tile.
+
+    Tiles have numbers; rows and columns lie in 1 … width - 2, so that no neighbour is in another line or tile.
+    """
+    place, at = np.unique((number * width + row) * width + col, return_inverse=True)
+    links = []
+    for step in (1, width - 1, width, width + 1):
+        ahead = np.searchsorted(place, place + step)
+        near = np.flatnonzero(np.append(place, -1)[ahead] == place + step)
+        links.append((near, ahead[near]))
+    first = place[_smallest(len(place), *(np.concatenate(ends) for ends in zip(*links, strict=True)))][at]
+    return first // width % width, first % width
 
 
 def _tile_labels(df: DataFrame, keys: list[str], tile: int) -> DataFrame:
+    """(keys, row, col, label): a partition's tiles in order, many at once, as they come; a batch keeps back its last tile."""
+    tiles = [*keys, "tile_row", "tile_col"]
+
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        top, left = row.min(), col.min()
-        present = np.zeros((row.max() - top + 1, col.max() - left + 1), dtype=bool)
-        present[row - top, col - left] = True
-        cell = _label_grid(present)[row - top, col - left]
-        out = pdf[[*keys, "row", "col"]].copy()
-        out["label"] = (cell // present.shape[1] + top) * ROW_SHIFT + cell % present.shape[1] + left
-        return out
+        own = pdf[tiles]
+        number = own.ne(own.shift()).any(axis=1).to_numpy().cumsum()
+        # a tile of row 0 also holds rows down to 1 - tile, as ``div`` cuts towards zero
+        top, left = ((pdf[c].to_numpy() - 1) * tile for c in ("tile_row", "tile_col"))
+        row, col = _label_tiles(number, pdf["row"].to_numpy() - top, pdf["col"].to_numpy() - left, 2 * tile + 1)
+        return pdf[[*keys, "row", "col"]].assign(label=(row + top) * ROW_SHIFT + col + left)
+
+    def label_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            last = rows[tiles].eq(rows[tiles].iloc[-1]).all(axis=1).to_numpy()
+            rest = rows[last]
+            if not last.all():
+                yield label(rows[~last])
+        if rest is not None and len(rest):
+            yield label(rest)
 
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*[f"{k} {fields[k]}" for k in keys], "row long, col long, label long"])
@@ -60,7 +85,8 @@ def _tile_labels(df: DataFrame, keys: list[str], tile: int) -> DataFrame:
         F.expr(f"row div {tile}").alias("tile_row"),
         F.expr(f"col div {tile}").alias("tile_col"),
     )
-    return tiled.groupBy(*keys, "tile_row", "tile_col").applyInPandas(label, schema)
+    # rows without a key belong to no acquisition
+    return tiled.dropna(subset=[*keys, "row", "col"]).repartition(*tiles).sortWithinPartitions(*tiles).mapInPandas(label_all, schema)
 
 
 def _edge_links(labelled: DataFrame, keys: list[str], tile: int) -> DataFrame:

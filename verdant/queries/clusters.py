@@ -8,6 +8,7 @@ from verdant import constants as K
 from verdant.operators import advice, anomaly, zonal
 from verdant.queries import standins as st
 from verdant.queries.registry import query
+from verdant.session import cut_lineage
 
 KEYS = zonal.KEYS
 TILE = 8  # the stand-in grids are 16 x 16; small tiles make the contraction step work
@@ -36,8 +37,13 @@ shaped AS (SELECT *, CASE WHEN pixel_count < 3 THEN 1.0::DOUBLE ELSE round(sqrt(
   FROM g)"""
 
 
+def stored_pixels(spark, sf):
+    """The pixels written once: flags, means, clusters and centres each read them."""
+    return cut_lineage(st.pixels(spark, sf))
+
+
 def clustered(spark, sf):
-    return anomaly.cluster_pixels(st.pixels(spark, sf), TILE)
+    return anomaly.cluster_pixels(stored_pixels(spark, sf), TILE)
 
 
 # The closure of all pixel pairs is quadratic per cluster, so SQL states it on whole tables only
@@ -62,9 +68,9 @@ def _(spark, sf):
     return df.select(*KEYS, "cluster_id", "pixel_count", "area_m2", "area_ha", "e_anisotropy", "orientation_type", *rounded)
 
 
-def zonal_history(spark, sf):
+def zonal_history(pixels):
     """NDRE and NDWI means per acquisition, the history behind the drop-order flag."""
-    px = zonal.biophysical_pixels(st.pixels(spark, sf), keep_invalid=False)
+    px = zonal.biophysical_pixels(pixels, keep_invalid=False)
     long = px.unpivot(KEYS, ["NDRE", "NDWI"], "index_name", "value")
     return long.groupBy(*KEYS, "index_name").agg(F.avg("value").alias("mean_value")).withColumn(
         "acquired_at", F.col("acquisition_id") % 10000
@@ -81,7 +87,7 @@ flag AS (SELECT field_id, coalesce(max(e) FILTER (rn = 2) - max(e) FILTER (rn =
 
 @query("ndre_drop_before_ndwi", f"WITH {st.PIXELS}, {st.BIO}, {FLAG} SELECT * FROM flag")
 def _(spark, sf):
-    return anomaly.drop_order_flag(zonal_history(spark, sf))
+    return anomaly.drop_order_flag(zonal_history(st.pixels(spark, sf)))
 
 
 def _diagnosis_case() -> str:
@@ -113,14 +119,14 @@ ranked AS (SELECT *, count(*) OVER (PARTITION BY acquisition_id) AS cluster_coun
 
 
 def diagnosed(spark, sf):
-    px = st.pixels(spark, sf)
-    return anomaly.anomaly_clusters(px, st.fields(spark, sf), anomaly.drop_order_flag(zonal_history(spark, sf)), TILE)
+    px = stored_pixels(spark, sf)
+    return anomaly.anomaly_clusters(px, st.fields(spark, sf), anomaly.drop_order_flag(zonal_history(px)), TILE)
 
 
 @query("cluster_compass_sectors", f"WITH RECURSIVE {DIAGNOSED} SELECT field_id, acquisition_id, cluster_id, compass_sector FROM diagnosed")
 def _(spark, sf):
-    px = st.pixels(spark, sf)
-    located = anomaly.located_clusters(px, anomaly.cluster_aggregates(clustered(spark, sf)))
+    px = stored_pixels(spark, sf)
+    located = anomaly.located_clusters(px, anomaly.cluster_aggregates(anomaly.cluster_pixels(px, TILE)))
     return located.select(*KEYS, "cluster_id", "compass_sector")
 
 
@@ -176,7 +182,7 @@ FROM (SELECT DISTINCT field_id, acquisition_id FROM pixels) LEFT JOIN agg USING
 LEFT JOIN tops USING (acquisition_id) LEFT JOIN fields USING (field_id) LEFT JOIN flag USING (field_id) LEFT JOIN summary USING (field_id, acquisition_id)""")
 def report_query(spark, sf):
     px = st.pixels(spark, sf)
-    flag = anomaly.drop_order_flag(zonal_history(spark, sf))
+    flag = anomaly.drop_order_flag(zonal_history(px))
     report = anomaly.anomaly_report(px, st.fields(spark, sf), flag, TILE)
     whole = lambda c, scale: F.round(c * scale).cast("long").cast("string")
     entry = F.transform("top_clusters", lambda c: F.concat_ws(":", *[whole(c[n], _SCALED[n]) if n in _SCALED else c[n].cast("string") for n in _TOLD]))
