@@ -4,6 +4,9 @@ import datetime as dt
 import random
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
+from verdant import constants as K
 from verdant.operators.zonal import zonal_statistics
 from verdant.queries import standins as st
 from verdant.sources import versions
@@ -71,3 +74,14 @@ def test_statistics_of_no_pixel_and_of_masked_ones(spark, tmp_path):
     land(spark, str(tmp_path / "in"), 1, [one], schema)
     rows = jobs.upsert_statistics(jobs.read_files(spark, f"{tmp_path}/in/*", schema), str(tmp_path / "out"), str(tmp_path / "check")).collect()
     assert len(rows) == 5 and all(r.valid_pixel_count == 0 and r.median_value is None and r.mean_value is None for r in rows)
+
+
+def test_slots_are_counted_after_the_exchange(spark):
+    """A task that reads a large file does not hold the slots of all its pixels."""
+    schema = "field_id long, acquisition_id long, " + ", ".join(f"{n} double" for n in K.CORE_INDICES)
+    values = spark.createDataFrame([(1, i % 7, *[i / 1000] * 5) for i in range(500)], schema)
+    slots = jobs._slots(values)
+    plan = slots._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("HashAggregate") < plan.index("Exchange")
+    assert "HashAggregate" not in plan[plan.index("Exchange"):]
+    assert jobs._added(slots, slots).agg(F.sum("n")).first()[0] == 2 * 5 * 500

@@ -22,6 +22,7 @@ from verdant.operators.store import ACQUISITION_KEY, insert_if_new
 from verdant.operators.zonal import KEYS, core_index_pixels, statistics_columns
 from verdant.session import cut_lineage
 from verdant.sources import versions
+from verdant.sources.store import BUCKETS
 
 #: How long keys stay in a stream's state after they arrived.
 HORIZON = "30 days"
@@ -85,8 +86,12 @@ SLOTS = "field_id long, acquisition_id long, index_name string, slot int, n long
 
 
 def _slots(values: DataFrame) -> DataFrame:
-    """Per acquisition, index and slot the number, sum and ends of its values; slot NULL for pixels without one."""
-    long = values.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(n).alias("index_name"), F.col(n).alias("value")) for n in K.CORE_INDICES])).alias("v")).select(*KEYS, "v.*")
+    """Per acquisition, index and slot the number, sum and ends of its values; slot NULL for pixels without one.
+
+    Pixels go to their acquisition's task before they become five rows each: they are fewer bytes than the slots of
+    a file's share, and the size of a file does not decide how many slots a task holds.
+    """
+    long = values.repartition(BUCKETS, *KEYS).select(*KEYS, F.explode(F.array(*[F.struct(F.lit(n).alias("index_name"), F.col(n).alias("value")) for n in K.CORE_INDICES])).alias("v")).select(*KEYS, "v.*")
     slot = F.floor(F.greatest(F.least(F.col("value"), F.lit(8.0)), F.lit(-8.0)) * SLOTS_PER_UNIT).cast("int")
     return long.groupBy(*KEYS, "index_name", slot.alias("slot")).agg(
         F.count("value").alias("n"), F.sum("value").alias("total"), F.min("value").alias("minimum"), F.max("value").alias("maximum")
@@ -94,7 +99,9 @@ def _slots(values: DataFrame) -> DataFrame:
 
 
 def _added(stored: DataFrame, new: DataFrame) -> DataFrame:
-    both = stored.unionByName(new.select(*stored.columns))
+    # Either side has a slot once at most, so counting inside the readers' tasks first would only fill their memory; dealt
+    # over as many parts as there are buckets, a task has a share of the rows that neither the size of a file nor their compression decides.
+    both = stored.unionByName(new.select(*stored.columns)).repartition(BUCKETS, *KEYS, "index_name", "slot")
     return both.groupBy(*KEYS, "index_name", "slot").agg(
         F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("minimum").alias("minimum"), F.max("maximum").alias("maximum")
     )
