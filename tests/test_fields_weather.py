@@ -117,6 +117,9 @@ def test_duplicate_and_missing_keys(spark):
     child = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long")
     assert [tuple(r) for r in validation.duplicate_keys(child.filter("k is not null"), ["k"]).collect()] == [(1, 2)]
     assert [tuple(r) for r in validation.missing_parents(child, "k", spark.createDataFrame([(1,)], "k long")).collect()] == [(2, 1)]
+    hot = spark.createDataFrame([(1,)] * 50, "k long")
+    plan = validation.missing_parents(child, "k", hot)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan  # parents of one value are combined before they meet
 
 
 def test_climatology_ranges(spark):

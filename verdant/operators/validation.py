@@ -93,9 +93,16 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def missing_parents(child: DataFrame, column: str, parent: DataFrame) -> DataFrame:
-    """V3: referencing values without a parent row, with the number of rows that use them."""
-    used = child.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
-    return used.join(parent.select(column), column, "left_anti")
+    """V3: referencing values without a parent row, with the number of rows that use them.
+
+    Both sides are counted per value in one aggregation, combined inside each task first: many rows of one value
+    do not meet in a task, and nothing is sorted.
+    """
+    kind = child.schema[column].dataType
+    uses = child.filter(F.col(column).isNotNull()).select(column, F.lit(1).cast("long").alias("rows"), F.lit(0).alias("_known"))
+    known = parent.select(column, F.lit(0).cast("long").alias("rows"), F.lit(1).alias("_known"))
+    counted = uses.unionByName(known).groupBy(column).agg(F.sum("rows").alias("rows"), F.max("_known").alias("_known"))
+    return counted.filter("_known = 0").select(F.col(column).cast(kind).alias(column), "rows")
 
 
 def key_report(tables: dict[str, DataFrame]) -> DataFrame:
