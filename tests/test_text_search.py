@@ -343,3 +343,19 @@ def test_shared_seeds_expand_as_those_of_every_query(spark):
     found, starts, pairs = graph.shared_seeds(scored, rows, graph.score_edge_classes(rows, overlaps))
     want, got = sorted(map(tuple, plain.collect())), sorted(map(tuple, graph.for_queries(found, starts, pairs).collect()))
     assert got == want and len({r[:2] for r in want}) > found.select("query_id").distinct().count()
+
+
+def test_graph_extraction_reads_no_vectors(spark, monkeypatch):
+    """Chunks are profiled for searches only, and the nodes of a refresh are extracted once."""
+    from verdant.queries import load
+    from verdant.queries import standins as st
+
+    def refused(text):
+        raise AssertionError("no vector is needed")
+
+    calls, extract = [], graph.extract_nodes
+    monkeypatch.setattr(st, "letter_profile", refused)
+    monkeypatch.setattr(graph, "extract_nodes", lambda *a: calls.append(1) or extract(*a))
+    refreshed = load()[0]["graph_refresh"](spark, "/root/testdata/sf0.001")
+    assert calls == [1] and "regexp" not in refreshed._jdf.queryExecution().optimizedPlan().toString()
+    assert refreshed.filter("type = 'refreshed'").count() > 0
