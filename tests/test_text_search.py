@@ -359,3 +359,28 @@ def test_graph_extraction_reads_no_vectors(spark, monkeypatch):
     refreshed = load()[0]["graph_refresh"](spark, "/root/testdata/sf0.001")
     assert calls == [1] and "regexp" not in refreshed._jdf.queryExecution().optimizedPlan().toString()
     assert refreshed.filter("type = 'refreshed'").count() > 0
+
+
+def test_walk_keeps_a_row_per_start(spark):
+    """Every start is walked inside its row; a document without edges keeps its seeds, and a full one touches nothing."""
+    edges = {("a", "b", "t"), ("b", "c", "t"), ("c", "d", "t"), ("a", "a", "t")}
+    asked = [(0, 1, {"a": 0.0}, 25), (1, 1, {"b": 1.0, "d": 2.0}, 3), (2, 1, {"a": 0.0, "b": 0.0, "c": 0.0}, 3), (3, 2, {"x": 1.0}, 25)]
+    edge_rows = spark.createDataFrame([(1, *e, "") for e in edges], "document_id long, source string, target string, type string, description string")
+    for q, d, seeds, cap in asked:
+        starts = spark.createDataFrame([(q, d, list(seeds.items()))], "query_id long, document_id long, seeds array<struct<node_id:string,score:double>>")
+        (row,) = graph.walk(starts, edge_rows, cap=cap).collect()
+        assert ({n.node_id for n in row.nodes}, {tuple(e) for e in row.touched}) == walked(edges if d == 1 else set(), seeds, 2, cap), q
+        assert {n.node_id: n.score for n in row.nodes if n.depth == 0} == seeds
+
+
+def test_graph_lookup_reads_texts_once_and_no_vectors(spark, monkeypatch):
+    from verdant.queries import load
+    from verdant.queries import standins as st
+
+    def refused(*_):
+        raise AssertionError("no vector of a chunk is needed")
+
+    calls, mentions = [], graph._mentions
+    monkeypatch.setattr(st, "embedded_chunks", refused)
+    monkeypatch.setattr(graph, "_mentions", lambda *a: calls.append(1) or mentions(*a))
+    assert load()[0]["graph_context"](spark, "/root/testdata/sf0.001").count() > 0 and calls == [1]
