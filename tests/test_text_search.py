@@ -384,3 +384,25 @@ def test_graph_lookup_reads_texts_once_and_no_vectors(spark, monkeypatch):
     monkeypatch.setattr(st, "embedded_chunks", refused)
     monkeypatch.setattr(graph, "_mentions", lambda *a: calls.append(1) or mentions(*a))
     assert load()[0]["graph_context"](spark, "/root/testdata/sf0.001").count() > 0 and calls == [1]
+
+
+def test_letters_are_counted_in_batches(spark):
+    """Odd texts, many slices and NULLs against a count per letter."""
+    from verdant.queries import standins as st
+
+    texts = ["", "abc zz", None, "Straße İi K", "aA" * 700, "12 ,."] * 400
+    counts = st._letter_counts(lexical.pa.array(texts)).to_pylist()
+    assert counts == [[None] * 26 if t is None else [float(t.count(c)) for c in st.LETTERS] for t in texts]
+    (row,) = spark.createDataFrame([("Abba!",)], "t string").select(st.letter_profile(lexical.F.col("t")).alias("v")).collect()
+    assert row.v == pytest.approx([2 / 8**0.5] * 2 + [0.0] * 24)
+
+
+def test_blocks_know_how_many_chunks_hold_a_term(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "CHUNKS", 2)
+    texts = ["aa bb aa", "bb cc", "", "aa a", "cc aa"]
+    corpus = lexical.corpus_statistics(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string"))
+    held = {}
+    for r in corpus.blocks.collect():
+        for term, n in zip(r.terms, r.held, strict=True):
+            held[term] = held.get(term, 0) + n
+    assert held == {"aa": 3, "bb": 2, "cc": 2} == {r.term: r.df for r in corpus.counts.collect()}
