@@ -216,3 +216,26 @@ def test_fields_are_scored_by_their_crop(spark):
     for r in rows:
         assert r.model.startswith("wheat" if r.field_id % 2 else "cotton") and (r.prediction > 50) == bool(r.field_id % 2)
         assert ("gradient" in r.model) == (r.field_id > 5)
+
+
+def test_gaps_of_many_fields_in_one_exchange(spark):
+    """Gaps inside, before and behind, whole columns empty, fields of one month; other columns pass; rows are exchanged once, side by side."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for field in range(40):
+        for month in range(1, 1 + int(rng.integers(1, 13))):
+            rows.append((field, f"2024-{month:02}", f"r{field}", *[float(x) if rng.random() < 0.4 and field % 5 else None for x in rng.normal(size=3)]))
+    merged = spark.createDataFrame(rows[::-1], "field_id long, year_month string, w string, a double, b double, c double")
+    filled = fx.fill_gaps(merged, ["a", "b", "c"])
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+    got = {(r.field_id, r.year_month): (r.w, r.a, r.b, r.c) for r in filled.collect()}
+    assert len(got) == len(rows)
+    for field in range(40):
+        own = [r for r in rows if r[0] == field]
+        for k in range(3):
+            at = [i for i, r in enumerate(own) if r[3 + k] is not None]
+            want = np.interp(range(len(own)), at, [own[i][3 + k] for i in at]) if at else [0.0] * len(own)
+            assert [got[r[0], r[1]][1 + k] for r in own] == pytest.approx(list(want)) and all(got[r[0], r[1]][0] == r[2] for r in own)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdant import constants as K
 from verdant.functions.spectral import monthly_indices
-from verdant.session import cut_lineage
 
 MONTH = ["field_id", "year_month"]
 
@@ -185,8 +186,11 @@ def monthly_weather(weather: DataFrame) -> DataFrame:
 
 
 def monthly_optical(optical: DataFrame) -> DataFrame:
-    """72 columns."""
-    return optical.groupBy(*MONTH).agg(*_aggregates(OPTICAL_MONTHLY))
+    """72 columns.
+
+    Observations go to their month as they are: a field's month has few, and sums of 72 columns take more room than they do.
+    """
+    return optical.repartition(*MONTH).groupBy(*MONTH).agg(*_aggregates(OPTICAL_MONTHLY))
 
 
 def monthly_radar(radar: DataFrame) -> DataFrame:
@@ -199,29 +203,43 @@ def merge_months(weather: DataFrame, optical: DataFrame, radar: DataFrame) -> Da
     return weather.join(optical, MONTH, "left").join(radar, MONTH, "left")
 
 
+def _filled(months: pa.Array) -> pa.Array:
+    """Per field a list of months, each the values of all columns: the gaps of every column filled along the months."""
+    flat = months.flatten()
+    width = len(flat[0]) if len(flat) else 0
+    values = flat.flatten()
+    known = ~values.is_null().to_numpy(zero_copy_only=False).reshape(len(flat), width)
+    values = values.to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), width)
+    lengths = months.value_lengths().to_numpy().astype(np.int64)
+    ends = np.cumsum(lengths)
+    first, last = (np.repeat(x, lengths)[:, None] for x in (ends - lengths, ends - 1))
+    at = np.arange(len(flat))[:, None]
+    before = np.maximum.accumulate(np.where(known, at, -1), axis=0)
+    after = np.minimum.accumulate(np.where(known, at, len(flat))[::-1], axis=0)[::-1]
+    early, late = before < first, after > last  # no known month of the field on that side
+    column = np.arange(width)
+    low, high = (values[np.clip(x, 0, len(flat) - 1), column] for x in (before, after))
+    between = low + (high - low) / np.maximum(after - before, 1) * (at - before)
+    out = np.where(known, values, np.where(early & late, 0.0, np.where(early, high, np.where(late, low, between))))
+    rows = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * width, pa.int32()), pa.array(out.ravel(), pa.float64()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), rows)
+
+
 def fill_gaps(merged: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Linear by position between known months, flat beyond them, 0 where a field has none.
 
-    All columns go through one window per (field, column), as rows of their own; a field has at most one row per
-    calendar month, so a window stays small. The values then return to their months side by side.
+    A field's months go through one exchange, all columns side by side, and are filled in its row: a field has at
+    most one row per calendar month, so a row stays small.
     """
     columns = SATELLITE_COLUMNS if columns is None else columns
-    merged = cut_lineage(merged)
-    long = merged.select(*MONTH, F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("k", "v"))
-    months = Window.partitionBy("field_id", "k").orderBy("year_month")
-    known = F.when(F.col("v").isNotNull(), F.struct("v", "i"))
-    around = long.withColumn("i", F.row_number().over(months)).withColumns(
-        {
-            "before": F.last(known, ignorenulls=True).over(months.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            "after": F.first(known, ignorenulls=True).over(months.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-        }
-    )
-    before, after = F.col("before"), F.col("after")
-    between = before["v"] + (after["v"] - before["v"]) / (after["i"] - before["i"]) * (F.col("i") - before["i"])
-    filled = around.select(*MONTH, F.struct("k", F.coalesce("v", between, before["v"], after["v"], F.lit(0.0)).alias("x")).alias("one"))
-    beside = filled.groupBy(*MONTH).agg(F.sort_array(F.collect_list("one")).alias("_x"))  # one value per column
-    rest = [c for c in merged.columns if c not in columns]
-    return merged.select(*rest).join(beside, MONTH).select(*rest, *[F.get("_x", F.lit(k))["x"].alias(c) for k, c in enumerate(columns)])
+    rest = [c for c in merged.columns if c not in {"field_id", *columns}]
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    month = F.struct("year_month", *[c for c in rest if c != "year_month"], values.alias("_v"))
+    fields = merged.select("field_id", month.alias("_m")).groupBy("field_id").agg(F.sort_array(F.collect_list("_m")).alias("_m"))
+    filled = fields.withColumn("_x", F.arrow_udf(_filled, "array<array<double>>")(F.col("_m._v")))
+    rows = filled.select("field_id", F.inline(F.arrays_zip("_m", "_x")))
+    found = {c: F.col(f"_m.{c}") for c in rest} | {"field_id": F.col("field_id")}
+    return rows.select(*[found[c].alias(c) for c in merged.columns if c in found], *[F.get("_x", F.lit(k)).alias(c) for k, c in enumerate(columns)])
 
 
 def finish_features(filled: DataFrame, target_year: int) -> DataFrame:
