@@ -345,6 +345,39 @@ def test_shared_seeds_expand_as_those_of_every_query(spark):
     assert got == want and len({r[:2] for r in want}) > found.select("query_id").distinct().count()
 
 
+def test_alike_documents_are_walked_once(spark):
+    """Documents that differ in their own name alone share a walk, unless the name changes its order; the first of all names are kept."""
+    rng = np.random.default_rng(5)
+    words = ("azot", "paxta", "vilt", "suv")
+    names = [f"{('book', 'a', 'q', 'zz')[int(rng.integers(4))]}-{d}" for d in range(60)] + ["vilt", "book-1", "suv"]
+    graphs = [words[: 1 + int(rng.integers(4))] for _ in names]
+    kind = graph.K.DOCUMENT_NODE[0]
+    nodes = [(d, w, "t", f"tavsif {w}") for d, g in enumerate(graphs) for w in g if w != names[d]] + [(d, n, kind, "kitob") for d, n in enumerate(names)]
+    edges = [(d, names[d], w, "bor", "ichida") for d, g in enumerate(graphs) for w in g]
+    edges += [(d, a, b, "aloqa", "") for d, g in enumerate(graphs) for a, b in zip(g, g[1:], strict=False)] + [(d, g[-1], names[d], "yana", "") for d, g in enumerate(graphs) if d % 3]
+    asked = ["azot paxtalik", "vilt suv", "yoq", "book 5", "aloqa", "bor", "q 17 ichida", "zz"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    node_rows = spark.createDataFrame(nodes, "document_id long, node_id string, type string, description string")
+    edge_rows = spark.createDataFrame(edges, "document_id long, source string, target string, type string, description string")
+    texts = sorted({t for n in nodes for t in (n[1], n[3])} | {t for e in edges for t in e[1:]})
+    members, overlaps = graph.text_classes(queries, spark.createDataFrame([(t,) for t in texts], "text string"))
+    rows = graph.classed(edge_rows, members, graph.LINKED)
+    scored = graph.score_nodes(graph.first_nodes(node_rows), members, overlaps)
+    for cap, n in ((25, 3), (4, 7)):
+        every, asked_all = graph.shared_starts(scored, rows, graph.score_edge_classes(rows, overlaps))
+        alike = graph.alike_documents(rows, node_rows, scored, n)
+        few = rows.join(alike, "document_id", "left_semi")
+        starts, asked_few = graph.shared_starts(scored, few, graph.score_edge_classes(few, overlaps))
+        whole, once = graph.walk(every, rows, cap=cap), graph.for_alike(graph.walk(starts, few, cap=cap), alike)
+        assert starts.count() < every.count()
+        for part, columns in (("nodes", ["node_id"]), ("touched", ["source", "target", "type"])):
+            want, got = ({}, {})
+            for walked_rows, hit, out in ((whole, asked_all, want), (once, asked_few, got)):
+                for r in graph.first_for_queries(walked_rows, hit, part, columns, n).collect():
+                    out.setdefault(r[0], set()).add(tuple(r[1:]))
+            assert want and {q: sorted(v)[:n] for q, v in got.items()} == {q: sorted(v)[:n] for q, v in want.items()}
+
+
 def test_graph_extraction_reads_no_vectors(spark, monkeypatch):
     """Chunks are profiled for searches only, and the nodes of a refresh are extracted once."""
     from verdant.queries import load
