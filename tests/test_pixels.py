@@ -83,6 +83,49 @@ def test_exact_medians_with_ties_and_wrong_brackets(spark, accuracy, wrong, monk
             assert r.median is None and r.mean is None
 
 
+@pytest.mark.parametrize("whole, wrong", [(0, None), (0, (0.9, 0.95)), (0, (-5.0, -4.0)), (150, (0.0, 0.0)), (10_000, None)])
+def test_small_groups_are_sorted_whole_and_large_ones_bracketed(spark, whole, wrong, monkeypatch):
+    """Both ways agree, also where a group goes over several batches and where a column or a key has NULLs."""
+    monkeypatch.setattr(quantiles, "WHOLE", whole)
+    rng = np.random.default_rng(whole)
+    rows = [(k // 3, f"g{k % 3}", None if v > 1.5 else float(v), None if k == 4 else float(w)) for k, n in enumerate(rng.integers(1, 400, 9)) for v, w in zip(rng.normal(size=n), rng.integers(0, 4, n))]
+    df = spark.createDataFrame(rows, "k long, g string, v double, w double").repartition(7)
+    sorts, plain = [], quantiles.sorted_summaries
+    monkeypatch.setattr(quantiles, "sorted_summaries", lambda wide, *a: sorts.append(wide) or plain(wide, *a))
+    if wrong:
+        monkeypatch.setattr(quantiles.F, "percentile_approx", lambda *a: F.when(F.count(a[0]) > 0, F.array(*map(F.lit, wrong))))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = {(r.k, r.g, r.index_name): r for r in quantiles.summaries(df, ["k", "g"], ["v", "w"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 18
+    for (k, g, name), r in got.items():
+        values = [v for row in rows if row[:2] == (k, g) and (v := row["vw".index(name) + 2]) is not None]
+        assert r.size == len(values)
+        if values:
+            assert [r.median, r.mean, r.minimum, r.maximum, r.std] == pytest.approx([np.median(values), np.mean(values), min(values), max(values), np.std(values)])
+        else:
+            assert [r.median, r.mean, r.minimum, r.maximum, r.std] == [None] * 5
+    largest = sorts[0].groupBy("k", "g").count().agg(F.max("count")).first()[0] or 0
+    assert largest <= whole and (whole == 0 or largest > 0)
+
+
+def test_small_groups_make_no_sketch(spark):
+    """Many small acquisitions are summarised in one exchange of their rows; no digest is kept per group and column."""
+    plan = quantiles.summaries(spark.range(1000).selectExpr("id div 4 AS k", "id / 7 AS v"), ["k"], ["v"])._jdf.queryExecution().toString()
+    assert "percentile_approx" not in plan and "Join" not in plan
+
+
+def test_indices_are_compiled_in_parts(spark):
+    """The projection of the eleven indices stands outside compiled stages, in which its code is too large for the JVM's compiler."""
+    plan = zonal.index_distribution(grid(spark, [(0, 0, (0.1,) * 7, 9)]))._jdf.queryExecution().sparkPlan().toString()
+    assert "forall" in plan
+    compiled = zonal.biophysical_pixels(grid(spark, [(0, 0, (0.1,) * 7, 4)]))._jdf.queryExecution().executedPlan().toString()
+    (line,) = [part for part in compiled.splitlines() if "AS NDSI" in part]
+    assert "*(" not in line
+
+
 def test_few_values_lie_inside_the_brackets(spark):
     wide = spark.range(40_000).selectExpr("id % 2 AS k", *[f"(id * {m} % 39989) / 39989.0D AS {n}" for n, m in (("a", 7), ("b", 31), ("c", 1009))])
     known = quantiles.proven(wide, quantiles.sketches(wide, ["k"], ["a", "b", "c"]), ["k"], ["a", "b", "c"])
