@@ -6,6 +6,7 @@ import numpy as np
 from tests.llm import brute
 from tests.llm.fixtures import DOCS, docs_of, empty_docs
 from verdant.llm import near_dedup as nd
+from verdant.session import cut_lineage
 
 
 def expected(rows):
@@ -75,3 +76,12 @@ def test_repeats_and_unknown_ids(spark):
     once = nd.deduplicated(df.unionAll(df))
     assert sorted(str(r.doc_id) for r in once.collect()) == ["3", "8", "9", "None", "None"] and once.columns == df.columns
     assert nd.classes(empty_docs(spark)).count() == 0 and nd.deduplicated(empty_docs(spark)).count() == 0
+
+
+def test_postings_are_not_sent_to_all_tasks(spark, monkeypatch):
+    """An exploded row counts as one in Spark's sizes, so 32 postings a node seemed few enough for a broadcast."""
+    plans = []
+    monkeypatch.setattr(nd, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or cut_lineage(df))
+    assert nd.classes(docs_of(spark, ["a b c d e f", "a b c d e f", "x y z"])).count() == 3
+    posted = [p for p in plans if "Generate explode" in p and "Join [key" in p]
+    assert posted and all("SortMergeJoin [key" in p and "BroadcastHashJoin [key" not in p for p in posted)

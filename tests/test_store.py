@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from verdant.operators import store
 from verdant.sources import versions
+from verdant.session import cut_lineage
 
 SCHEMA = "k long, v long"
 
@@ -53,3 +54,13 @@ def test_rows_may_go_and_insert_if_new(spark, tmp_path):
     assert rows_of(versions.read(spark, folder, SCHEMA)) == [(2, 2), (3, 3)]
     place = store.listed(make([(5, 1), (6, 3), (7, None), (8, 3)]).select("k", F.col("v").alias("created_at")), "k", page=2).collect()
     assert sorted((r.place, r.k, r.page) for r in place) == [(1, 6, 1), (2, 8, 1), (3, 5, 2), (4, 7, 2)]
+
+
+def test_many_rows_in_small_files_are_not_sent_to_all_tasks(spark):
+    """Spark knows a stored table by its files: 200,000 rows of small files are megabytes in a hash relation."""
+    plans = []
+    for n in (1000, 200_000):
+        stored = cut_lineage(spark.range(n).selectExpr("id", "id div 1000 AS k"))
+        assert stored.count() == n and stored.join(spark.range(10), "id").count() == 10
+        plans.append(spark.range(1 << 40).join(stored.select("id"), "id")._jdf.queryExecution().sparkPlan().toString())
+    assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]

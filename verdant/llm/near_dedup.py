@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from verdant.llm._words import Hashes, blank_words
 from verdant.operators.components import smallest_in_component
-from verdant.session import cut_lineage
+from verdant.session import by_key, cut_lineage
 
 SHINGLE = 2
 PERCENT = 80
@@ -239,7 +239,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, doc_id
         .groupBy("set_hash")
         .agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), *[F.max(s).alias(s) for s in SIGNS])
     )
-    posted = table.select("node", F.explode(_keys()).alias("key"))
+    posted = by_key(table.select("node", F.explode(_keys()).alias("key")))
     buckets = cut_lineage(posted.join(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"))
     popular = buckets.groupBy("node").agg(F.sum("n").alias("fame"))
     centres = buckets.join(popular, "node").groupBy("key").agg(F.max(F.struct("fame", F.col("node").alias("centre"))).alias("c")).select("key", "c.centre")
