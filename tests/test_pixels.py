@@ -6,6 +6,7 @@ from verdant import constants as K
 from verdant.functions import spectral as S
 from verdant.operators import anomaly, components, quantiles, zonal
 from verdant.operators.components import label_components
+from verdant.session import by_key, cut_lineage
 
 SCHEMA = "field_id long, acquisition_id long, row long, col long, " + ", ".join(f"{b} double" for b in K.BANDS) + ", scl int, data_mask boolean"
 
@@ -256,3 +257,23 @@ def test_smallest_in_component(spark, links):
         parent[max(a, b)] = min(a, b)
     df = spark.createDataFrame([(max(x), min(x)) for x in links], "a long, b long")
     assert {r.a: r.b for r in components.smallest_in_component(df, []).collect()} == {i: root(i) for i in parent if root(i) != i}
+
+
+def test_what_grows_with_the_groups_is_not_sent_to_all_tasks(spark, monkeypatch):
+    """Exploded brackets and edge pixels, links, ranks and whole rows of brackets go by key; few brackets are sent."""
+    sketchy, links = spark.range(4000).selectExpr("id div 400 AS k", "id / 7 AS v"), [(3, 1), (2, 1), (5, 4)]
+    plan_of = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    plans = []
+    monkeypatch.setattr(quantiles, "cut_lineage", lambda df: plans.append(plan_of(df)) or cut_lineage(df))
+    known = quantiles.proven(sketchy, quantiles.sketches(sketchy, ["k"], ["v"]), ["k"], ["v"])
+    proving, middle = plans[-1], plan_of(quantiles.medians(sketchy, known, ["k"], ["v"]))
+    assert proving.count("BroadcastHashJoin") == 1 and "SortMergeJoin" in proving
+    assert middle.count("BroadcastHashJoin") == 1 and "SortMergeJoin [k" in middle
+    monkeypatch.setattr(quantiles, "SENT", 9)  # ten groups
+    assert "BroadcastHashJoin" not in plan_of(quantiles.medians(sketchy, known, ["k"], ["v"]))
+    local = cut_lineage(spark.range(64).selectExpr("1 AS k", "id div 8 AS row", "id % 8 AS col", "0L AS label"))
+    assert "BroadcastHashJoin" not in plan_of(components._edge_links(local, ["k"], 4))
+    stars = by_key(cut_lineage(spark.createDataFrame(links, "a long, b long")))
+    assert "BroadcastHashJoin" not in plan_of(components._star(stars, [], large=True))
+    ranked = quantiles.ordered_rank(cut_lineage(spark.range(9).selectExpr("1 AS k", "id AS o")), ["k"], "o", "n", F.expr("o div 3"))
+    assert "BroadcastHashJoin" not in plan_of(ranked) and sorted((r.o, r.n) for r in ranked.collect()) == [(i, i + 1) for i in range(9)]

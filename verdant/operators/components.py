@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant.operators.quantiles import ordered_rank
-from verdant.session import cut_lineage
+from verdant.session import by_key, cut_lineage
 
 TILE = 128
 ROW_SHIFT = 1 << 32
@@ -101,7 +101,7 @@ def _edge_links(labelled: DataFrame, keys: list[str], tile: int) -> DataFrame:
         F.col("label").alias("a"),
     )
     return (
-        reach.join(edge.withColumnRenamed("label", "b"), [*keys, "row", "col"])
+        by_key(reach).join(edge.withColumnRenamed("label", "b"), [*keys, "row", "col"])
         .filter("a <> b")
         .select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
@@ -111,9 +111,9 @@ def _edge_links(labelled: DataFrame, keys: list[str], tile: int) -> DataFrame:
 def _star(links: DataFrame, keys: list[str], large: bool) -> DataFrame:
     """One contraction step over links (a > b). Groups are only ever reduced to their minimum."""
     if large:
-        around = links.select(*keys, F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
-            links.select(*keys, F.col("b").alias("u"), F.col("a").alias("v"))
-        )
+        # not a union, through which no word of the links' number would come to the join
+        ends = [F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in ("ab", "ba")]
+        around = links.select(*keys, F.explode(F.array(*ends)).alias("_e")).select(*keys, "_e.u", "_e.v")
         least = around.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         least = least.withColumn("m", F.least("m", "u"))
         moved = around.filter("v > u").join(least, [*keys, "u"]).select(*keys, F.col("v").alias("a"), F.col("m").alias("b"))
@@ -162,5 +162,5 @@ def label_components(df: DataFrame, keys: list[str], tile: int = TILE) -> DataFr
     # Numbered by first pixel, block by block of one raster line: a line's width bounds a block.
     block = F.expr(f"root div {ROW_SHIFT}")
     ids = ordered_rank(rooted.select(*keys, "root").distinct(), keys, "root", "cluster_id", block)
-    named = rooted.join(ids, [*keys, "root"]).select(*keys, "label", "cluster_id")
+    named = by_key(rooted).join(by_key(ids), [*keys, "root"]).select(*keys, "label", "cluster_id")
     return local.join(named, [*keys, "label"]).select(*keys, "row", "col", "cluster_id")

@@ -19,21 +19,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from verdant.session import cut_lineage
+from verdant.session import by_key, cut_lineage
 
 #: Rank error of the sketch is a group's size over this.
 ACCURACY = 10_000
-#: Groups whose brackets are sent to all tasks; beyond it the rows are joined with them by key.
-SENT = 500_000
+#: Brackets that are sent to all tasks, of some 50 bytes each; beyond it the rows are joined with them by key.
+SENT = 1_500_000
 #: Rows of a group that one task sorts; beyond it the middle is bracketed.
 WHOLE = 65_536
 
 _SUMMARY = "index_name string, size long, minimum double, maximum double, mean double, std double, median double"
 
 
-def _beside(wide: DataFrame, brackets: DataFrame, keys: list[str], groups: int) -> DataFrame:
-    """Every row with its group's brackets."""
-    return wide.join(F.broadcast(brackets) if groups <= SENT else brackets, keys)
+def _beside(wide: DataFrame, brackets: DataFrame, keys: list[str], number: int) -> DataFrame:
+    """Every row with its group's brackets, of which there are ``number``."""
+    return wide.join(F.broadcast(brackets) if number <= SENT else by_key(brackets), keys)
 
 
 def sketches(wide: DataFrame, keys: list[str], names: list[str] | tuple[str, ...], **more: Column) -> DataFrame:
@@ -63,7 +63,7 @@ def proven(wide: DataFrame, known: DataFrame, keys: list[str], names: list[str]
         )
         for n in names
     }
-    counts = _beside(wide, sent, keys, known.count()).groupBy(*keys).agg(*[c.alias(n) for n, c in (counted | more).items()])
+    counts = _beside(wide, sent, keys, known.count() * len(names)).groupBy(*keys).agg(*[c.alias(n) for n, c in (counted | more).items()])
 
     def bracket(n: str) -> Column:
         size, low, high = F.col(f"_{n}.size"), F.get(f"_{n}.about", F.lit(0)), F.get(f"_{n}.about", F.lit(1))
@@ -76,7 +76,7 @@ def proven(wide: DataFrame, known: DataFrame, keys: list[str], names: list[str]
         )
 
     rest = [c for c in known.columns if c not in {*keys, *(f"_{n}" for n in names)}]
-    return cut_lineage(known.join(counts, keys).select(*keys, *rest, *more, *[F.struct(f"_{n}.*", bracket(n).alias("bracket")).alias(f"_{n}") for n in names]))
+    return cut_lineage(by_key(known).join(counts, keys).select(*keys, *rest, *more, *[F.struct(f"_{n}.*", bracket(n).alias("bracket")).alias(f"_{n}") for n in names]))
 
 
 def medians(wide: DataFrame, known: DataFrame, keys: list[str], names: list[str] | tuple[str, ...]) -> DataFrame:
@@ -84,13 +84,13 @@ def medians(wide: DataFrame, known: DataFrame, keys: list[str], names: list[str]
     ends = known.select(*keys, *[F.struct(f"_{n}.bracket.low", f"_{n}.bracket.high").alias(f"_{n}") for n in names])
     inside = [F.when(F.col(n).between(F.col(f"_{n}.low"), F.col(f"_{n}.high")), F.col(n).cast("double")) for n in names]
     values = F.array(*[F.struct(F.lit(n).alias("index_name"), v.alias("value")) for n, v in zip(names, inside, strict=True)])
-    near = _beside(wide, ends, keys, known.count()).select(*keys, F.explode(F.filter(values, lambda v: v["value"].isNotNull())).alias("v"))
+    near = _beside(wide, ends, keys, known.count() * len(names)).select(*keys, F.explode(F.filter(values, lambda v: v["value"].isNotNull())).alias("v"))
     near = near.groupBy(*keys, "v.index_name", "v.value").agg(F.count(F.lit(1)).alias("n"))
 
     each = known.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("index_name"), f"_{n}.*") for n in names])).alias("s")).select(*keys, "s.*")
     ranks = each.select(*keys, "index_name", "size", F.col("bracket.below").alias("below"))
     upto = F.col("below") + F.sum("n").over(Window.partitionBy(*keys, "index_name").orderBy("value"))
-    reached = near.join(ranks, [*keys, "index_name"]).withColumn("upto", upto)
+    reached = near.join(by_key(ranks), [*keys, "index_name"]).withColumn("upto", upto)
     lower, upper = (F.min(F.when(F.col("upto") > F.floor(rank / 2), F.col("value"))) for rank in (F.col("size") - 1, F.col("size")))
     middle = reached.groupBy(*keys, "index_name").agg(((lower + upper) / 2).alias("median"))
     return each.drop("about", "bracket").join(middle, [*keys, "index_name"], "left")
@@ -182,8 +182,8 @@ def ordered_rank(df: DataFrame, keys: list[str], order: str, name: str, block: C
     )
     inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order))
     return (
-        blocked.withColumn("_inside", inside)
-        .join(offsets, [*keys, "_block"])
+        by_key(blocked.withColumn("_inside", inside))
+        .join(by_key(offsets), [*keys, "_block"])
         .withColumn(name, (F.col("_offset") + F.col("_inside")).cast("long"))
         .drop("_block", "_inside", "_offset")
     )
